@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, license_scan, simhash
-from .sql import OP2, OP3, OP10
+from . import chat, decontaminate, exact_dedup, license_scan, line_dedup, mixing, quality, simhash, token_shards, tokens
+from .sql import OP2, OP3, OP5, OP10, op7
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +17,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"), only_ids=True)
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents")).drop("spans")
 
@@ -24,6 +29,29 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decisions(_table(spark, sf_dir, "documents"))
 
 
+def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards.shard_report(_table(spark, sf_dir, "documents"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(_table(spark, sf_dir, "documents"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(_table(spark, sf_dir, "documents"))
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    return chat.read_back(chat.format_chat(turns.unionByName(planted)))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.scores(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -33,13 +61,9 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {
-        "op2_license_scan": op2_license_scan,
-        "op3_exact_dedup": op3_exact_dedup,
-        "op9_simhash": op9_simhash,
-        "op10_decontaminate": op10_decontaminate,
-    }
+    all_queries = (op1_mix_sources, op2_license_scan, op3_exact_dedup, op4_token_shards, op5_line_dedup, op6_token_counts, op7_chat_format, op8_quality, op9_simhash, op10_decontaminate)
+    return {q.__name__: q for q in all_queries}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": OP2, "op3_exact_dedup": OP3, "op10_decontaminate": OP10}
+    return {"op2_license_scan": OP2, "op3_exact_dedup": OP3, "op5_line_dedup": OP5, "op7_chat_format": op7(), "op10_decontaminate": OP10}

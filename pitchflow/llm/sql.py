@@ -56,3 +56,48 @@ SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """
+
+_WORDS_IN = "len(list_filter(string_split({0}, ' '), lambda x: x <> ''))"
+OP5 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+p AS (SELECT doc_id, text, lines, unnest(generate_series(1, len(lines))) AS i FROM d),
+s AS (SELECT *, len(lines) AS m FROM p),
+w AS (SELECT doc_id, text, i, least(3, m) AS n, lines[i : i + least(3, m) - 1] AS ls FROM s WHERE i <= m - least(3, m) + 1
+      UNION ALL SELECT doc_id, text, i, 1, [lines[i]] FROM s WHERE m > 1 AND {_WORDS_IN.format("lines[i]")} >= 50
+      UNION ALL SELECT doc_id, text, i, 2, lines[i : i + 1] FROM s WHERE m > 2 AND i < m AND {_WORDS_IN.format("lines[i]")} < 50
+                AND {_WORDS_IN.format("lines[i]")} + {_WORDS_IN.format("lines[i + 1]")} >= 50),
+k AS (SELECT doc_id, text, i, n, array_to_string(list_transform(ls, lambda l: trim(l)), chr(10)) AS key FROM w
+      WHERE list_sum(list_transform(ls, lambda l: {_WORDS_IN.format("l")})) > 0),
+o AS (SELECT *, first_value(doc_id) OVER a AS fd, first_value(i) OVER a AS fi FROM k WINDOW a AS (PARTITION BY n, key ORDER BY doc_id, i)),
+c AS (SELECT DISTINCT doc_id, unnest(generate_series(CASE WHEN fd = doc_id THEN greatest(i, fi + n) ELSE i END, i + n - 1)) AS line
+      FROM o WHERE fd <> doc_id OR fi <> i),
+g AS (SELECT s.doc_id, any_value(m) AS n_lines, count(c.line) AS n_removed,
+             coalesce(string_agg(lines[s.i], chr(10) ORDER BY s.i) FILTER (WHERE c.line IS NULL), '') AS kept
+      FROM s LEFT JOIN c ON s.doc_id = c.doc_id AND s.i = c.line GROUP BY s.doc_id)
+SELECT doc_id, n_lines::BIGINT AS n_lines, n_removed::BIGINT AS n_removed, sha256(kept) AS text_sha256 FROM g
+"""
+
+
+def _chat_escape(column: str) -> str:
+    from .chat import CONTROL
+
+    out = f"replace({column}, '\\', '\\\\')"
+    for c in CONTROL:
+        out = f"replace({out}, '{c}', '{c[0]}\\{c[1:]}')"
+    return out
+
+
+def op7() -> str:
+    from .chat import END, SEP, START
+
+    marks = len(START) + len(SEP) + len(END)
+    return f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(length({_chat_escape("role")}) + length({_chat_escape("text")}) + {marks})::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""
