@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import match
+from . import load, match, teams
 
-MODULES = (match,)
+MODULES = (match, load, teams)
 
 
 def queries() -> dict:
