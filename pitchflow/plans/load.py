@@ -68,24 +68,24 @@ _RANGE = "avg(form) OVER (PARTITION BY player_id ORDER BY day RANGE BETWEEN {0}
 SQL = {
     "k1_daily_load": f"{_D} SELECT player_id, day, sessions, duration, role, {_R(6, 'distance', 'high_speed', 'per_min', 'high_share', 'load')} FROM q",
     "w7_rolling": f"{_D} SELECT player_id, day, " + ", ".join(f"round({fn}({m}) {_O(n)} + 3.3e-8, 4) AS {m}_{a}_{n}" for n in (3, 7, 28) for m in L.METRICS for a, fn in (("sum", "sum"), ("mean", "avg"), ("std", "stddev_pop"))) + " FROM q",
-    "w8_monotony_and_ratios": f"{_M} SELECT player_id, day, gap, coalesce(gap >= 2, false) AS recovered, round(monotony, 4) AS monotony, round(week - last, 4) AS wow_delta, round({_DIV.format('week', 'last')}, 4) AS wow_ratio, {_R(4, 'ac_distance', 'ac_high_speed', 'ac_load')} FROM m",
+    "w8_monotony_and_ratios": f"{_M} SELECT player_id, day, gap, coalesce(gap >= 2, false) AS recovered, round(monotony + 3.3e-8, 4) AS monotony, round(week - last + 3.3e-8, 4) AS wow_delta, round({_DIV.format('week', 'last')} + 3.3e-8, 4) AS wow_ratio, {_R(4, 'ac_distance', 'ac_high_speed', 'ac_load')} FROM m",
     "w11_ewma": f"""{_D}, h AS (SELECT player_id, day, list(load) {_OVER.format('UNBOUNDED', 'CURRENT ROW')} AS past FROM q)
-        SELECT player_id, day, """ + ", ".join(f"round(list_reduce(past, lambda a, x: (2.0::DOUBLE / {n + 1}) * x + (1 - 2.0::DOUBLE / {n + 1}) * a), 4) AS load_ewma_{n}" for n in (7, 28)) + " FROM h",
+        SELECT player_id, day, """ + ", ".join(f"round(list_reduce(past, lambda a, x: (2.0::DOUBLE / {n + 1}) * x + (1 - 2.0::DOUBLE / {n + 1}) * a) + 3.3e-8, 4) AS load_ewma_{n}" for n in (7, 28)) + " FROM h",
     "w12_personal_z": f"{_M} SELECT player_id, day, {_R(4, 'load_z', 'load_ratio')} FROM m",
-    "w14_targets": f"{_D} SELECT player_id, day, round({_RANGE.format('14 PRECEDING', 'CURRENT ROW')}, 6) AS ma14, round({_RANGE.format('1 FOLLOWING', '7 FOLLOWING')}, 6) AS next7, round({_RANGE.format('1 FOLLOWING', '14 FOLLOWING')}, 6) AS next14 FROM f",
-    "k6_form_score": f"{_D} SELECT player_id, day, role, round(form, 6) AS form, round(CASE WHEN max(form) OVER r > min(form) OVER r THEN 100 * (form - min(form) OVER r) / (max(form) OVER r - min(form) OVER r) ELSE 50 END, 6) AS form_score FROM f WINDOW r AS (PARTITION BY role)",
-    "k7_personal_bands": f"{_B} SELECT player_id, source, round(o[1], 5) AS low, round(o[2], 5) AS mid, round(o[3], 5) AS high FROM bands",
-    "k8_zones": f"{_B} SELECT player_id, day, status, round(excess, 5) AS excess FROM z",
+    "w14_targets": f"{_D} SELECT player_id, day, round({_RANGE.format('14 PRECEDING', 'CURRENT ROW')} + 3.3e-10, 6) AS ma14, round({_RANGE.format('1 FOLLOWING', '7 FOLLOWING')} + 3.3e-10, 6) AS next7, round({_RANGE.format('1 FOLLOWING', '14 FOLLOWING')} + 3.3e-10, 6) AS next14 FROM f",
+    "k6_form_score": f"{_D} SELECT player_id, day, role, round(form + 3.3e-10, 6) AS form, round(CASE WHEN max(form) OVER r > min(form) OVER r THEN 100 * (form - min(form) OVER r) / (max(form) OVER r - min(form) OVER r) ELSE 50 END + 3.3e-10, 6) AS form_score FROM f WINDOW r AS (PARTITION BY role)",
+    "k7_personal_bands": f"{_B} SELECT player_id, source, round(o[1] + 3.3e-9, 5) AS low, round(o[2] + 3.3e-9, 5) AS mid, round(o[3] + 3.3e-9, 5) AS high FROM bands",
+    "k8_zones": f"{_B} SELECT player_id, day, status, round(excess + 3.3e-9, 5) AS excess FROM z",
     "k9_fatigue": f"""{_B}, g AS (SELECT *, coalesce(gap, 0) AS gp, greatest(0, least(1, 0.65::DOUBLE * least(1, sessions / 10.0::DOUBLE) + 0.35::DOUBLE * excess)) AS risk FROM z),
         h AS (SELECT *, (monotony >= 2)::INT + (ac_load >= 1.25)::INT + (ac_distance >= 1.25)::INT + (gp <= 0 AND load_z >= 1)::INT AS static_score,
         list_filter([CASE WHEN status = 'above' THEN 'ac_above_optimal_zone' END, CASE WHEN monotony >= 2 THEN 'high_monotony' END, CASE WHEN load_z >= 1.5 THEN 'load_spike_vs_player_baseline' END, CASE WHEN gp <= 0 THEN 'consecutive_day_load' END], lambda x: x IS NOT NULL) AS rs FROM g)
         SELECT player_id, day, CASE WHEN len(rs) = 0 THEN 'anomaly_pattern_detected' ELSE array_to_string(rs[1:3], ';') END AS reasons, static_score,
-        CASE WHEN static_score >= 2 THEN 'high' WHEN static_score = 1 THEN 'medium' ELSE 'low' END AS static_level, CASE WHEN risk >= 0.62 THEN 'high' WHEN risk >= 0.38 THEN 'medium' ELSE 'low' END AS risk_level, round(risk, 5) AS risk FROM h""",
+        CASE WHEN static_score >= 2 THEN 'high' WHEN static_score = 1 THEN 'medium' ELSE 'low' END AS static_level, CASE WHEN risk >= 0.62 THEN 'high' WHEN risk >= 0.38 THEN 'medium' ELSE 'low' END AS risk_level, round(risk + 3.3e-9, 5) AS risk FROM h""",
     "w9_daily_ranks": f"{_D} SELECT player_id, day, row_number() OVER (PARTITION BY day ORDER BY round(form, 9) DESC, player_id) AS form_rank, row_number() OVER (PARTITION BY day ORDER BY round(load, 9) DESC, player_id) AS load_rank FROM f",
     "k14_weekly": f"""{_D}, w AS (SELECT *, isoyear(DATE '2024-01-01' + day::INT) AS iso_year, week(DATE '2024-01-01' + day::INT) AS iso_week FROM f),
         l AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY player_id, iso_year, iso_week ORDER BY day DESC) = 1)
         SELECT player_id, day, iso_year, iso_week, row_number() OVER (PARTITION BY iso_week ORDER BY round(form, 9) DESC, player_id) AS form_rank FROM l""",
     "k3_quality_report": f"""{_D}, k AS (SELECT player_id, day, count(*) AS n, max(distance) AS v FROM q GROUP BY ALL), x AS (SELECT 1.5::DOUBLE * quantile_cont(distance, 0.99) AS lim FROM q)
         SELECT sum(n)::BIGINT AS rows, count(DISTINCT player_id) AS players, count(*) FILTER (WHERE n > 1) AS repeated, count(*) FILTER (WHERE v > lim) AS outliers FROM k, x""",
-    "k12_player_profiles": f"{_D} SELECT player_id, " + ", ".join(f"round(avg({c}), 5) AS {c}" for c in ("distance", "high_speed", "per_min", "high_share", "load", "form")) + " FROM f GROUP BY player_id",
+    "k12_player_profiles": f"{_D} SELECT player_id, " + ", ".join(f"round(avg({c}) + 3.3e-9, 5) AS {c}" for c in ("distance", "high_speed", "per_min", "high_share", "load", "form")) + " FROM f GROUP BY player_id",
 }

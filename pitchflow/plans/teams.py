@@ -84,38 +84,38 @@ _LAB = f"""{_A}, l AS (SELECT *, coalesce(max((event_type = 'shot')::INT) OVER (
 
 SQL = {
     "b4_ratios": f"{_V} SELECT match_id, team_id, {_R(6, *B.RATIOS)} FROM r",
-    "b7_league_baseline": f"{_BASE} SELECT metric, n, {_R(6, 'mean', 'std', 'min', 'max')}, " + ", ".join(f"round(q[{k}], 6) AS {p}" for k, p in enumerate(("p10", "p25", "p50", "p75", "p90"), 1)) + " FROM b",
-    "w6_percentiles": f"{_V} SELECT DISTINCT metric, round(value, 6) AS value, round(percentile, 6) AS percentile FROM (SELECT metric, value, 100.0::DOUBLE * cume_dist() OVER (PARTITION BY metric ORDER BY value) AS percentile FROM v)",
+    "b7_league_baseline": f"{_BASE} SELECT metric, n, {_R(6, 'mean', 'std', 'min', 'max')}, " + ", ".join(f"round(q[{k}] + 3.3e-10, 6) AS {p}" for k, p in enumerate(("p10", "p25", "p50", "p75", "p90"), 1)) + " FROM b",
+    "w6_percentiles": f"{_V} SELECT DISTINCT metric, round(value + 3.30e-10, 6) AS value, round(percentile + 3.30e-10, 6) AS percentile FROM (SELECT metric, value, 100.0::DOUBLE * cume_dist() OVER (PARTITION BY metric ORDER BY value) AS percentile FROM v)",
     "b9_comparisons": f"{_C} SELECT match_id, team_id, metric, status, {_R(5, 'z', 'percentile')} FROM c",
-    "b12_insights": f"{_C} SELECT match_id, team_id, metric, type, rank, round(severity, 5) AS severity, round(0.55::DOUBLE + 0.45::DOUBLE * severity, 5) AS confidence FROM i WHERE rank <= 2",
+    "b12_insights": f"{_C} SELECT match_id, team_id, metric, type, rank, round(severity + 3.30e-09, 5) AS severity, round(0.55::DOUBLE + 0.45::DOUBLE * severity + 3.3e-9, 5) AS confidence FROM i WHERE rank <= 2",
     "b14_weakness_report": f"""{_C}, w AS (SELECT match_id, team_id, {_BUCKETS}, coalesce(max(severity), 0) AS worst FROM i RIGHT JOIN (SELECT DISTINCT match_id, team_id FROM v) USING (match_id, team_id) GROUP BY ALL),
         o AS (SELECT *, {_OVERALL} AS overall FROM w)
         SELECT match_id, team_id, CASE WHEN overall >= 0.8 THEN 'critical' WHEN overall >= 0.6 THEN 'high' WHEN overall >= 0.4 THEN 'medium' WHEN overall >= 0.2 THEN 'low' ELSE 'minimal' END AS risk, {_R(5, *B.BUCKET_WEIGHTS, 'overall')} FROM o""",
     "b6_snapshot_difference": f"""{_V}, y AS (SELECT match_id, team_id, metric, value * 1.1::DOUBLE AS value FROM v WHERE team_id % 3 <> 0),
         j AS (SELECT metric, coalesce(v.value, 0) AS a, coalesce(y.value, 0) AS b FROM v FULL JOIN y USING (match_id, team_id, metric)), x AS (SELECT *, abs(a - b) / greatest(abs(a), abs(b), 1e-9) AS d FROM j)
-        SELECT metric, count(*) AS n, round(avg(d), 6) AS mean_diff, round(max(d), 6) AS max_diff FROM x GROUP BY metric""",
+        SELECT metric, count(*) AS n, round(avg(d) + 3.30e-10, 6) AS mean_diff, round(max(d) + 3.30e-10, 6) AS max_diff FROM x GROUP BY metric""",
     "x4_fusion": f"{_F} SELECT sample_id, category, n, {_R(6, 'baseline', 'decision', 'combined', 'confidence')} FROM f",
     "x4_ranked_players": f"WITH {SIGNALS}, n AS (SELECT sample_id, category, player_id, count(*) AS n FROM s WHERE side = 'decision' GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, category ORDER BY n.n DESC, player_id) AS rank FROM n) WHERE rank <= 3",
     "x7_player_priorities": f"""WITH {SIGNALS}, g AS (SELECT sample_id, player_id, count(*) AS n, string_agg(DISTINCT category, ',' ORDER BY category) AS categories, least(1, avg(severity) * 0.75::DOUBLE + least(0.25, count(*) * 0.03::DOUBLE)) AS priority FROM s WHERE side = 'decision' GROUP BY ALL)
-        SELECT sample_id, player_id, n, categories, rank, round(priority, 6) AS priority FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY round(priority, 9) DESC, player_id) AS rank FROM g) WHERE rank <= 5""",
+        SELECT sample_id, player_id, n, categories, rank, round(priority + 3.30e-10, 6) AS priority FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY round(priority, 9) DESC, player_id) AS rank FROM g) WHERE rank <= 5""",
     "x9_calibration": f"""{_F}, tr AS (SELECT sample_id, category, max(severity) AS truth FROM s GROUP BY ALL),
         cf AS (SELECT w / 10.0::DOUBLE AS w, c / 100.0::DOUBLE AS critical, h / 100.0::DOUBLE AS high, m / 100.0::DOUBLE AS medium FROM range(3, 8) a(w), range(70, 95, 10) b(c), range(50, 75, 10) d(h), range(30, 50, 10) e2(m) WHERE c > h AND h > m),
         j AS (SELECT cf.*, truth, cf.w * baseline + (1 - cf.w) * decision AS pred FROM f JOIN tr USING (sample_id, category), cf),
         g AS (SELECT w, critical, high, medium, avg(abs(pred - truth)) AS mae, avg(({_LEVEL.format('pred')} = {_LEVEL.format('truth')})::INT) AS bands FROM j GROUP BY ALL)
-        SELECT w, critical, high, medium, {_R(6, 'mae', 'bands')}, round(mae + 0.25::DOUBLE * (1 - bands), 6) AS objective FROM g""",
+        SELECT w, critical, high, medium, {_R(6, 'mae', 'bands')}, round(mae + 0.25::DOUBLE * (1 - bands) + 3.3e-10, 6) AS objective FROM g""",
     "w1_context": f"""{_A} SELECT event_id, coalesce(lag(event_type) OVER w, 'none') AS prev_type, lag(x) OVER w AS prev_x, coalesce(sec - lag(sec) OVER w, 0) AS gap, coalesce(lag(player_id) OVER w = player_id, false) AS same_player,
-        coalesce(lag(possession_id) OVER w = possession_id, false) AS same_possession, round(sqrt((100 - x) * (100 - x) + (50 - y) * (50 - y)), 6) AS goal_distance, round(degrees(atan2(abs(50 - y), 100 - x)), 6) AS goal_angle
+        coalesce(lag(possession_id) OVER w = possession_id, false) AS same_possession, round(sqrt((100 - x) * (100 - x) + (50 - y) * (50 - y)) + 3.3e-10, 6) AS goal_distance, round(degrees(atan2(abs(50 - y), 100 - x)) + 3.3e-10, 6) AS goal_angle
         FROM aa WINDOW w AS (PARTITION BY match_id, team_id ORDER BY sec, event_id)""",
     "w3_label": f"{_LAB} SELECT event_id, label FROM l",
-    "w5_average_rank": f"{_S} SELECT round(value, 8) AS value, round((r + (n - 1) / 2.0::DOUBLE) / total, 8) AS rank FROM (SELECT value, min(rk) AS r, count(*) AS n, any_value(total) AS total FROM (SELECT value, rank() OVER (ORDER BY value) AS rk, count(*) OVER () AS total FROM s1) GROUP BY value)",
-    "dq3_best_action": f"{_S} SELECT event_id, best, low, suggested, round(gain, 6) AS gain FROM ch",
+    "w5_average_rank": f"{_S} SELECT round(value + 3.30e-12, 8) AS value, round((r + (n - 1) / 2.0::DOUBLE) / total + 3.3e-12, 8) AS rank FROM (SELECT value, min(rk) AS r, count(*) AS n, any_value(total) AS total FROM (SELECT value, rank() OVER (ORDER BY value) AS rk, count(*) OVER () AS total FROM s1) GROUP BY value)",
+    "dq3_best_action": f"{_S} SELECT event_id, best, low, suggested, round(gain + 3.30e-10, 6) AS gain FROM ch",
     "dq4_player_summary": f"""{_S}, p AS (SELECT player_id, count(*) AS actions, avg(value) AS score, count(*) FILTER (WHERE low) AS low_actions, count(suggested) AS suggestions, avg(gain) FILTER (WHERE suggested IS NOT NULL) AS mean_gain FROM ch GROUP BY ALL)
         SELECT player_id, actions, low_actions, suggestions, score <= (SELECT quantile_cont(score, 0.25) FROM p) AND actions >= 3 AS needs_support, {_R(6, 'score', 'mean_gain')} FROM p""",
-    "dq7_missed": f"""{_S} SELECT match_id, event_id, rank, round(gain, 6) AS gain FROM (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY round(gain, 9) DESC, event_id) AS rank FROM ch
+    "dq7_missed": f"""{_S} SELECT match_id, event_id, rank, round(gain + 3.30e-10, 6) AS gain FROM (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY round(gain, 9) DESC, event_id) AS rank FROM ch
         WHERE best_value >= (SELECT quantile_cont(best_value, 0.85) FROM ch) AND gain >= 0.02 AND NOT coalesce(is_goal, false) AND NOT coalesce(on_target, false)) WHERE rank <= 5""",
     "dq10_timeline": f"{_S} SELECT match_id, (floor(sec / 900) * 900)::BIGINT AS bucket, count(*) AS actions, count(*) FILTER (WHERE low) AS low, count(suggested) AS with_alternative, round(avg(value) + 3.3e-10, 6) AS value FROM ch GROUP BY ALL",
     "dq11_by_type": f"{_S} SELECT event_type AS decision, count(*) AS actions, count(*) FILTER (WHERE low) AS low, round(avg(value) + 3.3e-10, 6) AS value, round(avg(gain) + 3.3e-10, 6) AS gain FROM ch GROUP BY ALL",
     "m4_evaluation": f"""{_LAB}, p AS (SELECT label AS y, x / 200 AS p FROM l), g AS (SELECT p, sum(y)::DOUBLE AS pos, count(*)::DOUBLE AS n, sum((p - y) * (p - y)) AS sq FROM p GROUP BY p),
         h AS (SELECT *, sum(pos) OVER (ORDER BY p DESC) AS tp, sum(n) OVER (ORDER BY p DESC) AS al FROM g)
-        SELECT sum(n)::BIGINT AS n, round(sum((n - pos) * (tp - pos) + (n - pos) * pos / 2) / (sum(pos) * sum(n - pos)), 6) AS auc, round(sum(pos * tp / al) / sum(pos), 6) AS average_precision, round(sum(sq) / sum(n), 6) AS brier FROM h""",
+        SELECT sum(n)::BIGINT AS n, round(sum((n - pos) * (tp - pos) + (n - pos) * pos / 2) / (sum(pos) * sum(n - pos)) + 3.3e-10, 6) AS auc, round(sum(pos * tp / al) / sum(pos) + 3.3e-10, 6) AS average_precision, round(sum(sq) / sum(n) + 3.3e-10, 6) AS brier FROM h""",
 }
