@@ -20,7 +20,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -178,10 +177,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, max_patterns: int = 2_000_000)
 
 
 def _is_hit(items: list[tuple[str, str]]):
-    @F.pandas_udf("boolean")
-    def is_hit(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("boolean")
+    def is_hit(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         automaton = _automaton(items)
-        for series in texts:
-            yield pd.Series([bool(_scan(t, automaton)[1]) for t in series], dtype=bool)
+        for some in texts:
+            yield pa.array([bool(_scan(t.as_py(), automaton)[1]) for t in some], pa.bool_())
 
     return is_hit

@@ -20,7 +20,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +28,8 @@ from .tokens import small_slices
 
 PASSAGE = 1024
 MAX_TRAIN = 4000
+#: Bytes of text that are looked at together; a worker needs about 100 times as much memory.
+SLICE = 200_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -178,7 +179,7 @@ def _encode(text: str | None) -> bytes:
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in small_slices(batch, 2):
+        for part in small_slices(batch, 2, SLICE):
             x, bags = passages([_encode(t) for t in part.column(2).to_pylist()])
             ends = np.cumsum(bags)
             rows = [x[b - k : b].tobytes() for b, k in zip(ends, bags, strict=True)]
@@ -200,13 +201,13 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Att
 
 
 def _scorer(model: AttentionModel):
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            out = []
-            for part in small_slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"]), 0):
+            out = [np.zeros(0)]
+            for part in small_slices(pa.RecordBatch.from_arrays([texts], names=["text"]), 0, SLICE):
                 out.append(model.score(*passages([_encode(t) for t in part.column(0).to_pylist()])))
-            yield pd.Series(np.concatenate(out) if out else np.zeros(0))
+            yield pa.array(np.concatenate(out))
 
     return score
 

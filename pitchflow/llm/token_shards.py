@@ -1,41 +1,72 @@
 r"""Token-id output in training order, as fixed-stride binary shards.
 
-All documents form one token stream, each ended by the end token, in the order of the table's files and rows. The
-stream is cut into sequences of `length` ids. A keyed Feistel permutation over the next power of four, walked along
-its cycle until it falls below the number of sequences, gives every sequence its global slot. Slots are dealt out to
-partitions by ranges (shard = slot // per_shard) and written as files of records of `length` two-byte ids and one
-closing byte, so record k of a shard begins at k * (2 * length + 1) and a reader can begin at any slot.
-
-Two passes over the texts: the first gives the number of tokens of each run of rows that a task reads, from which
-come the offsets of runs in the stream; the second encodes again and sends the pieces of sequences to their slots.
-Texts are never shuffled, token ids once. What the driver holds is one row for each run: as many as input splits.
-Shards are written by Spark's own writer, so tasks can fail and run again.
-
-Nulls, ties and edges: a null or empty text gives its end token alone. Repeated rows are encoded each. An empty
-table writes no shard. The last sequence is filled up with end tokens. Other columns are not read.
+The documents that a task reads in one go, a run of rows of one file, form a token stream, each document ended by the
+end token; the stream is cut into sequences of `length` ids. A byte-level token has one byte at least, so the bytes of
+a run, which a first pass sums up without encoding anything, bound its number of sequences, and every run gets its
+own range of ordinals. A keyed Feistel permutation over the next power of four, walked along its cycle until it falls
+below the number of ordinals, gives every sequence its place in the training order. Ranges of places are shards:
+each is sorted and written as a file of records of `length` two-byte ids and one closing byte. Record k of a shard
+begins at k * (2 * length + 1). Ordinals that no sequence took leave no gap in the files: the global slot of a record
+is the number of records of the shards before it plus k, and slots run from 0 without a gap in the permuted order. So
+a reader can begin at any slot, knowing the sizes of the files alone.
+
+Texts are read, encoded and sent once, as ids; they are never shuffled. What the driver holds is one row for each
+run: as many as input splits. Shards are written by Spark's own writer, so tasks can fail and run again.
+
+Nulls, ties and edges: a null or empty text gives its end token alone. Special strings inside texts are ordinary
+text. Repeated rows are encoded each. An empty table writes no shard. The last sequence of a run is filled up with end
+tokens. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import scratch_path, written
-from .tokens import default_path, encoder, small_slices
+from .tokens import cut_at, small_slices
 
+TOKENIZER = "byte_bpe_50k.tiktoken"
 LENGTH = 512
+#: Ordinals of a shard. A token takes two to four bytes of prose, so a quarter to a half of them become records.
 PER_SHARD = 16_384
 #: Fixed value: the end-of-text id of the byte-level vocabularies.
 END = 50_256
 ROUNDS = 4
 
 
+_ENCODERS: dict[str, object] = {}
+
+
+def default_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+def encoder(path: str):
+    """The worker's own, kept for its next task."""
+    import public_tokenizers
+    import tiktoken
+
+    if path not in _ENCODERS:
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        if max(ranks.values()) >= 2**16:
+            raise ValueError("ids of two bytes are asked for, and the vocabulary is larger")
+        _ENCODERS.clear()
+        _ENCODERS[path] = tiktoken.Encoding("ids", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _ENCODERS[path]
+
+
 # ---- the permutation
 
 
@@ -74,64 +105,52 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int] |
         begins = [k for k in range(len(rows)) if files[k] != (files[k - 1] if k else file) or rows[k] != (rows[k - 1] + 1 if k else after)]
         for a, b in zip([0, *[k for k in begins if k]], [*[k for k in begins if k], len(rows)], strict=True):
             run = (files[a], rows[a]) if a in begins else None
-            for part in small_slices(batch.slice(a, b - a), 2):
+            whole = batch.slice(a, b - a)
+            for part in small_slices(whole, 2) if pa.types.is_string(whole.schema.types[2]) else [whole]:
                 yield run, part
                 run = None
         file, after = files[-1], rows[-1] + 1
 
 
-def _run_lengths(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    e = encoder(path, "counts")
+def _run_bounds(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """file, row, n: where each run begins, and no fewer sequences than it can have."""
     out: list[list] = []
     for run, part in _runs(batches):
         if run:
             out.append([*run, 0])
-        out[-1][2] += sum(sum(v) + 1 for v in e.values([t or "" for t in part.column(2).to_pylist()]))
+        out[-1][2] += int(pc.sum(part.column(2)).as_py() or 0) + part.num_rows
     if out:
-        yield pa.RecordBatch.from_pydict({"file": [x[0] for x in out], "row": [x[1] for x in out], "n": [x[2] for x in out]}, schema=pa.schema([("file", pa.string()), ("row", pa.int64()), ("n", pa.int64())]))
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out]), pa.array([x[1] for x in out], pa.int64()), pa.array([-(-x[2] // length) for x in out], pa.int64())], names=["file", "row", "n"])
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], path: str, offsets: dict, total: int, length: int, per_shard: int, key: int, end: int) -> Iterator[pa.RecordBatch]:
-    e = encoder(path, "ids")
+def _sequences(batches: Iterator[pa.RecordBatch], path: str, offsets: dict, total: int, length: int, per_shard: int, key: int, end: int) -> Iterator[pa.RecordBatch]:
+    e = encoder(path)
     stop = np.array([end], "<u2").tobytes()
-    n = -(-total // length)
-    at = 0
+    size = 2 * length
+    left, ordinal = b"", 0
+
+    def rows(data: bytes) -> pa.RecordBatch:
+        n = len(data) // size
+        place = feistel(np.arange(ordinal, ordinal + n), total, key)
+        return pa.RecordBatch.from_arrays([pa.array(place // per_shard), pa.array(place), pa.array([data[k * size : (k + 1) * size] for k in range(n)], pa.binary())], names=["shard", "place", "record"])
+
     for run, part in _runs(batches):
         if run:
-            at = offsets[run]
-        data = b"".join(b"".join(v) + stop for v in e.values([t or "" for t in part.column(2).to_pylist()]))
-        count = len(data) // 2
-        if at + count == total:  # fill up the last sequence
-            data += stop * (n * length - total)
-        size = len(data) // 2
-        first = at // length
-        cuts = np.unique(np.clip(np.append(np.arange(first, (at + size) // length + 1) * length, at + size) - at, 0, size))
-        a, b = cuts[:-1], cuts[1:]
-        seq = (at + a) // length
-        slot = feistel(seq, n, key)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(slot // per_shard), pa.array(slot), pa.array((at + a) % length), pa.array([data[2 * i : 2 * j] for i, j in zip(a.tolist(), b.tolist(), strict=True)], pa.binary())],
-            names=["shard", "slot", "off", "ids"],
-        )
-        at += count
-
-
-def _records(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """From pieces sorted by slot and off: whole records. A slot that a batch cuts waits for the rest of it."""
-    have, shard, slot = b"", 0, 0
-    for batch in batches:
-        out: list[tuple] = []
-        for s, k, ids in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3)), strict=True):
-            if have and k != slot:
-                raise ValueError(f"slot {slot} has {len(have)} bytes")
-            have, shard, slot = have + ids, s, k
-            if len(have) == 2 * length:
-                out.append((shard, slot, have))
-                have = b""
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names=["shard", "slot", "record"])
-    if have:
-        raise ValueError(f"slot {slot} has {len(have)} bytes")
+            if left:
+                yield rows(left + stop * ((size - len(left)) // 2))
+            left, ordinal = b"", offsets[run]
+        data = [left]
+        for text in part.column(2).to_pylist():
+            data += [np.array(e.encode_ordinary(t), "<u2").tobytes() for t in cut_at(text or "")]
+            data.append(stop)
+        data = b"".join(data)
+        whole = len(data) // size * size
+        if whole:
+            yield rows(data[:whole])
+            ordinal += whole // size
+        left = data[whole:]
+    if left:
+        yield rows(left + stop * ((size - len(left)) // 2))
 
 
 def _located(docs: DataFrame) -> DataFrame:
@@ -144,7 +163,7 @@ def _located(docs: DataFrame) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, out: str, path: str | None = None, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = 17, end: int = END) -> int:
-    """Writes the shards under `out` and returns the number of sequences."""
+    """Writes the shards under `out` and returns the number of ordinals that were dealt out, 0 without documents."""
     spark = docs.sparkSession
     path = path or default_path()
     # Both passes must see the same runs, also if executors come or go between them.
@@ -153,18 +172,17 @@ def write_shards(docs: DataFrame, out: str, path: str | None = None, length: int
     spark.conf.set(setting, str(before or spark.sparkContext.defaultParallelism))
     try:
         rows = _located(docs)
-        runs = sorted(map(tuple, rows.mapInArrow(lambda b: _run_lengths(b, path), "file string, row bigint, n bigint").collect()))
-        sizes = np.cumsum([0, *[n for _, _, n in runs]])
-        offsets, total = {(f, r): int(sizes[k]) for k, (f, r, _) in enumerate(runs)}, int(sizes[-1])
+        sizes = rows.select("file", "row", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n"))
+        runs = sorted(map(tuple, sizes.mapInArrow(lambda b: _run_bounds(b, length), "file string, row bigint, n bigint").collect()))
+        ends = np.cumsum([0, *[n for _, _, n in runs]])
+        offsets, total = {(f, r): int(ends[k]) for k, (f, r, _) in enumerate(runs)}, int(ends[-1])
         if not total:
             return 0
-        n = -(-total // length)
-        shards = -(-n // per_shard)
-        pieces = rows.mapInArrow(lambda b: _pieces(b, path, offsets, total, length, per_shard, key, end), "shard bigint, slot bigint, off bigint, ids binary")
-        ranged = pieces.repartitionById(min(shards, 20_000), (F.col("shard") % 20_000).cast("int")).sortWithinPartitions("shard", "slot", "off")
-        records = ranged.mapInArrow(lambda b: _records(b, length), "shard bigint, slot bigint, record binary").sortWithinPartitions("shard", "slot")
-        records.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").text(out)
-        return n
+        shards = -(-total // per_shard)
+        sequences = rows.mapInArrow(lambda b: _sequences(b, path, offsets, total, length, per_shard, key, end), "shard bigint, place bigint, record binary")
+        ranged = sequences.repartitionById(min(shards, 20_000), (F.col("shard") % 20_000).cast("int")).sortWithinPartitions("shard", "place")
+        ranged.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").text(out)
+        return total
     finally:
         if before is None:
             spark.conf.unset(setting)
@@ -172,37 +190,53 @@ def write_shards(docs: DataFrame, out: str, path: str | None = None, length: int
             spark.conf.set(setting, before)
 
 
-def _read(batches: Iterator[pa.RecordBatch], length: int, per_shard: int, first_slot: int) -> Iterator[pa.RecordBatch]:
+def manifest(spark: SparkSession, out: str, length: int = LENGTH) -> list[tuple[int, int, int]]:
+    """(shard, its first slot, its records), from the sizes of the files alone; one row for each shard."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(out).groupBy("shard").agg(F.sum("length").alias("bytes"))
+    at, rows = 0, []
+    for shard, size in sorted((int(r["shard"]), r["bytes"]) for r in files.collect()):
+        rows.append((shard, at, size // (2 * length + 1)))
+        at += rows[-1][2]
+    return rows
+
+
+def _read(batches: Iterator[pa.RecordBatch], length: int, firsts: dict[int, int], first_slot: int, digest: bool) -> Iterator[pa.RecordBatch]:
+    """slot, shard, offset and the record, or of it n_tokens, n_ends and its SHA-256."""
     stride = 2 * length + 1
     for batch in batches:
         for shard, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            data = memoryview(content.as_buffer())
-            skip = max(0, first_slot - shard * per_shard)
-            for k in range(skip, len(data) // stride, 1000):
-                some = range(k, min(k + 1000, len(data) // stride))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([shard * per_shard + i for i in some], pa.int64()), pa.array([shard] * len(some), pa.int64()), pa.array([i * stride for i in some], pa.int64()), pa.array([bytes(data[i * stride : (i + 1) * stride - 1]) for i in some], pa.binary())],
-                    names=["slot", "shard", "offset", "record"],
-                )
-
-
-def read_shards(spark: SparkSession, out: str, length: int = LENGTH, per_shard: int = PER_SHARD, first_slot: int = 0) -> DataFrame:
+            data, at = memoryview(content.as_buffer()), firsts[shard]
+            n = len(data) // stride
+            for k in range(max(0, first_slot - at), n, 1000):
+                some = range(k, min(k + 1000, n))
+                places = [pa.array([at + i for i in some], pa.int64()), pa.array([shard] * len(some), pa.int64()), pa.array([i * stride for i in some], pa.int64())]
+                records = [data[i * stride : (i + 1) * stride - 1] for i in some]
+                if digest:
+                    ends = [int((np.frombuffer(r, "<u2") == END).sum()) for r in records]
+                    found = [pa.array([length] * len(some), pa.int64()), pa.array(ends, pa.int64()), pa.array([hashlib.sha256(r).hexdigest() for r in records])]
+                    yield pa.RecordBatch.from_arrays([*places, *found], names=["slot", "shard", "offset", "n_tokens", "n_ends", "record_sha256"])
+                else:
+                    yield pa.RecordBatch.from_arrays([*places, pa.array(map(bytes, records), pa.binary())], names=["slot", "shard", "offset", "record"])
+
+
+def _opened(spark: SparkSession, out: str, length: int, first_slot: int, digest: bool, schema: str) -> DataFrame:
+    rows = manifest(spark, out, length)
+    firsts = {shard: at for shard, at, _ in rows}
+    begin = min((shard for shard, at, n in rows if at + n > first_slot), default=0)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(out).where(F.col("shard") >= begin)
+    return files.select(F.col("shard").cast("bigint").alias("shard"), "content").mapInArrow(lambda b: _read(b, length, firsts, first_slot, digest), schema)
+
+
+def read_shards(spark: SparkSession, out: str, length: int = LENGTH, first_slot: int = 0) -> DataFrame:
     """slot, shard, offset, record, from `first_slot` on; earlier shards are not opened."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(out).where(F.col("shard") >= first_slot // per_shard)
-    return files.select(F.col("shard").cast("bigint").alias("shard"), "content").mapInArrow(lambda b: _read(b, length, per_shard, first_slot), "slot bigint, shard bigint, offset bigint, record binary")
+    return _opened(spark, out, length, first_slot, False, "slot bigint, shard bigint, offset bigint, record binary")
 
 
 def shard_report(docs: DataFrame, out: str | None = None, path: str | None = None, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = 17) -> DataFrame:
     """Writes the shards and returns of every record, read back: slot, shard, offset, n_tokens, n_ends, record_sha256."""
     spark = docs.sparkSession
     out = out or scratch_path(spark, "shards")
+    schema = "slot bigint, shard bigint, offset bigint, n_tokens bigint, n_ends bigint, record_sha256 string"
     if not write_shards(docs, out, path, length, per_shard, key):
-        return spark.createDataFrame([], "slot bigint, shard bigint, offset bigint, n_tokens bigint, n_ends bigint, record_sha256 string")
-    records = read_shards(spark, out, length, per_shard).mapInArrow(_with_ends, "slot bigint, shard bigint, offset bigint, record binary, n_ends bigint")
-    return records.select("slot", "shard", "offset", (F.length("record") / 2).cast("bigint").alias("n_tokens"), "n_ends", F.sha2("record", 256).alias("record_sha256"))
-
-
-def _with_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ends = [int((np.frombuffer(r.as_buffer(), "<u2") == END).sum()) for r in batch.column(3)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends, pa.int64())], names=[*batch.schema.names, "n_ends"])
+        return spark.createDataFrame([], schema)
+    return _opened(spark, out, length, 0, True, schema)

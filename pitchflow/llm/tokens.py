@@ -32,7 +32,7 @@ HUGE, CHUNK, OVERLAP = 32_768, 16_384, 512
 REMEMBERED = 400_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _ODD = re.compile(r" \s|\s ")
-_ENCODERS: dict[tuple, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = {}
 
 
 def default_path() -> str:
@@ -46,23 +46,29 @@ def parts_of(text: str) -> list[str]:
     return _CUT.split(text) if _ODD.search(text) else text.split(" ") if text else []
 
 
-class Encoder:
-    """A tokenizer with what it has encoded so far: of the parts that follow a cut space, and of first parts.
+def cut_at(text: str, size: int = 65_536) -> list[str]:
+    """The text in stretches of about `size` characters that can be encoded one by one; cut spaces begin a stretch."""
+    out, at = [], 0
+    while len(text) - at > size and (m := _CUT.search(text, at + size)):
+        out.append(text[at : m.start()])
+        at = m.start()
+    return [*out, text[at:]]
+
 
-    value: what is remembered of a part's ids.
-    """
+class Encoder:
+    """A tokenizer with the lengths it has found so far: of the parts that follow a cut space, and of first parts."""
 
-    def __init__(self, path: str, value=len):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.value = Tokenizer.from_file(path), value
+        self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         spec = json.loads(self.tokenizer.to_str())
         special = spec.get("added_tokens") or []
         self.cuts = spec.get("normalizer") is None and (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and spec["pre_tokenizer"].get("use_regex", True) and not any(re.search(r"\s", t["content"]) or t.get("lstrip") or t.get("rstrip") for t in special)
-        self.first: dict[str, object] = {}
-        self.later: dict[str, object] = {}
+        self.first: dict[str, int] = {}
+        self.later: dict[str, int] = {}
 
     def _learn(self, known: dict, parts: set[str], lead: str) -> None:
         new = sorted(parts - known.keys())
@@ -72,19 +78,15 @@ class Encoder:
         for k in range(0, len(new), 2000):
             some = new[k : k + 2000]
             for part, e in zip(some, self.tokenizer.encode_batch_fast([lead + p for p in some], add_special_tokens=False), strict=True):
-                known[part] = self.value(e.ids)
+                known[part] = len(e.ids)
 
-    def values(self, texts: list[str]) -> Iterator[list]:
-        """For each text the values of its parts, in order."""
+    def counts(self, texts: list[str]) -> list[int]:
         if not self.cuts:
-            for t in texts:
-                yield [self.value(self.tokenizer.encode(t, add_special_tokens=False).ids)] if t else []
-            return
+            return [len(self.tokenizer.encode(t, add_special_tokens=False).ids) if t else 0 for t in texts]
         cut = [parts_of(t) for t in texts]
         self._learn(self.first, {c[0] for c in cut if c}, "")
         self._learn(self.later, set().union(*(c[1:] for c in cut)), " ")
-        for c in cut:
-            yield [self.first[c[0]], *map(self.later.__getitem__, c[1:])] if c else []
+        return [self.first[c[0]] + sum(map(self.later.__getitem__, c[1:])) if c else 0 for c in cut]
 
     def spliced(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
         """The ids of a long text from overlapping chunks."""
@@ -128,23 +130,15 @@ class Encoder:
         return None
 
 
-def encoder(path: str, kind: str) -> Encoder:
+def encoder(path: str) -> Encoder:
     """The worker's own, kept for its next task."""
-    if (path, kind) not in _ENCODERS:
-        _ENCODERS[path, kind] = Encoder(path, len if kind == "counts" else _packed)
-    return _ENCODERS[path, kind]
-
-
-def _packed(ids: list[int]) -> bytes:
-    """Two bytes an id; a vocabulary of more than 65,536 ids does not fit and raises."""
-    import numpy as np
-
-    if ids and max(ids) >= 2**16:
-        raise ValueError("ids of two bytes are asked for, and the vocabulary is larger")
-    return np.array(ids, "<u2").tobytes()
+    if path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
-def small_slices(batch: pa.RecordBatch, column: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def small_slices(batch: pa.RecordBatch, column: int, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about `most` characters of one column, so that no step holds a whole batch of texts."""
     import pyarrow.compute as pc
 
@@ -158,12 +152,12 @@ def small_slices(batch: pa.RecordBatch, column: int, most: int = 4_000_000) -> I
 
 
 def _counts(batches: Iterator[pa.RecordBatch], path: str, huge: int, limit: int) -> Iterator[pa.RecordBatch]:
-    e = encoder(path, "counts")
+    e = encoder(path)
     for batch in batches:
         for part in small_slices(batch, 1):
             texts = [t or "" for t in part.column(1).to_pylist()]
             short = [t if len(t) <= huge else "" for t in texts]
-            n = [sum(v) for v in e.values(short)]
+            n = e.counts(short)
             for k, t in enumerate(texts):
                 if len(t) > huge:
                     n[k] = len(e.spliced(t))

@@ -80,18 +80,33 @@ def test_shards_hold_the_stream(spark, library, tmp_path):
     src, out = f"file://{tmp_path}/src", f"file://{tmp_path}/out"
     docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)]).write.parquet(src)
     docs = spark.read.parquet(src)
-    n = token_shards.write_shards(docs, out, length=32, per_shard=50)
-    records = {r.slot: r for r in token_shards.read_shards(spark, out, 32, 50).collect()}
-    assert sorted(records) == list(range(n)) and all(r.shard == s // 50 and r.offset == s % 50 * 65 for s, r in records.items())
-    slots = token_shards.feistel(np.arange(n), n, 17)
-    stream = np.frombuffer(b"".join(records[int(s)].record for s in slots), "<u2").tolist()
+    total = token_shards.write_shards(docs, out, length=32, per_shard=50)
+    records = {r.slot: r for r in token_shards.read_shards(spark, out, 32).collect()}
+    n = len(records)
+    shards = token_shards.manifest(spark, out, 32)
+    assert sorted(records) == list(range(n)) and sum(k for _, _, k in shards) == n
+    assert all(records[at + i].shard == s and records[at + i].offset == i * 65 for s, at, k in shards for i in range(k))
+    library.encode_special_tokens = True
     order = docs.select("text", "_metadata.file_path", "_metadata.row_index").orderBy("file_path", "row_index").collect()
-    want = [x for r in order for x in [*library.encode(r.text or "", add_special_tokens=False).ids, token_shards.END]]
-    assert stream[: len(want)] == want and set(stream[len(want) :]) <= {token_shards.END} and len(stream) - len(want) < 32
-    assert sorted(r.slot for r in token_shards.read_shards(spark, out, 32, 50, first_slot=70).collect()) == list(range(70, n))
+    streams = {}
+    for r in order:
+        streams.setdefault(r.file_path, []).extend([*library.encode(r.text or "", add_special_tokens=False).ids, token_shards.END])
+    library.encode_special_tokens = False
+    want = []
+    for ids in streams.values():
+        ids += [token_shards.END] * (-len(ids) % 32)
+        want += [np.array(ids[k : k + 32], "<u2").tobytes() for k in range(0, len(ids), 32)]
+    assert sorted(bytes(r.record) for r in records.values()) == sorted(want)
+    # the order is that of the permuted ordinals
+    bounds = [-(-sum(len((r.text or "").encode()) + 1 for r in order if r.file_path == f) // 32) for f in streams]
+    ordinals = [sum(bounds[:k]) + i for k, ids in enumerate(streams.values()) for i in range(len(ids) // 32)]
+    place = token_shards.feistel(np.array(ordinals), total, 17)
+    assert total == sum(bounds) and [bytes(records[s].record) for s in range(n)] == [want[k] for k in np.argsort(place)]
+    assert sorted(r.slot for r in token_shards.read_shards(spark, out, 32, first_slot=70).collect()) == list(range(70, n))
     assert token_shards.shard_report(docs, length=32, per_shard=50).count() == n
     assert token_shards.shard_report(docs_of(spark, [(1, "not a table of files", "s")])).count() == 1
     assert token_shards.shard_report(docs.limit(0)).count() == 0
+    assert "".join(tokens.cut_at("ab  c d\n e" * 50, 7)) == "ab  c d\n e" * 50 and len(tokens.cut_at("a b " * 50, 7)) > 10
 
 
 def test_frames_are_less_than_a_block_off():
