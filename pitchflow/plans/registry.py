@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import load, match, teams
+from . import load, match, retrieval, teams
 
-MODULES = (match, load, teams)
+MODULES = (match, load, teams, retrieval)
 
 
 def queries() -> dict:
