@@ -18,7 +18,9 @@ def json_events(raw: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
 def snapshot_rows(snapshots: DataFrame, schema: str) -> DataFrame:
     """Events of cumulative snapshots, each an array or {events: [...]}; rows without an id are left out."""
     text = F.col("value").cast("string")
-    events = F.coalesce(F.from_json(text, f"array<struct<{schema}>>"), F.from_json(text, f"struct<events:array<struct<{schema}>>>").getField("events"))
+    whole = F.from_json(text, f"array<struct<{schema}>>")
+    inner = F.from_json(text, f"struct<events:array<struct<{schema}>>>").getField("events")
+    events = F.when(F.startswith(F.ltrim(text), F.lit("[")), whole).otherwise(inner)
     return snapshots.select(F.inline(events)).where("id is not null")
 
 
