@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .tokens import small_slices
 
 START, SEP, END = "<|turn|>", "<|says|>", "<|over|>\n"
@@ -83,6 +84,7 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def format_chat(turns: DataFrame) -> DataFrame:
     """SEGMENTS, one row for each turn: conversations lie in one partition each, in the order of their turns."""
+    bounded_batches(turns.sparkSession)
     rows = turns.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(_format, SEGMENTS)
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bounded_batches, written
 
 WINDOW = 10
 _FOLD = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -131,6 +131,7 @@ def benchmark_slices(benchmark: DataFrame, max_patterns: int) -> list[list[tuple
 
 def hits(docs: DataFrame, benchmark: DataFrame, max_patterns: int = 2_000_000) -> DataFrame:
     """For each document: its number of words, the merged word spans and character spans hit, and the items found."""
+    bounded_batches(docs.sparkSession)
     slices = benchmark_slices(benchmark, max_patterns)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if len(slices) == 1:
@@ -171,6 +172,7 @@ def report(docs: DataFrame, benchmark: DataFrame, max_patterns: int = 2_000_000)
 
 def clean(docs: DataFrame, benchmark: DataFrame, max_patterns: int = 2_000_000) -> DataFrame:
     """The documents that no window of the benchmark occurs in, with all their columns; only texts go to Python."""
+    bounded_batches(docs.sparkSession)
     for items in benchmark_slices(benchmark, max_patterns):
         docs = docs.where(~_is_hit(items)(F.col("text")))
     return docs

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bounded_batches, written
 
 LINES = 3
 LONG = 50
@@ -70,6 +70,7 @@ def _cut(texts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def cut_lines(docs: DataFrame) -> DataFrame:
     """docs with the text without its repeated lines, n_lines (before) and n_removed."""
+    bounded_batches(docs.sparkSession)
     spans = repeats(docs).withColumnsRenamed({"doc_id": "__id", "th": "__th", "spans": "__spans"})
     keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63)))).withColumn("__hash", F.xxhash64("text"))
     joined = keyed.join(spans, (F.col("__key") == F.col("__id")) & (F.col("__hash") == F.col("__th")), "left")

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .tokens import small_slices
 
 PASSAGE = 1024
@@ -188,6 +189,7 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> AttentionModel:
     """Fits on at most max_train labelled documents outside the held-out third."""
+    bounded_batches(docs.sparkSession)
     doc = F.col("doc_id").cast("bigint")
     known = labels.where("doc_id is not null and quality is not null").where(~held_out(doc)).groupBy(doc.alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
     # Only labels of documents that are there count towards the bound.
@@ -214,6 +216,7 @@ def _scorer(model: AttentionModel):
 
 def scores(docs: DataFrame, model: AttentionModel) -> DataFrame:
     """doc_id, held_out, score, predicted."""
+    bounded_batches(docs.sparkSession)
     doc = F.col("doc_id").cast("bigint")
     out = docs.select(doc.alias("doc_id"), held_out(doc).alias("held_out"), _scorer(model)(F.col("text").cast("string")).alias("score"))
     return out.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int"))
@@ -221,4 +224,5 @@ def scores(docs: DataFrame, model: AttentionModel) -> DataFrame:
 
 def keep_good(docs: DataFrame, model: AttentionModel) -> DataFrame:
     """The documents predicted 1, with all their columns."""
+    bounded_batches(docs.sparkSession)
     return docs.where(_scorer(model)(F.col("text").cast("string")) >= 0.5)

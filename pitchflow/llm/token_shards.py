@@ -31,7 +31,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, written
+from .common import bounded_batches, scratch_path, written
 from .tokens import cut_at, small_slices
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -165,6 +165,7 @@ def _located(docs: DataFrame) -> DataFrame:
 def write_shards(docs: DataFrame, out: str, path: str | None = None, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = 17, end: int = END) -> int:
     """Writes the shards under `out` and returns the number of ordinals that were dealt out, 0 without documents."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     path = path or default_path()
     # Both passes must see the same runs, also if executors come or go between them.
     setting = "spark.sql.files.minPartitionNum"

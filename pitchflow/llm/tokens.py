@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 TOKENIZER = "byte_bpe_50k.json"
 HUGE, CHUNK, OVERLAP = 32_768, 16_384, 512
 REMEMBERED = 400_000
@@ -169,6 +171,7 @@ def _counts(batches: Iterator[pa.RecordBatch], path: str, huge: int, limit: int)
 
 def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 512, huge: int = HUGE) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (more tokens than `limit`)."""
+    bounded_batches(docs.sparkSession)
     path = path or default_path()
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(lambda b: _counts(b, path, huge, limit), "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
