@@ -65,3 +65,21 @@ def clip_text(text: Column, n: int) -> Column:
 def clock(period: Column, minute: Column, second: Column, offset_2h: int = 0) -> Column:
     """Absolute second of a match; offset_2h minutes are added in the second half."""
     return (minute + F.when(period == "2H", offset_2h).otherwise(0)) * 60 + second
+
+
+def to_sentence(items: Column, most: int = 5) -> Column:
+    """The first items as 'a, b, and c'; 'none' without any."""
+    i = F.slice(items, 1, most)
+    n = F.size(i)
+    head = F.concat(F.array_join(F.slice(i, 1, F.greatest(n - 1, F.lit(0))), ", "), F.lit(", and "), F.element_at(i, -1))
+    return F.when(F.coalesce(n, F.lit(0)) <= 0, "none").when(n == 1, F.get(i, F.lit(0))).when(n == 2, F.array_join(i, " and ")).otherwise(head)
+
+
+def iso_parts(date: Column) -> dict[str, Column]:
+    """ISO year, ISO week and weekday (Monday is 0)."""
+    return {"iso_year": F.extract(F.lit("YEAROFWEEK"), date).cast("bigint"), "iso_week": F.weekofyear(date).cast("bigint"), "weekday": F.weekday(date).cast("bigint")}
+
+
+def all_integers(value: Column) -> Column:
+    """Aggregate: whether every value that is there is a whole number."""
+    return F.coalesce(F.bool_and(value == F.floor(value)), F.lit(True))

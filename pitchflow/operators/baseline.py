@@ -88,3 +88,18 @@ def snapshot_difference(a: DataFrame, b: DataFrame, keys=KEYS, value: str = "val
     j = x.join(y, on, "full_outer").na.fill(0.0, ["a", "b"])
     d = F.abs(F.col("a") - F.col("b")) / F.greatest(F.abs("a"), F.abs("b"), F.lit(1e-9))
     return j.groupBy("metric").agg(F.avg(d).alias("mean_diff"), F.max(d).alias("max_diff"), F.count(F.lit(1)).alias("n"))
+
+
+def checks(team_rows: DataFrame, metrics: tuple[str, ...] = (), keys=KEYS) -> DataFrame:
+    """One row for each check and the number of rows, keys or matches that fail it."""
+    bad = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("bigint")
+    finite = lambda m: F.col(m).isNull() | F.isnan(m) | (F.abs(m) == float("inf"))
+    missing = F.lit(False)
+    for k in keys:
+        missing = missing | F.col(k).isNull()
+    rows = team_rows.agg(bad(missing).alias("missing_id"), *[bad(finite(m)).alias(f"not_finite_{m}") for m in metrics])
+    by_key = team_rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    repeated = by_key.agg(bad(F.col("n") > 1).alias("repeated_key"))
+    teams = by_key.groupBy(keys[0]).agg(F.count(F.lit(1)).alias("teams")).agg(bad(F.col("teams") < 2).alias("under_two_teams"), bad(F.col("teams") > 2).alias("over_two_teams"))
+    wide = rows.join(F.broadcast(repeated)).join(F.broadcast(teams))
+    return wide.unpivot([], wide.columns, "check", "failures")

@@ -105,3 +105,21 @@ def compare_teams(stats: DataFrame, precision: int = 3) -> DataFrame:
     p = s.groupBy("match_id").agg(*[F.max(F.when(F.col("side") == n, F.col(c))).alias(f"{c}_{n}") for c in names for n in (1, 2)])
     d = lambda c: F.round(F.col(f"{c}_1") - F.col(f"{c}_2"), precision)
     return p.select("match_id", *[F.when(d(c) > 0, "home").when(d(c) < 0, "away").otherwise("tie").alias(c) for c in names])
+
+
+def sides(actions: DataFrame) -> DataFrame:
+    """Home and away of each match where nothing names them: the two lowest team ids, and the two teams seen first."""
+    seen = actions.where("team_id is not null").groupBy("match_id", "team_id").agg(F.min(F.struct("sec", "event_id")).alias("first"))
+    both = seen.groupBy("match_id").agg(F.array_sort(F.collect_list("team_id")).alias("ids"), F.array_sort(F.collect_list(F.struct("first", "team_id"))).alias("order"))
+    at = lambda c, k: F.get(c, F.lit(k))
+    return both.select("match_id", at("ids", 0).alias("home_id"), at("ids", 1).alias("away_id"), at("order", 0)["team_id"].alias("first_id"), at("order", 1)["team_id"].alias("second_id"))
+
+
+def match_overview(actions: DataFrame) -> DataFrame:
+    """Events, teams and last second of each match."""
+    return actions.groupBy("match_id").agg(F.count(F.lit(1)).alias("events"), F.countDistinct("team_id").alias("teams"), F.max("sec").alias("last_sec"))
+
+
+def condensed(actions: DataFrame) -> DataFrame:
+    """The events of each possession as an array of (sec, event_id, event_type, player_id), in order."""
+    return actions.where("possession_id is not null").groupBy("match_id", "possession_id").agg(F.array_sort(F.collect_list(F.struct("sec", "event_id", "event_type", "player_id"))).alias("events"))

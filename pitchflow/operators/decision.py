@@ -77,12 +77,57 @@ def by_type(chosen: DataFrame) -> DataFrame:
     return chosen.groupBy(F.col("event_type").alias("decision")).agg(F.count(F.lit(1)).alias("actions"), F.avg("value").alias("value"), F.avg("gain").alias("gain"), count_if(F.col("low")).alias("low"))
 
 
-def missed(chosen: DataFrame, min_gain: float = 0.02, top: int = 5) -> DataFrame:
-    """Actions that could have been among the best 15 % and brought neither goal nor shot on target; the top of each match."""
+def all_missed(chosen: DataFrame, min_gain: float = 0.02) -> DataFrame:
+    """Actions that could have been among the best 15 % and brought neither goal nor shot on target."""
     limit = chosen.agg(F.percentile("best_value", 0.85).alias("limit"))
     m = chosen.join(F.broadcast(limit)).where((F.col("best_value") >= F.col("limit")) & (F.col("gain") >= min_gain) & ~F.coalesce("is_goal", F.lit(False)) & ~F.coalesce("on_target", F.lit(False)))
-    w = Window.partitionBy("match_id").orderBy(F.desc(F.round("gain", 9)), "event_id")
-    return m.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).drop("limit")
+    return m.drop("limit")
+
+
+def _top_of_match(rows: DataFrame, value: str, top: int) -> DataFrame:
+    w = Window.partitionBy("match_id").orderBy(F.desc(F.round(value, 9)), "event_id")
+    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+
+
+def missed(chosen: DataFrame, min_gain: float = 0.02, top: int = 5) -> DataFrame:
+    """The missed chances of each match with the largest gains."""
+    return _top_of_match(all_missed(chosen, min_gain), "gain", top)
+
+
+def phases(chosen: DataFrame, top: int = 5) -> DataFrame:
+    """The best, the most improvable and the most clearly missed phases of each match."""
+    parts = {"best": (chosen, "value"), "improvable": (chosen.where("suggested is not null"), "gain"), "missed": (all_missed(chosen), "gain")}
+    found = [_top_of_match(rows, by, top).select("match_id", F.lit(name).alias("section"), "rank", "event_id", "value", "gain") for name, (rows, by) in parts.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def player_sections(players: DataFrame, top: int = 5) -> DataFrame:
+    """The best players, the weakest ones and the weakest of those who need support; ranks are given to the `top` rows only."""
+    score = F.round("score", 9)
+    parts = {"top": (players, score.desc()), "under": (players, score.asc()), "support": (players.where("needs_support"), score.asc())}
+    found = [rows.orderBy(order, "player_id").limit(top).select(F.lit(name).alias("section"), "player_id", "score", F.row_number().over(Window.partitionBy(F.lit(name)).orderBy(order, "player_id")).alias("rank")) for name, (rows, order) in parts.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def match_summary(chosen: DataFrame, top: int = 5) -> DataFrame:
+    """Totals of each match; missed_listed is missed_total held to the length of the list."""
+    m = chosen.groupBy("match_id").agg(
+        F.count(F.lit(1)).alias("actions"), F.countDistinct("player_id").alias("players"), F.avg("value").alias("value"), count_if(F.col("low")).alias("low"), count_if(F.col("suggested").isNotNull()).alias("with_alternative")
+    )
+    total = all_missed(chosen).groupBy("match_id").agg(F.count(F.lit(1)).alias("missed_total"))
+    return m.join(total, "match_id", "left").na.fill(0, ["missed_total"]).withColumn("missed_listed", F.least("missed_total", F.lit(top).cast("bigint")))
+
+
+def alternatives(chosen: DataFrame) -> DataFrame:
+    """All three actions by their values, ties pass, shot, carry: `ranked`, comma-joined."""
+    scored = F.array_sort(F.array(*[F.struct((-F.col(f"p_{a}")).alias("v"), F.lit(k).alias("k"), F.lit(a).alias("a")) for k, a in enumerate(ACTIONS)]))
+    return chosen.withColumn("ranked", F.array_join(F.transform(scored, lambda x: x["a"]), ","))
+
+
+def phase_of_player(chosen: DataFrame) -> DataFrame:
+    """The phase of each player and match with the largest gain, its alternatives ranked; ties to the earlier event."""
+    w = Window.partitionBy("match_id", "player_id").orderBy(F.desc(F.round("gain", 9)), "sec", "event_id")
+    return alternatives(chosen).withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
 def evaluation(rows: DataFrame, y: str = "y", p: str = "p") -> DataFrame:

@@ -94,11 +94,23 @@ def pressing(actions: DataFrame, keys=KEYS) -> DataFrame:
     return out.withColumn("win_rate", rate("won", "duels")).withColumn("drop", rate("won_2h", "duels_2h") - rate("won_1h", "duels_1h"))
 
 
+def duelists(actions: DataFrame, keys=KEYS) -> DataFrame:
+    """Duels and won duels by player."""
+    return actions.where("event_type in ('ground_duel', 'aerial_duel')").groupBy(*keys, "player_id").agg(F.count(F.lit(1)).alias("duels"), count_if(F.col("won") == F.lit(True)).alias("won"))
+
+
 def pressing_players(actions: DataFrame, k: int = 3, keys=KEYS) -> DataFrame:
     """The k players with most won duels."""
-    p = actions.where("event_type in ('ground_duel', 'aerial_duel')").groupBy(*keys, "player_id").agg(F.count(F.lit(1)).alias("duels"), count_if(F.col("won") == F.lit(True)).alias("won"))
     w = Window.partitionBy(*keys).orderBy(F.desc("won"), F.desc("duels"), "player_id")
-    return p.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return duelists(actions, keys).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def top_and_bottom(rows: DataFrame, by: str, id_col: str = "player_id", top: int = 3, bottom: int = 2, keys=KEYS) -> DataFrame:
+    """The first `top` and the last `bottom` rows of each group, none twice; ties by id."""
+    down = Window.partitionBy(*keys).orderBy(F.desc(by), id_col)
+    up = Window.partitionBy(*keys).orderBy(by, F.desc(id_col))
+    ranked = rows.withColumns({"rank": F.row_number().over(down), "__up": F.row_number().over(up)})
+    return ranked.where((F.col("rank") <= top) | (F.col("__up") <= bottom)).drop("__up")
 
 
 def attacks(actions: DataFrame) -> DataFrame:
@@ -120,6 +132,13 @@ def dominant_flank(actions: DataFrame, keys=KEYS) -> DataFrame:
     return by.groupBy(*keys).agg(F.max_by("flank", F.struct("attacks", tie)).alias("flank"), F.sum("attacks").alias("attacks"))
 
 
+def attack_types(actions: DataFrame, types: Column, keys=KEYS) -> DataFrame:
+    """Attacks, shots and goals by type; a possession counts once for each type of its first event."""
+    order = F.struct("sec", "event_id")
+    first = actions.where("possession_id is not null").groupBy(*keys, "possession_id").agg(*[F.min_by(c, order).alias(n) for c, n in ((F.array_distinct(types), "types"), ("with_shot", "with_shot"), ("with_goal", "with_goal"))])
+    return first.withColumn("type", F.explode("types")).groupBy(*keys, "type").agg(F.count(F.lit(1)).alias("attacks"), count_if(F.col("with_shot")).alias("shots"), count_if(F.col("with_goal")).alias("goals"))
+
+
 def attackers(actions: DataFrame, keys=KEYS) -> DataFrame:
     """Attacks by player with the preferred flank; ties go left, center, right."""
     by = attacks(actions).groupBy(*keys, "player_id", "flank").agg(F.count(F.lit(1)).alias("n"), F.sum("attack_xg").alias("x"))
@@ -132,12 +151,25 @@ def pass_nodes(actions: DataFrame, keys=KEYS) -> DataFrame:
     return actions.groupBy(*keys, "player_id").agg(F.avg("x").alias("mean_x"), F.avg("y").alias("mean_y"), F.count(F.lit(1)).alias("touches")).where("mean_x is not null")
 
 
+def until_first_substitution(actions: DataFrame, substitutions: DataFrame, keys=KEYS) -> DataFrame:
+    """The actions of each team before its first substitution; all of them where there is none."""
+    cutoff = substitutions.groupBy(*keys).agg(F.min("sec").alias("__cutoff"))
+    return actions.join(cutoff, list(keys), "left").where("__cutoff is null or sec < __cutoff").drop("__cutoff")
+
+
 def pass_edges(actions: DataFrame, min_passes: int = 1, accurate_only: bool = True, keys=KEYS) -> DataFrame:
     p = actions.where("event_type = 'pass' and recipient_id is not null")
     p = p.where("accurate") if accurate_only else p
     return p.groupBy(*keys, F.col("player_id").alias("passer_id"), "recipient_id").agg(F.count(F.lit(1)).alias("passes")).where(F.col("passes") >= min_passes)
 
 
+def named_edges(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """Edges with the names of both ends (names: player_id, name); an unknown end has none."""
+    for end in ("passer", "recipient"):
+        edges = edges.join(names.select(F.col("player_id").alias(f"{end}_id"), F.col("name").alias(f"{end}_name")), f"{end}_id", "left")
+    return edges
+
+
 def flank_usage(nodes: DataFrame, keys=KEYS) -> DataFrame:
     """Share of touches on each flank, by the mean place of players."""
     f = third(F.col("mean_y"), ("left", "center", "right"))

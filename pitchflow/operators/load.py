@@ -138,3 +138,39 @@ def quality_report(days: DataFrame, value: str = "distance") -> DataFrame:
     limit = days.agg((1.5 * F.percentile(value, 0.99)).alias("limit"))
     keys = days.groupBy("player_id", "day").agg(F.count(F.lit(1)).alias("n"), F.max(value).alias("v"))
     return keys.join(F.broadcast(limit)).agg(F.sum("n").alias("rows"), F.countDistinct("player_id").alias("players"), F.sum((F.col("n") > 1).cast("int")).alias("repeated"), F.sum((F.col("v") > F.col("limit")).cast("int")).alias("outliers"))
+
+
+def latest(days: DataFrame) -> DataFrame:
+    """The last day of each player, all columns."""
+    return days.groupBy("player_id").agg(F.max_by(F.struct(*[c for c in days.columns if c != "player_id"]), "day").alias("__last")).select("player_id", "__last.*")
+
+
+def backtest(days: DataFrame, split_day: int) -> DataFrame:
+    """From targets(): the absolute errors of today's form and of the 14-day mean against the next 7 days, from split_day on."""
+    t = days.where((F.col("day") >= split_day) & F.col("next7").isNotNull())
+    return t.withColumns({"err_last": F.abs(F.col("next7") - F.col("form")), "err_ma14": F.abs(F.col("next7") - F.col("ma14"))})
+
+
+def fatigue_counts(rows: DataFrame) -> DataFrame:
+    """From fatigue(): how often each risk level and each reason occurs."""
+    levels = rows.groupBy(F.col("risk_level").alias("name")).count().select(F.lit("level").alias("kind"), "name", F.col("count").alias("n"))
+    factors = rows.select(F.explode(F.split("reasons", ";")).alias("name")).groupBy("name").count().select(F.lit("factor").alias("kind"), "name", F.col("count").alias("n"))
+    return levels.unionByName(factors)
+
+
+def alert_overlap(rows: DataFrame) -> DataFrame:
+    """How far the static rules and the model agree on who is at high risk: sizes and Jaccard index."""
+    a, b = F.col("static_level") == "high", F.col("risk_level") == "high"
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("bigint")
+    return rows.agg(n(a).alias("static_high"), n(b).alias("risk_high"), n(a & b).alias("both"), n(a | b).alias("either")).withColumn("jaccard", safe_div(F.col("both").cast("double"), F.col("either")))
+
+
+def with_totals(days: DataFrame, totals: DataFrame, key: str = "player_id") -> DataFrame:
+    """Totals of a season beside every day of its player; 0 where a player has none."""
+    columns = [c for c in totals.columns if c != key]
+    return days.join(totals, key, "left").na.fill(0, columns)
+
+
+def without(days: DataFrame, excluded: DataFrame, key: str = "player_id") -> DataFrame:
+    """The days of players who are not excluded."""
+    return days.join(excluded.select(key), key, "left_anti")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import load, match, retrieval, teams
+from . import load, match, reports, retrieval, teams
 
-MODULES = (match, load, teams, retrieval)
+MODULES = (match, load, teams, retrieval, reports)
 
 
 def queries() -> dict:
