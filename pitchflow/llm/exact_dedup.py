@@ -71,7 +71,8 @@ def decisions(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
 
 def deduplicate(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """The documents that stay, one for each text, with all their columns."""
-    kept = written(decisions(docs, index).where("kept").groupBy(F.col("doc_id").alias("__keep_id")).count(), "kept")
-    out = docs.join(kept.select("__keep_id"), F.col("doc_id").eqNullSafe(F.col("__keep_id")), "left_semi")
-    # Rows that repeat a doc_id are rare; only where there are any are the texts grouped.
-    return out if kept.where("count > 1").isEmpty() else out.dropDuplicates(["doc_id"])
+    kept = written(decisions(docs, index).where("kept").groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).count(), "kept")
+    keyed = docs.withColumn("__digest", F.sha2(F.coalesce(ascii_lower(F.col("text")), F.lit("")), 256))
+    out = keyed.join(kept.select("__id", "__sha"), F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__sha")), "left_semi")
+    # Rows that repeat doc_id and text are rare; only where there are any are the texts grouped.
+    return (out if kept.where("count > 1").isEmpty() else out.dropDuplicates(["doc_id", "__digest"])).drop("__digest")

@@ -21,6 +21,7 @@ of rounds that grows with the logarithm of the size; nothing about documents pas
 Nulls, ties and edges: a null text is empty; texts without words all have fingerprint zero and link to each other.
 A component's id is its smallest doc_id. Rows that repeat a doc_id belong to the component of that fingerprint.
 Rows with a null doc_id get a fingerprint and component, but never give a component its name, unless all are null.
+`keep_one` leaves one row of every component, also of those without a doc_id, and where rows of one doc_id differ.
 """
 
 from __future__ import annotations
@@ -71,14 +72,19 @@ def fingerprint(text: str | None) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        fp = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), np.uint64, batch.num_rows).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
+        fp = np.fromiter((fingerprint(t.as_py()) for t in batch.column(2)), np.uint64, batch.num_rows).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp)], names=["doc_id", "th", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp: the fingerprint as a bigint of the same bits."""
+    """doc_id, th (a hash of the text, which tells rows of one doc_id apart), fp: the fingerprint as a bigint of the same bits."""
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id bigint, fp bigint")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _text_hash().alias("th"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(_fingerprints, "doc_id bigint, th bigint, fp bigint")
+
+
+def _text_hash() -> F.Column:
+    return F.xxhash64(F.col("text").cast("string"))
 
 
 # ---- anchors
@@ -262,21 +268,31 @@ def components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id, for every row of docs."""
+def classified(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
+    """doc_id, th, fp, root (a fingerprint that stands for the component), component_id, for every row of docs."""
     prints = written(fingerprints(docs), "fingerprints")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
     roots = written(components(near_pairs(distinct, crowded)), "roots")
     by_root = roots.join(distinct.select(F.col("fp").alias("node"), "first_id"), "node")
     names = by_root.groupBy("root").agg(F.min("first_id").alias("name"))
-    named = by_root.join(names, "root").select(F.col("node").alias("fp"), "name")
-    classes = written(distinct.join(named, "fp", "left").select("fp", "n", F.coalesce("name", "first_id").alias("component_id")), "classes")
-    return join_unique(prints, classes, "fp", "n").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = by_root.join(names, "root").select(F.col("node").alias("fp"), "root", "name")
+    classes = distinct.join(named, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root"), F.coalesce("name", "first_id").alias("component_id"))
+    return join_unique(prints, written(classes, "classes"), "fp", "n")
+
+
+def near_duplicates(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id, for every row of docs."""
+    return classified(docs, crowded).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
-    """The documents whose doc_id names their component, one row for each, with all their columns."""
-    keep = written(near_duplicates(docs, crowded).where("doc_id = component_id").groupBy("doc_id").count(), "kept")
-    kept = docs.join(keep.select("doc_id"), "doc_id", "left_semi")
-    # Rows that repeat a doc_id are rare; only where there are any are the texts grouped.
-    return kept if keep.where("count > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
+    """One row of each component, with all its columns: the one whose doc_id names it.
+
+    Of several rows of that doc_id the one with the smallest hash of its text stays, and of a component without any
+    doc_id likewise, so that no component is lost.
+    """
+    named = classified(docs, crowded).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    keep = written(named.groupBy("root").agg(F.min("doc_id").alias("__id"), F.min("th").alias("__th"), F.count(F.lit(1)).alias("n")), "kept")
+    kept = docs.join(keep.select("__id", "__th"), F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")) & (_text_hash() == F.col("__th")), "left_semi")
+    # Rows that repeat doc_id and text are rare; only where there can be any are the texts grouped.
+    return kept if keep.where("n > 1").isEmpty() else kept.withColumn("__th", _text_hash()).dropDuplicates(["doc_id", "__th"]).drop("__th")

@@ -171,6 +171,18 @@ def test_simhash_brute_force(spark):
     assert simhash.near_duplicates(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def test_keepers_without_ids_and_with_repeated_ids(spark):
+    a, b, c = ("red fox runs far away", "seven ships sail past the old harbour wall", "nothing else here matches at all tonight")
+    df = docs_of(spark, [(5, a), (5, b), (5, b), (3, a), (None, c), (None, c), (None, a), (None, a + " but never twice in one row")])
+    want = sorted([(3, a), (5, b), (-1, c), (-1, a + " but never twice in one row")])
+    for keep in (simhash.keep_one, exact_dedup.deduplicate):
+        kept = keep(df)
+        assert kept.columns == df.columns
+        got = sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in kept.collect())
+        # Exact dedup keeps the largest doc_id of a text, SimHash the smallest.
+        assert got == (want if keep is simhash.keep_one else sorted([(5, a), *[w for w in want if w[0] != 3]]))
+
+
 def test_near_pairs_planted_distances(spark):
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 60, dtype=np.uint64)
