@@ -83,3 +83,10 @@ def iso_parts(date: Column) -> dict[str, Column]:
 def all_integers(value: Column) -> Column:
     """Aggregate: whether every value that is there is a whole number."""
     return F.coalesce(F.bool_and(value == F.floor(value)), F.lit(True))
+
+
+def metric_label(name: Column, labels: dict[str, str] | None = None) -> Column:
+    """A camelCase name as words with a capital first, unless the labels give another."""
+    spaced = F.trim(F.regexp_replace(name, r"(?<!^)([A-Z])", " $1"))
+    label = F.concat(F.upper(F.substring(spaced, 1, 1)), F.substr(spaced, F.lit(2)))
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in labels.items() for x in pair]), name), label) if labels else label

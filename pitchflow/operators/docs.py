@@ -99,3 +99,40 @@ def team_documents(stats: DataFrame) -> DataFrame:
     doc_id = F.concat_ws(":", F.lit("chains"), F.col("match_id").cast("string"), F.col("team_id").cast("string"))
     text = F.format_string("Team %d played %d possession chains in match %d, %d of them ended in a shot and %d in a goal.", "team_id", "chains", "match_id", "shots", "goals")
     return stats.select(doc_id.alias("doc_id"), "match_id", "team_id", F.lit("possession_chains").alias("document_type"), text.alias("text"))
+
+
+def document_problem(doc_id, text, least_id: int = 3, least_text: int = 10) -> F.Column:
+    """Why a document is not taken: 'id_short', 'text_short' or 'text_blank'; null when it is."""
+    blank = F.coalesce(F.regexp_replace(text, r"[ \t\n\r\f]+", ""), F.lit("")) == ""
+    short = lambda c, n: F.coalesce(F.length(c), F.lit(0)) < n
+    return F.when(short(doc_id, least_id), "id_short").when(short(text, least_text), "text_short").when(blank, "text_blank")
+
+
+def embedding_input(title, kind, category, players, text) -> F.Column:
+    """The text that is embedded: title, type, category, the first six players and the document's text."""
+    or_none = lambda c: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit("n/a"))
+    names = or_none(F.array_join(F.slice(players, 1, 6), ", "))
+    return F.concat(F.lit("Title: "), or_none(title), F.lit("\nType: "), kind, F.lit("\nCategory: "), or_none(category), F.lit("\nPlayers: "), names, F.lit("\nText: "), F.coalesce(text, F.lit("")))
+
+
+def passes(team: int | None, types: tuple[str, ...], min_score: float) -> F.Column:
+    """The filter of results by metadata: a result of no team passes every team, no types ask for none."""
+    keep = F.col("score") >= min_score
+    keep = keep if team is None else keep & (F.col("team_id").isNull() | (F.col("team_id") == team))
+    return keep & F.lower("document_type").isin(*types) if types else keep
+
+
+def filtered_or_relaxed(hits: DataFrame, keep: F.Column, floor: float, key: str = "query_id") -> DataFrame:
+    """Results that pass; a query that is left without any gets all its results from the floor on, marked `relaxed`."""
+    kept = F.coalesce(keep, F.lit(False))
+    out = hits.withColumn("relaxed", ~F.max(kept).over(Window.partitionBy(key)))
+    return out.where(kept | (F.col("relaxed") & (F.col("score") >= floor)))
+
+
+def citations(hits: DataFrame, most: int = 4, key: str = "query_id") -> DataFrame:
+    """For each query one line of its first distinct documents: id (title or type, page if any, scope)."""
+    title = F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.col("document_type"))
+    page = F.when(F.col("page").isNotNull(), F.concat(F.lit(", p."), F.col("page").cast("string"))).otherwise("")
+    one = hits.groupBy(key, "doc").agg(F.min_by(F.struct("rank", F.concat("doc", F.lit(" ("), title, page, F.lit(", "), "scope", F.lit(")")).alias("line")), "rank").alias("x"))
+    ranked = one.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy("x.rank", "doc"))).where(F.col("r") <= most)
+    return ranked.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["line"]), "; ").alias("citations"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import load, match, reports, retrieval, teams
+from . import evidence, load, match, reports, retrieval, teams
 
-MODULES = (match, load, teams, retrieval, reports)
+MODULES = (match, load, teams, retrieval, reports, evidence)
 
 
 def queries() -> dict:
