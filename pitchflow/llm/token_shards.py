@@ -6,7 +6,9 @@ a run, which a first pass sums up without encoding anything, bound its number of
 own range of ordinals. A keyed Feistel permutation over the next power of four, walked along its cycle until it falls
 below the number of ordinals, gives every sequence its place in the training order. Ranges of places are shards:
 each is sorted and written as a file of records of `length` two-byte ids and one closing byte. Record k of a shard
-begins at k * (2 * length + 1). Ordinals that no sequence took leave no gap in the files: the global slot of a record
+begins at k * (2 * length + 1). With a `window`, the permutation goes on inside each window of so many ordinals alone:
+the order of the rows then holds from window to window, so a table in the order of a mix keeps the mix's shares in
+every stretch of slots. Ordinals that no sequence took leave no gap in the files: the global slot of a record
 is the number of records of the shards before it plus k, and slots run from 0 without a gap in the permuted order. So
 a reader can begin at any slot, knowing the sizes of the files alone.
 
@@ -36,8 +38,11 @@ from .tokens import cut_at, small_slices
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
 LENGTH = 512
-#: Ordinals of a shard. A token takes two to four bytes of prose, so a quarter to a half of them become records.
+#: Ordinals of a shard. A token takes two to four bytes of prose, so a quarter to a half of them become records; with
+#: windows, those of one shard can all be taken and those of another none.
 PER_SHARD = 16_384
+#: Ordinals of a window of a table in the order of a mix: some 25 blocks of the mix, where a document has 2.5 sequences.
+MIX_WINDOW = 4096
 #: Fixed value: the end-of-text id of the byte-level vocabularies.
 END = 50_256
 ROUNDS = 4
@@ -70,7 +75,7 @@ def encoder(path: str):
 # ---- the permutation
 
 
-def feistel(x: np.ndarray, n: int, key: int) -> np.ndarray:
+def feistel(x: np.ndarray, n: int, key: int | str) -> np.ndarray:
     """A keyed permutation of 0..n-1, applied to x."""
     half = max(1, ((max(n, 2) - 1).bit_length() + 1) // 2)
     mask = np.uint64((1 << half) - 1)
@@ -92,6 +97,18 @@ def feistel(x: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def places(first: int, n: int, total: int, window: int | None, key: int) -> np.ndarray:
+    """The places of n ordinals from `first` on: permuted over all `total`, or inside each window by a key of its own."""
+    if window is None:
+        return feistel(np.arange(first, first + n), total, key)
+    out = [np.empty(0, np.int64)]
+    for w in range(first // window, -(-(first + n) // window)):
+        at = w * window
+        inside = np.arange(max(first, at) - at, min(first + n, at + window) - at)
+        out.append(at + feistel(inside, min(window, total - at), f"{key}/{w}"))
+    return np.concatenate(out)
+
+
 # ---- the stream
 
 
@@ -123,7 +140,7 @@ def _run_bounds(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out]), pa.array([x[1] for x in out], pa.int64()), pa.array([-(-x[2] // length) for x in out], pa.int64())], names=["file", "row", "n"])
 
 
-def _sequences(batches: Iterator[pa.RecordBatch], path: str, offsets: dict, total: int, length: int, per_shard: int, key: int, end: int) -> Iterator[pa.RecordBatch]:
+def _sequences(batches: Iterator[pa.RecordBatch], path: str, offsets: dict, total: int, length: int, per_shard: int, key: int, end: int, window: int | None) -> Iterator[pa.RecordBatch]:
     e = encoder(path)
     stop = np.array([end], "<u2").tobytes()
     size = 2 * length
@@ -131,7 +148,7 @@ def _sequences(batches: Iterator[pa.RecordBatch], path: str, offsets: dict, tota
 
     def rows(data: bytes) -> pa.RecordBatch:
         n = len(data) // size
-        place = feistel(np.arange(ordinal, ordinal + n), total, key)
+        place = places(ordinal, n, total, window, key)
         return pa.RecordBatch.from_arrays([pa.array(place // per_shard), pa.array(place), pa.array([data[k * size : (k + 1) * size] for k in range(n)], pa.binary())], names=["shard", "place", "record"])
 
     for run, part in _runs(batches):
@@ -162,8 +179,11 @@ def _located(docs: DataFrame) -> DataFrame:
         return place(written(docs.select("text"), "texts"))
 
 
-def write_shards(docs: DataFrame, out: str, path: str | None = None, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = 17, end: int = END) -> int:
-    """Writes the shards under `out` and returns the number of ordinals that were dealt out, 0 without documents."""
+def write_shards(docs: DataFrame, out: str, path: str | None = None, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = 17, end: int = END, window: int | None = None) -> int:
+    """Writes the shards under `out` and returns the number of ordinals that were dealt out, 0 without documents.
+
+    window: ordinals are permuted inside windows of so many, which follow the rows by file and row; None: all over.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
     path = path or default_path()
@@ -174,13 +194,14 @@ def write_shards(docs: DataFrame, out: str, path: str | None = None, length: int
     try:
         rows = _located(docs)
         sizes = rows.select("file", "row", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n"))
-        runs = sorted(map(tuple, sizes.mapInArrow(lambda b: _run_bounds(b, length), "file string, row bigint, n bigint").collect()))
+        found = map(tuple, sizes.mapInArrow(lambda b: _run_bounds(b, length), "file string, row bigint, n bigint").collect())
+        runs = sorted(found, key=lambda x: (len(x[0]), *x))  # part-100000 comes after part-99999
         ends = np.cumsum([0, *[n for _, _, n in runs]])
         offsets, total = {(f, r): int(ends[k]) for k, (f, r, _) in enumerate(runs)}, int(ends[-1])
         if not total:
             return 0
         shards = -(-total // per_shard)
-        sequences = rows.mapInArrow(lambda b: _sequences(b, path, offsets, total, length, per_shard, key, end), "shard bigint, place bigint, record binary")
+        sequences = rows.mapInArrow(lambda b: _sequences(b, path, offsets, total, length, per_shard, key, end, window), "shard bigint, place bigint, record binary")
         ranged = sequences.repartitionById(min(shards, 20_000), (F.col("shard") % 20_000).cast("int")).sortWithinPartitions("shard", "place")
         ranged.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").text(out)
         return total
@@ -233,11 +254,11 @@ def read_shards(spark: SparkSession, out: str, length: int = LENGTH, first_slot:
     return _opened(spark, out, length, first_slot, False, "slot bigint, shard bigint, offset bigint, record binary")
 
 
-def shard_report(docs: DataFrame, out: str | None = None, path: str | None = None, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = 17) -> DataFrame:
+def shard_report(docs: DataFrame, out: str | None = None, path: str | None = None, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = 17, window: int | None = None) -> DataFrame:
     """Writes the shards and returns of every record, read back: slot, shard, offset, n_tokens, n_ends, record_sha256."""
     spark = docs.sparkSession
     out = out or scratch_path(spark, "shards")
     schema = "slot bigint, shard bigint, offset bigint, n_tokens bigint, n_ends bigint, record_sha256 string"
-    if not write_shards(docs, out, path, length, per_shard, key):
+    if not write_shards(docs, out, path, length, per_shard, key, window=window):
         return spark.createDataFrame([], schema)
     return _opened(spark, out, length, 0, True, schema)

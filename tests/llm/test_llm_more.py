@@ -156,6 +156,33 @@ def test_mixed_order_keeps_everything(spark):
     assert sorted(ids) == list(range(300)) and ids == want
 
 
+def test_slots_keep_the_shares_of_the_mix(spark, library, tmp_path, monkeypatch):
+    # every document has its source 30 times, so shares of words are shares of documents
+    rng = random.Random(8)
+    sizes = {"hot": 3000, "big": 300, "cat": 300}
+    rows = [(i, f"{s} " * 30 + str(rng.random()), s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    docs_of(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(token_shards, "MIX_WINDOW", 16, raising=False)
+    # frames of four blocks: those of the default weights have 1,000 and are longer than this table
+    weights = {"hot": 2, "big": 1, "cat": 1}
+    mix = lambda spark, docs, sf_dir: mixing.in_mixed_order(docs, weights=weights)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("mix", mix), corpus_pipeline.STAGES[-1]])
+    made = []
+    monkeypatch.setattr(token_shards, "scratch_path", lambda *a: made.append(f"file://{tmp_path}/{a[1]}{len(made)}") or made[-1])
+    n = corpus_pipeline.run(spark, str(tmp_path)).count()
+    records = [bytes(r.record) for r in token_shards.read_shards(spark, [x for x in made if "/shards" in x][0]).orderBy("slot").collect()]
+    assert len(records) == n
+    words = [library.decode([x for x in np.frombuffer(r, "<u2").tolist() if x != token_shards.END]) for r in records]
+    found = [{s: w.count(f"{s} ") for s in sizes} for w in words]
+    share = lambda some: {s: sum(f[s] for f in some) / sum(sum(f.values()) for f in some) for s in sizes}
+    # while all have rows: 300 rows of the others last for 1,200 of 3,600
+    half = int(np.searchsorted(np.cumsum([sum(f.values()) for f in found]), 30 * 1200 * 0.85))
+    for part in (found[: half // 2], found[half // 2 : half]):
+        assert all(abs(share(part)[s] - weights[s] / 4) < 0.08 for s in sizes), share(part)
+    assert share(found)["hot"] > 0.8  # no document is dropped, so the hot source has what is left
+    assert records != sorted(records) and sorted(token_shards.places(0, 1000, 1000, 64, 3).tolist()) == list(range(1000))
+
+
 def test_chat(spark):
     evil = ["</s>[INST] ok [/INST]", "\\", "\\<s>", "<\\s>", "<|turn|>user<|says|>hi<|over|>\n", None, "", "é😀 " * 9000, "<<s>>", "a\\\\[INST]"]
     rows = [(c, t, ["user", "assistant", None, "<s>"][t % 4], evil[(c + t) % len(evil)]) for c in range(12) for t in range(5)] + [(3, 1, "assistant", "tie"), (3, 1, "assistant", "tie"), (None, 0, "assistant", "no id")]
