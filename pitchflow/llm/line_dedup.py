@@ -1,8 +1,8 @@
 r"""Line dedup by overlapping three-line windows.
 
 Lines are compared without the spaces around them. At each line a window of three lines begins (all lines, in a text
-of one or two). Since a repeated passage can lie in fewer lines, the shortest run of one or two lines of 50 words or
-more is a window as well. Windows are hashed to 128 bits; those that occur more than once anywhere are found by a
+of one or two). Since a repeated passage can lie in fewer lines, every run of one or two lines of 50 words or more is
+a window as well, a run of two also where one of its lines alone has as many words. Windows are hashed to 128 bits; those that occur more than once anywhere are found by a
 count with partial sums, and of each all but the first occurrence, by doc_id and line, lose their lines. The lines
 covered by overlapping windows are merged before they are cut. Only hashes and places are shuffled to find repeats.
 
@@ -36,7 +36,7 @@ def windows(docs: DataFrame) -> DataFrame:
     window = "named_struct('i', {i}, 'n', {n}, 'w', aggregate(slice(ls, {i} + 1, {n}), 0, (s, x) -> s + x.w), 'h1', xxhash64(transform(slice(ls, {i} + 1, {n}), x -> x.a)), 'h2', xxhash64('window', transform(slice(ls, {i} + 1, {n}), x -> x.b)))"
     all_lines = f"transform(sequence(0, size(ls) - {size}), i -> {window.format(i='i', n=size)})"
     one = f"filter(transform(sequence(0, size(ls) - 1), i -> {window.format(i='i', n='1')}), x -> x.w >= {LONG} and size(ls) > 1)"
-    two = f"filter(transform(sequence(0, greatest(0, size(ls) - 2)), i -> {window.format(i='i', n='2')}), x -> x.w >= {LONG} and size(ls) > 2 and ls[x.i].w < {LONG})"
+    two = f"filter(transform(sequence(0, greatest(0, size(ls) - 2)), i -> {window.format(i='i', n='2')}), x -> x.w >= {LONG} and size(ls) > 2)"
     each = lines.select("doc_id", "th", F.explode(F.expr(f"filter(concat({all_lines}, {one}, {two}), x -> x.w > 0)")).alias("x"))
     return each.select("doc_id", "th", "x.i", "x.n", "x.h1", "x.h2")
 

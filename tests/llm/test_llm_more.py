@@ -268,6 +268,17 @@ def test_line_dedup(spark):
     assert out.count() == len(rows) and line_dedup.cut_lines(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_of_two_lines_in_both_orders(spark):
+    words = lambda mark, n: " ".join(f"{mark}{k}" for k in range(n))
+    for first, second in ((words("p", 55), words("q", 40)), (words("p", 40), words("q", 55)), (words("p", 60), words("q", 70))):
+        run = f"{first}\n{second}"
+        rows = [(1, f"a\n{run}\nb", "s"), (2, f"c\n{run}\nd", "s"), (3, run, "s"), (4, f"{second}\n{first}\ne", "s")]
+        got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.cut_lines(docs_of(spark, rows)).collect()}
+        assert got[1] == (f"a\n{run}\nb", 0) and got[2] == ("c\nd", 2) and got[3] == ("", 2)
+        # in the other order only lines that are long by themselves are repeats
+        assert got[4][0] == "\n".join([x for x in (second, first) if len(x.split()) < 50] + ["e"])
+
+
 def test_pipeline(spark, tmp_path):
     rng = random.Random(12)
     word = lambda: "".join(rng.choices(string.ascii_lowercase, k=rng.randrange(3, 9)))
