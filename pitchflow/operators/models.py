@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,13 @@ def fold_of(match_id, folds: int = 5):
     return F.pmod(F.xxhash64(match_id), F.lit(folds))
 
 
+def scored_by_fold(pipeline, rows: DataFrame, fold: str = "fold") -> DataFrame:
+    """All rows of all folds by `counterfactual`, each fold by a model of the other folds; a single fold by its own."""
+    found = sorted(r[0] for r in rows.select(fold).distinct().collect())
+    parts = [counterfactual(pipeline().fit(balanced(rows.where(F.col(fold) != k) if len(found) > 1 else rows)), rows.where(F.col(fold) == k)) for k in found]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def future_form(rows: DataFrame, features, target: str, split_day: int, seed: int = 42):
     """Random forest fitted on the days up to split_day; the rows after it with predictions."""
     data = VectorAssembler(inputCols=list(features), outputCol="features").transform(rows.where(F.col(target).isNotNull()).na.fill(0.0, list(features)))

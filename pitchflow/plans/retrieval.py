@@ -65,12 +65,14 @@ def _deduplicated(s, d):
 _FEATURES = ("x", "y", "gap", "goal_distance", "goal_angle")
 
 
-def _decision_model(s, d):
-    """Forest on four of five folds of matches; every action of the fifth is scored with each action in its place."""
+def _decision_model(s, d, trees=100, depth=10):
+    """Every action with each action in its place, by the forest of its fold of matches, which was fitted on the others."""
     rows = D.context(D.label(actions(s, d), 600)).select("event_id", "match_id", "event_type", "prev_type", "label", *_FEATURES)
     rows = rows.withColumn("fold", M.fold_of(F.col("match_id")))
-    model = M.decision_pipeline(("event_type", "prev_type"), _FEATURES, trees=20, depth=5).fit(M.balanced(rows.where("fold <> 0")))
-    return D.choose(M.counterfactual(model, rows.where("fold = 0"))).select("event_id", "event_type", "p_pass", "p_shot", "p_carry", "value", "best", "gain", "low", "suggested")
+    folder = _shared(s)
+    rows.write.parquet(folder)
+    scored = M.scored_by_fold(lambda: M.decision_pipeline(("event_type", "prev_type"), _FEATURES, trees=trees, depth=depth), s.read.schema(rows.schema).parquet(folder))
+    return D.choose(scored).select("event_id", "event_type", "p_pass", "p_shot", "p_carry", "value", "best", "gain", "low", "suggested")
 
 
 def _form_model(s, d):
