@@ -13,6 +13,7 @@ from ..operators import docs as G
 from ..operators import load as L
 from ..operators import models as M
 from ..sources.adapters import actions, player_days, table, team_matches
+from ..sources.shared import shared_dir
 from ..streaming import live
 from . import load as load_plans
 from . import match as match_plans
@@ -20,9 +21,8 @@ from .rounding import pick
 
 
 def _shared(spark) -> str:
-    """A new folder under the one that all executors share; the warehouse where no checkpoint folder is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base}/pitchflow-{uuid.uuid4().hex}"
+    """A new folder under the one that all executors share."""
+    return f"{shared_dir(spark)}/pitchflow-{uuid.uuid4().hex}"
 
 
 def _pages(s, d):
