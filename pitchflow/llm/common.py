@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: Words of the text contracts: runs of anything but ASCII characters that are not digits or letters.
@@ -21,15 +22,6 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; one of our own only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='pitchflow-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Bounds the Arrow batches that go to Python by bytes, unless the session has a lower bound.
 
@@ -54,14 +46,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_unique(left: DataFrame, right: DataFrame, key: str, size: str) -> DataFrame:
+def join_unique(left: DataFrame, right: DataFrame, key: str | list[str], size: str) -> DataFrame:
     """Inner join to `right`, which has one row for each key and in `size` the number of rows of `left` with it.
 
     Keys with over a thousandth of all rows are fewer than HOT_GROUPS whatever the input, so those rows of
     `right` are broadcast and the rows of `left` under them stay where they are; the rest is shuffled.
     """
+    keys = [key] if isinstance(key, str) else key
     total = right.agg(F.sum(size)).first()[0] or 0
     limit = total // HOT_GROUPS + 1
     hot = F.broadcast(right.where(F.col(size) > limit))
-    rest = left.join(F.broadcast(right.where(F.col(size) > limit).select(key)), key, "left_anti")
-    return left.join(hot, key).unionByName(rest.join(right.where(F.col(size) <= limit), key))
+    rest = left.join(F.broadcast(right.where(F.col(size) > limit).select(*keys)), keys, "left_anti")
+    return left.join(hot, keys).unionByName(rest.join(right.where(F.col(size) <= limit), keys))

@@ -2,14 +2,17 @@ r"""Line dedup by overlapping three-line windows.
 
 Lines are compared without the spaces around them. At each line a window of three lines begins (all lines, in a text
 of one or two). Since a repeated passage can lie in fewer lines, every run of one or two lines of 50 words or more is
-a window as well, a run of two also where one of its lines alone has as many words. Windows are hashed to 128 bits; those that occur more than once anywhere are found by a
-count with partial sums, and of each all but the first occurrence, by doc_id and line, lose their lines. The lines
-covered by overlapping windows are merged before they are cut. Only hashes and places are shuffled to find repeats.
+a window as well, a run of two also where one of its lines alone has as many words. Windows are hashed to 128 bits;
+those that occur more than once anywhere are found by a count with partial sums, and of each all but the first
+occurrence, by doc_id and line, lose their lines. The lines covered by overlapping windows are merged before they are
+cut. Only hashes and places are shuffled to find repeats, and a window that stands in over a thousandth of all places
+is looked up where it is.
 
 Nulls, ties and edges: a null text is empty. Windows of blank lines never count. An occurrence that overlaps the
 first one in the same text loses only the lines beyond it, so something stays of every passage. Rows that repeat both
-doc_id and text are one document: they are cut alike. Rows with a null doc_id come before all others. All columns
-are carried by `cut_lines`; the columns the operator adds replace those of the same names.
+doc_id and text are one document: they are cut alike. Rows with a null doc_id come before all others. A text of any
+length is one row of line hashes. All columns are carried by `cut_lines`; the columns the operator adds replace
+those of the same names.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, written
+from .common import bounded_batches, join_unique, written
 
 LINES = 3
 LONG = 50
@@ -45,8 +48,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     """doc_id, th, spans: for each document with lines to lose, the spans [first, last) of lines, one for each window."""
     found = written(windows(docs), "windows")
     place = F.struct("doc_id", "th", "i")
-    first = found.groupBy("h1", "h2", "n").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f <> l").drop("l")
-    later = found.join(first, ["h1", "h2", "n"]).where(F.struct("doc_id", "th", "i") != F.col("f"))
+    first = found.groupBy("h1", "h2", "n").agg(F.min(place).alias("f"), F.max(place).alias("l"), F.count(F.lit(1)).alias("size")).where("f <> l").drop("l")
+    # Windows that stand in very many places are joined where they are; their first places are few and broadcast.
+    later = join_unique(found, written(first, "first-places"), ["h1", "h2", "n"], "size").where(F.struct("doc_id", "th", "i") != F.col("f"))
     begin = F.when((F.col("f.doc_id") == F.col("doc_id")) & (F.col("f.th") == F.col("th")), F.greatest("i", F.col("f.i") + F.col("n"))).otherwise(F.col("i"))
     spans = later.select("doc_id", "th", begin.alias("first"), (F.col("i") + F.col("n")).alias("last")).where("first < last")
     return spans.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("spans"))

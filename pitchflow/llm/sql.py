@@ -64,7 +64,7 @@ p AS (SELECT doc_id, text, lines, unnest(generate_series(1, len(lines))) AS i FR
 s AS (SELECT *, len(lines) AS m FROM p),
 w AS (SELECT doc_id, text, i, least(3, m) AS n, lines[i : i + least(3, m) - 1] AS ls FROM s WHERE i <= m - least(3, m) + 1
       UNION ALL SELECT doc_id, text, i, 1, [lines[i]] FROM s WHERE m > 1 AND {_WORDS_IN.format("lines[i]")} >= 50
-      UNION ALL SELECT doc_id, text, i, 2, lines[i : i + 1] FROM s WHERE m > 2 AND i < m AND {_WORDS_IN.format("lines[i]")} < 50
+      UNION ALL SELECT doc_id, text, i, 2, lines[i : i + 1] FROM s WHERE m > 2 AND i < m
                 AND {_WORDS_IN.format("lines[i]")} + {_WORDS_IN.format("lines[i + 1]")} >= 50),
 k AS (SELECT doc_id, text, i, n, array_to_string(list_transform(ls, lambda l: trim(l)), chr(10)) AS key FROM w
       WHERE list_sum(list_transform(ls, lambda l: {_WORDS_IN.format("l")})) > 0),
