@@ -1,9 +1,9 @@
 r"""Token-id output in training order, as fixed-stride binary shards.
 
-The documents that a task reads in one go, a run of rows of one file, form a token stream, each document ended by the
-end token; the stream is cut into sequences of `length` ids. A byte-level token has one byte at least, so the bytes of
-a run, which a first pass sums up without encoding anything, bound its number of sequences, and every run gets its
-own range of ordinals. A keyed Feistel permutation over the next power of four, walked along its cycle until it falls
+The rows of one input split, a byte range of one file, form a token stream, each document ended by the end token; the
+stream is cut into sequences of `length` ids. A byte-level token has one byte at least, so the bytes of a split,
+which a first pass sums up without encoding anything, bound its number of sequences, and every split gets its own
+range of ordinals. A keyed Feistel permutation over the next power of four, walked along its cycle until it falls
 below the number of ordinals, gives every sequence its place in the training order. Ranges of places are shards:
 each is sorted and written as a file of records of `length` two-byte ids and one closing byte. Record k of a shard
 begins at k * (2 * length + 1). With a `window`, the permutation goes on inside each window of so many ordinals alone:
@@ -12,12 +12,14 @@ every stretch of slots. Ordinals that no sequence took leave no gap in the files
 is the number of records of the shards before it plus k, and slots run from 0 without a gap in the permuted order. So
 a reader can begin at any slot, knowing the sizes of the files alone.
 
-Texts are read, encoded and sent once, as ids; they are never shuffled. What the driver holds is one row for each
-run: as many as input splits. Shards are written by Spark's own writer, so tasks can fail and run again.
+Splits have at most SPLIT_BYTES, or the session's maxPartitionBytes where that is lower, whatever the number of cores,
+so the same files and key give the same training order on every cluster. Rows that a filter leaves out do not divide
+a split. Texts are read, encoded and sent once, as ids; they are never shuffled. The driver and every worker hold two
+integers for each split (50 MB at 100 TB). Shards are written by Spark's own writer, so tasks can fail and run again.
 
-Nulls, ties and edges: a null or empty text gives its end token alone. Special strings inside texts are ordinary
-text. Repeated rows are encoded each. An empty table writes no shard. The last sequence of a run is filled up with end
-tokens. Other columns are not read.
+Nulls, ties and edges: a null or empty text gives its end token alone; a very long one is encoded in stretches that
+begin at proven boundaries. Special strings inside texts are ordinary text. Repeated rows are encoded each. An empty
+table writes no shard. The last sequence of a split is filled up with end tokens. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,10 +27,10 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +48,7 @@ MIX_WINDOW = 4096
 #: Fixed value: the end-of-text id of the byte-level vocabularies.
 END = 50_256
 ROUNDS = 4
+SPLIT_BYTES = 32 * 2**20
 
 
 _ENCODERS: dict[str, object] = {}
@@ -112,36 +115,24 @@ def places(first: int, n: int, total: int, window: int | None, key: int) -> np.n
 # ---- the stream
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int] | None, pa.RecordBatch]]:
-    """Slices of (file, row, text) with the run that begins there, or None where the last one goes on."""
-    file, after = None, -1
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, pa.Array]]:
+    """Slices of the texts of (split, text), with the split that begins there, or None where the last one goes on."""
+    last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        files, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        begins = [k for k in range(len(rows)) if files[k] != (files[k - 1] if k else file) or rows[k] != (rows[k - 1] + 1 if k else after)]
-        for a, b in zip([0, *[k for k in begins if k]], [*[k for k in begins if k], len(rows)], strict=True):
-            run = (files[a], rows[a]) if a in begins else None
-            whole = batch.slice(a, b - a)
-            for part in small_slices(whole, 2) if pa.types.is_string(whole.schema.types[2]) else [whole]:
-                yield run, part
-                run = None
-        file, after = files[-1], rows[-1] + 1
-
-
-def _run_bounds(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """file, row, n: where each run begins, and no fewer sequences than it can have."""
-    out: list[list] = []
-    for run, part in _runs(batches):
-        if run:
-            out.append([*run, 0])
-        out[-1][2] += int(pc.sum(part.column(2)).as_py() or 0) + part.num_rows
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out]), pa.array([x[1] for x in out], pa.int64()), pa.array([-(-x[2] // length) for x in out], pa.int64())], names=["file", "row", "n"])
-
-
-def _sequences(batches: Iterator[pa.RecordBatch], path: str, offsets: dict, total: int, length: int, per_shard: int, key: int, end: int, window: int | None) -> Iterator[pa.RecordBatch]:
+        split = batch.column(0).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(split[1:] != split[:-1]) + 1).tolist(), len(split)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            new = int(split[a])
+            for part in small_slices(batch.slice(a, b - a), 1):
+                yield (None if new == last else new), part.column(1)
+                last = new
+
+
+def _sequences(batches: Iterator[pa.RecordBatch], path: str, offsets, total: int, length: int, per_shard: int, key: int, end: int, window: int | None) -> Iterator[pa.RecordBatch]:
     e = encoder(path)
+    splits, firsts = offsets.value
     stop = np.array([end], "<u2").tobytes()
     size = 2 * length
     left, ordinal = b"", 0
@@ -151,13 +142,13 @@ def _sequences(batches: Iterator[pa.RecordBatch], path: str, offsets: dict, tota
         place = places(ordinal, n, total, window, key)
         return pa.RecordBatch.from_arrays([pa.array(place // per_shard), pa.array(place), pa.array([data[k * size : (k + 1) * size] for k in range(n)], pa.binary())], names=["shard", "place", "record"])
 
-    for run, part in _runs(batches):
-        if run:
+    for split, texts in _pieces(batches):
+        if split is not None:
             if left:
                 yield rows(left + stop * ((size - len(left)) // 2))
-            left, ordinal = b"", offsets[run]
+            left, ordinal = b"", int(firsts[np.searchsorted(splits, split)])
         data = [left]
-        for text in part.column(2).to_pylist():
+        for text in texts.to_pylist():
             data += [np.array(e.encode_ordinary(t), "<u2").tobytes() for t in cut_at(text or "")]
             data.append(stop)
         data = b"".join(data)
@@ -171,15 +162,38 @@ def _sequences(batches: Iterator[pa.RecordBatch], path: str, offsets: dict, tota
 
 
 def _located(docs: DataFrame) -> DataFrame:
-    """file, row, text: rows by their place in the table's files; what is not a table of files is written first."""
-    place = lambda d: d.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), F.col("text").cast("string").alias("text"))
+    """file, start (of the split), text: rows by their place in the table's files; what is no such table is written first."""
+    place = lambda d: d.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("text").cast("string").alias("text"))
     try:
         return place(docs)
     except AnalysisException:
         return place(written(docs.select("text"), "texts"))
 
 
-def write_shards(docs: DataFrame, out: str, path: str | None = None, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = 17, end: int = END, window: int | None = None) -> int:
+@contextmanager
+def _fixed_splits(spark: SparkSession, most: int):
+    """Splits by file and bytes alone while this lasts: the number of cores has no say in them."""
+    parts, size = "spark.sql.files.minPartitionNum", "spark.sql.files.maxPartitionBytes"
+    before = {name: spark.conf.get(name, None) for name in (parts, size)}
+    spark.conf.set(parts, "1")
+    if _bytes_of_setting(spark.conf.get(size)) > most:
+        spark.conf.set(size, str(most))
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
+def _bytes_of_setting(text: str) -> int:
+    number = text.lower().removesuffix("b")
+    return int(number[:-1]) << 10 * (1 + "kmgtp".index(number[-1])) if number[-1:] in "kmgtp" else int(number)
+
+
+def write_shards(docs: DataFrame, out: str, path: str | None = None, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = 17, end: int = END, window: int | None = None, split_bytes: int = SPLIT_BYTES) -> int:
     """Writes the shards under `out` and returns the number of ordinals that were dealt out, 0 without documents.
 
     window: ordinals are permuted inside windows of so many, which follow the rows by file and row; None: all over.
@@ -187,29 +201,26 @@ def write_shards(docs: DataFrame, out: str, path: str | None = None, length: int
     spark = docs.sparkSession
     bounded_batches(spark)
     path = path or default_path()
-    # Both passes must see the same runs, also if executors come or go between them.
-    setting = "spark.sql.files.minPartitionNum"
-    before = spark.conf.get(setting, None)
-    spark.conf.set(setting, str(before or spark.sparkContext.defaultParallelism))
-    try:
+    with _fixed_splits(spark, split_bytes):
         rows = _located(docs)
-        sizes = rows.select("file", "row", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n"))
-        found = map(tuple, sizes.mapInArrow(lambda b: _run_bounds(b, length), "file string, row bigint, n bigint").collect())
-        runs = sorted(found, key=lambda x: (len(x[0]), *x))  # part-100000 comes after part-99999
-        ends = np.cumsum([0, *[n for _, _, n in runs]])
-        offsets, total = {(f, r): int(ends[k]) for k, (f, r, _) in enumerate(runs)}, int(ends[-1])
+        split = F.xxhash64("file", "start").alias("split")
+        bound = F.expr(f"cast(ceil(sum(coalesce(octet_length(text), 0) + 1) / {length}) as bigint)").alias("n")
+        # part-100000 comes after part-99999
+        sizes = rows.groupBy("file", "start").agg(bound).orderBy(F.length("file"), "file", "start").select(split, "n").toArrow()
+        splits, n = (sizes.column(k).to_numpy() for k in (0, 1))
+        total = int(n.sum())
         if not total:
             return 0
+        order = np.argsort(splits)
+        if (np.diff(splits[order]) == 0).any():
+            raise RuntimeError("two splits have one hash: write with another split_bytes")
+        offsets = spark.sparkContext.broadcast((splits[order], (np.cumsum(n) - n)[order]))
         shards = -(-total // per_shard)
-        sequences = rows.mapInArrow(lambda b: _sequences(b, path, offsets, total, length, per_shard, key, end, window), "shard bigint, place bigint, record binary")
+        sequences = rows.select(split, "text").mapInArrow(lambda b: _sequences(b, path, offsets, total, length, per_shard, key, end, window), "shard bigint, place bigint, record binary")
         ranged = sequences.repartitionById(min(shards, 20_000), (F.col("shard") % 20_000).cast("int")).sortWithinPartitions("shard", "place")
-        ranged.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").text(out)
+        # Spark writes the bytes of a string as they are, and here they are no text; a shard is one file, or its slots would repeat.
+        ranged.select("shard", F.col("record").cast("string").alias("value")).write.option("maxRecordsPerFile", 0).partitionBy("shard").text(out)
         return total
-    finally:
-        if before is None:
-            spark.conf.unset(setting)
-        else:
-            spark.conf.set(setting, before)
 
 
 def manifest(spark: SparkSession, out: str, length: int = LENGTH) -> list[tuple[int, int, int]]:

@@ -307,3 +307,37 @@ def test_pipeline(spark, tmp_path):
     assert left["near_duplicates"] == clean - {7}
     assert left["decontamination"] == left["mix"] == clean - {7, 8}
     assert docs.count() == corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_shards_of_a_filtered_table(spark, tmp_path):
+    rng = random.Random(9)
+    texts = [random_text(rng, rng.randrange(1, 300)) for _ in range(100)] + [random_text(rng, 150_000), None]
+    docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)]).coalesce(1).write.parquet(f"{tmp_path}/src")
+    docs = spark.read.parquet(f"{tmp_path}/src")
+    some = docs.where("doc_id % 2 = 0")
+    total = token_shards.write_shards(some, f"{tmp_path}/out", length=32, per_shard=50)
+    # one split, hence one stream and one sequence that is filled up
+    assert total == -(-sum(len((t or "").encode()) + 1 for t in texts[::2]) // 32)
+    read = [bytes(r.record) for r in token_shards.read_shards(spark, f"{tmp_path}/out", 32).collect()]
+    ids = np.frombuffer(b"".join(read), "<u2")
+    assert (ids == token_shards.END).sum() - 51 < 32
+    e = token_shards.encoder(token_shards.default_path())
+    want = [i for t in texts[::2] for i in [*e.encode_ordinary(t or ""), token_shards.END]]
+    assert len(ids) == -(-len(want) // 32) * 32 and np.bincount(ids).tolist()[: token_shards.END] == np.bincount(want).tolist()[: token_shards.END]
+
+
+def test_shards_do_not_depend_on_the_cluster(spark, tmp_path):
+    rng = random.Random(10)
+    docs_of(spark, [(i, random_text(rng, 400), "s") for i in range(300)]).write.parquet(f"{tmp_path}/src")
+    docs, found, name = spark.read.parquet(f"{tmp_path}/src"), [], "spark.sql.files.minPartitionNum"
+    for k, cores in enumerate(("1", "64")):
+        spark.conf.set(name, cores)
+        spark.conf.set("spark.sql.files.maxRecordsPerFile", 7)
+        try:
+            token_shards.write_shards(docs, f"{tmp_path}/out{k}", length=32, per_shard=50)
+            assert spark.conf.get(name) == cores
+        finally:
+            spark.conf.unset(name)
+            spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+        found.append({r.slot: bytes(r.record) for r in token_shards.read_shards(spark, f"{tmp_path}/out{k}", 32).collect()})
+    assert found[0] == found[1] and sorted(found[0]) == list(range(len(found[0])))
