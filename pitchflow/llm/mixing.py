@@ -8,27 +8,32 @@ its exact share at every slot of the frame (Pfair). Every frame with the same co
 distinct frames are scheduled: one while all have blocks, and at most two more for each source that runs out, in
 which the others go on with their shares. No row is dropped or repeated.
 
-The plan is of the size of the configuration: at most (2 * sources + 1) * shares entries, worked out once and
-broadcast. Rows get their number in their source from counts by (source, bucket) and a window within a bucket, so a
-source with any share of all rows is spread over all tasks. DataFrame functions only.
+The plan is bounded whatever the number of sources: the `ALONE` sources of the largest weights are scheduled one by
+one, and all others by size class, those with 2**i to 2**(i + 1) - 1 rows together as one, whose share is the sum of
+theirs and in which they follow the keyed random order. So at most ALONE + 64 names share at most SHARES + ALONE + 64
+slots of a frame, and (2 * names + 1) frames are worked out and broadcast. Rows get their number in their source from
+counts by (source, bucket) and a window within a bucket, so a source with any share of all rows is spread over all
+tasks. DataFrame functions only.
 
 Nulls, ties and edges: a null source is a source of its own, named ''. Sources without a weight get `other` shares.
 Rows with equal doc_id and text are interchangeable and each gets its own position. A last block may be short. An
-empty table stays empty. All columns are carried; columns named block, slot or position are replaced.
+empty table stays empty. A text of any length is hashed whole. All columns are carried; columns named block, slot or
+position are replaced. A frame that a table does not fill is mixed by the blocks that are left.
 """
 
 from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
 
-SHARES = 1000
-BLOCK_ROWS = 64
+SHARES = 100
+BLOCK_ROWS = 16
 BUCKET_ROWS = 20_000
+ALONE = 64
 
 
 def frame_order(counts: dict[str, int]) -> list[str]:
@@ -67,25 +72,52 @@ def plan(blocks: dict[str, int], weights: dict[str, int]) -> tuple[list[tuple[in
     return kinds, entries
 
 
-def square_root_weights(rows: dict[str, int], shares: int = SHARES) -> dict[str, int]:
+def square_root_weights(rows: dict[str, float], shares: int = SHARES) -> dict[str, int]:
     """Shares by the square root of the number of rows: large sources give way to small ones."""
-    total = sum(n**0.5 for n in rows.values()) or 1.0
-    return {s: max(1, round(shares * n**0.5 / total)) for s, n in rows.items()}
+    return _shares({s: n**0.5 for s, n in rows.items()}, shares)
 
 
-def mix(docs: DataFrame, weights: dict[str, int] | None = None, other: int = 1, block_rows: int = BLOCK_ROWS, key: int = 17, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", only_ids: bool = False) -> DataFrame:
-    """docs with block (in its source), slot (of the block in the mix) and position (of the row in the mix).
+def _shares(weights: dict[str, float], shares: int) -> dict[str, int]:
+    total = sum(weights.values()) or 1.0
+    return {s: max(1, round(shares * w / total)) for s, w in weights.items()}
 
-    weights: integer shares by source; by default the square roots of their numbers of rows. only_ids: just the id and source.
+
+def _named(rows: DataFrame, weight: Column, alone: int) -> tuple[DataFrame, dict[str, tuple[int, float]]]:
+    """rows with __source, the source or its size class, and of each such name the number of rows and the weight."""
+    counts = written(rows.groupBy("__source").agg(F.count(F.lit(1)).alias("n")).withColumn("w", weight), "source-counts")
+    head = {r["__source"]: (r["n"], r["w"]) for r in counts.orderBy(F.desc("w"), "__source").limit(alone).collect()}
+    rest = counts.where(~F.col("__source").isin(list(head))) if head else counts
+    rest = rest.withColumn("__class", F.concat(F.lit("\0size-"), F.floor(F.log2("n")).cast("string")))
+    classes = {r["__class"]: (r["n"], r["w"]) for r in rest.groupBy("__class").agg(F.sum("n").alias("n"), F.sum("w").alias("w")).collect()}
+    if classes:
+        other = ~F.col("__source").isin(list(head))
+        classed = rows.where(other).join(rest.select("__source", "__class"), "__source").withColumn("__source", F.col("__class")).drop("__class")
+        rows = rows.where(~other).unionByName(classed)
+    return rows, head | classes
+
+
+def mix(docs: DataFrame, weights: dict[str, int] | None = None, other: int = 1, block_rows: int = BLOCK_ROWS, key: int = 17, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", only_ids: bool = False, shares: int = SHARES, alone: int = ALONE) -> DataFrame:
+    """docs with block (in its source or size class), slot (of the block in the mix) and position (of the row in the mix).
+
+    weights: integer shares by source; by default `shares` of them by the square roots of the numbers of rows.
+    only_ids: just the id and source. alone: how many sources are scheduled one by one.
     """
     spark = docs.sparkSession
     order = [F.xxhash64(F.lit(key), F.col(id_col).cast("string"), F.col(text_col)), F.col(id_col)]
     kept = [F.col(id_col), F.col(source_col)] if only_ids else [F.col(c) for c in docs.columns if c not in ("block", "slot", "position")]
     rows = docs.select(*kept, F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("__source"), order[0].alias("__h"))
-    by_source = {r["__source"]: r["count"] for r in rows.groupBy("__source").count().collect()}  # one row for each source
-    if not by_source:
+    if weights is None:
+        weight = F.sqrt("n")
+    else:
+        given = {s: max(1, int(w)) for s, w in weights.items()} or {"": max(1, other)}
+        weight = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in given.items() for x in pair]), F.col("__source")), F.lit(max(1, other))).cast("double")
+    rows, names = _named(rows, weight, alone)
+    if not names:
         return rows.drop("__source", "__h").withColumns({c: F.lit(0).cast("bigint") for c in ("block", "slot", "position")})
-    weights = square_root_weights(by_source) if weights is None else {s: max(1, int(weights.get(s, other))) for s in by_source}
+    by_source = {s: n for s, (n, _) in names.items()}
+    of = {s: w for s, (_, w) in names.items()}
+    # Shares given as whole numbers stay as they are, unless classes of sources have to be fitted in.
+    weights = {s: int(w) for s, w in of.items()} if weights is not None and sum(of.values()) <= shares * (alone + 64) else _shares(of, shares)
     blocks = {s: -(-n // block_rows) for s, n in by_source.items()}
     kinds, entries = plan(blocks, weights)
 

@@ -43,7 +43,7 @@ LENGTH = 512
 #: Ordinals of a shard. A token takes two to four bytes of prose, so a quarter to a half of them become records; with
 #: windows, those of one shard can all be taken and those of another none.
 PER_SHARD = 16_384
-#: Ordinals of a window of a table in the order of a mix: some 25 blocks of the mix, where a document has 2.5 sequences.
+#: Ordinals of a window of a table in the order of a mix: some 100 blocks of the mix, a frame, where a document has 2.5 sequences.
 MIX_WINDOW = 4096
 #: Fixed value: the end-of-text id of the byte-level vocabularies.
 END = 50_256

@@ -146,6 +146,32 @@ def test_mix(spark, weights):
     assert mixing.mix(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def test_mix_of_many_sources_is_bounded(spark):
+    # 3 large sources, scheduled alone, and 40 small ones in two size classes
+    sizes = {"x": 400, "y": 300, "z": 200} | {f"s{k}": 2 if k % 2 else 5 for k in range(40)}
+    rows = [(i, f"t{i}", s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    out = mixing.mix(docs_of(spark, rows), block_rows=4, alone=3).collect()
+    assert sorted(r.position for r in out) == list(range(len(rows))) and sorted(r.doc_id for r in out) == list(range(len(rows)))
+    slot_of = {}
+    for r in out:
+        slot_of.setdefault(r.slot, set()).add(r.source if r.source in "xyz" else f"size {sizes[r.source]}")
+    assert sorted(slot_of) == list(range(len(slot_of))) and all(len(x) == 1 for x in slot_of.values())
+    weight = {"x": 400**0.5, "y": 300**0.5, "z": 200**0.5, "size 2": 20 * 2**0.5, "size 5": 20 * 5**0.5}
+    shares = {s: max(1, round(100 * w / sum(weight.values()))) for s, w in weight.items()}
+    blocks = {"x": 100, "y": 75, "z": 50, "size 2": 10, "size 5": 25}
+    counts = {s: min(shares[s], blocks[s]) for s in shares}  # the first frame
+    total, sent = sum(counts.values()), dict.fromkeys(shares, 0)
+    for t in range(1, total + 1):
+        sent[next(iter(slot_of[t - 1]))] += 1
+        assert all(abs(sent[s] - c * t / total) < 1 for s, c in counts.items())
+
+
+def test_mix_with_null_texts_and_long_ones(spark):
+    rows = [(i, None if i % 2 else "x" * (200_000 if i == 4 else 3), "a") for i in range(20)] + [(None, None, None)]
+    out = mixing.mix(docs_of(spark, rows), block_rows=4).collect()
+    assert sorted(r.position for r in out) == list(range(21))
+
+
 def test_mixed_order_keeps_everything(spark):
     rows = [(i, f"t{i}", f"s{i % 4}") for i in range(300)]
     docs = docs_of(spark, rows)
