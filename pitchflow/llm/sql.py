@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries of this folder."""
 
-from .license_scan import BASE, TEMPLATES, phrase_list
+from .license_scan import AGREE, BASE, RARE, SLACK, TEMPLATES, TEXTS, phrase_list, postings_of
 
 FOLD = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = "regexp_extract_all(" + FOLD.format("coalesce({0}, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -21,9 +21,13 @@ _PHRASES = phrase_list(TEMPLATES)
 _KEYS = _values((p, w, k, len(phrase.split())) for p, phrase in enumerate(_PHRASES) for k, w in enumerate(phrase.split()))
 _BASE = _values((_PHRASES.index(p), label) for label, p in BASE.items())
 _PARTS = _values((t, template.label, k, _PHRASES.index(p), rel, len(p.split())) for t, template in enumerate(TEMPLATES) for k, (p, rel) in enumerate(template.phrases))
+_POST = _values((t, w, p) for w, posts in postings_of().items() for t, p in posts)
+_MUST = _values((t, text.label, k, _PHRASES.index(p), text.place(p)) for t, text in enumerate(TEXTS) for k, p in enumerate(text.mandatory))
 
 OP2 = f"""
-WITH keys(p, word, off, len) AS (VALUES {_KEYS}),
+WITH post(t, word, p) AS (VALUES {_POST}),
+must(t, label, k, p, rel) AS (VALUES {_MUST}),
+keys(p, word, off, len) AS (VALUES {_KEYS}),
 base(p, label) AS (VALUES {_BASE}),
 parts(t, label, k, p, rel, len) AS (VALUES {_PARTS}),
 d AS (SELECT doc_id, {WORDS.format("text")} AS words FROM documents),
@@ -33,11 +37,18 @@ b AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS las
              string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
       FROM found JOIN base USING (p) GROUP BY doc_id),
 placed AS (SELECT f.doc_id, x.t, x.label, f.pos - x.rel AS start, count(*) AS n FROM found f JOIN parts x USING (p) GROUP BY ALL),
-l AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM placed
-      JOIN (SELECT t, count(*) AS all_n FROM parts GROUP BY t) USING (t) WHERE n = all_n GROUP BY doc_id),
-s AS (SELECT doc_id, max(have / total) AS score FROM (
+df AS (SELECT word, count(DISTINCT doc_id) AS df FROM w WHERE word IN (SELECT word FROM post) GROUP BY word),
+rare AS (SELECT doc_id, word FROM (SELECT DISTINCT doc_id, word, df FROM w JOIN df USING (word)) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY df, word) <= {RARE}),
+votes AS (SELECT doc_id, t, pos - post.p AS start, count(*) AS votes FROM w JOIN rare USING (doc_id, word) JOIN post USING (word) GROUP BY ALL HAVING count(*) >= {AGREE}),
+total AS (SELECT doc_id, t, count(*) AS total FROM rare JOIN post USING (word) GROUP BY ALL),
+verified AS (SELECT votes.doc_id, label, start, votes / total AS share FROM votes JOIN total USING (doc_id, t) JOIN must USING (t)
+      JOIN found f ON f.doc_id = votes.doc_id AND f.p = must.p AND abs(f.pos - start - rel) <= {SLACK}
+      JOIN (SELECT t, count(*) AS all_k FROM must GROUP BY t) USING (t) GROUP BY ALL HAVING count(DISTINCT k) = max(all_k)),
+l AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM placed
+      JOIN (SELECT t, count(*) AS all_n FROM parts GROUP BY t) USING (t) WHERE n = all_n UNION ALL SELECT doc_id, label FROM verified) GROUP BY doc_id),
+s AS (SELECT doc_id, max(score) AS score FROM (SELECT doc_id, share AS score FROM verified UNION ALL SELECT doc_id, max(have / total) FROM (
         SELECT doc_id, t, sum(len)::DOUBLE AS have FROM (SELECT DISTINCT doc_id, t, k, x.len FROM found JOIN parts x USING (p)) GROUP BY doc_id, t)
-      JOIN (SELECT t, sum(len) AS total FROM parts GROUP BY t) USING (t) GROUP BY doc_id)
+      JOIN (SELECT t, sum(len) AS total FROM parts GROUP BY t) USING (t) GROUP BY doc_id) GROUP BY doc_id)
 SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
        last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
 FROM d LEFT JOIN b USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN s USING (doc_id)

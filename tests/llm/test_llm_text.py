@@ -77,6 +77,25 @@ def test_license_scan(spark):
     assert license_scan.scan(df.limit(0)).count() == 0
 
 
+def test_license_texts(spark):
+    texts, long = {t.label: t.text for t in license_scan.TEXTS}, "plain words of another kind stand here "
+    wrapped = lambda t: long * 30 + "Copyright 2020 Someone\n# " + t.replace("\n", "\n# ") + "\n" + long * 900
+    rows = [(k, wrapped(t.text)) for k, t in enumerate(license_scan.TEXTS)]
+    cut = texts["mit"].split("THE SOFTWARE IS")[0]  # without the disclaimer
+    mixed = " ".join(sorted(texts["mit"].split()))  # all its words, at other places
+    rows += [(50, cut), (51, mixed), (52, texts["mit"] + long + texts["zlib"]), (52, texts["mit"] + long + texts["zlib"]), (53, texts["isc"].replace("hereby", "now and hereby"))]
+    rows += [(100 + k, long) for k in range(20)]
+    got = {r.doc_id: r for r in license_scan.scan(docs_of(spark, rows).withColumnRenamed("count", "n_words")).collect()}
+    for k, t in enumerate(license_scan.TEXTS):
+        assert t.label in got[k].labels.split(",") and got[k].score == 1, t.label
+    labels = lambda k: got[k].labels.split(",")
+    assert not {"bsd-2"} & set(labels(3)) and "bsd-3" not in labels(2) and "gpl-3" not in labels(4) and "gpl-2" not in labels(5)
+    assert labels(50) == ["mit"] and got[50].n_base == 0  # the short phrases alone name it
+    assert got[51].labels == "" and labels(52) == ["mit", "zlib"] and "isc" in labels(53)
+    assert all(got[100 + k].labels == "" and got[100 + k].score < 1 for k in range(20))
+    assert sum(r.doc_id == 52 for r in license_scan.scan(docs_of(spark, rows)).collect()) == 2
+
+
 def brute_hits(text, items):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
     w, hit, found = words(text), set(), set()
