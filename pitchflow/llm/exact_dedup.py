@@ -4,10 +4,14 @@ The index is a Spark table of one row for each distinct text, bucketed and sorte
 reduced to its distinct digests (partial counts before the shuffle), those that the index lacks are found by a
 sort-merge anti-join and appended, and every row of the batch then looks up which document keeps its text.
 
+A lasting index gets its number of buckets when it is made, `buckets`; they cannot be changed later, so choose them
+for the digests that are to come (`default_buckets`: two million digests, some 200 MB, in each). The index side of
+both joins is read without a shuffle. A digest that was appended twice, as by a job that was run again, counts once.
+
 Nulls, ties and edges: a null text counts as empty, and empty texts equal each other. Texts are equal when
 identical after lower-casing A-Z. The largest doc_id of a batch keeps the text; a null doc_id loses against any
 other. Rows that repeat the winning doc_id are all marked kept; `deduplicate` returns one of them. An empty batch
-changes nothing. Columns other than the two named ones are ignored here and carried through by `deduplicate`.
+changes nothing. A very long text is hashed whole. Columns other than the two named ones are ignored here and carried through by `deduplicate`.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 class DigestIndex:
     """A bucketed, sorted table of the digests that have been kept so far."""
 
-    def __init__(self, spark: SparkSession, table: str, buckets: int = 8):
+    def __init__(self, spark: SparkSession, table: str, buckets: int = 64):
         self.spark, self.table, self.buckets = spark, table, buckets
         if not spark.catalog.tableExists(table):
             self._append(spark.createDataFrame([], INDEX_SCHEMA), "errorifexists")
@@ -40,12 +44,14 @@ class DigestIndex:
         rows.write.mode(mode).bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table)
 
     def rows(self) -> DataFrame:
-        return self.spark.table(self.table)
+        """One row for each digest; grouped where it lies, as the buckets are by digest."""
+        return self.spark.table(self.table).groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"))
 
     def add(self, batch: DataFrame) -> None:
         """Appends those digests of `batch` (doc_id, digest) that the index has not yet."""
-        groups = batch.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        fresh = groups.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
+        # Written first, or the anti-join would be put before the grouping and meet all rows instead of partial counts.
+        groups = written(batch.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "batch-digests")
+        fresh = groups.join(self.spark.table(self.table).select("digest").hint("merge"), "digest", "left_anti")
         # A table is not read while it is appended to, so the new rows are written first.
         self._append(written(fresh, "fresh-digests"), "append")
 
