@@ -6,12 +6,14 @@ windows and scans every document's text once, whatever their number; a match is
 words, and from words to character offsets of the original.
 
 Size of the benchmark: an automaton of at most `max_patterns` windows is built in each worker, from benchmark texts
-sent along with the job. A larger benchmark is cut into slices of that size; the texts are then scanned once for
+that are broadcast once under their digest. A larger benchmark is cut into slices of that size; the texts are then scanned once for
 each slice and the hits are united, so its size is never a limit.
 
 Nulls, ties and edges: null and empty texts and items have no words and never hit. Items with equal texts or an
-equal item_id (as strings) all count, an item_id once. Repeated documents give repeated rows. Columns other than
-those named are not read.
+equal item_id (as strings) all count, an item_id once. The windows of an item without an item_id are searched for
+like others, so its documents are hit, contaminated and dropped; as it has no id to be named by, it counts neither in
+n_items nor in items_sha256. A very long text is scanned in one go, in memory of a few times its size. Repeated
+documents give repeated rows. Columns other than those named are not read.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +32,8 @@ from .common import bounded_batches, written
 WINDOW = 10
 _FOLD = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 _AUTOMATA: dict[str, object] = {}
+#: A digest and the broadcast items (item_id or None, text).
+Slice = tuple[str, Broadcast]
 
 SPANS = "doc_id bigint, n_words bigint, words array<struct<first:bigint,last:bigint>>, chars array<struct<first:bigint,last:bigint>>, items array<string>"
 
@@ -45,16 +50,16 @@ def windows(text: str | None, n: int = WINDOW) -> list[bytes]:
     return [b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))]
 
 
-def _automaton(items: list[tuple[str, str]]):
+def _automaton(slice_: Slice):
     """Windows, each between spaces, to (its number of words, the items that have it). Kept for the worker's next task."""
     import ahocorasick
 
-    key = hashlib.sha256(repr(items).encode("utf-8", "surrogatepass")).hexdigest()
+    key, items = slice_
     if key not in _AUTOMATA:
         owners: dict[bytes, set[str]] = {}
-        for item, text in items:
+        for item, text in items.value:
             for w in windows(text):
-                owners.setdefault(w, set()).add(item)
+                owners.setdefault(w, set()).update([] if item is None else [item])
         a = ahocorasick.Automaton()
         for w, who in owners.items():
             a.add_word(f" {w.decode('latin-1')} ", (w.count(b" ") + 1, sorted(who)))
@@ -98,7 +103,7 @@ def _scan(text: str | None, automaton) -> tuple[int, list, list, list]:
     return len(words), hit, [(int(chars[first[a]]), int(chars[last[b]])) for a, b in hit], sorted(items)
 
 
-def _spans_of(batches: Iterator[pa.RecordBatch], items: list[tuple[str, str]]) -> Iterator[pa.RecordBatch]:
+def _spans_of(batches: Iterator[pa.RecordBatch], items: Slice) -> Iterator[pa.RecordBatch]:
     """From doc_id, text and further columns; those are passed on."""
     automaton = _automaton(items)
     pair = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
@@ -111,21 +116,26 @@ def _spans_of(batches: Iterator[pa.RecordBatch], items: list[tuple[str, str]]) -
             yield pa.RecordBatch.from_arrays([part.column(0), *found, *part.columns[2:]], names=["doc_id", "n_words", "words", "chars", "items", *part.schema.names[2:]])
 
 
-def benchmark_slices(benchmark: DataFrame, max_patterns: int) -> list[list[tuple[str, str]]]:
-    """The benchmark's items in slices of at most about max_patterns words, to be sent with the jobs.
+def benchmark_slices(benchmark: DataFrame, max_patterns: int) -> list[Slice]:
+    """The benchmark's items, each slice of at most about max_patterns words broadcast under its digest.
 
-    Items come one partition at a time, and the driver holds no more than the benchmark.
+    Items come one partition at a time, and the driver holds no more than one slice.
     """
-    slices: list[list[tuple[str, str]]] = [[]]
-    size = 0
-    rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string"), "text")
+    context, slices, items, size, digest = benchmark.sparkSession.sparkContext, [], [], 0, hashlib.sha256()
+
+    def close() -> None:
+        slices.append((digest.hexdigest(), context.broadcast(items)))
+
+    rows = benchmark.where("text is not null").select(F.col("item_id").cast("string"), F.col("text").cast("string"))
     for item, text in rows.toLocalIterator():
         n = len(text) // 5 + 1  # no more words than that, near enough
-        if size + n > max_patterns and slices[-1]:
-            slices.append([])
-            size = 0
-        slices[-1].append((item, text))
+        if size + n > max_patterns and items:
+            close()
+            items, size, digest = [], 0, hashlib.sha256()
+        items.append((item, text))
+        digest.update(repr((item, text)).encode("utf-8", "surrogatepass"))
         size += n
+    close()
     return slices
 
 
@@ -178,7 +188,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, max_patterns: int = 2_000_000)
     return docs
 
 
-def _is_hit(items: list[tuple[str, str]]):
+def _is_hit(items: Slice):
     @F.arrow_udf("boolean")
     def is_hit(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         automaton = _automaton(items)

@@ -55,7 +55,7 @@ FROM d LEFT JOIN b USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN s USING (
 """
 
 OP10 = f"""
-WITH i AS (SELECT CAST(item_id AS VARCHAR) AS item, {WORDS.format("text")} AS words FROM benchmark WHERE item_id IS NOT NULL),
+WITH i AS (SELECT CAST(item_id AS VARCHAR) AS item, {WORDS.format("text")} AS words FROM benchmark),
 win AS (SELECT DISTINCT item, least(len(words), 10) AS n, array_to_string(list_slice(words, k, k + 9), ' ') AS gram
         FROM (SELECT item, words, unnest(generate_series(1, greatest(1, len(words) - 9))) AS k FROM i WHERE len(words) > 0)),
 d AS (SELECT doc_id, {WORDS.format("text")} AS words FROM documents),

@@ -42,6 +42,16 @@ def test_digest_index_persists(spark):
     assert sorted((r.doc_id, r.keep_id, r.kept) for r in exact_dedup.decisions(docs_of(spark, [(20, "Two"), (21, "four")]), again).collect()) == [(20, 2, False), (21, 21, True)]
 
 
+def test_digests_that_were_appended_twice_count_once(spark):
+    # a job that is run again after its driver was lost between the write and the commit appends once more
+    index = exact_dedup.DigestIndex(spark, "digest_twice")
+    rows = spark.createDataFrame([(exact_dedup.digests(docs_of(spark, [(1, "one")])).first().digest, 1, 1)], exact_dedup.INDEX_SCHEMA)
+    index._append(rows, "append")
+    index._append(rows, "append")
+    assert exact_dedup.decisions(docs_of(spark, [(2, "One"), (3, "two" * 100_000)]).withColumnRenamed("count", "kept"), index).count() == 2
+    assert "Exchange" not in index.rows()._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
+
+
 def test_hot_digest_is_joined_whole(spark):
     df = docs_of(spark, [(i, "same") for i in range(3000)] + [(i, str(i)) for i in range(3000, 6000)])
     out = exact_dedup.decisions(df)
@@ -128,6 +138,17 @@ def test_decontaminate(spark, max_patterns):
     assert decontaminate.report(df, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_items_without_an_id_are_searched_for(spark):
+    df = docs_of(spark, [(1, "one two three four"), (2, "five six seven"), (3, "five six"), (3, "five six")]).withColumnRenamed("count", "n_hit")
+    bench = spark.createDataFrame([(None, "two three"), (None, None), (7, "five six")], "item_id bigint, text string")
+    for most in (2_000_000, 1):
+        out = decontaminate.report(df, bench, most).collect()
+        got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in out}
+        assert len(out) == 4 and got == {1: (2, 0, True), 2: (2, 1, True), 3: (2, 1, True)}
+        assert {r.items_sha256 for r in out if r.doc_id == 1} == {hashlib.sha256(b"").hexdigest()}
+        assert decontaminate.clean(df, bench, most).count() == 0
+
+
 def test_decontaminate_offsets(spark):
     df = docs_of(spark, [(1, "Ünlike - Über, the END... no")])
     bench = spark.createDataFrame([(1, "über the end")], "item_id bigint, text string")
