@@ -5,13 +5,16 @@ and words look like: shares of character classes and of pairs of them, word leng
 small network encodes passages further, a gated attention (Ilse, Tomczak, Welling 2018) learns from document labels
 alone which passages matter, and the weighted passage is scored.
 
-Fitted on a bounded sample: the `max_train` labelled rows with the smallest keyed hash of their doc_id, among those
-whose crc32(doc_id) mod 3 is not 1. Only passage vectors of these reach the driver. Every document is scored, whole.
-Scores come from the text alone.
+Fitted on a bounded sample: the `max_train` labelled documents with the smallest keyed hash of their doc_id, among
+those whose crc32(doc_id) mod 3 is not 1, as far as their texts fit in `max_bytes` together; one that does not fit is
+passed over, and a text is taken whole or not at all. Only passage vectors of these, about 0.4 bytes for each byte of
+text, reach the driver. Every document is scored, whole. Scores come from the text alone.
 
 Nulls, ties and edges: null and empty texts are one passage of no words and are scored as such. A doc_id labelled
-both 0 and 1 counts as 1; labels that are null or without a document are left out. With no usable label, or only
-one class, every score is that class's share (0.5 without labels). Repeated rows repeat their result. Only doc_id
+both 0 and 1 counts as 1; labels that are null or without a document are left out. Of rows that repeat a labelled
+doc_id one is learned from, the shortest text, then that of the smallest hash. A very long text is scored whole, in
+memory of about 100 times its size. With no usable label, or only
+one class, every score is that class's share (0.5 without labels), so `keep_good` keeps all, or none if all labels are 0. Repeated rows repeat their result. Only doc_id
 and text are read.
 """
 
@@ -29,6 +32,7 @@ from .tokens import small_slices
 
 PASSAGE = 1024
 MAX_TRAIN = 4000
+MAX_BYTES = 64_000_000
 #: Bytes of text that are looked at together; a worker needs about 100 times as much memory.
 SLICE = 200_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -145,6 +149,18 @@ class AttentionModel:
     def score(self, x: np.ndarray, bags: np.ndarray) -> np.ndarray:
         return np.full(len(bags), self.constant) if self.constant is not None else self._forward(x, bags)["p"]
 
+    def gradient(self, x: np.ndarray, bags: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean log loss, by weight."""
+        f, p = self._forward(x, bags), self.p
+        ds = (f["p"] - y) / len(y)
+        dz = np.repeat(ds[:, None] * p["c"], bags, axis=0)
+        da = (dz * f["h"]).sum(axis=1)
+        de = f["a"] * (da - np.repeat(np.add.reduceat(f["a"] * da, f["at"]), bags))
+        dt = de[:, None] * p["w"] * f["s"] * (1 - f["t"] ** 2)
+        du = de[:, None] * p["w"] * f["t"] * f["s"] * (1 - f["s"])
+        dh = (f["a"][:, None] * dz + dt @ p["V"].T + du @ p["U"].T) * (1 - f["h"] ** 2)
+        return {"W": f["x"].T @ dh, "b": dh.sum(axis=0), "V": f["h"].T @ dt, "U": f["h"].T @ du, "w": de @ (f["t"] * f["s"]), "c": ds @ f["z"], "d": ds.sum()}
+
     def fit(self, x: np.ndarray, bags: np.ndarray, y: np.ndarray, rounds: int = 250, rate: float = 0.02, decay: float = 1e-4) -> AttentionModel:
         if not len(y) or y.min() == y.max():
             self.constant = float(y.mean()) if len(y) else 0.5
@@ -153,16 +169,7 @@ class AttentionModel:
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(u) for k, u in self.p.items()}
         for i in range(1, rounds + 1):
-            f, p = self._forward(x, bags), self.p
-            ds = (f["p"] - y) / len(y)
-            dz = np.repeat(ds[:, None] * p["c"], bags, axis=0)
-            da = (dz * f["h"]).sum(axis=1)
-            de = f["a"] * (da - np.repeat(np.add.reduceat(f["a"] * da, f["at"]), bags))
-            dt = de[:, None] * p["w"] * f["s"] * (1 - f["t"] ** 2)
-            du = de[:, None] * p["w"] * f["t"] * f["s"] * (1 - f["s"])
-            dh = (f["a"][:, None] * dz + dt @ p["V"].T + du @ p["U"].T) * (1 - f["h"] ** 2)
-            grad = {"W": f["x"].T @ dh, "b": dh.sum(axis=0), "V": f["h"].T @ dt, "U": f["h"].T @ du, "w": de @ (f["t"] * f["s"]), "c": ds @ f["z"], "d": ds.sum()}
-            for k, g in grad.items():
+            for k, g in self.gradient(x, bags, y).items():
                 g = g + decay * self.p[k]
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.999 * v[k] + 0.001 * g * g
@@ -187,16 +194,34 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rows, pa.binary())], names=["doc_id", "quality", "x"])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> AttentionModel:
-    """Fits on at most max_train labelled documents outside the held-out third."""
-    bounded_batches(docs.sparkSession)
+def fitting(sizes: list[int], most: int) -> list[bool]:
+    """Which of the sizes, one after the other, still fit in `most` together."""
+    used, out = 0, []
+    for n in sizes:
+        out.append(used + n <= most)
+        used += n if out[-1] else 0
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_bytes: int = MAX_BYTES) -> AttentionModel:
+    """Fits on at most max_train labelled documents, of max_bytes together, outside the held-out third."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
     doc = F.col("doc_id").cast("bigint")
     known = labels.where("doc_id is not null and quality is not null").where(~held_out(doc)).groupBy(doc.alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
     # Only labels of documents that are there count towards the bound.
     known = known.join(docs.select(doc.alias("doc_id")).distinct(), "doc_id", "left_semi")
-    some = known.orderBy(F.xxhash64(F.lit("quality"), "doc_id"), "doc_id").limit(max_train)
-    rows = docs.select(doc.alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id").select("doc_id", "quality", "text")
-    got = sorted(map(tuple, rows.mapInArrow(_vectors, "doc_id bigint, quality int, x binary").collect()))
+    order = F.xxhash64(F.lit("quality"), "doc_id")
+    some = known.orderBy(order, "doc_id").limit(max_train)
+    texts = docs.select(doc.alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
+    # One text for each document: at most max_train rows, of three numbers each, come to the driver here.
+    size = F.min(F.struct(F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"), "th")).alias("x")
+    found = texts.join(F.broadcast(some), "doc_id").groupBy("doc_id", "quality").agg(size).select("doc_id", "quality", "x.n", "x.th").orderBy(order, "doc_id").collect()
+    taken = [(r.doc_id, r.quality, r.th) for r, fits in zip(found, fitting([r.n for r in found], max_bytes), strict=True) if fits]
+    chosen = spark.createDataFrame(taken, "doc_id bigint, quality int, th bigint")
+    rows = texts.join(F.broadcast(chosen), ["doc_id", "th"]).select("doc_id", "quality", "text")
+    vectors = rows.mapInArrow(_vectors, "doc_id bigint, quality int, x binary").dropDuplicates(["doc_id"])
+    got = sorted(map(tuple, vectors.collect()))
     vectors = [np.frombuffer(x, np.float32).reshape(-1, WIDTH) for _, _, x in got]
     x = np.concatenate(vectors) if vectors else np.zeros((0, WIDTH), np.float32)
     return AttentionModel().fit(x, np.array([len(v) for v in vectors], int), np.array([q for _, q, _ in got], float))

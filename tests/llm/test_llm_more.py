@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import string
 
 import numpy as np
@@ -235,10 +236,60 @@ def test_attention_gradient():
     loss = lambda m: -np.mean(y * np.log(m.score(x, bags)) + (1 - y) * np.log(1 - m.score(x, bags)))
     m = quality.AttentionModel(6)
     before = loss(m)
+    for name, g in m.gradient(x, bags, y).items():  # against finite differences, weight by weight
+        w = m.p[name]
+        for at in np.ndindex(w.shape):
+            old, ends = w[at], []
+            for step in (1e-5, -1e-5):
+                m.p[name] = w.copy()
+                m.p[name][at] = old + step
+                ends.append(loss(m))
+            m.p[name] = w
+            assert abs((ends[0] - ends[1]) / 2e-5 - g[at]) < 1e-6, (name, at)
     m.fit(x, bags, y, rounds=100)
     assert loss(m) < 0.3 * before
 
 
+def plain_passages(text: bytes) -> list[list[float]]:
+    """What quality.passages finds in one text, byte by byte; a text is closed by a line's end."""
+    data, out = text + b"\n", []
+    bags = max(1, -(-len(text) // quality.PASSAGE))
+    words = [(m.start(), m.group()) for m in re.finditer(rb"[^\x00-\x20]+", data)]
+    for k in range(bags):
+        a, b = k * quality.PASSAGE, len(data) if k == bags - 1 else (k + 1) * quality.PASSAGE
+        fine, pairs = [0] * quality.N_FINE, [0] * quality.N_COARSE**2
+        for i in range(a, b):
+            fine[quality.FINE[data[i]]] += 1
+            pairs[quality.COARSE[data[i - 1] if i else 10] * quality.N_COARSE + quality.COARSE[data[i]]] += 1
+        mine = [w for at, w in words if a <= at < b]
+        n = max(1, len(mine))
+        again = sum(x == y for x, y in zip(mine, mine[1:], strict=False))
+        rest = [sum(map(len, mine)) / n / 10, again / n, len(set(mine)) / n, np.log1p(n) / 5, np.log1p(bags) / 5]
+        out.append([x / (b - a) for x in fine] + [x / (b - a) for x in pairs] + rest)
+    return out
+
+
+def test_passages_equal_the_plain_version():
+    rng = random.Random(13)
+    texts = [b"", b" ", b"a", b"from from from x", b"x" * 1024, b"x" * 1025, b"ab " * 700, "é 日本 😀 A1!".encode() * 200, random_text(rng, 5000).encode(), b"\n\n"]
+    x, bags = quality.passages(texts)
+    want = [plain_passages(t) for t in texts]
+    assert bags.tolist() == [len(w) for w in want]
+    np.testing.assert_allclose(x, np.array([r for w in want for r in w]), atol=1e-6)
+
+
+def test_quality_sample_is_bounded(spark):
+    assert quality.fitting([5, 9, 4, 1], 10) == [True, False, True, True] and quality.fitting([], 3) == []
+    rows = [(i, f"{'good text' if i % 2 else 'from from'} {i}", "s") for i in range(60)] + [(61, "good " * 1000, "s")]
+    docs, labels = docs_of(spark, rows + [rows[3]] * 5), spark.createDataFrame([(i, i % 2, 0) for i, *_ in rows], "doc_id bigint, quality int, toxic int")
+    scores = lambda **o: sorted((r.doc_id, r.score) for r in quality.scores(docs, quality.train(docs, labels, **o)).collect())
+    assert scores(max_bytes=10**6) != scores(max_bytes=300) and scores(max_bytes=0)[0][1] == 0.5
+    # one class alone: all documents are kept or all dropped
+    for q in (0, 1):
+        model = quality.train(docs, labels.where(f"quality = {q}"))
+        assert quality.keep_good(docs.withColumnRenamed("n_chars", "score"), model).count() == q * docs.count()
+
+
 def test_quality_held_out(spark):
     rng = random.Random(8)
     rows, labels = [], []
