@@ -2,10 +2,26 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _letters_with_accents() -> tuple[str, str]:
+    """The lower-case letters that are a letter and accents, from the rule of canonical decomposition, and those letters."""
+    pairs = {}
+    for code in range(0xC0, 0x2000):
+        c = chr(code)
+        base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).lower()
+        if len(base) == 1 and base != c and c == c.lower():
+            pairs[c] = base
+    return "".join(pairs), "".join(pairs.values())
+
+
+ACCENTED, PLAIN = _letters_with_accents()
+
+
 def safe_div(n: Column, d: Column) -> Column:
     """n / d, 0 when d is 0 or null."""
     return F.when((d == 0) | d.isNull(), F.lit(0.0)).otherwise(n / d)
@@ -48,8 +64,9 @@ def to_number(text: Column) -> Column:
 
 
 def normal_name(name: Column) -> Column:
-    """Lower case, single spaces."""
-    return F.regexp_replace(F.lower(F.trim(name)), r"\s+", " ")
+    """Lower case, single spaces, letters without their accents."""
+    plain = F.translate(F.lower(name), ACCENTED, PLAIN)
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"\p{M}+", ""), r"\s+", " "))
 
 
 def slug(text: Column) -> Column:

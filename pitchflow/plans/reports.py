@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import baseline as B
 from ..operators import chains as C
 from ..operators import decision as D
 from ..operators import insights as I
 from ..operators import load as L
-from ..sources.adapters import ACTIONS, EVENTS, PLAYER_DAYS, actions, player_days, table, team_matches
+from ..sources.adapters import ACTIONS, EVENTS, PLAYER_DAYS, actions, player_days, table
 from . import load as load_plans
 from . import teams as team_plans
 from .rounding import pick as _pick
@@ -56,7 +55,6 @@ QUERIES = {
     "c11_sides": lambda s, d: C.sides(actions(s, d)),
     "c12_match_overview": lambda s, d: C.match_overview(actions(s, d)),
     "r8_condensed": lambda s, d: C.condensed(actions(s, d)).select("match_id", "possession_id", F.array_join(F.transform("events", lambda x: F.concat(x["event_type"], F.lit(":"), x["player_id"].cast("string"))), ">").alias("events")),
-    "b18_checks": lambda s, d: B.checks(B.ratios(team_matches(s, d)), tuple(B.RATIOS)),
     "dq8_phases": lambda s, d: _pick(D.phases(_chosen(s, d)), ("match_id", "section", "rank", "event_id"), "value", "gain"),
     "dq9_player_sections": lambda s, d: _pick(D.player_sections(D.player_summary(_chosen(s, d))), ("section", "rank", "player_id"), "score"),
     "dq12_match_summary": lambda s, d: _pick(D.match_summary(_chosen(s, d)), ("match_id", "actions", "players", "low", "with_alternative", "missed_total", "missed_listed"), "value"),
@@ -79,7 +77,6 @@ _PHASE = "SELECT * FROM (SELECT match_id, '{0}' AS section, row_number() OVER (P
 _SECTION = "SELECT '{0}' AS section, player_id, score, row_number() OVER (ORDER BY round(score, 9) {2}, player_id) AS rank FROM p WHERE {1}"
 _K9 = f"WITH k AS ({load_plans.SQL['k9_fatigue']})"
 _EACH = " UNION ALL ".join(f"SELECT event_id, '{a}' AS act, {k} AS k, p_{a} AS v FROM w" for k, a in enumerate(D.ACTIONS))
-_BAD = ", ".join(f"('not_finite_{m}', (SELECT count(*) FROM r WHERE {m} IS NULL OR NOT isfinite({m})))" for m in B.RATIOS)
 _NODES = "n AS (SELECT match_id, team_id, player_id, avg(x) AS mean_x, avg(y) AS mean_y, count(*) AS touches FROM {0} GROUP BY ALL HAVING avg(x) IS NOT NULL)"
 
 SQL = {
@@ -97,9 +94,6 @@ SQL = {
         SELECT match_id, ids[1] AS home_id, ids[2] AS away_id, seen[1] AS first_id, seen[2] AS second_id FROM g""",
     "c12_match_overview": f"{_A} SELECT match_id, count(*) AS events, count(DISTINCT team_id) AS teams, max(sec) AS last_sec FROM a GROUP BY ALL",
     "r8_condensed": f"{_A} SELECT match_id, possession_id, string_agg(event_type || ':' || player_id, '>' ORDER BY sec, event_id) AS events FROM a WHERE possession_id IS NOT NULL GROUP BY ALL",
-    "b18_checks": f"""{team_plans._V}, k AS (SELECT match_id, team_id, count(*) AS n FROM r GROUP BY ALL), m AS (SELECT match_id, count(*) AS teams FROM k GROUP BY ALL)
-        SELECT * FROM (VALUES ('missing_id', (SELECT count(*) FROM r WHERE match_id IS NULL OR team_id IS NULL)), {_BAD}, ('repeated_key', (SELECT count(*) FROM k WHERE n > 1)),
-        ('under_two_teams', (SELECT count(*) FROM m WHERE teams < 2)), ('over_two_teams', (SELECT count(*) FROM m WHERE teams > 2))) x("check", failures)""",
     "dq8_phases": f"""{_S}, {_MISSED}, x AS ({_PHASE.format('best', 'ch', 'value')} UNION ALL {_PHASE.format('improvable', '(SELECT * FROM ch WHERE suggested IS NOT NULL)', 'gain')} UNION ALL {_PHASE.format('missed', 'mi', 'gain')})
         SELECT match_id, section, rank, event_id, {_R(6, 'value', 'gain')} FROM x""",
     "dq9_player_sections": f"""{_S}, pl AS (SELECT player_id, count(*) AS actions, avg(value) AS score FROM ch GROUP BY ALL), p AS (SELECT *, score <= (SELECT quantile_cont(score, 0.25) FROM pl) AND actions >= 3 AS needs_support FROM pl),

@@ -4,23 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import baseline as B
 from ..operators import decision as D
 from ..operators import fusion as X
-from ..sources.adapters import ACTIONS, SIGNALS, TEAM_MATCHES, actions, signals, team_matches
+from ..sources.adapters import ACTIONS, SIGNALS, actions, signals
 from .rounding import pick as _pick
 from .rounding import rounded as _R
 
 
-def _values(s, d):
-    return B.long(B.ratios(team_matches(s, d)))
-
-
-def _compared(s, d):
-    v = _values(s, d)
-    return B.compare(v, B.league_baseline(v))
-
-
 def _scored(s, d):
     """Scores by a fixed rule of place and type; a trained model takes its place in operators.models."""
     a = actions(s, d).where(F.col("event_type").isin(*D.ACTIONS))
@@ -37,13 +27,6 @@ def _labelled(s, d):
 
 
 QUERIES = {
-    "b4_ratios": lambda s, d: _pick(B.ratios(team_matches(s, d)), B.KEYS, *B.RATIOS),
-    "b7_league_baseline": lambda s, d: _pick(B.league_baseline(_values(s, d)), ("metric", "n"), "mean", "std", "min", "max", "p10", "p25", "p50", "p75", "p90"),
-    "w6_percentiles": lambda s, d: _pick(B.percentile_of(_values(s, d)), ("metric",), "value", "percentile"),
-    "b9_comparisons": lambda s, d: _pick(_compared(s, d), (*B.KEYS, "metric", "status"), "z", "percentile", digits=5),
-    "b12_insights": lambda s, d: _pick(B.insights(_compared(s, d), 2), (*B.KEYS, "metric", "type", "rank"), "severity", "confidence", digits=5),
-    "b14_weakness_report": lambda s, d: _pick(B.weakness_report(_compared(s, d)), (*B.KEYS, "risk"), *B.BUCKET_WEIGHTS, "overall", digits=5),
-    "b6_snapshot_difference": lambda s, d: _pick(B.snapshot_difference(_values(s, d), _values(s, d).where("team_id % 3 <> 0").withColumn("value", F.col("value") * 1.1)), ("metric", "n"), "mean_diff", "max_diff"),
     "x4_fusion": lambda s, d: _pick(X.fuse(signals(s, d)), ("sample_id", "category", "n"), "baseline", "decision", "combined", "confidence"),
     "x4_ranked_players": lambda s, d: X.ranked_players(signals(s, d)),
     "x7_player_priorities": lambda s, d: _pick(X.player_priorities(signals(s, d)), ("sample_id", "player_id", "n", "categories", "rank"), "priority"),
@@ -59,19 +42,6 @@ QUERIES = {
     "m4_evaluation": lambda s, d: _pick(D.evaluation(_labelled(s, d)), ("n",), "auc", "average_precision", "brier"),
 }
 
-_V = f"""WITH {TEAM_MATCHES}, r AS (SELECT *, """ + ", ".join(f"coalesce({n} / nullif({m}, 0), 0) AS {x}" for x, (n, m, _) in B.RATIOS.items()) + """ FROM t),
-v AS (""" + " UNION ALL ".join(f"SELECT match_id, team_id, '{x}' AS metric, {x} AS value FROM r" for x in B.RATIOS) + ")"
-_BASE = f"""{_V}, b AS (SELECT metric, count(*) AS n, avg(value) AS mean, stddev_pop(value) AS std, min(value) AS min, max(value) AS max, quantile_cont(value, [0.1, 0.25, 0.5, 0.75, 0.9]) AS q FROM v GROUP BY metric)"""
-_DIR = ", ".join(f"('{m}', '{d}', '{B.RULES[m][0]}', '{B.RULES[m][1]}', {k})" for k, (m, (_, _, d)) in enumerate(B.RATIOS.items()))
-_C = f"""{_BASE}, dir(metric, direction, type, bucket, rule) AS (VALUES {_DIR}),
-c0 AS (SELECT v.*, direction, type, bucket, rule, 100.0::DOUBLE * cume_dist() OVER (PARTITION BY v.metric ORDER BY value) AS percentile, CASE WHEN std <> 0 THEN (value - mean) / std END AS z FROM v JOIN b USING (metric) JOIN dir USING (metric)),
-c1 AS (SELECT *, CASE WHEN z IS NULL THEN 'insufficient_data' WHEN direction = 'higher_is_better' THEN CASE WHEN z <= -1.5 THEN 'very_weak' WHEN z <= -0.75 THEN 'weak' WHEN z < 0.75 THEN 'normal' WHEN z < 1.5 THEN 'strong' ELSE 'very_strong' END
-  ELSE CASE WHEN z <= -1.5 THEN 'very_strong' WHEN z <= -0.75 THEN 'strong' WHEN z < 0.75 THEN 'normal' WHEN z < 1.5 THEN 'weak' ELSE 'very_weak' END END AS s0 FROM c0),
-c AS (SELECT *, CASE WHEN s0 = 'normal' AND CASE WHEN direction = 'higher_is_better' THEN percentile <= 25 ELSE percentile >= 75 END THEN 'warning' ELSE s0 END AS status FROM c1),
-i0 AS (SELECT *, greatest(0, least(1, (CASE WHEN direction = 'higher_is_better' THEN -z ELSE z END) / 3)) AS severity FROM c WHERE status IN ('weak', 'very_weak', 'warning')),
-i AS (SELECT *, row_number() OVER (PARTITION BY match_id, team_id ORDER BY round(severity, 9) DESC, rule) AS rank FROM i0)"""
-_BUCKETS = ", ".join(f"coalesce(max(severity) FILTER (WHERE bucket = '{b}'), 0) AS {b}" for b in B.BUCKET_WEIGHTS)
-_OVERALL = "greatest(" + " + ".join(f"{w}::DOUBLE * {b}" for b, w in B.BUCKET_WEIGHTS.items()) + ", 0.75::DOUBLE * worst)"
 _F = f"""WITH {SIGNALS}, f0 AS (SELECT sample_id, category, coalesce(avg(severity) FILTER (WHERE side = 'baseline'), 0) AS baseline, coalesce(avg(severity) FILTER (WHERE side = 'decision'), 0) AS decision, count(*) AS n FROM s GROUP BY ALL),
 f AS (SELECT *, 0.6::DOUBLE * baseline + 0.4::DOUBLE * decision AS combined, least(0.95, n / 6.0::DOUBLE) AS confidence FROM f0)"""
 _LEVEL = "CASE WHEN {0} >= critical THEN 3 WHEN {0} >= high THEN 2 WHEN {0} >= medium THEN 1 ELSE 0 END"
@@ -83,17 +53,6 @@ ch AS (SELECT *, CASE WHEN low AND best <> event_type AND gain >= 0.02 THEN best
 _LAB = f"""{_A}, l AS (SELECT *, coalesce(max((event_type = 'shot')::INT) OVER (PARTITION BY match_id, team_id ORDER BY sec RANGE BETWEEN 1 FOLLOWING AND 600 FOLLOWING), 0) AS label FROM aa)"""
 
 SQL = {
-    "b4_ratios": f"{_V} SELECT match_id, team_id, {_R(6, *B.RATIOS)} FROM r",
-    "b7_league_baseline": f"{_BASE} SELECT metric, n, {_R(6, 'mean', 'std', 'min', 'max')}, " + ", ".join(f"round(q[{k}] + 3.3e-10, 6) AS {p}" for k, p in enumerate(("p10", "p25", "p50", "p75", "p90"), 1)) + " FROM b",
-    "w6_percentiles": f"{_V} SELECT DISTINCT metric, round(value + 3.30e-10, 6) AS value, round(percentile + 3.30e-10, 6) AS percentile FROM (SELECT metric, value, 100.0::DOUBLE * cume_dist() OVER (PARTITION BY metric ORDER BY value) AS percentile FROM v)",
-    "b9_comparisons": f"{_C} SELECT match_id, team_id, metric, status, {_R(5, 'z', 'percentile')} FROM c",
-    "b12_insights": f"{_C} SELECT match_id, team_id, metric, type, rank, round(severity + 3.30e-09, 5) AS severity, round(0.55::DOUBLE + 0.45::DOUBLE * severity + 3.3e-9, 5) AS confidence FROM i WHERE rank <= 2",
-    "b14_weakness_report": f"""{_C}, w AS (SELECT match_id, team_id, {_BUCKETS}, coalesce(max(severity), 0) AS worst FROM i RIGHT JOIN (SELECT DISTINCT match_id, team_id FROM v) USING (match_id, team_id) GROUP BY ALL),
-        o AS (SELECT *, {_OVERALL} AS overall FROM w)
-        SELECT match_id, team_id, CASE WHEN overall >= 0.8 THEN 'critical' WHEN overall >= 0.6 THEN 'high' WHEN overall >= 0.4 THEN 'medium' WHEN overall >= 0.2 THEN 'low' ELSE 'minimal' END AS risk, {_R(5, *B.BUCKET_WEIGHTS, 'overall')} FROM o""",
-    "b6_snapshot_difference": f"""{_V}, y AS (SELECT match_id, team_id, metric, value * 1.1::DOUBLE AS value FROM v WHERE team_id % 3 <> 0),
-        j AS (SELECT metric, coalesce(v.value, 0) AS a, coalesce(y.value, 0) AS b FROM v FULL JOIN y USING (match_id, team_id, metric)), x AS (SELECT *, abs(a - b) / greatest(abs(a), abs(b), 1e-9) AS d FROM j)
-        SELECT metric, count(*) AS n, round(avg(d) + 3.30e-10, 6) AS mean_diff, round(max(d) + 3.30e-10, 6) AS max_diff FROM x GROUP BY metric""",
     "x4_fusion": f"{_F} SELECT sample_id, category, n, {_R(6, 'baseline', 'decision', 'combined', 'confidence')} FROM f",
     "x4_ranked_players": f"WITH {SIGNALS}, n AS (SELECT sample_id, category, player_id, count(*) AS n FROM s WHERE side = 'decision' GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, category ORDER BY n.n DESC, player_id) AS rank FROM n) WHERE rank <= 3",
     "x7_player_priorities": f"""WITH {SIGNALS}, g AS (SELECT sample_id, player_id, count(*) AS n, string_agg(DISTINCT category, ',' ORDER BY category) AS categories, least(1, avg(severity) * 0.75::DOUBLE + least(0.25, count(*) * 0.03::DOUBLE)) AS priority FROM s WHERE side = 'decision' GROUP BY ALL)

@@ -25,11 +25,11 @@ EVENTS = """e AS (SELECT event_id::BIGINT AS event_id, ts, user_id::BIGINT AS us
   (extract(hour FROM ts) * 3600 + extract(minute FROM ts) * 60 + floor(extract(second FROM ts)))::BIGINT AS sec FROM events)"""
 
 _ACTION_EXPR = {
-    "match_id": "day",
+    "match_id": "day * 100000 + {hundred}",
     "team_id": "user_id % 2",
     "player_id": "user_id",
     "period": "CASE WHEN sec < 43200 THEN '1H' ELSE '2H' END",
-    "event_type": "CASE event_type WHEN 'view' THEN 'pass' WHEN 'click' THEN 'carry' WHEN 'purchase' THEN 'shot' WHEN 'error' THEN 'ground_duel' ELSE 'aerial_duel' END",
+    "event_type": "CASE event_type WHEN 'view' THEN 'pass' WHEN 'click' THEN 'carry' WHEN 'purchase' THEN 'shot' WHEN 'error' THEN CASE WHEN k % 9 = 4 THEN 'infraction' ELSE 'ground_duel' END ELSE 'aerial_duel' END",
     "x": "CAST((event_id * 37) % 101 AS DOUBLE)",
     "y": "CAST((event_id * 53) % 101 AS DOUBLE)",
     "end_x": "CASE WHEN event_type IN ('view', 'click') THEN CAST((event_id * 71) % 101 AS DOUBLE) END",
@@ -41,6 +41,7 @@ _ACTION_EXPR = {
     "on_target": "CASE WHEN event_type = 'purchase' THEN k % 2 = 0 END",
     "is_goal": "CASE WHEN event_type = 'purchase' THEN k % 4 = 0 END",
     "tag_loss": "k % 7 = 0",
+    "tag_offside": "event_type = 'view' AND k % 23 = 5",
     "tag_duel_lost": "event_type IN ('error', 'signup') AND k % 2 = 0",
     "tag_progressive": "event_type IN ('view', 'click') AND k % 2 = 0",
     "tag_through": "event_type = 'view' AND k % 5 = 0",
@@ -55,11 +56,11 @@ _ACTION_EXPR = {
 
 def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each event of a match: a flat action with its place, outcome, tags and possession."""
-    exprs = [F.expr(x.format(div="event_id div 4")).alias(c) for c, x in _ACTION_EXPR.items()]
+    exprs = [F.expr(x.format(div="event_id div 4", hundred="user_id div 100")).alias(c) for c, x in _ACTION_EXPR.items()]
     return _events(spark, sf_dir).select("event_id", "sec", *exprs)
 
 
-ACTIONS = EVENTS + ",\na AS (SELECT event_id, sec, " + ", ".join(f"{x.format(div='event_id // 4')} AS {c}" for c, x in _ACTION_EXPR.items()) + " FROM e)"
+ACTIONS = EVENTS + ",\na AS (SELECT event_id, sec, " + ", ".join(f"{x.format(div='event_id // 4', hundred='user_id // 100')} AS {c}" for c, x in _ACTION_EXPR.items()) + " FROM e)"
 
 
 def player_days(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,34 +78,61 @@ p AS (SELECT user_id AS player_id, day, count(*) AS sessions, sum(value) AS dist
   sum(CASE WHEN k >= 80 THEN value ELSE 0.0 END) AS high_speed, 'r' || (user_id % 3) AS role FROM e GROUP BY user_id, day)"""
 
 
+#: Sums over the rows of `lineitem`, each an action, that stand for the totals of a team's match.
+_TOTAL_EXPR = {
+    "passes": "l_returnflag <> 'R'",
+    "successfulPasses": "l_returnflag <> 'R' AND z < 78",
+    "progressivePasses": "l_returnflag <> 'R' AND z % 5 = 0",
+    "successfulProgressivePasses": "l_returnflag <> 'R' AND z % 5 = 0 AND l_linestatus = 'F'",
+    "passesToFinalThird": "l_returnflag <> 'R' AND z % 6 = 1",
+    "successfulPassesToFinalThird": "l_returnflag <> 'R' AND z % 6 = 1 AND l_linestatus = 'F'",
+    "forwardPasses": "l_returnflag <> 'R' AND z % 3 = 0",
+    "successfulForwardPasses": "l_returnflag <> 'R' AND z % 3 = 0 AND z < 70",
+    "losses": "l_returnflag = 'R' AND z < 60",
+    "ownHalfLosses": "l_returnflag = 'R' AND z < 60 AND z % 2 = 0",
+    "dangerousOwnHalfLosses": "l_returnflag = 'R' AND z < 60 AND z % 10 = 0",
+    "dribbles": "z >= 60 AND z < 75",
+    "receivedPass": "l_linestatus = 'O'",
+    "shots": "l_quantity > 40",
+    "shotsOnTarget": "l_quantity > 40 AND z % 3 = 0",
+    "touchInBox": "l_quantity > 30",
+    "recoveries": "l_tax > 0.03",
+    "counterpressingRecoveries": "l_tax > 0.03 AND z % 4 = 0",
+    "opponentHalfRecoveries": "l_tax > 0.03 AND z % 3 = 1",
+    "duels": "l_discount > 0.02",
+    "duelsWon": "l_discount > 0.02 AND z % 2 = 0",
+    "defensiveDuels": "l_discount > 0.02 AND z % 3 = 0",
+    "defensiveDuelsWon": "l_discount > 0.02 AND z % 6 = 0",
+    "offensiveDuels": "l_discount > 0.02 AND z % 3 = 1",
+    "offensiveDuelsWon": "l_discount > 0.02 AND z % 6 = 1",
+    "aerialDuels": "l_discount > 0.02 AND z % 3 = 2",
+    "aerialDuelsWon": "l_discount > 0.02 AND z % 6 = 5",
+    "pressingDuels": "l_discount > 0.05",
+    "pressingDuelsWon": "l_discount > 0.05 AND z % 2 = 1",
+}
+_XG = "CASE WHEN l_quantity > 40 THEN l_discount ELSE 0 END"
+
+
 def team_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each ship month and supplier: counts and sums that serve as numerators and denominators."""
-    l = table(spark, sf_dir, "lineitem")  # noqa: E741
-    match = ((F.year("l_shipdate") * 12 + F.month("l_shipdate")) % 6).cast("bigint")
-    count = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("double")
-    return l.groupBy(match.alias("match_id"), (F.col("l_suppkey") % 40).cast("bigint").alias("team_id")).agg(
-        F.count(F.lit(1)).cast("double").alias("passes"),
-        count(F.col("l_returnflag") == "R").alias("lost"),
-        count(F.col("l_linestatus") == "F").alias("good"),
-        count((F.col("l_linestatus") == "F") & (F.col("l_returnflag") == "R")).alias("danger"),
-        F.sum(F.col("l_quantity").cast("bigint")).cast("double").alias("shots"),
-        F.sum(F.when(F.col("l_discount") > 0.05, F.col("l_quantity").cast("bigint")).otherwise(0)).cast("double").alias("on_target"),
-    )
+    """One row for each match, of a hundred order keys, and each of its two teams out of sixteen: the totals."""
+    l = table(spark, sf_dir, "lineitem").withColumn("match_id", F.expr("cast(l_orderkey div 100 as bigint)"))  # noqa: E741
+    l = l.withColumns({"team_id": F.expr("cast((match_id + (l_linenumber % 2) * (1 + match_id % 7)) % 16 as bigint)"), "z": F.expr("(l_orderkey * 31 + l_linenumber * 17 + l_partkey) % 100")})  # noqa: E741
+    counts = [F.sum(F.when(F.expr(x), 1).otherwise(0)).cast("double").alias(c) for c, x in _TOTAL_EXPR.items()]
+    return l.groupBy("match_id", "team_id").agg(*counts, F.sum(F.expr(_XG).cast("double")).alias("xgShot"))
 
 
-TEAM_MATCHES = """t AS (SELECT ((year(l_shipdate) * 12 + month(l_shipdate)) % 6)::BIGINT AS match_id, (l_suppkey % 40)::BIGINT AS team_id,
-  count(*)::DOUBLE AS passes, count(*) FILTER (WHERE l_returnflag = 'R')::DOUBLE AS lost, count(*) FILTER (WHERE l_linestatus = 'F')::DOUBLE AS good,
-  count(*) FILTER (WHERE l_linestatus = 'F' AND l_returnflag = 'R')::DOUBLE AS danger, sum(l_quantity::BIGINT)::DOUBLE AS shots,
-  sum(CASE WHEN l_discount > 0.05 THEN l_quantity::BIGINT ELSE 0 END)::DOUBLE AS on_target FROM lineitem GROUP BY ALL)"""
+TEAM_MATCHES = """l0 AS (SELECT *, (l_orderkey // 100)::BIGINT AS match_id, (l_orderkey * 31 + l_linenumber * 17 + l_partkey) % 100 AS z FROM lineitem),
+  t AS (SELECT match_id, ((match_id + (l_linenumber % 2) * (1 + match_id % 7)) % 16)::BIGINT AS team_id, """ + ", ".join(f"count(*) FILTER (WHERE {x})::DOUBLE AS {c}" for c, x in _TOTAL_EXPR.items()) + f""",
+  sum(({_XG})::DOUBLE) AS xgShot FROM l0 GROUP BY ALL)"""
 
-CATEGORIES = ("ball_security", "build_up", "chance_creation", "defensive_duels", "finishing", "pressing")
+CATEGORIES = ("ball_loss", "build_up", "duels", "final_third", "pressing", "progression")
 
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signals of both sides: sample, category, side, severity in 0..1, player."""
+    """Signals of both sides: sample, category, side, severity in 0..1, player, evidence."""
     names = F.array(*map(F.lit, CATEGORIES))
     return _events(spark, sf_dir).select(
-        F.col("day").alias("sample_id"),
+        F.expr("day * 100000 + user_id div 100").alias("sample_id"),
         F.get(names, (F.col("event_id") % 6).cast("int")).alias("category"),
         F.when(F.col("k") % 2 == 0, "baseline").otherwise("decision").alias("side"),
         F.least(F.lit(1.0), F.col("value") / 100).alias("severity"),
@@ -114,5 +142,5 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SIGNALS = EVENTS + f""",
-s AS (SELECT day AS sample_id, ({list(CATEGORIES)})[(event_id % 6)::INT + 1] AS category, CASE WHEN k % 2 = 0 THEN 'baseline' ELSE 'decision' END AS side,
+s AS (SELECT day * 100000 + user_id // 100 AS sample_id, ({list(CATEGORIES)})[(event_id % 6)::INT + 1] AS category, CASE WHEN k % 2 = 0 THEN 'baseline' ELSE 'decision' END AS side,
   least(1.0, value / 100) AS severity, user_id AS player_id, k FROM e)"""

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,3 +21,11 @@ def shared_dir(spark: SparkSession) -> str:
         base = f"file://{tempfile.mkdtemp(prefix='pitchflow-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table in the shared folder, read back: later steps start from there."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/pitchflow/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
