@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..operators import decision as D
 from ..operators import docs as G
-from ..operators import fusion as X
 from ..operators import signals as N
-from ..sources.adapters import ACTIONS, EVENTS, PLAYER_DAYS, _events, actions, player_days, signals, table
+from ..sources.adapters import ACTIONS, EVENTS, PLAYER_DAYS, _events, actions, player_days, table
 from . import teams as team_plans
 from .reports import _MISSED
 from .rounding import pick
@@ -78,7 +77,6 @@ QUERIES = {
     "x1_input_errors": lambda s, d: N.errors(actions(s, d), _REQUIRED).select("event_id", F.array_join("errors", ",").alias("errors")),
     "x2_baseline_signals": lambda s, d: pick(N.baseline_signals(_raw_signals(s, d)), ("event_id", "category", "metric"), "severity"),
     "x3_decision_signals": _decision_signals,
-    "x6_training_focus": lambda s, d: N.training_focus(X.fuse(signals(s, d))),
     "f8_labels": lambda s, d: table(s, d, "documents").select("doc_id", scalar.metric_label(F.expr("lang || upper(substr(source, 1, 1)) || substr(source, 2)"), {"enWeb": "English pages"}).alias("label")),
     "r7_flatten_report": _flatten_report,
     "j9_days_with_clusters": _days_with_clusters,
@@ -106,14 +104,10 @@ SQL = {
         pl AS (SELECT player_id, count(*) AS actions, avg(value) AS score, count(*) FILTER (WHERE low) AS low, min(event_type) FILTER (WHERE low) AS decision FROM ch GROUP BY ALL),
         ty AS (SELECT match_id, event_type AS decision, avg(value) AS value, count(*) FILTER (WHERE low) AS low, count(*) AS actions FROM ch GROUP BY ALL),
         z AS (SELECT match_id, {_OF.format('event_type', 'progression')} AS category, 0.3::DOUBLE + greatest(0, 0.25::DOUBLE - value) * 1.4::DOUBLE + gain * 4 AS v, player_id, event_type AS decision, 'improvable_phase' AS reason FROM ch WHERE suggested IS NOT NULL
-          UNION ALL SELECT match_id, 'final_third', 0.45::DOUBLE + gain * 3.5::DOUBLE, player_id, event_type, 'missed_opportunity' FROM mt
-          UNION ALL SELECT NULL, {_OF.format('decision', 'ball_loss')}, (1 - score) * 0.75::DOUBLE + low / actions * 0.5::DOUBLE, player_id, decision, 'needs_support' FROM pl WHERE score <= (SELECT quantile_cont(score, 0.25) FROM pl) AND actions >= 3
-          UNION ALL SELECT match_id, {_OF.format('decision', 'progression')}, (0.25::DOUBLE - value) * 1.8::DOUBLE + low / actions, NULL, decision, 'low_decisions' FROM ty),
+          UNION ALL SELECT match_id, 'final_third', 0.45::DOUBLE + gain * 3.5::DOUBLE, player_id, event_type, 'missed_shot_or_goal_opportunity' FROM mt
+          UNION ALL SELECT NULL, {_OF.format('decision', 'ball_loss')}, (1 - score) * 0.75::DOUBLE + low / actions * 0.5::DOUBLE, player_id, decision, 'player_needs_support' FROM pl WHERE score <= (SELECT quantile_cont(score, 0.25) FROM pl) AND actions >= 3
+          UNION ALL SELECT match_id, {_OF.format('decision', 'progression')}, (0.25::DOUBLE - value) * 1.8::DOUBLE + low / actions, NULL, decision, 'low_decision_phases' FROM ty),
         y AS (SELECT * EXCLUDE v, {_CLAMP.format('v')} AS severity FROM z) SELECT match_id, category, player_id, decision, reason, {_R(6, 'severity')} FROM y""",
-    "x6_training_focus": f"""{team_plans._F}, r AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY round(combined, 9) DESC, category) AS rank FROM f), t AS (SELECT * FROM r WHERE rank <= 3),
-        h AS (SELECT sample_id, list(category ORDER BY rank) AS l FROM t GROUP BY ALL)
-        SELECT sample_id, rank, category, 'risky_' || category AS type, CASE WHEN combined >= 0.75 THEN 'critical' WHEN combined >= 0.6 THEN 'high' WHEN combined >= 0.45 THEN 'medium' ELSE 'low' END AS priority,
-        CASE len(l) WHEN 1 THEN l[1] WHEN 2 THEN l[1] || ' and ' || l[2] ELSE l[1] || ', ' || l[2] || ', and ' || l[3] END AS headline FROM t JOIN h USING (sample_id)""",
     "f8_labels": """WITH n AS (SELECT doc_id, lang || upper(source[1:1]) || source[2:] AS x FROM documents)
         SELECT doc_id, CASE WHEN x = 'enWeb' THEN 'English pages' ELSE upper(x[1:1]) || regexp_replace(x[2:], '([A-Z])', ' \\1', 'g') END AS label FROM n""",
     "r7_flatten_report": f"""WITH {PLAYER_DAYS} SELECT count(*) AS seen, count(*) FILTER (WHERE duration <= 60) AS filtered, count(*) FILTER (WHERE player_id IS NULL) AS missing_id,

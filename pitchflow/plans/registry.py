@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evidence, league, load, match, reports, retrieval, teams
+from . import evidence, fused, league, load, match, reports, retrieval, teams
 
-MODULES = (match, load, league, teams, retrieval, reports, evidence)
+MODULES = (match, load, league, fused, teams, retrieval, reports, evidence)
 
 
 def queries() -> dict:

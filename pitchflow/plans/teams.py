@@ -1,12 +1,11 @@
-"""Queries over team matches, signals and decisions, with their SQL."""
+"""Queries over decisions, with their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..operators import decision as D
-from ..operators import fusion as X
-from ..sources.adapters import ACTIONS, SIGNALS, actions, signals
+from ..sources.adapters import ACTIONS, actions
 from .rounding import pick as _pick
 from .rounding import rounded as _R
 
@@ -18,19 +17,11 @@ def _scored(s, d):
     return a.withColumns(p).withColumn("value", F.when(F.col("event_type") == "pass", F.col("p_pass")).when(F.col("event_type") == "shot", F.col("p_shot")).otherwise(F.col("p_carry")))
 
 
-def _truth(s, d):
-    return signals(s, d).groupBy("sample_id", "category").agg(F.max("severity").alias("truth"))
-
-
 def _labelled(s, d):
     return D.label(actions(s, d), 600).select(F.col("label").alias("y"), (F.col("x") / 200 + F.col("y") * 0).alias("p"))
 
 
 QUERIES = {
-    "x4_fusion": lambda s, d: _pick(X.fuse(signals(s, d)), ("sample_id", "category", "n"), "baseline", "decision", "combined", "confidence"),
-    "x4_ranked_players": lambda s, d: X.ranked_players(signals(s, d)),
-    "x7_player_priorities": lambda s, d: _pick(X.player_priorities(signals(s, d)), ("sample_id", "player_id", "n", "categories", "rank"), "priority"),
-    "x9_calibration": lambda s, d: _pick(X.calibrate(X.fuse(signals(s, d)), _truth(s, d), X.config_grid(s)), ("w", "critical", "high", "medium"), "mae", "bands", "objective"),
     "w1_context": lambda s, d: _pick(D.context(actions(s, d)), ("event_id", "prev_type", "prev_x", "gap", "same_player", "same_possession"), "goal_distance", "goal_angle"),
     "w3_label": lambda s, d: D.label(actions(s, d), 600).select("event_id", "label"),
     "w5_average_rank": lambda s, d: _pick(D.average_rank(_scored(s, d), "value"), (), "value", "rank", digits=8),
@@ -42,9 +33,6 @@ QUERIES = {
     "m4_evaluation": lambda s, d: _pick(D.evaluation(_labelled(s, d)), ("n",), "auc", "average_precision", "brier"),
 }
 
-_F = f"""WITH {SIGNALS}, f0 AS (SELECT sample_id, category, coalesce(avg(severity) FILTER (WHERE side = 'baseline'), 0) AS baseline, coalesce(avg(severity) FILTER (WHERE side = 'decision'), 0) AS decision, count(*) AS n FROM s GROUP BY ALL),
-f AS (SELECT *, 0.6::DOUBLE * baseline + 0.4::DOUBLE * decision AS combined, least(0.95, n / 6.0::DOUBLE) AS confidence FROM f0)"""
-_LEVEL = "CASE WHEN {0} >= critical THEN 3 WHEN {0} >= high THEN 2 WHEN {0} >= medium THEN 1 ELSE 0 END"
 _A = f"WITH {ACTIONS}, aa AS (SELECT * FROM a WHERE event_type IN ('pass', 'shot', 'carry'))"
 _S = f"""{_A}, s0 AS (SELECT *, x / 200 AS p_pass, x * x / 20000 AS p_shot, (x + y) / 400 AS p_carry FROM aa),
 s1 AS (SELECT *, CASE event_type WHEN 'pass' THEN p_pass WHEN 'shot' THEN p_shot ELSE p_carry END AS value, greatest(p_pass, p_shot, p_carry) AS best_value FROM s0),
@@ -53,15 +41,6 @@ ch AS (SELECT *, CASE WHEN low AND best <> event_type AND gain >= 0.02 THEN best
 _LAB = f"""{_A}, l AS (SELECT *, coalesce(max((event_type = 'shot')::INT) OVER (PARTITION BY match_id, team_id ORDER BY sec RANGE BETWEEN 1 FOLLOWING AND 600 FOLLOWING), 0) AS label FROM aa)"""
 
 SQL = {
-    "x4_fusion": f"{_F} SELECT sample_id, category, n, {_R(6, 'baseline', 'decision', 'combined', 'confidence')} FROM f",
-    "x4_ranked_players": f"WITH {SIGNALS}, n AS (SELECT sample_id, category, player_id, count(*) AS n FROM s WHERE side = 'decision' GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, category ORDER BY n.n DESC, player_id) AS rank FROM n) WHERE rank <= 3",
-    "x7_player_priorities": f"""WITH {SIGNALS}, g AS (SELECT sample_id, player_id, count(*) AS n, string_agg(DISTINCT category, ',' ORDER BY category) AS categories, least(1, avg(severity) * 0.75::DOUBLE + least(0.25, count(*) * 0.03::DOUBLE)) AS priority FROM s WHERE side = 'decision' GROUP BY ALL)
-        SELECT sample_id, player_id, n, categories, rank, round(priority + 3.30e-10, 6) AS priority FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY round(priority, 9) DESC, player_id) AS rank FROM g) WHERE rank <= 5""",
-    "x9_calibration": f"""{_F}, tr AS (SELECT sample_id, category, max(severity) AS truth FROM s GROUP BY ALL),
-        cf AS (SELECT w / 10.0::DOUBLE AS w, c / 100.0::DOUBLE AS critical, h / 100.0::DOUBLE AS high, m / 100.0::DOUBLE AS medium FROM range(3, 8) a(w), range(70, 95, 10) b(c), range(50, 75, 10) d(h), range(30, 50, 10) e2(m) WHERE c > h AND h > m),
-        j AS (SELECT cf.*, truth, cf.w * baseline + (1 - cf.w) * decision AS pred FROM f JOIN tr USING (sample_id, category), cf),
-        g AS (SELECT w, critical, high, medium, avg(abs(pred - truth)) AS mae, avg(({_LEVEL.format('pred')} = {_LEVEL.format('truth')})::INT) AS bands FROM j GROUP BY ALL)
-        SELECT w, critical, high, medium, {_R(6, 'mae', 'bands')}, round(mae + 0.25::DOUBLE * (1 - bands) + 3.3e-10, 6) AS objective FROM g""",
     "w1_context": f"""{_A} SELECT event_id, coalesce(lag(event_type) OVER w, 'none') AS prev_type, lag(x) OVER w AS prev_x, coalesce(sec - lag(sec) OVER w, 0) AS gap, coalesce(lag(player_id) OVER w = player_id, false) AS same_player,
         coalesce(lag(possession_id) OVER w = possession_id, false) AS same_possession, round(sqrt((100 - x) * (100 - x) + (50 - y) * (50 - y)) + 3.3e-10, 6) AS goal_distance, round(degrees(atan2(abs(50 - y), 100 - x)) + 3.3e-10, 6) AS goal_angle
         FROM aa WINDOW w AS (PARTITION BY match_id, team_id ORDER BY sec, event_id)""",

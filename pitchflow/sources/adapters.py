@@ -137,10 +137,11 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("k") % 2 == 0, "baseline").otherwise("decision").alias("side"),
         F.least(F.lit(1.0), F.col("value") / 100).alias("severity"),
         F.col("user_id").alias("player_id"),
+        F.expr("concat('e', cast(k % 7 as string))").alias("evidence"),
         "k",
     )
 
 
 SIGNALS = EVENTS + f""",
 s AS (SELECT day * 100000 + user_id // 100 AS sample_id, ({list(CATEGORIES)})[(event_id % 6)::INT + 1] AS category, CASE WHEN k % 2 = 0 THEN 'baseline' ELSE 'decision' END AS side,
-  least(1.0, value / 100) AS severity, user_id AS player_id, k FROM e)"""
+  least(1.0, value / 100) AS severity, user_id AS player_id, 'e' || (k % 7) AS evidence, k FROM e)"""
