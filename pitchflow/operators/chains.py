@@ -8,44 +8,48 @@ from pyspark.sql import functions as F
 from ..functions.scalar import clamp
 from .insights import count_if, loss_type
 
-#: Outcome points of a chain.
-OUTCOME_POINTS = {"goal": 25.0, "shot_on_target": 20.0, "shot_off_target": 12.0, "out_of_play": 3.0}
+#: Outcome points of a chain; a foul won counts more from FOUL_HIGH_X on.
+OUTCOME_POINTS = {"goal": 25.0, "shot_on_target": 20.0, "shot_off_target": 12.0, "foul_won": 4.0, "offside": 6.0, "out_of_play": 3.0, "loss": 0.0}
+FOUL_WON_HIGH, FOUL_HIGH_X = 8.0, 66.0
 
 
-def result_of(kind: Column, on_target: Column, is_goal: Column, lost: Column) -> Column:
-    return F.when(kind == "shot", F.when(is_goal, "goal").when(on_target, "shot_on_target").otherwise("shot_off_target")).when(lost.isNotNull(), "loss").otherwise("out_of_play")
+def result_of(kind: Column, on_target: Column, is_goal: Column, offside: Column, lost: Column) -> Column:
+    """How a chain ends, from its last event."""
+    shot = F.when(is_goal, "goal").when(on_target, "shot_on_target").otherwise("shot_off_target")
+    return F.when(kind == "shot", shot).when(offside, "offside").when(kind == "infraction", "foul_won").when(lost.isNotNull(), "loss").otherwise("out_of_play")
 
 
 def effectiveness(length: Column, progression: Column, end_x: Column, xg: Column, result: Column) -> Column:
     """0-100 from length, progression, end zone, xG and outcome."""
-    points = F.lit(0.0)
-    for name, p in OUTCOME_POINTS.items():
-        points = F.when(result == name, p).otherwise(points)
+    points = F.element_at(F.create_map(*[F.lit(x) for pair in OUTCOME_POINTS.items() for x in pair]), result)
+    points = F.when((result == "foul_won") & (end_x >= FOUL_HIGH_X), FOUL_WON_HIGH).otherwise(points)
     return F.least(F.lit(100.0), F.least(length / 8.0, F.lit(1.0)) * 20 + clamp(progression / 80) * 20 + clamp(end_x, 0.0, 100.0) / 100 * 15 + F.least(xg * 5, F.lit(1.0)) * 20 + points)
 
 
 def chains(actions: DataFrame) -> DataFrame:
     """One row for each chain: events of a possession id, however far apart; an event without one is its own chain.
 
-    Chains are ordered by their first event; a chain that follows one of another team is a recovery.
+    The chain's team is the possession's, else that of its first event. Chains are ordered by their first event; a
+    chain that follows one of another team is a recovery. players: who took part, in the order of their first event.
     """
     order = F.struct("sec", "event_id")
     a = actions.withColumn("lost", loss_type()).withColumn("chain_id", F.coalesce(F.concat(F.lit("p"), F.col("possession_id").cast("string")), F.concat(F.lit("e"), F.col("event_id").cast("string"))))
+    a = a.withColumn("chain_team", F.coalesce("possession_team_id", "team_id"))
     first = lambda c: F.min_by(c, order).alias(f"first_{c}")
     last = lambda c: F.max_by(c, order).alias(f"last_{c}")
+    seen = F.array_sort(F.collect_list(F.struct("sec", "event_id", "player_id")))
     c = a.groupBy("match_id", "chain_id").agg(
         F.min(order).alias("o"),
-        F.max("sec").alias("last_sec"),
         F.count(F.lit(1)).alias("length"),
-        F.countDistinct("player_id").alias("players"),
+        F.array_distinct(F.array_compact(F.transform(seen, lambda x: x["player_id"]))).alias("players"),
         F.sum(F.coalesce("xg", F.lit(0.0))).alias("xg"),
-        *[first(x) for x in ("team_id", "event_type", "won", "x", "set_piece")],
-        *[last(x) for x in ("event_type", "x", "end_x", "on_target", "is_goal", "lost", "accurate")],
+        *[first(x) for x in ("chain_team", "event_type", "won", "x", "set_piece", "possession_duration", "possession_end_x")],
+        *[last(x) for x in ("event_type", "x", "end_x", "on_target", "is_goal", "tag_offside", "lost", "accurate")],
     )
     w = Window.partitionBy("match_id").orderBy("o")
     prev = lambda x: F.lag(x).over(w)
-    c = c.withColumn("prev_team", prev("first_team_id")).withColumn("prev_bad_pass", (prev("last_event_type") == "pass") & (prev("last_accurate") == F.lit(False)))
-    recovered = F.col("first_set_piece").isNull() & (F.col("prev_team") != F.col("first_team_id"))
+    c = c.withColumn("prev_team", prev("first_chain_team")).withColumn("prev_bad_pass", (prev("last_event_type") == "pass") & (prev("last_accurate") == F.lit(False)))
+    recovered = F.col("first_set_piece").isNull() & (F.col("prev_team") != F.col("first_chain_team"))
     kind, won = F.col("first_event_type"), F.coalesce("first_won", F.lit(False))
     method = (
         F.when((kind == "ground_duel") & won, "tackle_won")
@@ -53,22 +57,25 @@ def chains(actions: DataFrame) -> DataFrame:
         .when(~kind.isin("ground_duel", "aerial_duel") & F.coalesce("prev_bad_pass", F.lit(False)), "interception")
         .otherwise("loose_ball")
     )
-    x = F.col("first_x")
-    end_x = F.when(F.col("last_event_type") == "shot", F.col("last_x")).otherwise(F.coalesce("last_end_x", "last_x", "first_x"))
-    result = result_of(F.col("last_event_type"), F.col("last_on_target"), F.col("last_is_goal"), F.col("last_lost"))
+    x = F.coalesce("first_x", F.lit(0.0))
+    end_x = F.when(F.col("last_event_type") == "shot", F.coalesce("last_x", x)).otherwise(F.coalesce("last_end_x", "last_x", "first_possession_end_x", x))
+    no = lambda name: F.coalesce(name, F.lit(False))
+    result = result_of(F.col("last_event_type"), no("last_on_target"), no("last_is_goal"), no("last_tag_offside"), F.col("last_lost"))
+    # A recovery without a place counts as one in the middle.
+    zone = F.coalesce("first_x", F.lit(50.0))
     c = c.select(
         "match_id",
         "chain_id",
-        F.col("first_team_id").alias("team_id"),
+        F.col("first_chain_team").alias("team_id"),
         F.col("o.sec").alias("start_sec"),
         "length",
-        (F.col("last_sec") - F.col("o.sec")).alias("duration"),
+        F.coalesce("first_possession_duration", F.lit(0.0)).alias("duration"),
         "players",
         "xg",
         (end_x - x).alias("progression"),
         end_x.alias("end_x"),
         F.when(F.col("first_set_piece").isNotNull(), F.col("first_set_piece")).when(recovered, "recovery").otherwise("other").alias("trigger"),
-        F.when(recovered, F.when(x >= 66, "high").when(x >= 33, "mid").otherwise("low")).alias("zone"),
+        F.when(recovered, F.when(zone >= 66, "high").when(zone >= 33, "mid").otherwise("low")).alias("zone"),
         F.when(recovered, method).alias("method"),
         result.alias("result"),
     )
@@ -101,7 +108,7 @@ def compare_teams(stats: DataFrame, precision: int = 3) -> DataFrame:
     """The two lowest team ids of a match side by side; the side ahead in each measure, or tie."""
     w = Window.partitionBy("match_id").orderBy("team_id")
     s = stats.withColumn("side", F.row_number().over(w)).where("side <= 2")
-    names = ("mean_length", "mean_score", "xg", "conversion")
+    names = ("chains", "mean_length", "mean_score", "xg", "recoveries_high", "conversion")
     p = s.groupBy("match_id").agg(*[F.max(F.when(F.col("side") == n, F.col(c))).alias(f"{c}_{n}") for c in names for n in (1, 2)])
     d = lambda c: F.round(F.col(f"{c}_1") - F.col(f"{c}_2"), precision)
     return p.select("match_id", *[F.when(d(c) > 0, "home").when(d(c) < 0, "away").otherwise("tie").alias(c) for c in names])

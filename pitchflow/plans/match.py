@@ -30,7 +30,7 @@ QUERIES = {
     "a18_xg_timeline": lambda s, d: _rounded(I.xg_timeline(actions(s, d)), "xg", "over_xg"),
     "t2_top_pressers": lambda s, d: I.pressing_players(actions(s, d)),
     "t3_hot_cells": lambda s, d: I.hot_cells(I.loss_grid(actions(s, d))),
-    "c7_chains": lambda s, d: _rounded(C.chains(actions(s, d)), "xg", "score"),
+    "c7_chains": lambda s, d: _rounded(C.chains(actions(s, d)).withColumn("players", F.array_join("players", ",")), "xg", "score", "duration"),
     "c8_team_stats": lambda s, d: _rounded(C.team_stats(C.chains(actions(s, d))), "mean_length", "mean_duration", "xg", "mean_score", "conversion"),
     "c9_top_chains": lambda s, d: C.top_chains(C.chains(actions(s, d))).select("match_id", "team_id", "rank", "chain_id"),
     "c10_compare_teams": lambda s, d: C.compare_teams(C.team_stats(C.chains(actions(s, d)))),
@@ -52,11 +52,12 @@ _NODES = f"{_A}, n AS (SELECT match_id, team_id, player_id, avg(x) AS mean_x, av
 _CHAINS = f"""{_A}, b AS (SELECT *, {_LOSS} AS lost, coalesce('p' || possession_id, 'e' || event_id) AS chain_id,
     row_number() OVER (PARTITION BY match_id, coalesce('p' || possession_id, 'e' || event_id) ORDER BY sec, event_id) AS r,
     row_number() OVER (PARTITION BY match_id, coalesce('p' || possession_id, 'e' || event_id) ORDER BY sec DESC, event_id DESC) AS rr FROM a),
-  g AS (SELECT match_id, chain_id, min(sec) AS start_sec, max(sec) - min(sec) AS duration, count(*) AS length, count(DISTINCT player_id) AS players, sum(coalesce(xg, 0)) AS xg FROM b GROUP BY ALL),
-  c0 AS (SELECT g.*, f.event_id AS fe, f.team_id, f.event_type AS ft, f.won AS fw, f.x AS fx, f.set_piece AS sp, z.event_type AS lt, z.x AS lx, z.end_x AS lex, z.on_target, z.is_goal, z.lost, z.accurate
+  ps AS (SELECT match_id, chain_id, string_agg(player_id, ',' ORDER BY r) AS players FROM (SELECT match_id, chain_id, player_id, min(r) AS r FROM b GROUP BY ALL) GROUP BY ALL),
+  g AS (SELECT match_id, chain_id, min(sec) AS start_sec, count(*) AS length, any_value(ps.players) AS players, sum(coalesce(xg, 0)) AS xg FROM b JOIN ps USING (match_id, chain_id) GROUP BY ALL),
+  c0 AS (SELECT g.*, coalesce(f.possession_duration, 0) AS duration, f.event_id AS fe, coalesce(f.possession_team_id, f.team_id) AS team_id, z.tag_offside, f.event_type AS ft, f.won AS fw, f.x AS fx, f.set_piece AS sp, z.event_type AS lt, z.x AS lx, z.end_x AS lex, z.on_target, z.is_goal, z.lost, z.accurate
     FROM g JOIN b f ON f.match_id = g.match_id AND f.chain_id = g.chain_id AND f.r = 1 JOIN b z ON z.match_id = g.match_id AND z.chain_id = g.chain_id AND z.rr = 1),
   c1 AS (SELECT *, lag(team_id) OVER w AS pt, lag(lt) OVER w = 'pass' AND NOT lag(accurate) OVER w AS pb, CASE WHEN lt = 'shot' THEN lx ELSE coalesce(lex, lx, fx) END AS end_x,
-    CASE WHEN lt = 'shot' THEN CASE WHEN is_goal THEN 'goal' WHEN on_target THEN 'shot_on_target' ELSE 'shot_off_target' END WHEN lost IS NOT NULL THEN 'loss' ELSE 'out_of_play' END AS result
+    CASE WHEN lt = 'shot' THEN CASE WHEN is_goal THEN 'goal' WHEN on_target THEN 'shot_on_target' ELSE 'shot_off_target' END WHEN tag_offside THEN 'offside' WHEN lt = 'infraction' THEN 'foul_won' WHEN lost IS NOT NULL THEN 'loss' ELSE 'out_of_play' END AS result
     FROM c0 WINDOW w AS (PARTITION BY match_id ORDER BY start_sec, fe)),
   c2 AS (SELECT *, end_x - fx AS progression, sp IS NULL AND coalesce(pt <> team_id, false) AS rec FROM c1),
   c AS (SELECT match_id, chain_id, team_id, start_sec, length, duration, players, xg, progression, end_x, coalesce(sp, CASE WHEN rec THEN 'recovery' ELSE 'other' END) AS trigger,
@@ -64,7 +65,7 @@ _CHAINS = f"""{_A}, b AS (SELECT *, {_LOSS} AS lost, coalesce('p' || possession_
     CASE WHEN rec THEN CASE WHEN ft = 'ground_duel' AND fw THEN 'tackle_won' WHEN ft = 'aerial_duel' AND fw THEN 'aerial_won'
       WHEN ft NOT IN ('ground_duel', 'aerial_duel') AND coalesce(pb, false) THEN 'interception' ELSE 'loose_ball' END END AS method, result,
     least(100.0, least(length / 8.0::DOUBLE, 1) * 20 + greatest(0, least(1, progression / 80)) * 20 + greatest(0, least(100, end_x)) / 100 * 15 + least(xg * 5, 1) * 20
-      + CASE result WHEN 'goal' THEN 25 WHEN 'shot_on_target' THEN 20 WHEN 'shot_off_target' THEN 12 WHEN 'out_of_play' THEN 3 ELSE 0 END)::DOUBLE AS score FROM c2)"""
+      + CASE result WHEN 'goal' THEN 25 WHEN 'shot_on_target' THEN 20 WHEN 'shot_off_target' THEN 12 WHEN 'foul_won' THEN CASE WHEN end_x >= 66 THEN 8 ELSE 4 END WHEN 'offside' THEN 6 WHEN 'out_of_play' THEN 3 ELSE 0 END)::DOUBLE AS score FROM c2)"""
 _STATS = f"""{_CHAINS}, st AS (SELECT match_id, team_id, count(*) AS chains, avg(length) AS mean_length, floor(median(length))::BIGINT AS median_length, avg(duration) AS mean_duration,
   sum(xg) AS xg, avg(score) AS mean_score, count(*) FILTER (WHERE zone = 'high') AS recoveries_high, count(*) FILTER (WHERE zone = 'mid') AS recoveries_mid, count(*) FILTER (WHERE zone = 'low') AS recoveries_low,
   count(*) FILTER (WHERE result = 'goal') AS goals, count(*) FILTER (WHERE result IN ('goal', 'shot_on_target', 'shot_off_target')) AS shots,
@@ -107,8 +108,8 @@ SQL = {
     "t2_top_pressers": f"""{_A}, p AS (SELECT match_id, team_id, player_id, count(*) AS duels, count(*) FILTER (WHERE won) AS won FROM a WHERE event_type IN ('ground_duel', 'aerial_duel') GROUP BY ALL)
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY match_id, team_id ORDER BY p.won DESC, duels DESC, player_id) AS rank FROM p) WHERE rank <= 3""",
     "t3_hot_cells": f"{_GRID} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY match_id, team_id ORDER BY n DESC, row, col) AS rank FROM g) WHERE rank <= 5",
-    "c7_chains": f"{_CHAINS} SELECT * REPLACE ({_R('xg', 'score')}) FROM c",
+    "c7_chains": f"{_CHAINS} SELECT * REPLACE ({_R('xg', 'score', 'duration')}) FROM c",
     "c8_team_stats": f"{_STATS} SELECT * REPLACE ({_R('mean_length', 'mean_duration', 'xg', 'mean_score', 'conversion')}) FROM st",
     "c9_top_chains": f"{_CHAINS} SELECT match_id, team_id, rank, chain_id FROM (SELECT *, row_number() OVER (PARTITION BY match_id, team_id ORDER BY round(score, 6) DESC, start_sec, chain_id) AS rank FROM c) WHERE rank <= 10",
-    "c10_compare_teams": f"{_STATS}, o AS (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY team_id) AS side FROM st) SELECT match_id, {', '.join(_AHEAD.format(c) for c in ('mean_length', 'mean_score', 'xg', 'conversion'))} FROM o GROUP BY match_id",
+    "c10_compare_teams": f"{_STATS}, o AS (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY team_id) AS side FROM st) SELECT match_id, {', '.join(_AHEAD.format(c) for c in ('chains', 'mean_length', 'mean_score', 'xg', 'recoveries_high', 'conversion'))} FROM o GROUP BY match_id",
 }

@@ -46,6 +46,9 @@ _ACTION_EXPR = {
     "tag_progressive": "event_type IN ('view', 'click') AND k % 2 = 0",
     "tag_through": "event_type = 'view' AND k % 5 = 0",
     "possession_id": "CASE WHEN k <> 0 THEN {div} END",
+    "possession_team_id": "CASE WHEN k <> 0 AND k % 12 <> 0 THEN ({div}) % 2 END",
+    "possession_duration": "CASE WHEN k <> 0 THEN value / 4 END",
+    "possession_end_x": "CASE WHEN k <> 0 THEN CAST(({div}) % 97 AS DOUBLE) END",
     "set_piece": "CASE k WHEN 1 THEN 'throw_in' WHEN 2 THEN 'throw_in' WHEN 3 THEN 'corner' WHEN 4 THEN 'free_kick' WHEN 5 THEN 'goal_kick' END",
     "flank": "CASE k % 3 WHEN 0 THEN 'left' WHEN 1 THEN 'center' ELSE 'right' END",
     "with_shot": "k % 2 = 0",
