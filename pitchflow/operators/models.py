@@ -14,9 +14,11 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 
 def decision_pipeline(categorical, numeric, trees: int = 40, depth: int = 6, seed: int = 42) -> Pipeline:
     index = StringIndexer(inputCols=list(categorical), outputCols=[f"{c}_i" for c in categorical], handleInvalid="keep")
@@ -93,22 +95,38 @@ def _depth(tree, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def isolation_forest(rows: DataFrame, features, key, trees: int = 100, sample: int = 256, contamination: float = 0.12) -> DataFrame:
-    """Adds anomaly: the isolation score less its contamination quantile, scaled to 0..1.
+def _tree_samples(data: DataFrame, key, trees: int, sample: int) -> DataFrame:
+    """tree, x: for each tree `sample` rows, those of the smallest hash under its number among rows from the whole table.
 
-    Each tree is grown from the `sample` rows of the smallest hash under the tree's number, so trees do not depend on
-    partitioning; that is the model's bound, trees x sample rows. Every row is scored.
+    Each row is a candidate of so many trees that every tree has at least four times as many candidates as it takes
+    where the table has them (of all trees, in a small table); in a large one rows are thinned by hash first.
+    """
+    n = max(1, data.count())
+    each = min(trees, -(-4 * sample * trees // n))
+    share = min(1.0, 4 * sample * trees / (n * each))
+    own = F.xxhash64(*key)
+    some = data.select(own.alias("h"), "__x").where(F.pmod(F.xxhash64(F.lit("thin"), "h"), F.lit(2**30)) < F.lit(int(share * 2**30)))
+    some = some.select("h", "__x", F.explode(F.expr(f"transform(sequence(0, {each - 1}), j -> cast(pmod(xxhash64('tree', h) + j, {trees}) as int))")).alias("tree"))
+    w = Window.partitionBy("tree").orderBy(F.xxhash64("tree", "h"), "h")
+    return some.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= sample).select("tree", "__r", F.col("__x").alias("x"))
+
+
+def isolation_forest(rows: DataFrame, features, key, trees: int = 250, sample: int = 256, contamination: float = 0.12) -> DataFrame:
+    """Adds anomaly, the isolation score scaled to 0..1 over all rows (0 where they do not differ), and is_anomaly, the
+    rows beyond the contamination quantile, which is found to a ten-thousandth.
+
+    Each tree is grown from `sample` rows of its own, so the model is bounded by trees x sample rows, whatever the input,
+    and does not depend on partitioning. Splits do not care for the scale of a feature, so none is standardised. Every
+    row is scored, once, and written.
     """
-    vector = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features])
-    data = rows.withColumn("__x", vector)
-    picks = data.select(F.xxhash64(*key).alias("h"), "__x").orderBy("h").limit(trees * sample // 4).collect()
-    grown = []
-    for t in range(trees):
-        rng = np.random.default_rng(t)
-        x = np.array([r["__x"] for r in picks])
-        x = x[rng.permutation(len(x))[:sample]] if len(x) else x
-        grown.append(_grow(x, int(np.ceil(np.log2(max(2, len(x))))), rng))
-    scale = float(_mean_path(min(sample, max(2, len(picks)))))
+    data = rows.withColumn("__x", F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]))
+    picks: dict[int, list] = {t: [] for t in range(trees)}
+    for r in sorted(_tree_samples(data, key, trees, sample).collect(), key=lambda r: (r["tree"], r["__r"])):
+        picks[r["tree"]].append(r["x"])
+    grown, most = [], max(2, max(map(len, picks.values())))
+    for t, x in picks.items():
+        grown.append(_grow(np.array(x, float).reshape(len(x), -1), int(np.ceil(np.log2(max(2, len(x))))), np.random.default_rng(t)))
+    scale = float(_mean_path(most))
 
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
@@ -116,10 +134,10 @@ def isolation_forest(rows: DataFrame, features, key, trees: int = 100, sample: i
             yield pa.array(2.0 ** (-np.mean([_depth(t, x) for t in grown], axis=0) / scale) if len(x) else np.zeros(0))
 
     score.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    scored = data.withColumn("__s", F.arrow_udf(score, "double")("__x"))
+    scored = written(data.withColumn("__s", F.arrow_udf(score, "double")("__x")).drop("__x"), "isolation-scores")
     limits = scored.agg(F.min("__s").alias("__lo"), F.max("__s").alias("__hi"), F.percentile_approx("__s", 1 - contamination, 10_000).alias("__at"))
-    out = scored.join(F.broadcast(limits)).withColumn("anomaly", F.when(F.col("__hi") > F.col("__lo"), (F.col("__s") - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))).otherwise(0.0))
-    return out.withColumn("is_anomaly", F.col("__s") > F.col("__at")).drop("__x", "__s", "__lo", "__hi", "__at")
+    out = scored.join(F.broadcast(limits)).withColumn("anomaly", F.when(F.col("__hi") - F.col("__lo") > 1e-9, (F.col("__s") - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))).otherwise(0.0))
+    return out.withColumn("is_anomaly", F.col("__s") > F.col("__at")).drop("__s", "__lo", "__hi", "__at")
 
 
 def clusters(rows: DataFrame, features, k: int = 5, seeds=(1, 2, 3), pca: int | None = None):

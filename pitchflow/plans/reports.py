@@ -61,9 +61,7 @@ QUERIES = {
     "dq13_phase_of_player": lambda s, d: _pick(D.phase_of_player(_chosen(s, d)), ("match_id", "player_id", "event_id", "ranked"), "gain"),
     "j14_nodes_of_shooters": lambda s, d: _pick(I.pass_nodes(actions(s, d)).join(actions(s, d).where("event_type = 'shot'").select(*I.KEYS, "player_id"), [*I.KEYS, "player_id"], "left_semi"), (*I.KEYS, "player_id", "touches"), "mean_x"),
     "k15_backtest": lambda s, d: _pick(L.backtest(L.targets(load_plans._form(s, d)), 10), ("player_id", "day"), "err_last", "err_ma14"),
-    "k17_fatigue_counts": lambda s, d: L.fatigue_counts(load_plans._fatigue(s, d)),
     "k18_latest": lambda s, d: _pick(L.latest(load_plans._form(s, d)), ("player_id", "day", "sessions", "role"), "form"),
-    "j16_alert_overlap": lambda s, d: _pick(L.alert_overlap(load_plans._fatigue(s, d)), ("static_high", "risk_high", "both", "either"), "jaccard"),
     "j8_days_with_totals": lambda s, d: L.with_totals(player_days(s, d).select("player_id", "day", "sessions"), _totals(s, d)),
     "j10_without_excluded": lambda s, d: L.without(player_days(s, d).select("player_id", "day", "sessions"), _trial_players(s, d)),
     "f4_integer_columns": lambda s, d: table(s, d, "lineitem").select(*[F.col(c).cast("double").alias(c) for c in _NUMBERS]).unpivot([], list(_NUMBERS), "column", "value").groupBy("column").agg(scalar.all_integers(F.col("value")).alias("integers")),
@@ -75,7 +73,6 @@ _A, _S = f"WITH {ACTIONS}", team_plans._S
 _MISSED = """mi AS (SELECT * FROM ch WHERE best_value >= (SELECT quantile_cont(best_value, 0.85) FROM ch) AND gain >= 0.02 AND NOT coalesce(is_goal, false) AND NOT coalesce(on_target, false))"""
 _PHASE = "SELECT * FROM (SELECT match_id, '{0}' AS section, row_number() OVER (PARTITION BY match_id ORDER BY round({2}, 9) DESC, event_id) AS rank, event_id, value, gain FROM {1}) WHERE rank <= 5"
 _SECTION = "SELECT '{0}' AS section, player_id, score, row_number() OVER (ORDER BY round(score, 9) {2}, player_id) AS rank FROM p WHERE {1}"
-_K9 = f"WITH k AS ({load_plans.SQL['k9_fatigue']})"
 _EACH = " UNION ALL ".join(f"SELECT event_id, '{a}' AS act, {k} AS k, p_{a} AS v FROM w" for k, a in enumerate(D.ACTIONS))
 _NODES = "n AS (SELECT match_id, team_id, player_id, avg(x) AS mean_x, avg(y) AS mean_y, count(*) AS touches FROM {0} GROUP BY ALL HAVING avg(x) IS NOT NULL)"
 
@@ -106,10 +103,7 @@ SQL = {
     "j14_nodes_of_shooters": f"{_A}, {_NODES.format('a')} SELECT match_id, team_id, player_id, touches, {_R(6, 'mean_x')} FROM n SEMI JOIN (SELECT * FROM a WHERE event_type = 'shot') z USING (match_id, team_id, player_id)",
     "k15_backtest": f"""{load_plans._D}, t AS (SELECT player_id, day, form, {load_plans._RANGE.format('14 PRECEDING', 'CURRENT ROW')} AS ma14, {load_plans._RANGE.format('1 FOLLOWING', '7 FOLLOWING')} AS next7 FROM f),
         e2 AS (SELECT player_id, day, abs(next7 - form) AS err_last, abs(next7 - ma14) AS err_ma14 FROM t WHERE day >= 10 AND next7 IS NOT NULL) SELECT player_id, day, {_R(6, 'err_last', 'err_ma14')} FROM e2""",
-    "k17_fatigue_counts": f"{_K9} SELECT 'level' AS kind, risk_level AS name, count(*) AS n FROM k GROUP BY ALL UNION ALL SELECT 'factor', name, count(*) FROM (SELECT unnest(string_split(reasons, ';')) AS name FROM k) GROUP BY ALL",
     "k18_latest": f"{load_plans._D} SELECT player_id, day, sessions, role, {_R(6, 'form')} FROM f QUALIFY row_number() OVER (PARTITION BY player_id ORDER BY day DESC) = 1",
-    "j16_alert_overlap": f"""{_K9}, x AS (SELECT count(*) FILTER (WHERE static_level = 'high') AS static_high, count(*) FILTER (WHERE risk_level = 'high') AS risk_high, count(*) FILTER (WHERE static_level = 'high' AND risk_level = 'high') AS "both",
-        count(*) FILTER (WHERE static_level = 'high' OR risk_level = 'high') AS either FROM k) SELECT static_high, risk_high, "both", either, round(coalesce("both" / nullif(either, 0)::DOUBLE, 0) + 3.3e-10, 6) AS jaccard FROM x""",
     "j8_days_with_totals": f"""{_A}{PLAYER_DAYS[len(EVENTS):]}, t AS (SELECT player_id, count(*) AS shots, count(*) FILTER (WHERE is_goal) AS goals FROM a WHERE event_type = 'shot' GROUP BY ALL)
         SELECT player_id, day, sessions, coalesce(shots, 0) AS shots, coalesce(goals, 0) AS goals FROM p LEFT JOIN t USING (player_id)""",
     "j10_without_excluded": f"WITH {PLAYER_DAYS} SELECT player_id, day, sessions FROM p WHERE role <> 'r0'",

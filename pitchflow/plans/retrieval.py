@@ -82,8 +82,7 @@ def _form_model(s, d):
 
 
 def _fatigue_model(s, d):
-    z = L.zones(L.personal_z(L.monotony_and_ratios(L.daily(player_days(s, d)))))
-    return L.fatigue(M.isolation_forest(z, ("monotony", "strain", "ac_load", "ac_distance", "load_z"), ("player_id", "day"))).select("player_id", "day", "anomaly", "is_anomaly", "risk", "risk_level", "reasons")
+    return load_plans._fatigue(s, d).select("player_id", "day", "anomaly", "is_anomaly")
 
 
 def _team_clusters(s, d):

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.load import daily
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -66,20 +68,39 @@ def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 ACTIONS = EVENTS + ",\na AS (SELECT event_id, sec, " + ", ".join(f"{x.format(div='event_id // 4', hundred='user_id // 100')} AS {c}" for c, x in _ACTION_EXPR.items()) + " FROM e)"
 
 
+_SESSION_EXPR = {
+    "session_name": "CASE WHEN k % 6 <> 0 THEN 'drill ' || (k % 6) END",
+    "duration": "CAST(k AS DOUBLE)",
+    "distance": "value * 10",
+    "high_acc": "value * (k % 7) / 10",
+    "high_dec": "value * (k % 5) / 10",
+    "speed_20_25": "CASE WHEN k >= 60 THEN value ELSE 0.0 END",
+    "speed_25_50": "CASE WHEN k >= 80 THEN value ELSE 0.0 END",
+    "accel_low": "CAST(k % 4 + k % 3 AS DOUBLE)",
+    "accel_high": "CAST(k % 5 + k % 2 AS DOUBLE)",
+    "per_min": "value / (1 + k % 9)",
+    "power": "(k % 23) / 2.0E0",
+    "sprints": "(k % 11) / 100.0E0",
+}
+
+
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each session of a player's device: sums, rates and a name; `role` by player."""
+    role = F.concat(F.lit("r"), (F.col("user_id") % 3).cast("string")).alias("role")
+    return _events(spark, sf_dir).select(F.col("user_id").alias("player_id"), "day", role, *[F.expr(x).alias(c) for c, x in _SESSION_EXPR.items()])
+
+
 def player_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each player and day with load sums; `role` by player."""
-    e = _events(spark, sf_dir)
-    return (
-        e.groupBy(F.col("user_id").alias("player_id"), "day")
-        .agg(F.count(F.lit(1)).alias("sessions"), F.sum("value").alias("distance"), F.sum("k").alias("duration"), F.sum(F.when(F.col("k") >= 80, F.col("value")).otherwise(0.0)).alias("high_speed"))
-        .withColumn("role", F.concat(F.lit("r"), (F.col("player_id") % 3).cast("string")))
-    )
+    """One row for each player and day."""
+    return daily(sessions(spark, sf_dir))
 
 
+_SUMS = ("duration", "distance", "high_acc", "high_dec", "speed_20_25", "speed_25_50", "accel_low", "accel_high")
 PLAYER_DAYS = EVENTS + """,
-p AS (SELECT user_id AS player_id, day, count(*) AS sessions, sum(value) AS distance, sum(k)::BIGINT AS duration,
-  sum(CASE WHEN k >= 80 THEN value ELSE 0.0 END) AS high_speed, 'r' || (user_id % 3) AS role FROM e GROUP BY user_id, day)"""
-
+ss AS (SELECT user_id AS player_id, day, 'r' || (user_id % 3) AS role, """ + ", ".join(f"{x} AS {c}" for c, x in _SESSION_EXPR.items()) + """ FROM e),
+p0 AS (SELECT player_id, day, any_value(role) AS role, count(*) AS sessions, coalesce(string_agg(DISTINCT session_name, ' || ' ORDER BY session_name), '') AS session_names, """ + ", ".join(f"sum({c}) AS {c}" for c in _SUMS) + """,
+  coalesce(sum(per_min * duration) / nullif(sum(duration), 0), 0) AS per_min, coalesce(sum(power * duration) / nullif(sum(duration), 0), 0) AS power, coalesce(sum(sprints * duration) / nullif(sum(duration), 0), 0) AS sprints FROM ss GROUP BY player_id, day),
+p AS (SELECT *, speed_20_25 + speed_25_50 AS high_speed, coalesce(100 * (speed_20_25 + speed_25_50) / nullif(distance, 0), 0) AS high_share, distance * power AS load, accel_low + accel_high AS accel FROM p0)"""
 
 #: Sums over the rows of `lineitem`, each an action, that stand for the totals of a team's match.
 _TOTAL_EXPR = {
