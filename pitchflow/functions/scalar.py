@@ -45,6 +45,10 @@ def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
 
+def clip_range(x: Column, low: int, high: int) -> Column:
+    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+
+
 def band(x: Column, *steps: tuple[float, str], default: str) -> Column:
     """The first label whose threshold x reaches, from the highest down."""
     out = None

@@ -8,7 +8,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
@@ -18,13 +18,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
+from .decision import evaluation
 
 
-def decision_pipeline(categorical, numeric, trees: int = 40, depth: int = 6, seed: int = 42) -> Pipeline:
+def _encoded(categorical, numeric, hot: str) -> list:
     index = StringIndexer(inputCols=list(categorical), outputCols=[f"{c}_i" for c in categorical], handleInvalid="keep")
-    hot = OneHotEncoder(inputCols=[f"{c}_i" for c in categorical], outputCols=[f"{c}_v" for c in categorical])
-    features = VectorAssembler(inputCols=[*[f"{c}_v" for c in categorical], *numeric], outputCol="features")
-    return Pipeline(stages=[index, hot, features, RandomForestClassifier(numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", weightCol="weight", seed=seed)])
+    encoder = OneHotEncoder(inputCols=[f"{c}_i" for c in categorical], outputCols=[f"{c}_v" for c in categorical], handleInvalid="keep")
+    return [index, encoder, VectorAssembler(inputCols=[f"{c}_v" for c in categorical], outputCol=hot), VectorAssembler(inputCols=list(numeric), outputCol="numbers")]
+
+
+def decision_pipeline(categorical, numeric, trees: int = 700, depth: int = 14, seed: int = 42) -> Pipeline:
+    """The random forest, its classes weighted by column `weight`."""
+    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=4, featureSubsetStrategy="sqrt", weightCol="weight", seed=seed)
+    return Pipeline(stages=[*_encoded(categorical, numeric, "hot"), VectorAssembler(inputCols=["hot", "numbers"], outputCol="features"), forest])
+
+
+def neural_pipeline(categorical, numeric, inputs: int, hidden=(256, 128, 64), rounds: int = 350, seed: int = 42) -> Pipeline:
+    """The neural net over standardised numbers; MLlib's has sigmoid units and L-BFGS. inputs: the number of features."""
+    scaler = StandardScaler(inputCol="numbers", outputCol="scaled", withMean=True, withStd=True)
+    net = MultilayerPerceptronClassifier(layers=[inputs, *hidden, 2], maxIter=rounds, seed=seed)
+    return Pipeline(stages=[*_encoded(categorical, numeric, "hot"), scaler, VectorAssembler(inputCols=["hot", "scaled"], outputCol="features"), net])
+
+
+def width(rows: DataFrame, categorical, numeric) -> int:
+    """How many features the encoding of these rows has: one for each value of a category and one for others, less the last."""
+    n = rows.agg(*[F.countDistinct(c).alias(c) for c in categorical]).first()
+    return sum(n[c] + 1 for c in categorical) + len(numeric)
 
 
 def balanced(rows: DataFrame, label: str = "label") -> DataFrame:
@@ -35,13 +54,14 @@ def balanced(rows: DataFrame, label: str = "label") -> DataFrame:
 
 
 def counterfactual(model, rows: DataFrame, action: str = "event_type", actions=("pass", "shot", "carry")) -> DataFrame:
-    """Scores of each row with every action in place of its own: p_<action>, and value for the one taken."""
-    own = F.col(action)
-    each = rows.withColumn("__own", own).withColumn(action, F.explode(F.array(*map(F.lit, actions))))
-    scored = model.transform(each).withColumn("__p", F.get(vector_to_array("probability"), F.lit(1)))
-    keep = [c for c in rows.columns if c not in (action, "event_id")]
-    by = scored.groupBy("event_id").agg(F.first("__own").alias(action), *[F.first(c).alias(c) for c in keep], *[F.max(F.when(F.col(action) == a, F.col("__p"))).alias(f"p_{a}") for a in actions])
-    return by.withColumn("value", F.coalesce(*[F.when(F.col(action) == a, F.col(f"p_{a}")) for a in actions]))
+    """Scores of each row with every action in place of its own: p_<action>, and value for the one taken. One pass, no shuffle."""
+    keep = [c for c in rows.columns if c != action]
+    out = rows.withColumn("__own", F.col(action))
+    for a in actions:
+        scored = model.transform(out.withColumn(action, F.lit(a)))
+        out = scored.select(*keep, "__own", *[f"p_{b}" for b in actions[: actions.index(a)]], F.get(vector_to_array("probability"), F.lit(1)).alias(f"p_{a}"))
+    out = out.withColumnRenamed("__own", action)
+    return out.withColumn("value", F.coalesce(*[F.when(F.col(action) == a, F.col(f"p_{a}")) for a in actions]))
 
 
 def fold_of(match_id, folds: int = 5):
@@ -56,16 +76,50 @@ def scored_by_fold(pipeline, rows: DataFrame, fold: str = "fold") -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def future_form(rows: DataFrame, features, target: str, split_day: int, seed: int = 42):
-    """Random forest fitted on the days up to split_day; the rows after it with predictions."""
-    data = VectorAssembler(inputCols=list(features), outputCol="features").transform(rows.where(F.col(target).isNotNull()).na.fill(0.0, list(features)))
-    model = RandomForestRegressor(labelCol=target, numTrees=20, maxDepth=5, seed=seed).fit(data.where(F.col("day") <= split_day))
-    return model, model.transform(data.where(F.col("day") > split_day)).drop("features")
-
-
-def errors(rows: DataFrame, target: str, prediction: str = "prediction") -> DataFrame:
-    d, y = F.col(prediction) - F.col(target), F.col(target)
-    return rows.agg(F.avg(F.abs(d)).alias("mae"), F.sqrt(F.avg(d * d)).alias("rmse"), (1 - F.sum(d * d) / (F.count(y) * F.var_pop(y))).alias("r2"))
+def candidates(rows: DataFrame, pipelines: dict, label: str = "label", fold: str = "fold") -> DataFrame:
+    """model, folds, mean_auc, std_auc, mean_average_precision, mean_brier, selected: each pipeline fitted without each
+    fold and judged on it; the best by mean AUC, then average precision, then Brier score is selected. A row for each model and fold
+    comes to the driver."""
+    spark = rows.sparkSession
+    found = sorted(r[0] for r in rows.select(fold).distinct().collect())
+    figures = []
+    for name, pipeline in pipelines.items():
+        for k in found if len(found) > 1 else []:
+            model = pipeline().fit(balanced(rows.where(F.col(fold) != k), label))
+            scored = model.transform(rows.where(F.col(fold) == k)).select(F.col(label).alias("y"), F.get(vector_to_array("probability"), F.lit(1)).alias("p"))
+            figures.append((name, *evaluation(scored).first()[:3]))
+    table = spark.createDataFrame(figures, "model string, auc double, ap double, brier double")
+    out = spark.createDataFrame([(n,) for n in pipelines], "model string").join(table, "model", "left").groupBy("model").agg(
+        F.count("ap").alias("folds"), F.avg("auc").alias("mean_auc"), F.stddev_pop("auc").alias("std_auc"), F.avg("ap").alias("mean_average_precision"), F.avg("brier").alias("mean_brier")
+    )
+    key = F.struct(F.coalesce("mean_auc", F.lit(-1.0)), F.coalesce("mean_average_precision", F.lit(-1.0)), -F.coalesce("mean_brier", F.lit(1.0)))
+    return out.withColumn("selected", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(key), "model")) == 1)  # a row for each model
+
+
+#: Fixed value: the rows below which no forest is fitted.
+LEAST_ROWS = 40
+
+
+def future_form(rows: DataFrame, features, target: str, split_day: int, fallback: str, seed: int = 42, trees: int = 400, depth: int = 8):
+    """Random forest fitted on the days up to split_day: the rows after it with predictions, and the importances of the
+    features. With under LEAST_ROWS rows to fit, or none after the split, the predictions are the column `fallback`."""
+    data = VectorAssembler(inputCols=list(features), outputCol="features").transform(rows.where(F.col(target).isNotNull()).na.fill(0.0, [*features, fallback]))
+    train, test = data.where(F.col("day") <= split_day), data.where(F.col("day") > split_day)
+    spark, schema = rows.sparkSession, "feature string, importance double"
+    if train.limit(LEAST_ROWS).count() < LEAST_ROWS or test.isEmpty():
+        return test.withColumn("prediction", F.col(fallback)).drop("features"), spark.createDataFrame([(f, 0.0) for f in features], schema)
+    model = RandomForestRegressor(labelCol=target, numTrees=trees, maxDepth=depth, minInstancesPerNode=2, featureSubsetStrategy="all", seed=seed).fit(train)
+    return model.transform(test).drop("features"), spark.createDataFrame([(f, float(x)) for f, x in zip(features, model.featureImportances.toArray(), strict=True)], schema)
+
+
+def errors(rows: DataFrame, target: str, **predictions: str) -> DataFrame:
+    """model, mae, rmse, r2 of each named column of predictions; r2 is 0 where the target does not vary."""
+    out = []
+    for name, column in predictions.items():
+        d, y = F.col(column) - F.col(target), F.col(target)
+        total = F.count(y) * F.var_pop(y)
+        out.append(rows.agg(F.lit(name).alias("model"), F.avg(F.abs(d)).alias("mae"), F.sqrt(F.avg(d * d)).alias("rmse"), F.when(total > 0, 1 - F.sum(d * d) / total).otherwise(0.0).alias("r2")))
+    return reduce(DataFrame.unionByName, out)
 
 
 # ---- isolation forest (Liu, Ting, Zhou 2008)
@@ -140,15 +194,75 @@ def isolation_forest(rows: DataFrame, features, key, trees: int = 250, sample: i
     return out.withColumn("is_anomaly", F.col("__s") > F.col("__at")).drop("__s", "__lo", "__hi", "__at")
 
 
-def clusters(rows: DataFrame, features, k: int = 5, seeds=(1, 2, 3), pca: int | None = None):
-    """Standardised rows (and their principal components) in k clusters, the best of several starts; silhouette."""
-    data = VectorAssembler(inputCols=list(features), outputCol="__v").transform(rows.na.fill(0.0, list(features)))
-    data = StandardScaler(inputCol="__v", outputCol="__s", withMean=True).fit(data).transform(data)
+# ---- clusters
+
+
+def standardised(rows: DataFrame, features) -> DataFrame:
+    """The features less their mean over their population std, as z_<feature>; 0 where a feature does not vary."""
+    stats = rows.agg(*[f(c).alias(f"__{n}_{c}") for c in features for n, f in (("m", F.avg), ("s", F.stddev_pop))])
+    z = {f"z_{c}": F.when(F.col(f"__s_{c}") > 0, (F.col(c) - F.col(f"__m_{c}")) / F.col(f"__s_{c}")).otherwise(0.0) for c in features}
+    return rows.join(F.broadcast(stats)).withColumns(z).drop(*stats.columns)
+
+
+def clusters(rows: DataFrame, features, k: int = 5, seeds=(1, 2, 3), pca: int | None = None, scale: bool = True):
+    """Standardised rows, or rows as they are without `scale`, (and their principal components pca_1, ...) in k clusters, the best of several starts; the
+    silhouette, MLlib's, on squared distances. Fewer rows than clusters are one cluster."""
+    filled, used = rows.na.fill(0.0, list(features)), [f"z_{c}" for c in features] if scale else list(features)
+    data = VectorAssembler(inputCols=used, outputCol="__s").transform(standardised(filled, features) if scale else filled)
+    data = data.drop(*used) if scale else data
     column = "__s"
     if pca:
         data, column = PCA(k=pca, inputCol="__s", outputCol="__c").fit(data).transform(data), "__c"
+        data = data.withColumns({f"pca_{i + 1}": F.get(vector_to_array("__c"), F.lit(i)) for i in range(pca)})
+    if data.limit(k).count() < k:
+        return data.withColumn("cluster", F.lit(0)).drop("__s", "__c"), 0.0
     models = [KMeans(k=k, seed=s, featuresCol=column, predictionCol="cluster").fit(data) for s in seeds]
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    out = best.transform(data)
+    out = min(models, key=lambda m: m.summary.trainingCost).transform(data)
     fit = ClusteringEvaluator(featuresCol=column, predictionCol="cluster").evaluate(out) if out.select("cluster").distinct().count() > 1 else 0.0
-    return out.drop("__v", "__s", "__c"), fit
+    return out.drop("__s", "__c"), fit
+
+
+def named_team_clusters(rows: DataFrame) -> DataFrame:
+    """profile and explanation of each row by how the means of its cluster differ from those of all rows."""
+    features = ("lossRate", "progressivePassSuccessRate", "counterpressingRate", "xgPerShot", "passSuccessRate")
+    everyone = rows.agg(*[F.avg(c).alias(f"__{c}") for c in features])
+    c = rows.groupBy("cluster").agg(*[F.avg(c).alias(c) for c in features]).join(F.broadcast(everyone))
+    loss, progress, press, chance, passes = [F.col(c) - F.col(f"__{c}") for c in features]
+    # How far a mean has to differ, and the texts and names.
+    told = [
+        (loss > 0.015, "higher than average ball losses"), (loss < -0.015, "lower than average ball losses"),
+        (progress > 0.03, "higher than average progressive passing success"), (progress < -0.03, "lower than average progressive passing success"),
+        (press > 0.04, "stronger than average counterpressing"), (press < -0.04, "weaker than average counterpressing"),
+        (chance > 0.015, "higher than average chance quality per shot"), (chance < -0.015, "lower than average chance quality per shot"),
+        (passes < -0.06, "lower than average overall pass success"),
+    ]
+    profile = (
+        F.when((loss > 0.015) & (progress < -0.03), F.when(chance > 0.015, "high_loss_low_progression_with_chance_quality").otherwise("high_loss_low_control"))
+        .when((press > 0.04) & (loss <= 0.015), "strong_pressing_compact")
+        .when((chance < -0.015) & (progress >= -0.03), "low_chance_creation")
+        .when((progress > 0.03) & (loss < 0), "balanced_control")
+        .otherwise("mixed_profile")
+    )
+    said = F.array_compact(F.array(*[F.when(test, text) for test, text in told]))
+    named = c.select("cluster", profile.alias("profile"), F.when(F.size(said) == 0, F.array(F.lit("balanced around league baseline values"))).otherwise(said).alias("explanation"))
+    return rows.join(F.broadcast(named), "cluster")  # a row for each cluster
+
+
+def player_clusters(profiles: DataFrame, features) -> tuple[DataFrame, float]:
+    """Players in two or three clusters, by the better silhouette, with their names."""
+    tried = [clusters(profiles, features, k, pca=2) for k in (2, 3)]
+    out, fit = max(tried, key=lambda x: x[1])
+    return named_player_clusters(out), fit
+
+
+def named_player_clusters(rows: DataFrame) -> DataFrame:
+    """profile by cluster: the one of the longest mean distance, of the others the most explosive one, and the rest; ties to
+    the smaller cluster. A row for each cluster is ranked."""
+    explosive = F.avg(F.col("high_share") + F.col("high_acc") / 100.0 + F.col("sprints") * 100.0)
+    c = rows.groupBy("cluster").agg(F.avg("distance").alias("__d"), explosive.alias("__e"))
+    everywhere = Window.partitionBy(F.lit(0))
+    c = c.withColumn("__first", F.row_number().over(everywhere.orderBy(F.desc(F.round("__d", 9)), "cluster")) == 1)
+    c = c.withColumn("__second", (F.row_number().over(everywhere.orderBy("__first", F.desc(F.round("__e", 9)), "cluster")) == 1) & ~F.col("__first"))
+    # The names of the profiles.
+    name = F.when(F.col("__first"), "high-volume runner").when(F.col("__second"), "explosive short-burst").otherwise("low-volume high-intensity")
+    return rows.join(F.broadcast(c.select("cluster", name.alias("profile"))), "cluster")

@@ -16,8 +16,7 @@ from .rounding import pick as _pick
 from .rounding import rounded as _R
 
 
-def _chosen(s, d):
-    return D.choose(team_plans._scored(s, d))
+_chosen = team_plans._chosen
 
 
 def _types():

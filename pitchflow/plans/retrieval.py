@@ -12,12 +12,12 @@ from ..operators import decision as D
 from ..operators import docs as G
 from ..operators import load as L
 from ..operators import models as M
-from ..sources.adapters import actions, player_days, table, team_matches
-from ..sources.shared import shared_dir
+from ..sources.adapters import actions, table
+from ..sources.shared import shared_dir, written
 from ..streaming import live
+from . import league as league_plans
 from . import load as load_plans
 from . import match as match_plans
-from .rounding import pick
 
 
 def _shared(spark) -> str:
@@ -62,40 +62,73 @@ def _deduplicated(s, d):
     return s.read.schema(e.schema).parquet(f"{folder}/out").select("event_id", "user_id")
 
 
-_FEATURES = ("x", "y", "gap", "goal_distance", "goal_angle")
+#: The forest of the decision queries; the operator's own defaults are 700 trees of depth 14.
+TREES, DEPTH = 100, 10
 
 
-def _decision_model(s, d, trees=100, depth=10):
+def _matrix(s, d):
+    rows = D.feature_matrix(D.label(actions(s, d), 600))
+    return written(rows.withColumn("fold", M.fold_of(F.col("match_id"))), "feature-matrix")
+
+
+def _decision_model(s, d, trees=TREES, depth=DEPTH):
     """Every action with each action in its place, by the forest of its fold of matches, which was fitted on the others."""
-    rows = D.context(D.label(actions(s, d), 600)).select("event_id", "match_id", "event_type", "prev_type", "label", *_FEATURES)
-    rows = rows.withColumn("fold", M.fold_of(F.col("match_id")))
-    folder = _shared(s)
-    rows.write.parquet(folder)
-    scored = M.scored_by_fold(lambda: M.decision_pipeline(("event_type", "prev_type"), _FEATURES, trees=trees, depth=depth), s.read.schema(rows.schema).parquet(folder))
-    return D.choose(scored).select("event_id", "event_type", "p_pass", "p_shot", "p_carry", "value", "best", "gain", "low", "suggested")
+    scored = M.scored_by_fold(lambda: M.decision_pipeline(D.CATEGORICAL, D.NUMERIC, trees=trees, depth=depth), _matrix(s, d))
+    return D.choose(written(scored, "model-scores"))
+
+
+def _model_selection(s, d):
+    """The forest against a small neural net, in three folds of matches."""
+    rows = _matrix(s, d).withColumn("fold", F.col("fold") % 3)
+    inputs = M.width(rows, D.CATEGORICAL, D.NUMERIC)
+    pipelines = {"random_forest": lambda: M.decision_pipeline(D.CATEGORICAL, D.NUMERIC, trees=40, depth=8), "neural_net": lambda: M.neural_pipeline(D.CATEGORICAL, D.NUMERIC, inputs, hidden=(32, 16), rounds=60)}
+    return M.candidates(rows, pipelines)
+
+
+#: What future form is predicted from.
+FORM_FEATURES = (
+    "per_min_mean_7", "high_share_mean_7", "load_mean_7", "load_cv_7", "ac_distance", "ac_high_acc", "ac_load", "ac_distance_3_21", "ac_high_acc_3_21", "ac_load_3_21",
+    "ac_distance_ewma", "ac_high_acc_ewma", "ac_load_ewma", "monotony", "strain", "gap", "distance_z", "high_acc_z", "load_z",
+    "match_xg_per90", "match_xg_assist_per90", "match_goals_per90", "match_assists_per90", "match_pass_accuracy", "match_duel_win_rate",
+)
+
+
+def _form_rows(s, d):
+    """Player days with all features of the form model, today's form and the means before and after."""
+    days = L.targets(L.personal_z(L.monotony_and_ratios(L.rolling(load_plans._form(s, d), (7,), ("per_min", "high_share", "load")))))
+    context = L.match_context(load_plans._match_rows(s, d))
+    named = context.select("player_id", *[F.col(c.removeprefix("match_")).alias(c) for c in FORM_FEATURES if c.startswith("match_")])
+    return written(L.with_totals(L.ewma(days), named), "form-rows")
 
 
 def _form_model(s, d):
-    rows = L.targets(L.monotony_and_ratios(load_plans._form(s, d)))
-    _, out = M.future_form(rows, ("form", "ma14", "monotony", "ac_load", "load"), "next7", 20)
-    return M.errors(out, "next7").unionByName(M.errors(out, "next7", "ma14")).withColumn("model", F.when(F.monotonically_increasing_id() % 2 == 0, "forest").otherwise("mean_14_days"))
+    out, _ = M.future_form(_form_rows(s, d), FORM_FEATURES, "next7", 20, "ma14", trees=60, depth=8)
+    return M.errors(written(out, "form-predictions"), "next7", forest="prediction", last_form="form", mean_14_days="ma14")
+
+
+def _form_importances(s, d):
+    return M.future_form(_form_rows(s, d), FORM_FEATURES, "next7", 20, "ma14", trees=60, depth=8)[1]
 
 
 def _fatigue_model(s, d):
     return load_plans._fatigue(s, d).select("player_id", "day", "anomaly", "is_anomaly")
 
 
-def _team_clusters(s, d):
-    from ..operators import baseline as B
+#: What teams are clustered by.
+TEAM_FEATURES = (
+    "passSuccessRate", "progressivePassSuccessRate", "finalThirdPassSuccessRate", "lossRate", "ownHalfLossRate", "dangerousLossRate", "shotOnTargetRate", "xgPerShot", "boxEfficiency",
+    "counterpressingRate", "highRecoveryRate", "duelSuccessRate",
+)
+
 
-    out, _ = M.clusters(B.ratios(team_matches(s, d)), tuple(B.RATIOS), 5)
-    return out.select("match_id", "team_id", "cluster")
+def _team_clusters(s, d):
+    out, _ = M.clusters(league_plans._features(s, d), TEAM_FEATURES, 5, scale=False)
+    return M.named_team_clusters(out).select("match_id", "team_id", "cluster", "profile", F.array_join("explanation", "; ").alias("explanation"))
 
 
 def _player_clusters(s, d):
-    profiles = load_plans.QUERIES["k12_player_profiles"](s, d)
-    out, _ = M.clusters(profiles, ("distance", "high_speed", "per_min", "load"), 3, pca=2)
-    return out.select("player_id", "cluster")
+    out, _ = M.player_clusters(written(load_plans._profiles(s, d), "player-profiles"), L.PROFILE)
+    return out.select("player_id", "cluster", "profile", "pca_1", "pca_2")
 
 
 QUERIES = {
@@ -110,7 +143,10 @@ QUERIES = {
     "f6_slugs": lambda s, d: table(s, d, "customer").select("c_custkey", scalar.slug(F.concat_ws(" ", "c_name", "c_mktsegment")).alias("slug"), scalar.normal_name(F.col("c_name")).alias("name")),
     "st1_dedup": _deduplicated,
     "st4_live_chains": _live_chains,
-    "m1_decision_model": _decision_model,
+    "m1_decision_model": lambda s, d: _decision_model(s, d).select("event_id", "event_type", "p_pass", "p_shot", "p_carry", "value", "best", "gain", "low", "suggested"),
+    "m3_model_selection": _model_selection,
+    "dq4_model_players": lambda s, d: D.player_summary(_decision_model(s, d)),
+    "m5_form_importances": _form_importances,
     "m5_form_model": _form_model,
     "m7_fatigue_anomalies": _fatigue_model,
     "m8_team_clusters": _team_clusters,

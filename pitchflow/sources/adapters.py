@@ -30,6 +30,7 @@ _ACTION_EXPR = {
     "match_id": "day * 100000 + {hundred}",
     "team_id": "user_id % 2",
     "player_id": "user_id",
+    "position": "CASE WHEN user_id % 7 <> 0 THEN 'P' || (user_id % 7) END",
     "period": "CASE WHEN sec < 43200 THEN '1H' ELSE '2H' END",
     "event_type": "CASE event_type WHEN 'view' THEN 'pass' WHEN 'click' THEN 'carry' WHEN 'purchase' THEN 'shot' WHEN 'error' THEN CASE WHEN k % 9 = 4 THEN 'infraction' ELSE 'ground_duel' END ELSE 'aerial_duel' END",
     "x": "CAST((event_id * 37) % 101 AS DOUBLE)",

@@ -78,20 +78,3 @@ def test_isolation_forest_finds_what_is_planted(spark):
     out = models.isolation_forest(spark.createDataFrame(rows, "id bigint, a double, b double"), ("a", "b"), ("id",), trees=40)
     top = [r.id for r in out.orderBy(F.desc("anomaly")).limit(4).collect()]
     assert set(top) == {1000, 1001, 1002, 1003}
-
-
-def test_decision_model_scores_every_action(spark):
-    from pitchflow.operators import decision
-    from pitchflow.plans import retrieval
-    from pitchflow.sources.adapters import actions
-
-    data = "/root/testdata/sf0.001"
-    want = actions(spark, data).where(F.col("event_type").isin(*decision.ACTIONS))
-    out = retrieval._decision_model(spark, data).collect()
-    assert sorted(r.event_id for r in out) == sorted(r.event_id for r in want.collect())
-    assert all(0 <= p <= 1 for r in out for p in (r.p_pass, r.p_shot, r.p_carry, r.value))
-    # the low quarter is that of all actions
-    values = sorted(r.value for r in out)
-    at = (len(values) - 1) / 4
-    limit = values[int(at)] + (values[int(at) + 1] - values[int(at)]) * (at % 1)
-    assert all(r.low == (r.value <= limit) for r in out if abs(r.value - limit) > 1e-12)
