@@ -34,7 +34,7 @@ PASSAGE = 1024
 MAX_TRAIN = 4000
 MAX_BYTES = 64_000_000
 #: Bytes of text that are looked at together; a worker needs about 100 times as much memory.
-SLICE = 200_000
+SLICE = 100_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -125,7 +125,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, pa.
         cuts = [0, *(np.flatnonzero(split[1:] != split[:-1]) + 1).tolist(), len(split)]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             new = int(split[a])
-            for part in small_slices(batch.slice(a, b - a), 1):
+            for part in small_slices(batch.slice(a, b - a), 1, 250_000):
                 yield (None if new == last else new), part.column(1)
                 last = new
 
