@@ -111,3 +111,13 @@ def metric_label(name: Column, labels: dict[str, str] | None = None) -> Column:
     spaced = F.trim(F.regexp_replace(name, r"(?<!^)([A-Z])", " $1"))
     label = F.concat(F.upper(F.substring(spaced, 1, 1)), F.substr(spaced, F.lit(2)))
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in labels.items() for x in pair]), name), label) if labels else label
+
+
+def number_text(x: Column, digits: int, default: str = "n/a") -> Column:
+    """A number with so many digits, half up; the default where there is none."""
+    return F.coalesce(F.round(x + 3.3 * 10.0 ** (-digits - 4), digits).cast(f"decimal(38,{digits})").cast("string"), F.lit(default))
+
+
+def text_or(text: Column, default: str = "n/a") -> Column:
+    """Trimmed text, the default where there is none."""
+    return F.coalesce(F.nullif(F.trim(text), F.lit("")), F.lit(default))

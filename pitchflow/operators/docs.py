@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import ranks
 from ..functions.scalar import clip_text
 
 #: topic -> keywords of its pages
@@ -16,13 +18,21 @@ TOPICS = {"pressing": ("press", "the", "high"), "build_up": ("pass", "build", "a
 BLOCK = 2048
 
 
-def topic_pages(pages: DataFrame, topics=TOPICS, k: int = 4) -> DataFrame:
-    """Pages by how many distinct keywords of a topic they hold; the k best of each topic, ties by page."""
+def topic_pages(pages: DataFrame, topics=TOPICS, k: int = 4, first: int = 0) -> DataFrame:
+    """Pages by how many distinct keywords of a topic they hold; the k best of each topic, ties by page. A topic without
+    any gets the `first` pages, with score 0."""
     text = F.lower(F.coalesce("text", F.lit("")))
     scores = [F.struct(F.lit(t).alias("topic"), sum((F.contains(text, F.lit(w.lower())).cast("int") for w in words), F.lit(0)).alias("score")) for t, words in topics.items()]
-    s = pages.select("page_id", F.inline(F.array(*scores))).where("score > 0")
+    s = pages.select("page_id", F.inline(F.array(*scores)))
+    # The k best of each score and hash first, so that no window meets all pages of a topic.
+    some = Window.partitionBy("topic", F.pmod(F.xxhash64("page_id"), F.lit(1024))).orderBy(F.desc("score"), "page_id")
+    found = s.where("score > 0").withColumn("__r", F.row_number().over(some)).where(F.col("__r") <= k).drop("__r")
+    if first:
+        ids = pages.select("page_id").orderBy("page_id").limit(first)
+        names = pages.sparkSession.createDataFrame([(t, 0) for t in topics], "topic string, score int")
+        found = found.unionByName(ids.join(F.broadcast(names.join(found.select("topic").distinct(), "topic", "left_anti"))))
     w = Window.partitionBy("topic").orderBy(F.desc("score"), "page_id")
-    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,17 +86,42 @@ def recent_messages(turns: DataFrame, k: int = 5) -> DataFrame:
 
 
 def within_budget(docs: DataFrame, key: str, size: str, score: str, doc: str, budget: int) -> DataFrame:
-    """Documents of a key in score order as far as the budget goes; one that does not fit is skipped, later ones may fit."""
-    ranked = docs.groupBy(key).agg(F.sort_array(F.collect_list(F.struct((-F.col(score)).alias("s"), F.col(doc).alias("d"), F.col(size).cast("bigint").alias("n")))).alias("all"))
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<bigint>").alias("docs"))
-    fold = F.aggregate("all", start, lambda a, x: F.when(a["used"] + x["n"] > budget, a).otherwise(F.struct((a["used"] + x["n"]).alias("used"), F.concat(a["docs"], F.array(x["d"].cast("bigint"))).alias("docs"))))
-    return ranked.select(key, fold.alias("f")).select(key, F.col("f.used").alias("used"), F.array_join("f.docs", ",").alias("docs"))
+    """Documents of a key in score order as far as the budget goes; one that does not fit is skipped, later ones may fit.
+    If none fits, the first is taken all the same.
+
+    Rows go by key and score through a task as a stream that keeps the taken documents of one key only.
+    """
+    rows = docs.select(F.col(key).alias("k"), F.col(score).cast("double").alias("s"), F.col(doc).cast("string").alias("d"), F.col(size).cast("bigint").alias("n"))
+    ordered = rows.repartition("k").sortWithinPartitions("k", F.desc("s"), "d")
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now = None  # key, used, taken, first
+        for frame in frames:
+            done = []
+            for k, d, n in zip(frame["k"], frame["d"], frame["n"], strict=True):
+                n = 0 if n != n or n is None else int(n)
+                if now is None or k != now[0]:
+                    done += [now] if now else []
+                    now = [k, 0, [], (d, n)]
+                if now[1] + n <= budget:
+                    now[1] += n
+                    now[2].append(d)
+            yield _taken(done)
+        yield _taken([now] if now else [])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return ordered.mapInPandas(fold, f"`{key}` {kind}, used bigint, docs string")
+
+
+def _taken(done: list) -> pd.DataFrame:
+    rows = [(k, used, ",".join(taken)) if taken else (k, first[1], first[0]) for k, used, taken, first in done]
+    return pd.DataFrame(rows, columns=["k", "used", "docs"]).set_axis(range(3), axis=1)
 
 
 def unique_ids(docs: DataFrame, id_col: str, order: str) -> DataFrame:
-    """Repeated ids get the number of their occurrence behind them, from the second on."""
-    w = Window.partitionBy(id_col).orderBy(order)
-    return docs.withColumn("__n", F.row_number().over(w)).withColumn("unique_id", F.when(F.col("__n") > 1, F.concat_ws("_", id_col, F.col("__n").cast("string"))).otherwise(F.col(id_col))).drop("__n")
+    """Repeated ids get the number of their occurrence behind them, from the second on. `order` is unique within an id."""
+    n = ranks.cumulated(docs.withColumn("__one", F.lit(1)), order, "__one", by=(id_col,))
+    return n.withColumn("unique_id", F.when(F.col("before___one") > 0, F.concat_ws("_", id_col, (F.col("before___one") + 1).cast("string"))).otherwise(F.col(id_col))).select(*docs.columns, "unique_id")
 
 
 def collection_listing(docs: DataFrame, preview: int = 40) -> DataFrame:

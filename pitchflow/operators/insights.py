@@ -54,6 +54,8 @@ def line_breaks(actions: DataFrame, keys=KEYS) -> DataFrame:
         count_if(F.col("tag_through")).alias("through"),
         count_if(~F.col("tag_through")).alias("progressive"),
         count_if(ok).alias("completed"),
+        count_if(ok & F.col("tag_through")).alias("through_completed"),
+        count_if(ok & ~F.col("tag_through")).alias("progressive_completed"),
         *[count_if(F.col("target") == z).alias(z) for z in ZONES],
     ).withColumn("completion", safe_div(F.col("completed").cast("double"), F.col("total")))
 

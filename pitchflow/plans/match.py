@@ -82,7 +82,7 @@ SQL = {
     "a4_losses_by_player": f"{_L} SELECT match_id, team_id, player_id, count(*) AS losses, count(*) FILTER (WHERE zone = 'defensive_third') AS dangerous FROM l GROUP BY ALL",
     "a6_line_breaks": f"""{_A}, p AS (SELECT *, {_ZONE.format("end_x")} AS target FROM a WHERE event_type = 'pass' AND (tag_progressive OR tag_through))
         SELECT match_id, team_id, count(*) AS total, count(*) FILTER (WHERE tag_through) AS through, count(*) FILTER (WHERE NOT tag_through) AS progressive,
-        count(*) FILTER (WHERE accurate) AS completed, {_ZONES.format("target")}, round(count(*) FILTER (WHERE accurate) / count(*)::DOUBLE, 6) AS completion FROM p GROUP BY ALL""",
+        count(*) FILTER (WHERE accurate) AS completed, count(*) FILTER (WHERE accurate AND tag_through) AS through_completed, count(*) FILTER (WHERE accurate AND NOT tag_through) AS progressive_completed, {_ZONES.format("target")}, round(count(*) FILTER (WHERE accurate) / count(*)::DOUBLE, 6) AS completion FROM p GROUP BY ALL""",
     "a7_line_breaking_runs": f"""{_A}, n AS (SELECT *, lead(team_id, 1) OVER w = team_id AS t1, lead(team_id, 2) OVER w = team_id AS t2, lead(team_id, 3) OVER w = team_id AS t3,
         lead(event_type, 1) OVER w = 'shot' AS s1, lead(event_type, 2) OVER w = 'shot' AS s2, lead(event_type, 3) OVER w = 'shot' AS s3 FROM a WINDOW w AS (PARTITION BY match_id ORDER BY sec, event_id)),
         r AS (SELECT *, coalesce(t1 AND (s1 OR coalesce(t2 AND (s2 OR coalesce(t3 AND s3, false)), false)), false) AS led, end_x - x AS gain FROM n)

@@ -10,6 +10,7 @@ from ..functions import scalar
 from ..operators import chains as C
 from ..operators import decision as D
 from ..operators import docs as G
+from ..operators import insights as I
 from ..operators import load as L
 from ..operators import models as M
 from ..sources.adapters import actions, table
@@ -51,6 +52,20 @@ def _live_chains(s, d):
     return match_plans._rounded(live.latest(s, f"{folder}/out"), "mean_length", "mean_duration", "xg", "mean_score", "conversion")
 
 
+def _live_insights(s, d):
+    """Events that come twice, the second time as they are to stand; pressing, losses and passes of the last copies, live."""
+    folder = _shared(s)
+    rows = actions(s, d).withColumn("ingest", F.lit(2))
+    stale = rows.where("event_id % 3 = 0").withColumns({"ingest": F.lit(1), "x": F.lit(1.0), "won": F.lit(False), "tag_loss": F.lit(True)})
+    stale.unionByName(rows).repartition(4, "event_id").write.parquet(f"{folder}/in")
+    stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    analyse = lambda e: {"pressing": I.pressing(e), "losses": I.losses_by_zone(e), "passing": I.pass_edges(e)}
+    sink = live.snapshots_of_touched(stream, f"{folder}/store", f"{folder}/out", analyse, order="ingest")
+    sink.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    of = lambda name, *c: live.latest(s, f"{folder}/out/{name}").groupBy("match_id", "team_id").agg(*[F.sum(x).cast("bigint").alias(f"{name}_{x}") for x in c])
+    return of("pressing", "duels", "won").join(of("losses", "total", "loss_tag"), ["match_id", "team_id"], "full_outer").join(of("passing", "passes"), ["match_id", "team_id"], "full_outer")
+
+
 def _deduplicated(s, d):
     """Events that arrive twice, through the stream's state."""
     folder = _shared(s)
@@ -138,11 +153,12 @@ QUERIES = {
     "w16_recent_messages": lambda s, d: G.recent_messages(table(s, d, "conversations")).select("conv_id", "turn", "role", "back"),
     "w17_context_budget": lambda s, d: G.within_budget(table(s, d, "conversations").withColumn("n", F.length("text")), "conv_id", "n", "turn", "turn", 600),
     "w18_unique_ids": lambda s, d: G.unique_ids(table(s, d, "documents").select("doc_id", F.col("source").alias("id")), "id", "doc_id").select("doc_id", "unique_id"),
-    "g14_collections": lambda s, d: G.collection_listing(table(s, d, "documents")).drop("preview"),
+    "g14_collections": lambda s, d: G.collection_listing(table(s, d, "documents")),
     "g1_team_documents": lambda s, d: G.team_documents(C.team_stats(C.chains(actions(s, d)))),
     "f6_slugs": lambda s, d: table(s, d, "customer").select("c_custkey", scalar.slug(F.concat_ws(" ", "c_name", "c_mktsegment")).alias("slug"), scalar.normal_name(F.col("c_name")).alias("name")),
     "st1_dedup": _deduplicated,
     "st4_live_chains": _live_chains,
+    "st6_live_insights": _live_insights,
     "m1_decision_model": lambda s, d: _decision_model(s, d).select("event_id", "event_type", "p_pass", "p_shot", "p_carry", "value", "best", "gain", "low", "suggested"),
     "m3_model_selection": _model_selection,
     "dq4_model_players": lambda s, d: D.player_summary(_decision_model(s, d)),
@@ -165,12 +181,15 @@ SQL = {
     "w17_context_budget": """WITH RECURSIVE t AS (SELECT conv_id, turn, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations),
         w AS (SELECT conv_id, 0::BIGINT AS r, 0::BIGINT AS used, '' AS docs FROM (SELECT DISTINCT conv_id FROM t)
           UNION ALL SELECT w.conv_id, t.r, CASE WHEN used + n > 600 THEN used ELSE used + n END, CASE WHEN used + n > 600 THEN docs WHEN docs = '' THEN turn::VARCHAR ELSE docs || ',' || turn END FROM w JOIN t ON t.conv_id = w.conv_id AND t.r = w.r + 1)
-        SELECT conv_id, used, docs FROM w QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY r DESC) = 1""",
+        SELECT w.conv_id, CASE WHEN docs = '' THEN n ELSE used END AS used, CASE WHEN docs = '' THEN turn::VARCHAR ELSE docs END AS docs FROM w JOIN t ON t.conv_id = w.conv_id AND t.r = 1 QUALIFY row_number() OVER (PARTITION BY w.conv_id ORDER BY w.r DESC) = 1""",
     "w18_unique_ids": "SELECT doc_id, CASE WHEN n > 1 THEN source || '_' || n ELSE source END AS unique_id FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents)",
-    "g14_collections": "SELECT source, count(*) AS docs, count(DISTINCT lang) AS types FROM documents GROUP BY source",
+    "g14_collections": "WITH g AS (SELECT source, count(*) AS docs, count(DISTINCT lang) AS types, trim(regexp_replace(arg_min(text, doc_id), '\\s+', ' ', 'g')) AS t FROM documents GROUP BY source) SELECT source, docs, types, CASE WHEN length(t) > 40 THEN rtrim(t[1:40]) || '...' ELSE t END AS preview FROM g",
     "g1_team_documents": match_plans._STATS + """ SELECT 'chains:' || match_id || ':' || team_id AS doc_id, match_id, team_id, 'possession_chains' AS document_type,
         printf('Team %d played %d possession chains in match %d, %d of them ended in a shot and %d in a goal.', team_id, chains, match_id, shots, goals) AS text FROM st""",
     "f6_slugs": "SELECT c_custkey, regexp_replace(regexp_replace(lower(trim(concat_ws(' ', c_name, c_mktsegment))), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug, regexp_replace(lower(trim(c_name)), '\\s+', ' ', 'g') AS name FROM customer",
     "st1_dedup": "SELECT DISTINCT event_id, user_id FROM events",
     "st4_live_chains": match_plans.SQL["c8_team_stats"],
+    "st6_live_insights": f"""{match_plans._L}, pr AS (SELECT match_id, team_id, count(*) AS pressing_duels, count(*) FILTER (WHERE a.won) AS pressing_won FROM a WHERE event_type IN ('ground_duel', 'aerial_duel') GROUP BY ALL),
+        lo AS (SELECT match_id, team_id, count(*) AS losses_total, count(*) FILTER (WHERE loss = 'loss_tag') AS losses_loss_tag FROM l GROUP BY ALL), pa AS (SELECT match_id, team_id, count(*) AS passing_passes FROM a WHERE event_type = 'pass' AND accurate AND recipient_id IS NOT NULL GROUP BY ALL)
+        SELECT match_id, team_id, pressing_duels, pressing_won, losses_total, losses_loss_tag, passing_passes FROM pr FULL JOIN lo USING (match_id, team_id) FULL JOIN pa USING (match_id, team_id)""",
 }

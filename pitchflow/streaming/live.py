@@ -24,19 +24,28 @@ def snapshot_rows(snapshots: DataFrame, schema: str) -> DataFrame:
     return snapshots.select(F.inline(events)).where("id is not null")
 
 
+def snapshot_stream(spark: SparkSession, path: str, per_batch: int = 10, options: dict[str, str] | None = None) -> DataFrame:
+    """value: the texts of a Kafka topic from its earliest offset, by its options, or, where no connector is there, of the
+    files that land under a path, a file as a whole."""
+    if options:
+        return spark.readStream.format("kafka").option("startingOffsets", "earliest").options(**options).load().select(F.col("value").cast("string").alias("value"))
+    return spark.readStream.schema("value string").option("wholetext", "true").option("maxFilesPerTrigger", per_batch).text(path)
+
+
 def first_copies(events: DataFrame, key: str = "event_id", stamp: str = "ts", ttl: str = "1 hour") -> DataFrame:
     """The first copy of each event; what the state remembers of it ends after ttl by the stamp column."""
     return events.withWatermark(stamp, ttl).dropDuplicatesWithinWatermark([key])
 
 
-def last_copies(events: DataFrame, key: str = "event_id", order: str = "ingest") -> DataFrame:
-    """The last copy of each event in a batch or table."""
-    w = Window.partitionBy(key).orderBy(F.desc(order))
+def last_copies(events: DataFrame, key: str | tuple[str, ...] = "event_id", order: str = "ingest") -> DataFrame:
+    """The last copy of each event in a batch or table; the sink below keys events by match and id."""
+    w = Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(F.desc(order))
     return events.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
-def snapshots_of_touched(stream: DataFrame, store: str, out: str, analyse: Callable[[DataFrame], DataFrame], match: str = "match_id"):
-    """A foreachBatch sink: appends the batch to `store`, by match, and writes a new snapshot of the matches it touches.
+def snapshots_of_touched(stream: DataFrame, store: str, out: str, analyse: Callable[[DataFrame], DataFrame | dict[str, DataFrame]], match: str = "match_id", order: str | None = None):
+    """A foreachBatch sink: appends the batch to `store`, by match, and writes a new snapshot of the matches it touches;
+    of several analyses, as a dict, each under its name. order: the column by which the last copy of an event counts.
 
     Late events are appended like others and sorted when their match is analysed again. A batch that is run again
     overwrites its own part, so restarts neither lose nor repeat events.
@@ -46,8 +55,11 @@ def snapshots_of_touched(stream: DataFrame, store: str, out: str, analyse: Calla
         spark = df.sparkSession
         df.write.mode("overwrite").partitionBy(match).parquet(f"{store}/batch={number}")
         touched = spark.read.parquet(f"{store}/batch={number}").select(match).distinct()
-        events = spark.read.parquet(store).where(F.col("batch") <= number).join(F.broadcast(touched), match, "left_semi")
-        analyse(events.drop("batch")).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        # Whether the touched matches are broadcast is left to Spark, which knows their size.
+        events = spark.read.parquet(store).where(F.col("batch") <= number).join(touched, match, "left_semi").drop("batch")
+        found = analyse(last_copies(events, (match, "event_id"), order) if order else events)
+        for name, rows in (found if isinstance(found, dict) else {"": found}).items():
+            rows.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}" if name else f"{out}/batch={number}")
 
     return stream.writeStream.foreachBatch(batch)
 
