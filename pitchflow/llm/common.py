@@ -46,14 +46,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_unique(left: DataFrame, right: DataFrame, key: str | list[str], size: str) -> DataFrame:
+def join_unique(left: DataFrame, right: DataFrame, key: str | list[str], size: str, total: int | None = None) -> DataFrame:
     """Inner join to `right`, which has one row for each key and in `size` the number of rows of `left` with it.
 
     Keys with over a thousandth of all rows are fewer than HOT_GROUPS whatever the input, so those rows of
-    `right` are broadcast and the rows of `left` under them stay where they are; the rest is shuffled.
+    `right` are broadcast and the rows of `left` under them stay where they are; the rest is shuffled. total: the number
+    of rows of `left`, if it is known near enough.
     """
     keys = [key] if isinstance(key, str) else key
-    total = right.agg(F.sum(size)).first()[0] or 0
+    total = (right.agg(F.sum(size)).first()[0] or 0) if total is None else total
     limit = total // HOT_GROUPS + 1
     hot = F.broadcast(right.where(F.col(size) > limit))
     rest = left.join(F.broadcast(right.where(F.col(size) > limit).select(*keys)), keys, "left_anti")

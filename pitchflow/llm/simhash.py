@@ -18,6 +18,14 @@ blocks, of which one is equal in a linked pair, and the pieces are compared alik
 Components of the links are found by alternating large-star and small-star steps over written tables, in a number
 of rounds that grows with the logarithm of the size; nothing about documents passes through the driver.
 
+`keep_one`, the stage of a pipeline, takes five-word shingles and a similarity (Jaccard) of 0.8 or more. A fingerprint of
+shingles differs in some ten bits at that similarity, so the covering would need a thousand copies; one of single
+words, with their counts, differs in five or fewer in 98 of 100 such pairs, which the same anchors cover (of five bits,
+too, one half has at most two). Anchors are therefore those of the word fingerprints, within an anchor the pair's
+shingle fingerprints must be within `SHINGLE_BITS`, which leaves out texts that only share their words, and of what is left
+the similarity is found from the SKETCH smallest shingle hashes of both: exact up to so many shingles, beyond with a
+standard error of 0.035. Per anchor the links of spanning forests from two centers are tried, never all pairs of a group.
+
 Nulls, ties and edges: a null text is empty; texts without words all have fingerprint zero and link to each other.
 A component's id is its smallest doc_id. Rows that repeat a doc_id belong to the component of that fingerprint.
 Rows with a null doc_id get a fingerprint and component, but never give a component its name, unless all are null.
@@ -45,6 +53,12 @@ HALF_SHARE = 1
 #: Fixed value: the generator polynomial of the binary Golay code, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GOLAY = 0b101011100011
 CROWDED = 20_000
+#: Of keep_one: words in a shingle, the least similarity, bits in which a pair's word and shingle fingerprints may
+#: differ (the first is what the anchors cover, see above; the second is 32 on average for texts that share no shingle),
+#: and shingle hashes in a sketch.
+SIMILAR_SHINGLE, SIMILAR = 5, 0.8
+WORD_BITS, SHINGLE_BITS = 5, 16
+SKETCH = 128
 _SPACE = bytes(c if not 65 <= c <= 90 else c + 32 for c in range(256))
 _BLANKS = b" \t\n\x0b\x0c\r"
 
@@ -245,10 +259,11 @@ def components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, total: int) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        joined = both.join(low, "u")
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("m", "u").alias("m"), "n")
+        # The center of a large star is a hot key: its links are looked up where they are.
+        joined = join_unique(both, low, "u", "n", total).drop("n")
         if large:
             return joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
@@ -258,7 +273,7 @@ def components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
 
     before = state(edges)
     for _ in range(max_rounds):
-        edges = written(star(star(edges, True), False), "stars")
+        edges = written(star(star(edges, True, 2 * before[0]), False, before[0]), "stars")
         after = state(edges)
         if after == before:
             break
@@ -268,16 +283,21 @@ def components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _named(prints: DataFrame, links: DataFrame, node: str) -> DataFrame:
+    """prints with root (a node that stands for the component) and component_id, for every row."""
+    distinct = written(prints.groupBy(node).agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "distinct-nodes")
+    roots = written(components(links), "roots")
+    by_root = roots.join(distinct.select(F.col(node).alias("node"), "first_id"), "node")
+    names = by_root.groupBy("root").agg(F.min("first_id").alias("name"))
+    named = by_root.join(names, "root").select(F.col("node").alias(node), "root", "name")
+    classes = distinct.join(named, node, "left").select(node, "n", F.coalesce("root", node).alias("root"), F.coalesce("name", "first_id").alias("component_id"))
+    return join_unique(prints, written(classes, "classes"), node, "n")
+
+
 def classified(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
     """doc_id, th, fp, root (a fingerprint that stands for the component), component_id, for every row of docs."""
     prints = written(fingerprints(docs), "fingerprints")
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
-    roots = written(components(near_pairs(distinct, crowded)), "roots")
-    by_root = roots.join(distinct.select(F.col("fp").alias("node"), "first_id"), "node")
-    names = by_root.groupBy("root").agg(F.min("first_id").alias("name"))
-    named = by_root.join(names, "root").select(F.col("node").alias("fp"), "root", "name")
-    classes = distinct.join(named, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root"), F.coalesce("name", "first_id").alias("component_id"))
-    return join_unique(prints, written(classes, "classes"), "fp", "n")
+    return _named(prints, near_pairs(prints.select("fp").distinct(), crowded), "fp")
 
 
 def near_duplicates(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
@@ -285,13 +305,168 @@ def near_duplicates(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
     return classified(docs, crowded).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# ---- similar texts, for a pipeline
+
+
+def similar_prints(text: str | None) -> tuple[int, int, int, bytes]:
+    """Of a text: a hash of its words in order, the fingerprints of its words and of its shingles, and the sketch."""
+    from xxhash import xxh64_intdigest
+
+    words = (text or "").encode("utf-8", "surrogatepass").translate(_SPACE).split()
+    line = b" ".join(words)
+    if not words:
+        return xxh64_intdigest(line, SEED), 0, 0, b""
+    counts: dict[bytes, int] = {}
+    for w in words:
+        counts[w] = counts.get(w, 0) + 1
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    n = max(1, len(words) - SIMILAR_SHINGLE + 1)
+    starts = np.concatenate(([0], ends[:-1]))[:n]
+    last = (ends[SIMILAR_SHINGLE - 1 :] if len(words) >= SIMILAR_SHINGLE else ends[-1:]) - 1
+    shingles = np.fromiter((xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts.tolist(), last.tolist(), strict=True)), np.uint64, n)
+    of_words = np.fromiter((xxh64_intdigest(w, SEED) for w in counts), np.uint64, len(counts))
+    sketch = np.unique((shingles >> np.uint64(32)).astype(np.uint32))[:SKETCH]
+    return xxh64_intdigest(line, SEED), _majority(of_words, np.fromiter(counts.values(), np.int64, len(counts))), _majority(shingles, np.ones(n, np.int64)), sketch.tobytes()
+
+
+def _majority(hashes: np.ndarray, weights: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, by weight."""
+    on = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), 65536):
+        on += weights[k : k + 65536] @ np.unpackbits(hashes[k : k + 65536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.int64)
+    return int.from_bytes(np.packbits(on * 2 > weights.sum()).tobytes(), "big")
+
+
+def _all_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, 500):
+            part = batch.slice(k, 500)
+            found = [similar_prints(t.as_py()) for t in part.column(2)]
+            numbers = [pa.array(np.array([f[i] for f in found], np.uint64).view(np.int64)) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *numbers, pa.array([f[3] for f in found], pa.binary())], names=["doc_id", "th", "node", "u", "s", "sketch"])
+
+
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, 20_000):
+            u, s, node = (batch.column(i).slice(k, 20_000).to_numpy(zero_copy_only=False) for i in range(3))
+            index, anchor = anchors_of(u.view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(u[index]), pa.array(s[index]), pa.array(node[index])], names=["anchor", "u", "s", "node"])
+
+
+def _stars(u: np.ndarray, s: np.ndarray, node: np.ndarray, out: list) -> None:
+    """Links of two spanning forests of one group, begun at the text nearest to what most have and at the smallest node."""
+    node, at = np.unique(node, return_index=True)
+    u, s = u[at], s[at]
+    bits = np.unpackbits(s.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    middle = np.uint64(int.from_bytes(np.packbits(bits * 2 > len(s)).tobytes(), "big"))
+    for order in (np.argsort(np.bitwise_count(s ^ middle), kind="stable"), np.arange(len(node))):
+        rest = order
+        while len(rest) > 1:
+            front, rest = [rest[0]], rest[1:]
+            while front and len(rest):
+                c = front.pop(0)
+                near = (np.bitwise_count(u[rest] ^ u[c]) <= WORD_BITS) & (np.bitwise_count(s[rest] ^ s[c]) <= SHINGLE_BITS)
+                if near.any():
+                    new = rest[near]
+                    out.append(np.stack([np.full(len(new), node[c]), node[new]]))
+                    front += new.tolist()
+                    rest = rest[~near]
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by all columns but the last three (u, s, node); a group that a batch cuts waits for the rest of it."""
+    kept: list[np.ndarray] | None = None
+
+    def links(c):
+        new = np.ones(len(c[-1]), bool)
+        new[1:] = False
+        for key in c[:-3]:
+            new[1:] |= key[1:] != key[:-1]
+        begin = np.flatnonzero(new)
+        size, out = np.diff(np.append(begin, len(new))), []
+        u, s, node = c[-3].view(np.uint64), c[-2].view(np.uint64), c[-1]
+        # Small groups row against row k places on.
+        at, group = np.flatnonzero(np.repeat((size > 1) & (size <= 32), size)), np.repeat(np.arange(len(begin)), size)
+        for lag in range(1, 32):
+            at = at[at + lag < len(node)]
+            at = at[group[at] == group[at + lag]]
+            if not len(at):
+                break
+            hit = at[(np.bitwise_count(u[at] ^ u[at + lag]) <= WORD_BITS) & (np.bitwise_count(s[at] ^ s[at + lag]) <= SHINGLE_BITS) & (node[at] != node[at + lag])]
+            out.append(np.stack([node[hit], node[hit + lag]]))
+        for g in np.flatnonzero(size > 32):
+            of = slice(begin[g], begin[g] + size[g])
+            _stars(u[of], s[of], node[of], out)
+        pairs = np.unique(np.sort(np.concatenate(out, axis=1), axis=0), axis=1) if out else np.zeros((2, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if kept is not None:
+            columns = [np.concatenate([k, c]) for k, c in zip(kept, columns, strict=True)]
+        differs = np.zeros(len(columns[-1]), bool)
+        for c in columns[:-3]:
+            differs |= c != c[-1]
+        cut = int(np.flatnonzero(differs)[-1]) + 1 if differs.any() else 0
+        if cut:
+            yield links([c[:cut] for c in columns])
+        kept = [c[cut:] for c in columns]
+    if kept is not None and len(kept[-1]):
+        yield links(kept)
+
+
+def similarity(a: bytes, b: bytes) -> float:
+    """Jaccard of the shingles behind two sketches; two texts without words are alike."""
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    both = np.union1d(x, y)[:SKETCH] if max(len(x), len(y)) == SKETCH else np.union1d(x, y)
+    return float((np.isin(both, x) & np.isin(both, y)).mean()) if len(both) else 1.0
+
+
+def similar_pairs(prints: DataFrame, least: float = SIMILAR, crowded: int = CROWDED) -> DataFrame:
+    """a, b: links between distinct nodes whose texts have at least this similarity. prints: node, u, s, sketch."""
+    texts = written(prints.select("node", "u", "s", "sketch").dropDuplicates(["node"]), "texts-of-nodes")
+    dealt = texts.select("u", "s", "node").mapInArrow(_dealt, "anchor bigint, u bigint, s bigint, node bigint")
+    full = written(dealt.groupBy("anchor").count().where(F.col("count") > crowded).select("anchor"), "crowded")
+    pair = "a bigint, b bigint"
+    apart = lambda rows, *keys: rows.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "u", "s", "node").mapInArrow(_candidates, pair)
+    if full.isEmpty():
+        found = apart(dealt, "anchor")
+    else:
+        # Of six blocks of the other half one is equal in a pair of WORD_BITS = 5 or fewer differing bits.
+        other = F.expr("if(shiftright(anchor, 32) = 0, shiftrightunsigned(u, 32), u & 4294967295L)")
+        block = F.expr("transform(sequence(0, 5), k -> named_struct('k', k, 'v', shiftright(o, k * 5) & if(k < 5, 31L, 127L)))")
+        pieces = dealt.join(full, "anchor", "left_semi").withColumn("o", other).select("anchor", F.explode(block).alias("x"), "u", "s", "node")
+        pieces = pieces.select("anchor", F.col("x.k").cast("bigint").alias("k"), F.col("x.v").alias("v"), "u", "s", "node")
+        found = apart(dealt.join(full, "anchor", "left_anti"), "anchor").unionByName(apart(pieces, "anchor", "k", "v"))
+    found = written(found.distinct(), "candidates")
+    with_a = found.join(texts.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a")
+    with_both = with_a.join(texts.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
+
+    @F.arrow_udf("double")
+    def of_sketches(x: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array([similarity(p, q) for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.float64())
+
+    return with_both.where(of_sketches("x", "y") >= least).select("a", "b")
+
+
+def similar_classes(docs: DataFrame, least: float = SIMILAR, crowded: int = CROWDED) -> DataFrame:
+    """doc_id, th, node, root, component_id for every row of docs, by similarity of five-word shingles."""
+    bounded_batches(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _text_hash().alias("th"), F.col("text").cast("string").alias("text"))
+    prints = written(rows.mapInArrow(_all_prints, "doc_id bigint, th bigint, node bigint, u bigint, s bigint, sketch binary"), "prints")
+    return _named(prints.select("doc_id", "th", "node"), similar_pairs(prints, least, crowded), "node")
+
+
 def keep_one(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
-    """One row of each component, with all its columns: the one whose doc_id names it.
+    """One row of each component of similar texts, with all its columns: the one whose doc_id names it.
 
     Of several rows of that doc_id the one with the smallest hash of its text stays, and of a component without any
     doc_id likewise, so that no component is lost.
     """
-    named = classified(docs, crowded).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = similar_classes(docs, crowded=crowded).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     keep = written(named.groupBy("root").agg(F.min("doc_id").alias("__id"), F.min("th").alias("__th"), F.count(F.lit(1)).alias("n")), "kept")
     kept = docs.join(keep.select("__id", "__th"), F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")) & (_text_hash() == F.col("__th")), "left_semi")
     # Rows that repeat doc_id and text are rare; only where there can be any are the texts grouped.

@@ -206,11 +206,60 @@ def test_simhash_brute_force(spark):
         prints = {i: brute_fingerprint(t) for i, t in rows}
         assert {i: r.fingerprint for i, r in got.items()} == {i: f"{p:016x}" for i, p in prints.items()}
         assert {i: r.component_id for i, r in got.items()} == brute_components(prints)
-    kept = simhash.keep_one(docs_of(spark, rows + rows[:3]))
-    assert sorted(r.doc_id for r in kept.collect()) == sorted({r.component_id for r in got.values()})
     assert simhash.near_duplicates(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def brute_similar(texts):
+    """component by doc_id: Jaccard of five-word shingles of 0.8 or more, by all pairs."""
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) for i, t in texts.items()}
+    sets = {i: {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in words.items()}
+    alike = {(a, b): not sets[a] and not sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) > 0 for a in texts for b in texts if a < b}
+    name = {i: i for i in texts}
+    changed = True
+    while changed:
+        changed = False
+        for (a, b), yes in alike.items():
+            if yes and name[a] != name[b]:
+                name[a] = name[b] = min(name[a], name[b])
+                changed = True
+    return name, alike
+
+
+def test_similar_texts_by_brute_force(spark):
+    rng = random.Random(21)
+    words = [f"w{k}" for k in range(400)]
+    texts, n = {}, 0
+    for size in (12, 40, 90, 110, 300):  # up to 128 shingles the similarity is exact
+        for _ in range(6):
+            base = rng.choices(words, k=size)
+            for edits in (0, 0, 1, 1, 2, 3):
+                t = list(base)
+                for _ in range(edits):
+                    t[rng.randrange(len(t))] = "New"
+                texts[n] = " ".join(t)
+                n += 1
+    texts |= {900: None, 901: "", 902: " \n", 903: "one two", 904: "one  two", 905: "one two three", 906: "z " * 30_000}
+    want, alike = brute_similar(texts)
+    for crowded in (simhash.CROWDED, 3):
+        got = {r.doc_id: r.component_id for r in simhash.similar_classes(docs_of(spark, texts.items()), crowded=crowded).collect()}
+        linked = [p for p, yes in alike.items() if yes]
+        recall = sum(got[a] == got[b] for a, b in linked) / len(linked)
+        wrong = [i for i in got if want[i] != want[got[i]] and len(texts[i].split()) <= 128]
+        assert recall >= 0.95 and not wrong and got[900] == got[901] == got[902] == 900 and got[903] == got[904] != got[905]
+    rows = [*texts.items(), (0, texts[0]), (900, None)]
+    kept = simhash.keep_one(docs_of(spark, rows).withColumnRenamed("count", "component_id"))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(got.values()))
+    assert simhash.keep_one(docs_of(spark, rows).limit(0)).count() == 0
+
+
+def test_similarity_of_sketches():
+    long = [f"w{k}" for k in range(2000)]
+    sketch = lambda w: simhash.similar_prints(" ".join(w))[3]
+    assert simhash.similarity(sketch(long), sketch(long)) == 1.0 and simhash.similarity(sketch(long), sketch(long[::-1])) == 0.0
+    assert abs(simhash.similarity(sketch(long), sketch(long[:1000])) - 996 / 1996) < 0.12 and simhash.similarity(b"", b"") == 1.0
+    assert simhash.similarity(sketch(long[:60]), sketch(long[:54])) == 50 / 56
+
+
 def test_keepers_without_ids_and_with_repeated_ids(spark):
     a, b, c = ("red fox runs far away", "seven ships sail past the old harbour wall", "nothing else here matches at all tonight")
     df = docs_of(spark, [(5, a), (5, b), (5, b), (3, a), (None, c), (None, c), (None, a), (None, a + " but never twice in one row")])
