@@ -418,3 +418,57 @@ def test_shards_do_not_depend_on_the_cluster(spark, tmp_path):
             spark.conf.unset("spark.sql.files.maxRecordsPerFile")
         found.append({r.slot: bytes(r.record) for r in token_shards.read_shards(spark, f"{tmp_path}/out{k}", 32).collect()})
     assert found[0] == found[1] and sorted(found[0]) == list(range(len(found[0])))
+
+
+def test_clashing_columns_long_texts_and_repeats(spark, library):
+    long = "\n".join(f"line {k} of a very long text" for k in range(20_000))
+    rows = [(1, long, "s"), (2, long, "s"), (3, "one two", "s"), (3, "one two", "s"), (4, None, "s")]
+    docs = docs_of(spark, rows)
+    clash = docs.withColumnsRenamed({"n_chars": "n_tokens", "source": "slot", "lang": "n_removed"})
+    got = tokens.count_tokens(clash).collect()
+    assert sorted(r.doc_id for r in got) == [1, 2, 3, 3, 4] and {r.n_tokens for r in got if r.doc_id == 3} == {2}
+    cut = {r.doc_id: r for r in line_dedup.cut_lines(clash).collect()}
+    assert cut[1].text == long and cut[1].n_removed == 0 and cut[2].text == "" and cut[2].n_removed == 20_000
+    assert line_dedup.cut_lines(clash).count() == 5
+    assert token_shards.shard_report(clash, length=32, per_shard=5000).count() > 1000
+    turns = spark.createDataFrame([(1, 0, "user", "hi", "x"), (1, 1, "assistant", long, "y"), (1, 1, "assistant", long, "y")], "conv_id bigint, turn bigint, role string, text string, segment string")
+    (r,) = chat.read_back(chat.format_chat(turns)).collect()
+    assert r.n_turns == 3 and r.loss_chars == 2 * len(long)
+
+
+def pipeline_tables(spark, path, rows, labels, bench):
+    docs_of(spark, rows).write.parquet(f"{path}/documents.parquet") if rows else spark.createDataFrame([], DOCS).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame(bench, "item_id bigint, text string").write.parquet(f"{path}/benchmark.parquet")
+
+
+def stages(spark, path):
+    docs, left = spark.read.parquet(f"{path}/documents.parquet"), {}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, str(path)).write.parquet(f"{path}/out{k}")
+        docs = spark.read.parquet(f"{path}/out{k}")
+        left[name] = docs.collect()
+    return left
+
+
+def test_pipeline_edges(spark, tmp_path):
+    rng = random.Random(31)
+    text = lambda n: " ".join("".join(rng.choices(string.ascii_lowercase, k=6)) for _ in range(n))
+    base = text(80).split()
+    near = [*base[:40], "changed", *base[41:]]
+    rows = [(1, " ".join(base), "a"), (2, " ".join(near), "b"), (3, None, None), (4, "", "a"), (5, " ", "a"), (6, text(60), None), (6, text(60), "b"), (7, " ".join(base), "a"), (7, " ".join(base), "a"), (None, text(50), "a"), (8, text(30_000), "a"), (9, f"{text(20)} some benchmark words {text(20)}", "b")]
+    pipeline_tables(spark, tmp_path, rows, [], [(None, "some benchmark words"), (3, None), (4, "")])
+    left = stages(spark, tmp_path)
+    ids = lambda name: sorted(-1 if r.doc_id is None else r.doc_id for r in left[name])
+    assert ids("quality") == [-1, 1, 2, 3, 4, 5, 6, 6, 7, 7, 8, 9]  # without labels every score is 0.5
+    # near and exact copies give way to the smallest id, texts without words count as one; an id may name two texts
+    assert ids("near_duplicates") == [-1, 1, 3, 6, 6, 8, 9] and ids("decontamination") == ids("mix") == [-1, 1, 3, 6, 6, 8]
+    assert sorted(r.slot for r in left["shards"]) == list(range(len(left["shards"]))) and left["shards"]
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    pipeline_tables(spark, tmp_path, [], [], [])
+    assert all(rows == [] for rows in stages(spark, tmp_path).values())
+    (tmp_path / "one").mkdir()
+    pipeline_tables(spark, tmp_path / "one", [(1, "from from", "s"), (2, "a b", "s")], [(1, 0, 0), (2, 0, 0), (3, 0, 0)], [])
+    assert stages(spark, tmp_path / "one")["quality"] == []  # labels of one class, 0, drop all
