@@ -11,6 +11,7 @@ from .insights import count_if, loss_type
 #: Outcome points of a chain; a foul won counts more from FOUL_HIGH_X on.
 OUTCOME_POINTS = {"goal": 25.0, "shot_on_target": 20.0, "shot_off_target": 12.0, "foul_won": 4.0, "offside": 6.0, "out_of_play": 3.0, "loss": 0.0}
 FOUL_WON_HIGH, FOUL_HIGH_X = 8.0, 66.0
+METHODS = ("tackle_won", "aerial_won", "interception", "loose_ball")
 
 
 def result_of(kind: Column, on_target: Column, is_goal: Column, offside: Column, lost: Column) -> Column:
@@ -93,6 +94,8 @@ def team_stats(chain_rows: DataFrame) -> DataFrame:
         F.sum("xg").alias("xg"),
         F.avg("score").alias("mean_score"),
         *[count_if(F.col("zone") == z).alias(f"recoveries_{z}") for z in ("high", "mid", "low")],
+        *[count_if(F.col("method") == m).alias(m) for m in METHODS],
+        *[count_if(F.col("result") == r).alias(f"ended_{r}") for r in OUTCOME_POINTS],
         count_if(F.col("result") == "goal").alias("goals"),
         count_if(shots).alias("shots"),
         (count_if(shots) / F.count(F.lit(1))).alias("conversion"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -150,6 +150,23 @@ def embedding_input(title, kind, category, players, text) -> F.Column:
     return F.concat(F.lit("Title: "), or_none(title), F.lit("\nType: "), kind, F.lit("\nCategory: "), or_none(category), F.lit("\nPlayers: "), names, F.lit("\nText: "), F.coalesce(text, F.lit("")))
 
 
+def embedded(docs: DataFrame, encode: Callable[[list[str]], np.ndarray], dimension: int, text: str = "text", batch: int = 256) -> DataFrame:
+    """docs with `embedding`, the unit vectors that the caller's encoder gives for their texts, some at a time; the encoder
+    runs in the workers. Vectors of another dimension are an error."""
+    from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for k in range(0, len(frame), batch):
+                part = frame.iloc[k : k + batch]
+                v = np.asarray(encode(part[text].fillna("").tolist()), np.float32)
+                if v.shape != (len(part), dimension):
+                    raise ValueError(f"the encoder gave {v.shape[1:]} and not {dimension} numbers a text")
+                yield part.assign(embedding=list(v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)))
+
+    return docs.mapInPandas(run, StructType([*docs.schema.fields, StructField("embedding", ArrayType(FloatType()))]))
+
+
 def passes(team: int | None, types: tuple[str, ...], min_score: float) -> F.Column:
     """The filter of results by metadata: a result of no team passes every team, no types ask for none."""
     keep = F.col("score") >= min_score

@@ -179,12 +179,24 @@ def flank_usage(nodes: DataFrame, keys=KEYS) -> DataFrame:
     return nodes.groupBy(*keys).agg(share("left"), share("center"), share("right"))
 
 
-def player_profiles(actions: DataFrame, keys=("match_id",)) -> DataFrame:
-    """Touches are own events and accurate receptions at the end of the pass."""
+FLANKS = ("left", "center", "right")
+
+
+def _touches(actions: DataFrame, keys) -> DataFrame:
     own = actions.select(*keys, "player_id", "x", "y", F.lit(0).alias("received"))
     got = actions.where("event_type = 'pass' and accurate and recipient_id is not null").select(*keys, F.col("recipient_id").alias("player_id"), F.col("end_x").alias("x"), F.col("end_y").alias("y"), F.lit(1).alias("received"))
-    t = own.unionByName(got).where("x is not null and y is not null").withColumn("zone", third(F.col("x"), ZONES))
-    return t.groupBy(*keys, "player_id").agg(F.count(F.lit(1)).alias("touches"), F.sum("received").alias("receptions"), F.avg("x").alias("mean_x"), F.avg("y").alias("mean_y"), *[count_if(F.col("zone") == z).alias(z) for z in ZONES])
+    return own.unionByName(got).where("x is not null and y is not null")
+
+
+def player_profiles(actions: DataFrame, keys=("match_id",)) -> DataFrame:
+    """Touches are own events and accurate receptions at the end of the pass."""
+    t = _touches(actions, keys).withColumns({"zone": third(F.col("x"), ZONES), "flank": third(F.col("y"), FLANKS)})
+    return t.groupBy(*keys, "player_id").agg(F.count(F.lit(1)).alias("touches"), F.sum("received").alias("receptions"), F.avg("x").alias("mean_x"), F.avg("y").alias("mean_y"), *[count_if(F.col("zone") == z).alias(z) for z in ZONES], *[count_if(F.col("flank") == f).alias(f) for f in FLANKS])
+
+
+def touch_grid(actions: DataFrame, rows: int = 8, cols: int = 12, keys=("match_id",)) -> DataFrame:
+    """Touches of each player by cell of the pitch."""
+    return _touches(actions, keys).groupBy(*keys, "player_id", cell(F.col("y"), rows).alias("row"), cell(F.col("x"), cols).alias("col")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def xg_timeline(actions: DataFrame, bucket: int = 3600, keys=KEYS) -> DataFrame:

@@ -26,6 +26,7 @@ QUERIES = {
     "a14_pass_nodes": lambda s, d: _rounded(I.pass_nodes(actions(s, d)), "mean_x", "mean_y"),
     "a15_pass_edges": lambda s, d: I.pass_edges(actions(s, d)),
     "a16_player_profiles": lambda s, d: _rounded(I.player_profiles(actions(s, d)), "mean_x", "mean_y"),
+    "a16_touch_grid": lambda s, d: I.touch_grid(actions(s, d)),
     "a17_flank_usage": lambda s, d: _rounded(I.flank_usage(I.pass_nodes(actions(s, d))), "left", "center", "right"),
     "a18_xg_timeline": lambda s, d: _rounded(I.xg_timeline(actions(s, d)), "xg", "over_xg"),
     "t2_top_pressers": lambda s, d: I.pressing_players(actions(s, d)),
@@ -68,6 +69,7 @@ _CHAINS = f"""{_A}, b AS (SELECT *, {_LOSS} AS lost, coalesce('p' || possession_
       + CASE result WHEN 'goal' THEN 25 WHEN 'shot_on_target' THEN 20 WHEN 'shot_off_target' THEN 12 WHEN 'foul_won' THEN CASE WHEN end_x >= 66 THEN 8 ELSE 4 END WHEN 'offside' THEN 6 WHEN 'out_of_play' THEN 3 ELSE 0 END)::DOUBLE AS score FROM c2)"""
 _STATS = f"""{_CHAINS}, st AS (SELECT match_id, team_id, count(*) AS chains, avg(length) AS mean_length, floor(median(length))::BIGINT AS median_length, avg(duration) AS mean_duration,
   sum(xg) AS xg, avg(score) AS mean_score, count(*) FILTER (WHERE zone = 'high') AS recoveries_high, count(*) FILTER (WHERE zone = 'mid') AS recoveries_mid, count(*) FILTER (WHERE zone = 'low') AS recoveries_low,
+  """ + ", ".join(f"count(*) FILTER (WHERE method = '{m}') AS {m}" for m in ("tackle_won", "aerial_won", "interception", "loose_ball")) + ", " + ", ".join(f"count(*) FILTER (WHERE result = '{r}') AS ended_{r}" for r in ("goal", "shot_on_target", "shot_off_target", "foul_won", "offside", "out_of_play", "loss")) + """,
   count(*) FILTER (WHERE result = 'goal') AS goals, count(*) FILTER (WHERE result IN ('goal', 'shot_on_target', 'shot_off_target')) AS shots,
   count(*) FILTER (WHERE result IN ('goal', 'shot_on_target', 'shot_off_target')) / count(*)::DOUBLE AS conversion FROM c GROUP BY ALL)"""
 _SIDE = "round(max({0}) FILTER (WHERE side = 1) - max({0}) FILTER (WHERE side = 2), 3)"
@@ -99,7 +101,11 @@ SQL = {
     "a14_pass_nodes": f"{_NODES} SELECT match_id, team_id, player_id, {_R('mean_x', 'mean_y')}, touches FROM n",
     "a15_pass_edges": f"{_A} SELECT match_id, team_id, player_id AS passer_id, recipient_id, count(*) AS passes FROM a WHERE event_type = 'pass' AND accurate GROUP BY ALL",
     "a16_player_profiles": f"""{_A}, u AS (SELECT match_id, player_id, x, y, 0 AS received FROM a UNION ALL SELECT match_id, recipient_id, end_x, end_y, 1 FROM a WHERE event_type = 'pass' AND accurate)
-        SELECT match_id, player_id, count(*) AS touches, sum(received)::BIGINT AS receptions, round(avg(x), 6) AS mean_x, round(avg(y), 6) AS mean_y, {_ZONES.format(_ZONE.format("x"))} FROM u GROUP BY match_id, player_id""",
+        SELECT match_id, player_id, count(*) AS touches, sum(received)::BIGINT AS receptions, round(avg(x), 6) AS mean_x, round(avg(y), 6) AS mean_y, {_ZONES.format(_ZONE.format("x"))}, """
+    + ", ".join(f"count(*) FILTER (WHERE {_THIRD.format('y', 'left', 'center', 'right')} = '{f}') AS \"{f}\"" for f in ("left", "center", "right"))
+    + " FROM u GROUP BY match_id, player_id",
+    "a16_touch_grid": f"""{_A}, u AS (SELECT match_id, player_id, x, y FROM a UNION ALL SELECT match_id, recipient_id, end_x, end_y FROM a WHERE event_type = 'pass' AND accurate)
+        SELECT match_id, player_id, least(floor(y / 100 * 8), 7)::BIGINT AS row, least(floor(x / 100 * 12), 11)::BIGINT AS col, count(*) AS n FROM u GROUP BY ALL""",
     "a17_flank_usage": f"""{_NODES}, f AS (SELECT *, {_THIRD.format("mean_y", "left", "center", "right")} AS flank FROM n) SELECT match_id, team_id, """
     + ", ".join(f"round(100.0 * coalesce(sum(touches) FILTER (WHERE flank = '{n}'), 0) / sum(touches)::DOUBLE, 6) AS \"{n}\"" for n in ("left", "center", "right"))
     + " FROM f GROUP BY ALL",

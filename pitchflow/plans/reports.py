@@ -65,6 +65,7 @@ QUERIES = {
     "j10_without_excluded": lambda s, d: L.without(player_days(s, d).select("player_id", "day", "sessions"), _trial_players(s, d)),
     "f4_integer_columns": lambda s, d: table(s, d, "lineitem").select(*[F.col(c).cast("double").alias(c) for c in _NUMBERS]).unpivot([], list(_NUMBERS), "column", "value").groupBy("column").agg(scalar.all_integers(F.col("value")).alias("integers")),
     "f18_sentences": lambda s, d: _sources(s, d).select("lang", scalar.to_sentence(F.col("sources"), 3).alias("sentence")),
+    "f14_clock": lambda s, d: actions(s, d).select("event_id", scalar.clock(F.col("period"), F.floor(F.col("sec") % 5400 / 60).cast("bigint"), F.col("sec") % 60, 45).alias("clock")),
     "f20_iso_dates": lambda s, d: table(s, d, "orders").select("o_orderkey", *[c.alias(n) for n, c in scalar.iso_parts(F.col("o_orderdate").cast("date")).items()]),
 }
 
@@ -109,5 +110,6 @@ SQL = {
     "f4_integer_columns": "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", coalesce(bool_and({c} = floor({c})), true) AS integers FROM lineitem" for c in _NUMBERS) + ")",
     "f18_sentences": """WITH g AS (SELECT lang, list_sort(list(DISTINCT source))[1:3] AS i FROM documents WHERE source IS NOT NULL GROUP BY lang)
         SELECT lang, CASE len(i) WHEN 0 THEN 'none' WHEN 1 THEN i[1] WHEN 2 THEN i[1] || ' and ' || i[2] ELSE i[1] || ', ' || i[2] || ', and ' || i[3] END AS sentence FROM g""",
+    "f14_clock": f"{_A} SELECT event_id, ((sec % 5400) // 60 + CASE WHEN period = '2H' THEN 45 ELSE 0 END) * 60 + sec % 60 AS clock FROM a",
     "f20_iso_dates": "SELECT o_orderkey, isoyear(o_orderdate::DATE) AS iso_year, week(o_orderdate::DATE) AS iso_week, isodow(o_orderdate::DATE) - 1 AS weekday FROM orders",
 }

@@ -135,3 +135,14 @@ def test_snapshot_stream(spark, tmp_path):
     q = live.first_copies(rows, "id").writeStream.format("memory").queryName("snap").outputMode("append").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.id for r in spark.table("snap").collect()) == [1, 3]
+
+
+def test_embeddings_by_a_given_encoder(spark):
+    import numpy as np
+    import pytest
+
+    docs = spark.createDataFrame([(k, "x" * k if k else None) for k in range(10)], "id bigint, text string")
+    got = {r.id: r.embedding for r in G.embedded(docs, lambda texts: np.array([[len(t), 3.0] for t in texts]), 2, batch=3).collect()}
+    assert all(abs(got[k][0] - k / (k * k + 9) ** 0.5) < 1e-6 for k in range(10))
+    with pytest.raises(Exception, match="and not 5 numbers"):
+        G.embedded(docs, lambda texts: np.zeros((len(texts), 2)), 5).collect()
