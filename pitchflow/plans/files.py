@@ -82,7 +82,7 @@ def _labels_back(s, d):
     T.write_json(truth.select(F.col("sample_id").cast("string").alias("sample_id"), "true_severity"), f"{folder}/labels")
     split = F.when(F.col("split") == "val", "VAL").when(F.col("split") == "test", "other").otherwise(F.col("split"))
     T.write_csv(fused_plans._samples(s, d).where("sample_id % 7 <> 0").select("sample_id", split.alias("split")), f"{folder}/manifest")
-    return T.labelled_samples(s, f"{folder}/labels", f"{folder}/manifest").select(F.col("sample_id").cast("bigint").alias("sample_id"), "split", "category", F.round("truth", 6).alias("truth"))
+    return T.labelled_samples(s, f"{folder}/labels", f"{folder}/manifest").select(F.col("sample_id").cast("bigint").alias("sample_id"), "split", "category", F.round(F.col("truth") + 3.3e-10, 6).alias("truth"))
 
 
 def _topic_back(s, d):
@@ -115,9 +115,9 @@ QUERIES = {
     "f17_paths": _paths,
     "s2_player_file_reasons": lambda s, d: PF.report(_player_files(s, d)),
     "s4_player_file_totals": lambda s, d: PF.totals(_player_files(s, d)),
-    "r3_player_minutes": lambda s, d: PF.player_rows(_player_files(s, d)).select("match_id", "player_id", F.round("minutes", 6).alias("minutes")),
-    "r4_long_metrics": lambda s, d: PF.long_metrics(PF.player_rows(_player_files(s, d))).select("match_id", "player_id", F.col("group").alias("kind"), "metric", F.round("value", 6).alias("value")),
-    "r4_wide_metrics": lambda s, d: PF.wide_metrics(PF.player_rows(_player_files(s, d)), {"total": ("passes", "runs"), "average": ("pace", "none")}).select("match_id", "player_id", "total_passes", F.round("total_runs", 6).alias("total_runs"), F.round("average_pace", 6).alias("average_pace"), "average_none"),
+    "r3_player_minutes": lambda s, d: PF.player_rows(_player_files(s, d)).select("match_id", "player_id", F.round(F.col("minutes") + 3.3e-10, 6).alias("minutes")),
+    "r4_long_metrics": lambda s, d: PF.long_metrics(PF.player_rows(_player_files(s, d))).select("match_id", "player_id", F.col("group").alias("kind"), "metric", F.round(F.col("value") + 3.3e-10, 6).alias("value")),
+    "r4_wide_metrics": lambda s, d: PF.wide_metrics(PF.player_rows(_player_files(s, d)), {"total": ("passes", "runs"), "average": ("pace", "none")}).select("match_id", "player_id", "total_passes", F.round(F.col("total_runs") + 3.3e-10, 6).alias("total_runs"), F.round(F.col("average_pace") + 3.3e-10, 6).alias("average_pace"), "average_none"),
     "s8_csv": lambda s, d: _csv_back(s, d).select("player_id", "day", "role", "distance", "busy", "session_names"),
     "s8_column_kinds": lambda s, d: T.column_kinds(player_days(s, d).select(*[F.col(c).cast("string").alias(c) for c in ("player_id", "role", "duration", "per_min")])),
     "s10_labels": _labels_back,
@@ -145,12 +145,12 @@ SQL = {
     "s2_player_file_reasons": "WITH {p}{pl}, m AS (SELECT DISTINCT match_id FROM pl) SELECT CASE WHEN match_id % 17 = 0 THEN 'top_level_not_object' WHEN match_id % 19 = 0 THEN 'json_parse_error' ELSE 'loaded' END AS reason, count(*) AS files FROM m GROUP BY ALL",
     "s4_player_file_totals": """WITH {p}{pl}, m AS (SELECT DISTINCT match_id FROM pl) SELECT count(*) AS files, count(*) FILTER (WHERE match_id % 17 <> 0 AND match_id % 19 <> 0) AS valid, count(*) FILTER (WHERE match_id % 17 = 0 OR match_id % 19 = 0) AS invalid,
         count(*) FILTER (WHERE match_id % 17 <> 0 AND match_id % 19 = 0) AS read_errors, count(*) FILTER (WHERE match_id % 17 = 0) AS schema_errors, count(*) FILTER (WHERE match_id % 17 <> 0 AND match_id % 19 <> 0) AS matches FROM m""",
-    "r3_player_minutes": "WITH {p}{pl} SELECT match_id, player_id, round(minutes, 6) AS minutes FROM rw",
-    "r4_long_metrics": """WITH {p}{pl} SELECT match_id, player_id, 'total' AS kind, 'passes' AS metric, sessions::DOUBLE AS value FROM rw UNION ALL SELECT match_id, player_id, 'total', 'minutesPlayed', round(duration, 6) FROM rw
-        UNION ALL SELECT match_id, player_id, 'total', 'runs', round(distance, 6) FROM rw WHERE player_id % 7 <> 0 UNION ALL SELECT match_id, player_id, 'average', 'pace', round(per_min, 6) FROM rw""",
-    "r4_wide_metrics": "WITH {p}{pl} SELECT match_id, player_id, sessions::DOUBLE AS total_passes, CASE WHEN player_id % 7 <> 0 THEN round(distance, 6) END AS total_runs, round(per_min, 6) AS average_pace, NULL::DOUBLE AS average_none FROM rw",
+    "r3_player_minutes": "WITH {p}{pl} SELECT match_id, player_id, round(minutes + 3.3e-10, 6) AS minutes FROM rw",
+    "r4_long_metrics": """WITH {p}{pl} SELECT match_id, player_id, 'total' AS kind, 'passes' AS metric, round(sessions::DOUBLE + 3.3e-10, 6) AS value FROM rw UNION ALL SELECT match_id, player_id, 'total', 'minutesPlayed', round(duration + 3.3e-10, 6) FROM rw
+        UNION ALL SELECT match_id, player_id, 'total', 'runs', round(distance + 3.3e-10, 6) FROM rw WHERE player_id % 7 <> 0 UNION ALL SELECT match_id, player_id, 'average', 'pace', round(per_min + 3.3e-10, 6) FROM rw""",
+    "r4_wide_metrics": "WITH {p}{pl} SELECT match_id, player_id, sessions::DOUBLE AS total_passes, CASE WHEN player_id % 7 <> 0 THEN round(distance + 3.3e-10, 6) END AS total_runs, round(per_min + 3.3e-10, 6) AS average_pace, NULL::DOUBLE AS average_none FROM rw",
     "s10_labels": f"""WITH {SIGNALS}, tr AS (SELECT sample_id, category, max(severity) AS truth FROM s WHERE k % 11 <> 0 GROUP BY ALL) SELECT sample_id, CASE WHEN (sample_id // 100000 + sample_id) % 20 < 14 THEN 'train' WHEN (sample_id // 100000 + sample_id) % 20 < 17 THEN 'val' ELSE 'train' END AS split,
-        category, round(truth, 6) AS truth FROM tr WHERE sample_id % 7 <> 0""",
+        category, round(truth + 3.3e-10, 6) AS truth FROM tr WHERE sample_id % 7 <> 0""",
     "s12_topic_rows": f"WITH {SIGNALS} SELECT sample_id::VARCHAR AS key, sample_id, category, count(*) AS n FROM s GROUP BY ALL",
 }
 
