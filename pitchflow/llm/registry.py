@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, license_scan, line_dedup, mixing, quality, simhash, token_shards, tokens
-from .sql import OP2, OP3, OP5, OP10, op7
+from . import chat, decontaminate, exact_dedup, license_scan, line_dedup, mixing, prefix_trie, quality, simhash, token_shards, tokens
+from .sql import OP2, OP3, OP5, OP10, OP11, op7
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,10 +60,17 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("char_spans")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"), shared_heads=True)
+
+
 def queries() -> dict[str, Query]:
-    all_queries = (op1_mix_sources, op2_license_scan, op3_exact_dedup, op4_token_shards, op5_line_dedup, op6_token_counts, op7_chat_format, op8_quality, op9_simhash, op10_decontaminate)
+    all_queries = (
+        op1_mix_sources, op2_license_scan, op3_exact_dedup, op4_token_shards, op5_line_dedup, op6_token_counts, op7_chat_format,
+        op8_quality, op9_simhash, op10_decontaminate, op11_prefix_trie,
+    )
     return {q.__name__: q for q in all_queries}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": OP2, "op3_exact_dedup": OP3, "op5_line_dedup": OP5, "op7_chat_format": op7(), "op10_decontaminate": OP10}
+    return {"op2_license_scan": OP2, "op3_exact_dedup": OP3, "op5_line_dedup": OP5, "op7_chat_format": op7(), "op10_decontaminate": OP10, "op11_prefix_trie": OP11}

@@ -112,3 +112,36 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
        sum(length({_chat_escape("role")}) + length({_chat_escape("text")}) + {marks})::BIGINT AS formatted_chars
 FROM c GROUP BY conv_id
 """
+
+#: crc32 bit by bit; prefixes are named by the digests of their turns, one after the other.
+OP11 = """
+WITH RECURSIVE c AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, tok) - 1 AS pos, tok, size
+    FROM (SELECT conv_id, turn, coalesce(length(text), 0) AS size,
+                 sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS tok
+          FROM conversations WHERE conv_id IS NOT NULL)),
+bits AS (
+    SELECT DISTINCT conv_id, conv_id::VARCHAR AS s, 0 AS k, 4294967295::BIGINT AS v FROM c
+    UNION ALL
+    SELECT conv_id, s, k + 1, xor(w >> 1, (w & 1) * 3988292384)
+    FROM (SELECT *, CASE WHEN k % 8 = 0 THEN xor(v, ascii(s[k // 8 + 1])) ELSE v END AS w FROM bits) WHERE k < 8 * length(s)),
+hs AS (SELECT conv_id, conv_id - conv_id % 100 AS base, xor(v, 4294967295) % 6 AS h FROM bits WHERE k = 8 * length(s)),
+turns AS (
+    SELECT hs.conv_id, 0 AS own, c.pos, c.tok, c.size FROM hs JOIN c ON c.conv_id = hs.base AND c.pos < hs.h
+    UNION ALL SELECT hs.conv_id, 1, c.pos, c.tok, c.size FROM hs JOIN c ON c.conv_id = hs.conv_id AND c.pos >= hs.h),
+steps AS (SELECT conv_id, size, row_number() OVER w AS depth, sha256(string_agg(tok, '') OVER w) AS node
+          FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY own, pos ROWS UNBOUNDED PRECEDING)),
+ends AS (SELECT hs.conv_id, coalesce(max(depth), 0) AS total FROM hs LEFT JOIN steps USING (conv_id) GROUP BY hs.conv_id),
+p AS (SELECT conv_id, depth, node, size FROM steps UNION ALL SELECT conv_id, 0, 'root', 0 FROM hs),
+n AS (SELECT node, depth, min(p.conv_id) AS first, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS saved,
+             sha256(coalesce(string_agg(p.conv_id::VARCHAR, ',' ORDER BY p.conv_id) FILTER (WHERE total = depth), '')) AS ends_sha256
+      FROM p JOIN ends USING (conv_id) GROUP BY node, depth),
+up AS (SELECT n.node, n.depth, a.node AS above, a.depth AS above_depth FROM n JOIN p AS a ON a.conv_id = n.first AND a.depth <= n.depth),
+kids AS (SELECT above AS node, count(*) AS n_children FROM up WHERE above_depth = depth - 1 GROUP BY above),
+sums AS (SELECT up.above AS node, count(*) FILTER (WHERE kids.node IS NULL) AS n_leaves, sum(n.saved) AS saved
+         FROM up JOIN n ON n.node = up.node LEFT JOIN kids ON kids.node = up.node GROUP BY up.above)
+SELECT n.first::BIGINT AS conv_id, n.depth::BIGINT AS depth, above.first::BIGINT AS parent_conv_id, n.n_convs::BIGINT AS n_convs,
+       coalesce(n_children, 0)::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, sums.saved::BIGINT AS saved_tokens, n.ends_sha256
+FROM n JOIN sums USING (node) LEFT JOIN kids USING (node)
+LEFT JOIN up ON up.node = n.node AND up.above_depth = n.depth - 1 LEFT JOIN n AS above ON above.node = up.above
+"""
