@@ -145,3 +145,19 @@ SELECT n.first::BIGINT AS conv_id, n.depth::BIGINT AS depth, above.first::BIGINT
 FROM n JOIN sums USING (node) LEFT JOIN kids USING (node)
 LEFT JOIN up ON up.node = n.node AND up.above_depth = n.depth - 1 LEFT JOIN n AS above ON above.node = up.above
 """
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP12 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, terms FROM (SELECT doc_id, {_TERMS} AS terms FROM documents) WHERE len(terms) > 0),
+al AS (SELECT count(*) AS n_all, sum(len(terms))::BIGINT AS l_all FROM d),
+m AS (SELECT r, doc_id, 50 + (50 * len(terms) * n_all) // l_all AS m FROM d, al),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM d) GROUP BY r, term),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(n_all) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, al GROUP BY term),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+s AS (SELECT item_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+      FROM q JOIN w USING (term) JOIN tf USING (term) JOIN m USING (r) GROUP BY item_id, r)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS rank
+      FROM s JOIN m USING (r) WHERE score > 0)
+WHERE rank <= 50
+"""
