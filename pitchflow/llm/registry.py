@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, lexical, license_scan, line_dedup, mixing, prefix_trie, quality, simhash, token_shards, tokens
-from .sql import OP2, OP3, OP5, OP10, OP11, OP12, op7
+from . import chat, decontaminate, exact_dedup, html_text, lexical, license_scan, line_dedup, mixing, prefix_trie, quality, simhash, token_shards, tokens
+from .sql import OP2, OP3, OP5, OP10, OP11, OP12, OP13, op7
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,13 +68,20 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
     all_queries = (
         op1_mix_sources, op2_license_scan, op3_exact_dedup, op4_token_shards, op5_line_dedup, op6_token_counts, op7_chat_format,
-        op8_quality, op9_simhash, op10_decontaminate, op11_prefix_trie, op12_lexical_search,
+        op8_quality, op9_simhash, op10_decontaminate, op11_prefix_trie, op12_lexical_search, op13_html_text,
     )
     return {q.__name__: q for q in all_queries}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": OP2, "op3_exact_dedup": OP3, "op5_line_dedup": OP5, "op7_chat_format": op7(), "op10_decontaminate": OP10, "op11_prefix_trie": OP11, "op12_lexical_search": OP12}
+    return {
+        "op2_license_scan": OP2, "op3_exact_dedup": OP3, "op5_line_dedup": OP5, "op7_chat_format": op7(), "op10_decontaminate": OP10,
+        "op11_prefix_trie": OP11, "op12_lexical_search": OP12, "op13_html_text": OP13,
+    }

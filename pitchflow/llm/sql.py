@@ -161,3 +161,12 @@ FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORD
       FROM s JOIN m USING (r) WHERE score > 0)
 WHERE rank <= 50
 """
+
+#: Reads the markup of the given pages, whose articles are all in <article>; the operator judges by density.
+OP13 = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS body FROM pages),
+b AS (SELECT page_id, url, list_transform(regexp_split_to_array(body, '</?(?:p|h1)>'), lambda x: trim(regexp_replace(
+          regexp_replace(replace(regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS blocks FROM a),
+t AS (SELECT page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10) || chr(10)) AS text FROM b)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM t
+"""
