@@ -13,9 +13,9 @@ from ..operators import docs as G
 from ..operators import insights as I
 from ..operators import load as L
 from ..operators import models as M
-from ..sources.adapters import actions, table
+from ..sources.adapters import ACTIONS, actions, table
 from ..sources.shared import shared_dir, written
-from ..streaming import live
+from ..streaming import live, matches
 from . import league as league_plans
 from . import load as load_plans
 from . import match as match_plans
@@ -41,14 +41,17 @@ def _blended(s, d):
     return G.blend(G.cosine_top_k(v.where("label % 2 = 0"), q, 8).drop("rank"), G.cosine_top_k(v.where("label % 2 = 1"), q, 8).drop("rank"), 6).select("query_id", "vec_id", "rank", "scope")
 
 
+def _run(query, folder: str, name: str = "state") -> None:
+    query.option("checkpointLocation", f"{folder}/{name}").trigger(availableNow=True).start().awaitTermination()
+
+
 def _live_chains(s, d):
     """The stream of events in batches of files, snapshots of the matches each touches, then the newest of each match."""
     folder = _shared(s)
     rows = actions(s, d)
     rows.repartition(4, "event_id").write.parquet(f"{folder}/in")
     stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
-    sink = live.snapshots_of_touched(stream, f"{folder}/store", f"{folder}/out", lambda e: C.team_stats(C.chains(e)))
-    sink.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    _run(matches.live_sink(matches.match_states(stream), f"{folder}/out", lambda e: C.team_stats(C.chains(e))), folder)
     return match_plans._rounded(live.latest(s, f"{folder}/out"), "mean_length", "mean_duration", "xg", "mean_score", "conversion")
 
 
@@ -60,10 +63,48 @@ def _live_insights(s, d):
     stale.unionByName(rows).repartition(4, "event_id").write.parquet(f"{folder}/in")
     stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
     analyse = lambda e: {"pressing": I.pressing(e), "losses": I.losses_by_zone(e), "passing": I.pass_edges(e)}
-    sink = live.snapshots_of_touched(stream, f"{folder}/store", f"{folder}/out", analyse, order="ingest")
-    sink.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    of = lambda name, *c: live.latest(s, f"{folder}/out/{name}").groupBy("match_id", "team_id").agg(*[F.sum(x).cast("bigint").alias(f"{name}_{x}") for x in c])
-    return of("pressing", "duels", "won").join(of("losses", "total", "loss_tag"), ["match_id", "team_id"], "full_outer").join(of("passing", "passes"), ["match_id", "team_id"], "full_outer")
+    _run(matches.live_sink(matches.match_states(stream, order="ingest"), f"{folder}/out", analyse), folder)
+
+    def of(name, *columns):
+        sums = [F.sum(c).cast("bigint").alias(f"{name}_{c}") for c in columns]
+        return live.latest(s, f"{folder}/out/{name}").groupBy("match_id", "team_id").agg(*sums)
+
+    both = of("pressing", "duels", "won").join(of("losses", "total", "loss_tag"), ["match_id", "team_id"], "full_outer")
+    return both.join(of("passing", "passes"), ["match_id", "team_id"], "full_outer")
+
+
+#: How far a row may be behind the stream in the query of late rows.
+LATE_DAYS = 10
+
+
+def _late_events(s, d):
+    """Three files, one a batch; what is over ten days behind the files before goes to the side. Events of both by match and team."""
+    folder = _shared(s)
+    stamps = table(s, d, "events").select(F.col("event_id").cast("bigint").alias("event_id"), F.col("ts").cast("timestamp").alias("ts"))
+    rows = written(actions(s, d).join(stamps, "event_id"), "stamped")
+    for k in range(3):
+        rows.where(F.col("event_id") % 3 == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    states = matches.match_states(stream, stamp="ts", bound=f"{LATE_DAYS} days")
+    _run(matches.live_sink(states, f"{folder}/out", lambda e: e.select("match_id", "team_id", "event_id"), f"{folder}/late"), folder)
+    one = lambda rows, n: rows.select("match_id", "team_id", F.lit(n).alias("late"))
+    late = s.read.schema(rows.schema).parquet(f"{folder}/late")
+    both = one(live.latest(s, f"{folder}/out"), 0).unionByName(one(late, 1))
+    return both.groupBy("match_id", "team_id").agg(F.count_if(F.col("late") == 0).alias("events"), F.count_if(F.col("late") == 1).alias("late"))
+
+
+#: What the live counts count, by name.
+COUNTED = {"losses": "tag_loss", "duels": "event_type IN ('ground_duel', 'aerial_duel')", "duels_won": "won"}
+
+
+def _live_counts(s, d):
+    """Events that come twice, counted once by match, team and minute in the state of the stream."""
+    folder = _shared(s)
+    rows = actions(s, d)
+    rows.unionByName(rows.where("event_id % 3 = 0")).repartition(4, "event_id", "sec").write.parquet(f"{folder}/in")
+    stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    _run(matches.counts_sink(matches.counts_by_minute(stream, counted=COUNTED), f"{folder}/out"), folder)
+    return matches.newest_counts(s.read.parquet(f"{folder}/out"))
 
 
 def _deduplicated(s, d):
@@ -158,7 +199,9 @@ QUERIES = {
     "f6_slugs": lambda s, d: table(s, d, "customer").select("c_custkey", scalar.slug(F.concat_ws(" ", "c_name", "c_mktsegment")).alias("slug"), scalar.normal_name(F.col("c_name")).alias("name")),
     "st1_dedup": _deduplicated,
     "st4_live_chains": _live_chains,
+    "st5_late_events": _late_events,
     "st6_live_insights": _live_insights,
+    "st6_live_counts": _live_counts,
     "m1_decision_model": lambda s, d: _decision_model(s, d).select("event_id", "event_type", "p_pass", "p_shot", "p_carry", "value", "best", "gain", "low", "suggested"),
     "m3_model_selection": _model_selection,
     "dq4_model_players": lambda s, d: D.player_summary(_decision_model(s, d)),
@@ -189,6 +232,11 @@ SQL = {
     "f6_slugs": "SELECT c_custkey, regexp_replace(regexp_replace(lower(trim(concat_ws(' ', c_name, c_mktsegment))), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug, regexp_replace(lower(trim(c_name)), '\\s+', ' ', 'g') AS name FROM customer",
     "st1_dedup": "SELECT DISTINCT event_id, user_id FROM events",
     "st4_live_chains": match_plans.SQL["c8_team_stats"],
+    "st5_late_events": f"""WITH {ACTIONS}, t AS (SELECT match_id, team_id, a.event_id % 3 AS f, epoch_ms(events.ts) AS ms FROM a JOIN events ON events.event_id = a.event_id),
+        m AS (SELECT f, max(max(ms)) OVER (ORDER BY f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 10 * 86400000 AS mark FROM t GROUP BY f)
+        SELECT match_id, team_id, count(*) FILTER (WHERE mark IS NULL OR ms >= mark) AS events, count(*) FILTER (WHERE ms < mark) AS late FROM t JOIN m USING (f) GROUP BY match_id, team_id""",
+    "st6_live_counts": f"""WITH {ACTIONS} SELECT match_id, team_id, sec // 60 AS minute, count(*) FILTER (WHERE tag_loss) AS losses,
+        count(*) FILTER (WHERE event_type IN ('ground_duel', 'aerial_duel')) AS duels, count(*) FILTER (WHERE won) AS duels_won FROM a GROUP BY ALL""",
     "st6_live_insights": f"""{match_plans._L}, pr AS (SELECT match_id, team_id, count(*) AS pressing_duels, count(*) FILTER (WHERE a.won) AS pressing_won FROM a WHERE event_type IN ('ground_duel', 'aerial_duel') GROUP BY ALL),
         lo AS (SELECT match_id, team_id, count(*) AS losses_total, count(*) FILTER (WHERE loss = 'loss_tag') AS losses_loss_tag FROM l GROUP BY ALL), pa AS (SELECT match_id, team_id, count(*) AS passing_passes FROM a WHERE event_type = 'pass' AND accurate AND recipient_id IS NOT NULL GROUP BY ALL)
         SELECT match_id, team_id, pressing_duels, pressing_won, losses_total, losses_loss_tag, passing_passes FROM pr FULL JOIN lo USING (match_id, team_id) FULL JOIN pa USING (match_id, team_id)""",
