@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import documents, evidence, files, fused, league, load, match, reports, retrieval, teams
+from . import documents, evidence, files, fused, league, load, match, names, reports, retrieval, teams
 
-MODULES = (match, load, league, fused, files, documents, teams, retrieval, reports, evidence)
+MODULES = (match, load, league, fused, files, documents, teams, retrieval, reports, evidence, names)
 
 
 def queries() -> dict:
