@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..operators import decision as D
 from ..operators import docs as G
+from ..operators import payloads as P
 from ..operators import signals as N
 from ..sources.adapters import ACTIONS, EVENTS, PLAYER_DAYS, _events, actions, player_days, table
 from . import teams as team_plans
@@ -73,7 +74,28 @@ def _days_with_clusters(s, d):
     return p.select("player_id", "day", "sessions").join(labels, "player_id", "left").withColumn("cluster", F.coalesce("cluster", F.lit("none")))
 
 
+#: Payloads of both inputs of signal fusion, by event, sound and damaged ones; the same text in both engines.
+_INPUT1 = """CASE WHEN event_id % 13 = 0 THEN 'no json' WHEN event_id % 13 = 1 THEN '[1]' ELSE '{"x": 1' ||
+  CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN ', "baselineModel": {"riskLevel": "low", "anomalyScore": null}' WHEN 2 THEN ', "baselineModel": 3'
+    ELSE ', "baselineModel": {"overallWeaknessScore": 0.5, "riskLevel": "low", "tacticalProfile": "p", "anomalyScore": 1}' END ||
+  CASE event_id % 7 WHEN 0 THEN '' WHEN 1 THEN ', "weaknessSignals": {}' WHEN 2 THEN ', "weaknessSignals": []'
+    WHEN 3 THEN ', "weaknessSignals": [{"signalId": 1, "category": "c", "severityScore": 0.1, "metric": "m"}, {"signalId": 1, "category": null}, 7]'
+    ELSE ', "weaknessSignals": [{"signalId": 1, "category": "c", "severityScore": 0.1, "metric": "m"}]' END ||
+  CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN ', "metricComparisons": null' ELSE ', "metricComparisons": {}' END || '}' END"""
+_INPUT2 = """'{"summary": ' || CASE event_id % 4 WHEN 0 THEN '{"averageDecisionValue": 1, "lowDecisionPhases": 2, "phasesWithAlternative": 3, "missedShotOrGoalOpportunities": 4}' WHEN 1 THEN '{"lowDecisionPhases": 2}' WHEN 2 THEN '"s"' ELSE '{}' END ||
+  CASE event_id % 3 WHEN 0 THEN ', "players": {"needsSupport": []}' WHEN 1 THEN ', "players": {"needsSupport": 1}' ELSE '' END ||
+  CASE event_id % 5 WHEN 0 THEN ', "phases": {"improvablePhases": [], "missedShotOrGoalOpportunities": [1]}' WHEN 1 THEN ', "phases": {"improvablePhases": {}}' ELSE ', "phases": []' END ||
+  CASE event_id % 2 WHEN 0 THEN ', "teamStats": {"decisionByType": [1], "timeline": null}' ELSE ', "teamStats": {"timeline": []}' END || '}'"""
+
+
+def _payload_errors(s, d):
+    e = table(s, d, "events").select("event_id", F.expr(_INPUT1).alias("input1"), F.expr(_INPUT2).alias("input2"))
+    one = lambda n, spec: P.check(e, n, spec, n).where(F.size("errors") > 0).select("event_id", F.lit(n).alias("input"), F.array_join("errors", "; ").alias("errors"), "error")
+    return one("input1", P.INPUT1).unionByName(one("input2", P.INPUT2))
+
+
 QUERIES = {
+    "x1_payload_errors": _payload_errors,
     "x1_input_errors": lambda s, d: N.errors(actions(s, d), _REQUIRED).select("event_id", F.array_join("errors", ",").alias("errors")),
     "x2_baseline_signals": lambda s, d: pick(N.baseline_signals(_raw_signals(s, d)), ("event_id", "category", "metric"), "severity"),
     "x3_decision_signals": _decision_signals,
@@ -93,7 +115,43 @@ _SHORT = "CASE WHEN length(doc_id::VARCHAR) < 3 THEN 'id_short' WHEN coalesce(le
 _HITS = """sim AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS score FROM embeddings q JOIN embeddings v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id),
     hits AS (SELECT *, {0} FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM sim) WHERE rank <= 8)""".format(", ".join(f"{x} AS {c}" for c, x in _HIT.items()))
 
+def _missing(path: str, said: str, fields: tuple[str, ...]) -> str:
+    """SQL for the message on missing fields of the object at a path, null if none is missing."""
+    found = ", ".join(f"CASE WHEN json_type(v, {path} || '.{f}') IS NULL THEN '{f}' END" for f in fields)
+    return f"CASE WHEN json_type(v, {path}) = 'OBJECT' AND concat_ws(', ', {found}) <> '' THEN 'Missing required fields in `' || {said} || '`: ' || concat_ws(', ', {found}) END"
+
+
+def _is(path: str, kind: str) -> str:
+    """SQL for the message on a field that is there but of another kind."""
+    what = {"OBJECT": "an object", "ARRAY": "an array"}[kind]
+    return f"CASE WHEN json_type(v, '$.{path}') <> '{kind}' THEN '`' || root || '.{path}` must be {what}' END"
+
+
+def _own(path: str, *fields: str) -> str:
+    return _missing(f"'$.{path}'", f"root || '.{path}'", fields)
+
+
+_SIGNAL = "'$.weaknessSignals[' || i || ']'"
+_PAYLOADS = f"""WITH t AS (SELECT event_id, 'input1' AS root, {_INPUT1} AS text FROM events UNION ALL SELECT event_id, 'input2', {_INPUT2} FROM events),
+p AS (SELECT event_id, root, CASE WHEN json_valid(text) THEN text::JSON END AS v FROM t),
+e AS (SELECT event_id, root, CASE WHEN coalesce(json_type(v), '') <> 'OBJECT' THEN ['`' || root || '` must be an object'] WHEN root = 'input1' THEN list_concat(
+    [{_missing("'$'", "root", ("baselineModel", "weaknessSignals", "metricComparisons"))}, {_is("baselineModel", "OBJECT")},
+     {_own("baselineModel", "overallWeaknessScore", "riskLevel", "tacticalProfile", "anomalyScore")}, {_is("weaknessSignals", "ARRAY")}],
+    list_transform(range(CASE WHEN json_type(v, '$.weaknessSignals') = 'ARRAY' THEN json_array_length(v, '$.weaknessSignals')::BIGINT ELSE 0 END), lambda i: CASE
+        WHEN json_type(v, {_SIGNAL}) <> 'OBJECT' THEN '`input1.weaknessSignals[' || i || ']` must be an object'
+        ELSE {_missing(_SIGNAL, "'input1.weaknessSignals[' || i || ']'", ("signalId", "category", "severityScore", "metric"))} END),
+    [{_is("metricComparisons", "OBJECT")}])
+  ELSE [{_missing("'$'", "root", ("summary", "players", "phases", "teamStats"))}, {_is("summary", "OBJECT")},
+    {_own("summary", "averageDecisionValue", "lowDecisionPhases", "phasesWithAlternative", "missedShotOrGoalOpportunities")},
+    {_is("players", "OBJECT")}, {_own("players", "needsSupport")}, {_is("players.needsSupport", "ARRAY")},
+    {_is("phases", "OBJECT")}, {_own("phases", "improvablePhases", "missedShotOrGoalOpportunities")}, {_is("phases.improvablePhases", "ARRAY")},
+    {_is("phases.missedShotOrGoalOpportunities", "ARRAY")}, {_is("teamStats", "OBJECT")}, {_own("teamStats", "decisionByType", "timeline")},
+    {_is("teamStats.decisionByType", "ARRAY")}, {_is("teamStats.timeline", "ARRAY")}] END AS said FROM p),
+f AS (SELECT event_id, root, list_filter(said, lambda x: x IS NOT NULL) AS said FROM e)
+SELECT event_id, root AS input, array_to_string(said, '; ') AS errors, said[1] AS error FROM f WHERE len(said) > 0"""
+
 SQL = {
+    "x1_payload_errors": _PAYLOADS,
     "x1_input_errors": f"WITH {ACTIONS}, x AS (SELECT event_id, concat_ws(',', " + ", ".join(f"CASE WHEN {c} IS NULL THEN '{c}' END" for c in _REQUIRED) + ") AS errors FROM a) SELECT * FROM x WHERE errors <> ''",
     "x2_baseline_signals": f"""WITH {EVENTS}, r AS (SELECT event_id, ({list(_METRICS)})[(event_id % 6)::INT + 1] AS metric, {", ".join(f"{x} AS {c}" for c, x in _RAW.items())} FROM e),
         m(metric, of) AS (VALUES {", ".join(f"('{m}', '{c}')" for m, c in N.OF_METRIC.items())}),
