@@ -199,8 +199,8 @@ def touch_grid(actions: DataFrame, rows: int = 8, cols: int = 12, keys=("match_i
     return _touches(actions, keys).groupBy(*keys, "player_id", cell(F.col("y"), rows).alias("row"), cell(F.col("x"), cols).alias("col")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def xg_timeline(actions: DataFrame, bucket: int = 3600, keys=KEYS) -> DataFrame:
-    """Cumulative xG and goals by bucket of seconds, and goals minus xG."""
+def xg_timeline(actions: DataFrame, bucket: int = 60, keys=KEYS) -> DataFrame:
+    """Cumulative xG and goals by bucket of seconds, a minute unless said otherwise, and goals minus xG."""
     b = actions.where("event_type = 'shot'").groupBy(*keys, F.floor(F.col("sec") / bucket).alias("bucket")).agg(F.sum("xg").alias("x"), count_if(F.col("is_goal")).alias("g"))
     w = Window.partitionBy(*keys).orderBy("bucket")
     return b.select(*keys, "bucket", F.sum("x").over(w).alias("xg"), F.sum("g").over(w).alias("goals"), (F.sum("g").over(w) - F.sum("x").over(w)).alias("over_xg"))

@@ -1,4 +1,4 @@
-"""Models: decision forests, isolation forest, team and player clusters. MLlib where it has the algorithm."""
+"""Models: decision forests and nets, future form, the isolation forest. MLlib where it has the algorithm."""
 
 from __future__ import annotations
 
@@ -9,9 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, Window
@@ -192,77 +190,3 @@ def isolation_forest(rows: DataFrame, features, key, trees: int = 250, sample: i
     limits = scored.agg(F.min("__s").alias("__lo"), F.max("__s").alias("__hi"), F.percentile_approx("__s", 1 - contamination, 10_000).alias("__at"))
     out = scored.join(F.broadcast(limits)).withColumn("anomaly", F.when(F.col("__hi") - F.col("__lo") > 1e-9, (F.col("__s") - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))).otherwise(0.0))
     return out.withColumn("is_anomaly", F.col("__s") > F.col("__at")).drop("__s", "__lo", "__hi", "__at")
-
-
-# ---- clusters
-
-
-def standardised(rows: DataFrame, features) -> DataFrame:
-    """The features less their mean over their population std, as z_<feature>; 0 where a feature does not vary."""
-    stats = rows.agg(*[f(c).alias(f"__{n}_{c}") for c in features for n, f in (("m", F.avg), ("s", F.stddev_pop))])
-    z = {f"z_{c}": F.when(F.col(f"__s_{c}") > 0, (F.col(c) - F.col(f"__m_{c}")) / F.col(f"__s_{c}")).otherwise(0.0) for c in features}
-    return rows.join(F.broadcast(stats)).withColumns(z).drop(*stats.columns)
-
-
-def clusters(rows: DataFrame, features, k: int = 5, seeds=(1, 2, 3), pca: int | None = None, scale: bool = True):
-    """Standardised rows, or rows as they are without `scale`, (and their principal components pca_1, ...) in k clusters, the best of several starts; the
-    silhouette, MLlib's, on squared distances. Fewer rows than clusters are one cluster."""
-    filled, used = rows.na.fill(0.0, list(features)), [f"z_{c}" for c in features] if scale else list(features)
-    data = VectorAssembler(inputCols=used, outputCol="__s").transform(standardised(filled, features) if scale else filled)
-    data = data.drop(*used) if scale else data
-    column = "__s"
-    if pca:
-        data, column = PCA(k=pca, inputCol="__s", outputCol="__c").fit(data).transform(data), "__c"
-        data = data.withColumns({f"pca_{i + 1}": F.get(vector_to_array("__c"), F.lit(i)) for i in range(pca)})
-    if data.limit(k).count() < k:
-        return data.withColumn("cluster", F.lit(0)).drop("__s", "__c"), 0.0
-    models = [KMeans(k=k, seed=s, featuresCol=column, predictionCol="cluster").fit(data) for s in seeds]
-    out = min(models, key=lambda m: m.summary.trainingCost).transform(data)
-    fit = ClusteringEvaluator(featuresCol=column, predictionCol="cluster").evaluate(out) if out.select("cluster").distinct().count() > 1 else 0.0
-    return out.drop("__s", "__c"), fit
-
-
-def named_team_clusters(rows: DataFrame) -> DataFrame:
-    """profile and explanation of each row by how the means of its cluster differ from those of all rows."""
-    features = ("lossRate", "progressivePassSuccessRate", "counterpressingRate", "xgPerShot", "passSuccessRate")
-    everyone = rows.agg(*[F.avg(c).alias(f"__{c}") for c in features])
-    c = rows.groupBy("cluster").agg(*[F.avg(c).alias(c) for c in features]).join(F.broadcast(everyone))
-    loss, progress, press, chance, passes = [F.col(c) - F.col(f"__{c}") for c in features]
-    # How far a mean has to differ, and the texts and names.
-    told = [
-        (loss > 0.015, "higher than average ball losses"), (loss < -0.015, "lower than average ball losses"),
-        (progress > 0.03, "higher than average progressive passing success"), (progress < -0.03, "lower than average progressive passing success"),
-        (press > 0.04, "stronger than average counterpressing"), (press < -0.04, "weaker than average counterpressing"),
-        (chance > 0.015, "higher than average chance quality per shot"), (chance < -0.015, "lower than average chance quality per shot"),
-        (passes < -0.06, "lower than average overall pass success"),
-    ]
-    profile = (
-        F.when((loss > 0.015) & (progress < -0.03), F.when(chance > 0.015, "high_loss_low_progression_with_chance_quality").otherwise("high_loss_low_control"))
-        .when((press > 0.04) & (loss <= 0.015), "strong_pressing_compact")
-        .when((chance < -0.015) & (progress >= -0.03), "low_chance_creation")
-        .when((progress > 0.03) & (loss < 0), "balanced_control")
-        .otherwise("mixed_profile")
-    )
-    said = F.array_compact(F.array(*[F.when(test, text) for test, text in told]))
-    named = c.select("cluster", profile.alias("profile"), F.when(F.size(said) == 0, F.array(F.lit("balanced around league baseline values"))).otherwise(said).alias("explanation"))
-    return rows.join(F.broadcast(named), "cluster")  # a row for each cluster
-
-
-def player_clusters(profiles: DataFrame, features) -> tuple[DataFrame, float]:
-    """Players in two or three clusters, by the better silhouette, with their names."""
-    tried = [clusters(profiles, features, k, pca=2) for k in (2, 3)]
-    out, fit = max(tried, key=lambda x: x[1])
-    return named_player_clusters(out), fit
-
-
-def named_player_clusters(rows: DataFrame) -> DataFrame:
-    """profile by cluster: the one of the longest mean distance, of the others the most explosive one, and the rest; ties to
-    the smaller cluster. A row for each cluster is ranked."""
-    explosive = F.avg(F.col("high_share") + F.col("high_acc") / 100.0 + F.col("sprints") * 100.0)
-    c = rows.groupBy("cluster").agg(F.avg("distance").alias("__d"), explosive.alias("__e"))
-    everywhere = Window.partitionBy(F.lit(0))
-    c = c.withColumn("__first", F.row_number().over(everywhere.orderBy(F.desc(F.round("__d", 9)), "cluster")) == 1)
-    c = c.withColumn("__second", (F.row_number().over(everywhere.orderBy("__first", F.desc(F.round("__e", 9)), "cluster")) == 1) & ~F.col("__first"))
-    # The names of the profiles.
-    name = F.when(F.col("__first"), "high-volume runner").when(F.col("__second"), "explosive short-burst").otherwise("low-volume high-intensity")
-    return rows.join(F.broadcast(c.select("cluster", name.alias("profile"))), "cluster")

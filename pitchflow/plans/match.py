@@ -109,7 +109,7 @@ SQL = {
     "a17_flank_usage": f"""{_NODES}, f AS (SELECT *, {_THIRD.format("mean_y", "left", "center", "right")} AS flank FROM n) SELECT match_id, team_id, """
     + ", ".join(f"round(100.0 * coalesce(sum(touches) FILTER (WHERE flank = '{n}'), 0) / sum(touches)::DOUBLE, 6) AS \"{n}\"" for n in ("left", "center", "right"))
     + " FROM f GROUP BY ALL",
-    "a18_xg_timeline": f"""{_A}, b AS (SELECT match_id, team_id, floor(sec / 3600)::BIGINT AS bucket, sum(xg) AS x, count(*) FILTER (WHERE is_goal) AS g FROM a WHERE event_type = 'shot' GROUP BY ALL)
+    "a18_xg_timeline": f"""{_A}, b AS (SELECT match_id, team_id, floor(sec / 60)::BIGINT AS bucket, sum(xg) AS x, count(*) FILTER (WHERE is_goal) AS g FROM a WHERE event_type = 'shot' GROUP BY ALL)
         SELECT match_id, team_id, bucket, round(sum(x) OVER w, 6) AS xg, (sum(g) OVER w)::BIGINT AS goals, round(sum(g) OVER w - sum(x) OVER w, 6) AS over_xg FROM b WINDOW w AS (PARTITION BY match_id, team_id ORDER BY bucket)""",
     "t2_top_pressers": f"""{_A}, p AS (SELECT match_id, team_id, player_id, count(*) AS duels, count(*) FILTER (WHERE won) AS won FROM a WHERE event_type IN ('ground_duel', 'aerial_duel') GROUP BY ALL)
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY match_id, team_id ORDER BY p.won DESC, duels DESC, player_id) AS rank FROM p) WHERE rank <= 3""",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..operators import chains as C
+from ..operators import clusters as K
 from ..operators import decision as D
 from ..operators import docs as G
 from ..operators import insights as I
@@ -178,13 +179,17 @@ TEAM_FEATURES = (
 
 
 def _team_clusters(s, d):
-    out, _ = M.clusters(league_plans._features(s, d), TEAM_FEATURES, 5, scale=False)
-    return M.named_team_clusters(out).select("match_id", "team_id", "cluster", "profile", F.array_join("explanation", "; ").alias("explanation"))
+    return K.named_team_clusters(K.clusters(league_plans._features(s, d), TEAM_FEATURES, 5, scale=False)).select("match_id", "team_id", "cluster", "profile", F.array_join("explanation", "; ").alias("explanation"))
+
+
+def _team_cluster_rows(s, d):
+    """The clusters themselves: how many team matches, and their mean features."""
+    found = K.named_team_clusters(K.clusters(league_plans._features(s, d), TEAM_FEATURES, 5, scale=False))
+    return K.cluster_rows(found, TEAM_FEATURES, ("cluster", "profile"))
 
 
 def _player_clusters(s, d):
-    out, _ = M.player_clusters(written(load_plans._profiles(s, d), "player-profiles"), L.PROFILE)
-    return out.select("player_id", "cluster", "profile", "pca_1", "pca_2")
+    return K.player_clusters(written(load_plans._profiles(s, d), "player-profiles"), L.PROFILE)[0].select("player_id", "cluster", "profile", "pca_1", "pca_2")
 
 
 QUERIES = {
@@ -209,6 +214,7 @@ QUERIES = {
     "m5_form_model": _form_model,
     "m7_fatigue_anomalies": _fatigue_model,
     "m8_team_clusters": _team_clusters,
+    "m8_team_cluster_rows": _team_cluster_rows,
     "m9_player_clusters": _player_clusters,
 }
 

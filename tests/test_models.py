@@ -5,6 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from pitchflow.operators import clusters as groups
 from pitchflow.operators import decision, load, models
 from pitchflow.plans import load as load_plans
 from pitchflow.plans import retrieval
@@ -61,10 +62,48 @@ def test_clusters_and_their_names(spark):
     centres = {"high-volume runner": (9000, 5, 200, 0.1), "explosive short-burst": (4000, 20, 900, 0.4), "low-volume high-intensity": (4200, 4, 100, 0.1)}
     rows = [(i, name, *[c * (1 + rng.gauss(0, 0.01)) for c in centre]) for i, (name, centre) in enumerate((n, c) for n, c in centres.items() for _ in range(20))]
     df = spark.createDataFrame(rows, "player_id bigint, want string, distance double, high_share double, high_acc double, sprints double")
-    out, fit = models.player_clusters(df, ("distance", "high_share", "high_acc", "sprints"))
-    assert fit > 0.9 and all(r.profile == r.want for r in out.collect()) and {"pca_1", "pca_2"} <= set(out.columns)
-    assert models.clusters(df.limit(2), ("distance",), 5)[1] == 0.0
-    z = models.standardised(spark.createDataFrame([(1.0, 3.0), (3.0, 3.0)], "a double, b double"), ("a", "b")).collect()
+    features = ("distance", "high_share", "high_acc", "sprints")
+    out, fit, variance = groups.player_clusters(df, features, starts=10)
+    out = out.collect()
+    assert all(r.profile == r.want for r in out) and len({r.cluster for r in out}) == 3
+    # silhouette, components and their shares against plain ones
+    x = np.array([r[2:6] for r in rows], float)
+    z = (x - x.mean(0)) / x.std(0)
+    names = np.array([r[1] for r in rows])
+    far = np.sqrt(((z[:, None] - z[None]) ** 2).sum(2))
+    own = np.array([far[i, names == names[i]].sum() / ((names == names[i]).sum() - 1) for i in range(len(z))])
+    other = np.array([min(far[i, names == n].mean() for n in centres if n != names[i]) for i in range(len(z))])
+    assert abs(fit - np.mean((other - own) / np.maximum(own, other))) < 1e-9
+    singular, vectors = np.linalg.eigh(z.T @ z)
+    assert np.allclose(sorted(variance, reverse=True), singular[::-1][:2] / singular.sum())
+    shown = {r.player_id: abs(r.pca_1) for r in out}
+    assert np.allclose([shown[i] for i in range(len(z))], np.abs(z @ vectors[:, -1]))
+
+
+def test_few_players_and_plain_k_means(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.gauss(5 * (i % 2), 1), rng.gauss(0, 1)) for i in range(8)]
+    df = spark.createDataFrame(rows, "player_id bigint, distance double, high_share double").withColumns({"high_acc": F.lit(1.0), "sprints": F.lit(None).cast("double")})
+    features = ("distance", "high_share", "high_acc", "sprints")
+    assert len({r.cluster for r in groups.player_clusters(df, features, 5)[0].collect()}) == 2
+    few, fit, variance = groups.player_clusters(df.limit(2), features)
+    assert {(r.profile, r.pca_1) for r in few.collect()} == {("insufficient_population", 0.0)} and (fit, variance) == (0.0, [0.0, 0.0])
+    assert {r.cluster for r in groups.clusters(df.limit(2), ("distance",), 5).collect()} == {0}
+    # the centres are the means of their rows, and no start of a plain k-means is better
+    points = spark.createDataFrame([([rng.gauss(3 * (i % 4), 1), rng.gauss(0, 1)],) for i in range(200)], "x array<double>")
+    centres = groups.k_means(points, "x", 4, 12)
+    x = np.array([r[0] for r in points.collect()])
+    at, cost = groups.nearest(x, centres[None])
+    assert np.allclose(centres, [x[at[:, 0] == c].mean(0) for c in range(4)])
+    for seed in range(12):
+        c = groups._first_centres(x, 4, 100 + seed)
+        for _ in range(100):
+            near = groups.nearest(x, c[None])[0][:, 0]
+            c = np.array([x[near == k].mean(0) if (near == k).any() else c[k] for k in range(4)])
+        assert cost.sum() <= groups.nearest(x, c[None])[1].sum() * 1.02
+    counted = groups.cluster_rows(spark.createDataFrame([(0, 1.0), (0, 3.0), (1, 5.0)], "cluster int, a double"), ("a",)).collect()
+    assert sorted((r.cluster, r["count"], r.a) for r in counted) == [(0, 2, 2.0), (1, 1, 5.0)]
+    z = groups.standardised(spark.createDataFrame([(1.0, 3.0), (3.0, 3.0)], "a double, b double"), ("a", "b")).collect()
     assert [(r.z_a, r.z_b) for r in z] == [(-1.0, 0.0), (1.0, 0.0)]  # population std
 
 
@@ -72,7 +111,7 @@ def test_team_profiles(spark):
     names = ("lossRate", "progressivePassSuccessRate", "counterpressingRate", "xgPerShot", "passSuccessRate")
     clusters = {0: (0.3, 0.5, 0.3, 0.1, 0.8), 1: (0.1, 0.7, 0.3, 0.1, 0.8), 2: (0.2, 0.6, 0.5, 0.1, 0.8)}
     df = spark.createDataFrame([(k, *v) for k, v in clusters.items()], "cluster bigint, " + ", ".join(f"{n} double" for n in names))
-    got = {r.cluster: (r.profile, r.explanation) for r in models.named_team_clusters(df).collect()}
+    got = {r.cluster: (r.profile, r.explanation) for r in groups.named_team_clusters(df).collect()}
     assert got[0][0] == "high_loss_low_control" and got[1][0] == "balanced_control" and got[2][0] == "strong_pressing_compact"
     assert got[2][1] == ["stronger than average counterpressing"] and "lower than average progressive passing success" in got[0][1]
 
