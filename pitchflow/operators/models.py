@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
+from . import forest
 from .decision import evaluation
 
 
@@ -120,49 +121,6 @@ def errors(rows: DataFrame, target: str, **predictions: str) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
-# ---- isolation forest (Liu, Ting, Zhou 2008)
-
-
-def _grow(x: np.ndarray, depth: int, rng) -> tuple | int:
-    span = x.max(axis=0) - x.min(axis=0) if len(x) else np.zeros(0)
-    if depth == 0 or len(x) <= 1 or not (span > 0).any():
-        return len(x)
-    f = int(rng.choice(np.flatnonzero(span > 0)))
-    at = float(rng.uniform(x[:, f].min(), x[:, f].max()))
-    left = x[:, f] < at
-    return f, at, _grow(x[left], depth - 1, rng), _grow(x[~left], depth - 1, rng)
-
-
-def _mean_path(n):
-    n = np.asarray(n, float)
-    return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649) - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
-
-
-def _depth(tree, x: np.ndarray) -> np.ndarray:
-    if not isinstance(tree, tuple):
-        return np.full(len(x), float(_mean_path(tree)))
-    f, at, left, right = tree
-    out, go = np.empty(len(x)), x[:, f] < at
-    out[go], out[~go] = 1 + _depth(left, x[go]), 1 + _depth(right, x[~go])
-    return out
-
-
-def _tree_samples(data: DataFrame, key, trees: int, sample: int) -> DataFrame:
-    """tree, x: for each tree `sample` rows, those of the smallest hash under its number among rows from the whole table.
-
-    Each row is a candidate of so many trees that every tree has at least four times as many candidates as it takes
-    where the table has them (of all trees, in a small table); in a large one rows are thinned by hash first.
-    """
-    n = max(1, data.count())
-    each = min(trees, -(-4 * sample * trees // n))
-    share = min(1.0, 4 * sample * trees / (n * each))
-    own = F.xxhash64(*key)
-    some = data.select(own.alias("h"), "__x").where(F.pmod(F.xxhash64(F.lit("thin"), "h"), F.lit(2**30)) < F.lit(int(share * 2**30)))
-    some = some.select("h", "__x", F.explode(F.expr(f"transform(sequence(0, {each - 1}), j -> cast(pmod(xxhash64('tree', h) + j, {trees}) as int))")).alias("tree"))
-    w = Window.partitionBy("tree").orderBy(F.xxhash64("tree", "h"), "h")
-    return some.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= sample).select("tree", "__r", F.col("__x").alias("x"))
-
-
 def isolation_forest(rows: DataFrame, features, key, trees: int = 250, sample: int = 256, contamination: float = 0.12) -> DataFrame:
     """Adds anomaly, the isolation score scaled to 0..1 over all rows (0 where they do not differ), and is_anomaly, the
     rows beyond the contamination quantile, which is found to a ten-thousandth.
@@ -172,18 +130,14 @@ def isolation_forest(rows: DataFrame, features, key, trees: int = 250, sample: i
     row is scored, once, and written.
     """
     data = rows.withColumn("__x", F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]))
-    picks: dict[int, list] = {t: [] for t in range(trees)}
-    for r in sorted(_tree_samples(data, key, trees, sample).collect(), key=lambda r: (r["tree"], r["__r"])):
-        picks[r["tree"]].append(r["x"])
-    grown, most = [], max(2, max(map(len, picks.values())))
-    for t, x in picks.items():
-        grown.append(_grow(np.array(x, float).reshape(len(x), -1), int(np.ceil(np.log2(max(2, len(x))))), np.random.default_rng(t)))
-    scale = float(_mean_path(most))
+    by_size = forest.collected(forest.fit_isolation(data, key, trees, sample))  # trees, not rows
+    grown = [t for some in by_size.values() for t in some]
+    scale, width = float(forest.mean_path(max([2, *by_size]))), len(features)
 
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
-            x = np.array(column.to_pylist(), float).reshape(len(column), -1)
-            yield pa.array(2.0 ** (-np.mean([_depth(t, x) for t in grown], axis=0) / scale) if len(x) else np.zeros(0))
+            x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
+            yield pa.array(2.0 ** (-np.mean([forest.tree_scores(t, x) for t in grown], axis=0) / scale) if len(x) else np.zeros(0))
 
     score.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     scored = written(data.withColumn("__s", F.arrow_udf(score, "double")("__x")).drop("__x"), "isolation-scores")

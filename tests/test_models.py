@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from pitchflow.operators import clusters as groups
-from pitchflow.operators import decision, load, models
+from pitchflow.operators import decision, forest, load, models
 from pitchflow.plans import load as load_plans
 from pitchflow.plans import retrieval
 from pitchflow.sources.adapters import actions
@@ -121,7 +121,7 @@ def plain_score(trees, x, scale):
 
     def depth(tree, at=0):
         if not isinstance(tree, tuple):
-            return at + float(models._mean_path(tree))
+            return at + float(forest.mean_path(tree))
         f, cut, left, right = tree
         return depth(left if x[f] < cut else right, at + 1)
 
@@ -131,7 +131,7 @@ def plain_score(trees, x, scale):
 def test_isolation_forest_draws_each_tree_from_the_whole_table(spark):
     df = spark.range(5000).select("id", F.array(F.col("id").cast("double")).alias("__x"))
     for n, each in ((5000, 64), (300, 64)):
-        rows = models._tree_samples(df.limit(n) if n < 5000 else df, ("id",), 20, each).collect()
+        rows = forest.isolation_samples(df.limit(n) if n < 5000 else df, ("id",), 20, each).collect()
         by = {}
         for r in rows:
             by.setdefault(r.tree, set()).add(r.x[0])
@@ -161,10 +161,10 @@ def test_isolation_scores_by_brute_force(spark):
     df = spark.createDataFrame(rows, "id bigint, a double, b double")
     out = {r.id: r.anomaly for r in models.isolation_forest(df, ("a", "b"), ("id",), trees=30, sample=64).collect()}
     picks = {}
-    for r in sorted(models._tree_samples(df.withColumn("__x", F.array("a", "b")), ("id",), 30, 64).collect(), key=lambda r: (r["tree"], r["__r"])):
+    for r in sorted(forest.isolation_samples(df.withColumn("__x", F.array("a", "b")), ("id",), 30, 64).collect(), key=lambda r: (r["tree"], r["r"])):
         picks.setdefault(r["tree"], []).append(r["x"])
-    trees = [models._grow(np.array(picks[t]), 6, np.random.default_rng(t)) for t in range(30)]
-    raw = {i: plain_score(trees, (a, b), float(models._mean_path(64))) for i, a, b in rows}
+    trees = [forest.grow_isolation(np.array(picks[t]), 6, np.random.default_rng(t)) for t in range(30)]
+    raw = {i: plain_score(trees, (a, b), float(forest.mean_path(64))) for i, a, b in rows}
     low, high = min(raw.values()), max(raw.values())
     assert all(abs(out[i] - (s - low) / (high - low)) < 1e-9 for i, s in raw.items())
     assert set(sorted(out, key=out.get)[-4:]) == {1000, 1001, 1002, 1003}
