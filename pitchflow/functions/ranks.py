@@ -21,7 +21,8 @@ def cumulated(rows: DataFrame, order: str, *sums: str, by: tuple[str, ...] = (),
     among, whole = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*by)
     each = each.select("__part", *by, *[F.coalesce(F.sum(f"__{s}").over(among), F.lit(0)).alias(f"__b_{s}") for s in sums], *[F.sum(f"__{s}").over(whole).alias(f"total_{s}") for s in sums])
     inside = Window.partitionBy("__part", *by).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    joined = ranged.join(F.broadcast(each), ["__part", *by])
+    # Without `by` there is a row for each range; with it there can be as many as rows, so the join is left to Spark.
+    joined = ranged.join(each if by else F.broadcast(each), ["__part", *by])
     before = [(F.col(f"__b_{s}") + F.coalesce(F.sum(s).over(inside), F.lit(0))).alias(f"before_{s}") for s in sums]
     return joined.select(*rows.columns, *before, *[f"total_{s}" for s in sums])
 

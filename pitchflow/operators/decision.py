@@ -173,12 +173,19 @@ def lookup_phases(chosen: DataFrame, lookups: DataFrame) -> DataFrame:
     return found.groupBy("lookup_id").agg(F.count(F.lit(1)).alias("matched"), best.alias("p")).select("lookup_id", "matched", "p.*")
 
 
-def evaluation(rows: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
-    """ROC AUC, average precision and Brier score, exact, from counts by distinct score; AUC is null with one class."""
-    c = rows.groupBy(p).agg(F.sum(y).cast("double").alias("pos"), F.count(F.lit(1)).cast("double").alias("n"), F.sum((F.col(p) - F.col(y)) ** 2).alias("sq"))
-    c = ranks.cumulated(c, p, "pos", "n", descending=True)
+def evaluation(rows: DataFrame, y: str = "y", p: str = "p", by: tuple[str, ...] = ()) -> DataFrame:
+    """ROC AUC, average precision and Brier score, exact, from counts by distinct score, for each `by`; AUC is null with one class."""
+    c = rows.groupBy(*by, p).agg(F.sum(y).cast("double").alias("pos"), F.count(F.lit(1)).cast("double").alias("n"), F.sum((F.col(p) - F.col(y)) ** 2).alias("sq"))
+    c = ranks.cumulated(c, p, "pos", "n", by=by, descending=True)
     neg, above = F.col("n") - F.col("pos"), F.col("before_pos")
     ap = F.when(F.col("pos") > 0, F.col("pos") * (above + F.col("pos")) / (F.col("before_n") + F.col("n"))).otherwise(0.0)
-    a = c.agg(F.sum(neg * above + neg * F.col("pos") / 2).alias("u"), F.sum("pos").alias("P"), F.sum(neg).alias("N"), F.sum(ap).alias("ap"), F.sum("sq").alias("sq"))
-    both = (F.col("P") > 0) & (F.col("N") > 0)
-    return a.select(F.when(both, F.col("u") / (F.col("P") * F.col("N"))).alias("auc"), F.when(F.col("P") > 0, F.col("ap") / F.col("P")).otherwise(0.0).alias("average_precision"), (F.col("sq") / (F.col("P") + F.col("N"))).alias("brier"), (F.col("P") + F.col("N")).cast("bigint").alias("n"))
+    sums = [F.sum(neg * above + neg * F.col("pos") / 2).alias("u"), F.sum("pos").alias("P"), F.sum(neg).alias("N"), F.sum(ap).alias("ap"), F.sum("sq").alias("sq")]
+    a = c.groupBy(*by).agg(*sums) if by else c.agg(*sums)
+    both, n = (F.col("P") > 0) & (F.col("N") > 0), F.col("P") + F.col("N")
+    return a.select(
+        *by,
+        F.when(both, F.col("u") / (F.col("P") * F.col("N"))).alias("auc"),
+        F.when(F.col("P") > 0, F.col("ap") / F.col("P")).otherwise(0.0).alias("average_precision"),
+        (F.col("sq") / n).alias("brier"),
+        n.cast("bigint").alias("n"),
+    )

@@ -102,10 +102,10 @@ def poisson_counts(rows: np.ndarray, tree: int) -> np.ndarray:
 
 
 def balanced_weights(counts: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The counts times weights that give both classes of this sample the same total."""
+    """The counts times weights that give the classes of this sample the same total."""
     total = counts.sum()
     of = np.array([counts[y == c].sum() for c in (0, 1)], float)
-    return counts * np.where(of > 0, total / (2 * np.maximum(of, 1)), 0.0)[y]
+    return counts * np.where(of > 0, total / ((of > 0).sum() * np.maximum(of, 1)), 0.0)[y]
 
 
 def _best_split(x: np.ndarray, w0: np.ndarray, w1: np.ndarray, min_leaf: int) -> tuple[float, float] | None:

@@ -7,90 +7,65 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
-from . import forest
+from . import forest, net
 from .decision import evaluation
 
 
-def _encoded(categorical, numeric, hot: str) -> list:
-    index = StringIndexer(inputCols=list(categorical), outputCols=[f"{c}_i" for c in categorical], handleInvalid="keep")
-    encoder = OneHotEncoder(inputCols=[f"{c}_i" for c in categorical], outputCols=[f"{c}_v" for c in categorical], handleInvalid="keep")
-    return [index, encoder, VectorAssembler(inputCols=[f"{c}_v" for c in categorical], outputCol=hot), VectorAssembler(inputCols=list(numeric), outputCol="numbers")]
-
-
-def decision_pipeline(categorical, numeric, trees: int = 700, depth: int = 14, seed: int = 42) -> Pipeline:
-    """The random forest, its classes weighted by column `weight`."""
-    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=4, featureSubsetStrategy="sqrt", weightCol="weight", seed=seed)
-    return Pipeline(stages=[*_encoded(categorical, numeric, "hot"), VectorAssembler(inputCols=["hot", "numbers"], outputCol="features"), forest])
-
-
-def neural_pipeline(categorical, numeric, inputs: int, hidden=(256, 128, 64), rounds: int = 350, seed: int = 42) -> Pipeline:
-    """The neural net over standardised numbers; MLlib's has sigmoid units and L-BFGS. inputs: the number of features."""
-    scaler = StandardScaler(inputCol="numbers", outputCol="scaled", withMean=True, withStd=True)
-    net = MultilayerPerceptronClassifier(layers=[inputs, *hidden, 2], maxIter=rounds, seed=seed)
-    return Pipeline(stages=[*_encoded(categorical, numeric, "hot"), scaler, VectorAssembler(inputCols=["hot", "scaled"], outputCol="features"), net])
-
+def fold_of(match_id, folds: int = 5):
+    """All rows of a match fall into one fold."""
+    return F.pmod(F.xxhash64(match_id), F.lit(folds))
 
-def width(rows: DataFrame, categorical, numeric) -> int:
-    """How many features the encoding of these rows has: one for each value of a category and one for others, less the last."""
-    n = rows.agg(*[F.countDistinct(c).alias(c) for c in categorical]).first()
-    return sum(n[c] + 1 for c in categorical) + len(numeric)
 
+def folds_of(rows: DataFrame, fold: str = "fold") -> list[int]:
+    return sorted(r[0] for r in rows.select(fold).distinct().collect())
 
-def balanced(rows: DataFrame, label: str = "label") -> DataFrame:
-    """Adds weights that give both classes the same total."""
-    n = rows.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
-    total = rows.agg(F.count(F.lit(1)).alias("__t"))
-    return rows.join(F.broadcast(n), label).join(F.broadcast(total)).withColumn("weight", F.col("__t") / (2.0 * F.col("__n"))).drop("__n", "__t")
 
+def scored_by_fold(rows: DataFrame, categorical, numeric, key=("event_id",), action: str = "event_type", actions=("pass", "shot", "carry"), fold: str = "fold", trees: int = 700, depth: int = 14) -> DataFrame:
+    """All rows with each action in the place of their own (p_<action>), and value for the one taken: each fold by a forest
+    of the other folds, a single fold by its own. All forests are grown at once, and all rows scored in one pass."""
+    folds = folds_of(rows, fold)
+    encoding = forest.Encoding.of(rows, categorical, numeric)
+    single = len(folds) < 2
+    grown = forest.fit_forests(rows, encoding, key, [None] if single else folds, fold=None if single else fold, trees=trees, depth=depth)
+    return forest.scored(rows, encoding, forest.collected(grown), None if single else fold, action, actions).withColumnRenamed("p", "value")
 
-def counterfactual(model, rows: DataFrame, action: str = "event_type", actions=("pass", "shot", "carry")) -> DataFrame:
-    """Scores of each row with every action in place of its own: p_<action>, and value for the one taken. One pass, no shuffle."""
-    keep = [c for c in rows.columns if c != action]
-    out = rows.withColumn("__own", F.col(action))
-    for a in actions:
-        scored = model.transform(out.withColumn(action, F.lit(a)))
-        out = scored.select(*keep, "__own", *[f"p_{b}" for b in actions[: actions.index(a)]], F.get(vector_to_array("probability"), F.lit(1)).alias(f"p_{a}"))
-    out = out.withColumnRenamed("__own", action)
-    return out.withColumn("value", F.coalesce(*[F.when(F.col(action) == a, F.col(f"p_{a}")) for a in actions]))
 
+def forest_scores(rows: DataFrame, categorical, numeric, key=("event_id",), fold: str = "fold", trees: int = 700, depth: int = 14) -> DataFrame:
+    """label, fold, p: every row by a forest of the other folds."""
+    encoding = forest.Encoding.of(rows, categorical, numeric)
+    grown = forest.fit_forests(rows, encoding, key, folds_of(rows, fold), fold=fold, trees=trees, depth=depth)
+    return forest.scored(rows, encoding, forest.collected(grown), fold).select("label", fold, "p")
 
-def fold_of(match_id, folds: int = 5):
-    """All rows of a match fall into one fold."""
-    return F.pmod(F.xxhash64(match_id), F.lit(folds))
 
+def net_scores(rows: DataFrame, categorical, numeric, key=("event_id",), fold: str = "fold", **settings) -> DataFrame:
+    """label, fold, p: every row by a net of the other folds."""
+    encoding = forest.Encoding.of(rows, categorical, numeric)
+    return net.scored(rows, net.fit(rows, encoding, key, folds_of(rows, fold), fold=fold, **settings), fold).select("label", fold, "p")
 
-def scored_by_fold(pipeline, rows: DataFrame, fold: str = "fold") -> DataFrame:
-    """All rows of all folds by `counterfactual`, each fold by a model of the other folds; a single fold by its own."""
-    found = sorted(r[0] for r in rows.select(fold).distinct().collect())
-    parts = [counterfactual(pipeline().fit(balanced(rows.where(F.col(fold) != k) if len(found) > 1 else rows)), rows.where(F.col(fold) == k)) for k in found]
-    return reduce(DataFrame.unionByName, parts)
 
+def candidates(rows: DataFrame, scorers: dict, fold: str = "fold") -> DataFrame:
+    """model, folds, mean_auc, std_auc, mean_average_precision, mean_brier, selected: each model scores every fold without
+    having seen it, and is judged fold by fold; the best by mean AUC, then average precision, then Brier score is selected.
 
-def candidates(rows: DataFrame, pipelines: dict, label: str = "label", fold: str = "fold") -> DataFrame:
-    """model, folds, mean_auc, std_auc, mean_average_precision, mean_brier, selected: each pipeline fitted without each
-    fold and judged on it; the best by mean AUC, then average precision, then Brier score is selected. A row for each model and fold
-    comes to the driver."""
+    scorers: for each model a function from rows to label, fold and p. The scores of all models and folds are one
+    table, judged in one pass. With a single fold nothing is judged.
+    """
     spark = rows.sparkSession
-    found = sorted(r[0] for r in rows.select(fold).distinct().collect())
-    figures = []
-    for name, pipeline in pipelines.items():
-        for k in found if len(found) > 1 else []:
-            model = pipeline().fit(balanced(rows.where(F.col(fold) != k), label))
-            scored = model.transform(rows.where(F.col(fold) == k)).select(F.col(label).alias("y"), F.get(vector_to_array("probability"), F.lit(1)).alias("p"))
-            figures.append((name, *evaluation(scored).first()[:3]))
-    table = spark.createDataFrame(figures, "model string, auc double, ap double, brier double")
-    out = spark.createDataFrame([(n,) for n in pipelines], "model string").join(table, "model", "left").groupBy("model").agg(
-        F.count("ap").alias("folds"), F.avg("auc").alias("mean_auc"), F.stddev_pop("auc").alias("std_auc"), F.avg("ap").alias("mean_average_precision"), F.avg("brier").alias("mean_brier")
-    )
+    names = spark.createDataFrame([(n,) for n in scorers], "model string")
+    figures = spark.createDataFrame([], "model string, auc double, average_precision double, brier double")
+    if len(folds_of(rows, fold)) > 1:
+        parts = [scorer(rows).select(F.lit(n).alias("model"), F.col(fold).alias("fold"), F.col("label").alias("y"), "p") for n, scorer in scorers.items()]
+        figures = evaluation(written(reduce(DataFrame.unionByName, parts), "candidate-scores"), by=("model", "fold"))
+    out = names.join(figures, "model", "left").groupBy("model").agg(
+        F.count("average_precision").alias("folds"), F.avg("auc").alias("mean_auc"), F.stddev_pop("auc").alias("std_auc"),
+        F.avg("average_precision").alias("mean_average_precision"), F.avg("brier").alias("mean_brier"),
+    )
     key = F.struct(F.coalesce("mean_auc", F.lit(-1.0)), F.coalesce("mean_average_precision", F.lit(-1.0)), -F.coalesce("mean_brier", F.lit(1.0)))
     return out.withColumn("selected", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(key), "model")) == 1)  # a row for each model
 

@@ -130,16 +130,22 @@ def _matrix(s, d):
 
 def _decision_model(s, d, trees=TREES, depth=DEPTH):
     """Every action with each action in its place, by the forest of its fold of matches, which was fitted on the others."""
-    scored = M.scored_by_fold(lambda: M.decision_pipeline(D.CATEGORICAL, D.NUMERIC, trees=trees, depth=depth), _matrix(s, d))
+    scored = M.scored_by_fold(_matrix(s, d), D.CATEGORICAL, D.NUMERIC, trees=trees, depth=depth)
     return D.choose(written(scored, "model-scores"))
 
 
+#: The net of the query has the layers of the reference's settings, with larger mini-batches and fewer epochs.
+NET = {"hidden": (256, 128, 64), "batch": 4096, "epochs": 15, "patience": 5, "rate": 1e-3}
+
+
 def _model_selection(s, d):
-    """The forest against a small neural net, in three folds of matches."""
+    """The forest against the neural net, in three folds of matches."""
     rows = _matrix(s, d).withColumn("fold", F.col("fold") % 3)
-    inputs = M.width(rows, D.CATEGORICAL, D.NUMERIC)
-    pipelines = {"random_forest": lambda: M.decision_pipeline(D.CATEGORICAL, D.NUMERIC, trees=40, depth=8), "neural_net": lambda: M.neural_pipeline(D.CATEGORICAL, D.NUMERIC, inputs, hidden=(32, 16), rounds=60)}
-    return M.candidates(rows, pipelines)
+    scorers = {
+        "random_forest": lambda r: M.forest_scores(r, D.CATEGORICAL, D.NUMERIC, trees=40, depth=8),
+        "neural_net": lambda r: M.net_scores(r, D.CATEGORICAL, D.NUMERIC, **NET),
+    }
+    return M.candidates(rows, scorers)
 
 
 #: What future form is predicted from.

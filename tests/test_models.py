@@ -3,10 +3,11 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from pitchflow.operators import clusters as groups
-from pitchflow.operators import decision, forest, load, models
+from pitchflow.operators import decision, forest, load, models, net
 from pitchflow.plans import load as load_plans
 from pitchflow.plans import retrieval
 from pitchflow.sources.adapters import actions
@@ -34,15 +35,119 @@ def matrix(spark, n=240):
 
 def test_candidates_are_judged_by_fold_and_one_is_selected(spark):
     rows = matrix(spark)
-    inputs = models.width(rows, ("kind",), ("x",))
-    forest = lambda: models.decision_pipeline(("kind",), ("x",), trees=5, depth=3)
-    blind = lambda: models.decision_pipeline(("kind",), ("event_id",), trees=5, depth=3)
-    net = lambda: models.neural_pipeline(("kind",), ("x",), inputs, hidden=(4,), rounds=30)
-    got = {r.model: r for r in models.candidates(rows, {"forest": forest, "blind": blind, "net": net}).collect()}
+    scorers = {
+        "forest": lambda r: models.forest_scores(r, ("kind",), ("x",), trees=5, depth=3),
+        "blind": lambda r: models.forest_scores(r, ("kind",), ("event_id",), trees=5, depth=3),
+        "net": lambda r: models.net_scores(r, ("kind",), ("x",), hidden=(8,), rate=0.02, epochs=60),
+    }
+    got = {r.model: r for r in models.candidates(rows, scorers).collect()}
     assert all(r.folds == 4 for r in got.values()) and got["forest"].mean_auc > 0.95 and got["net"].mean_auc > 0.9 > got["blind"].mean_auc
     assert [m for m, r in got.items() if r.selected] == [max(got, key=lambda m: (got[m].mean_auc, got[m].mean_average_precision, -got[m].mean_brier))]
-    none = models.candidates(rows.where("fold = 0"), {"forest": forest}).first()
-    assert none.folds == 0 and none.mean_auc is None and none.selected
+    none = models.candidates(rows.where("fold = 0"), scorers).where("model = 'forest'").first()
+    assert none.folds == 0 and none.mean_auc is None
+
+
+def test_bootstrap_counts_and_weights_by_hand():
+    rows = np.random.default_rng(1).integers(0, 2**63, 20_000).astype(np.uint64)
+    counts = forest.poisson_counts(rows, 3)
+    share = [np.exp(-1), np.exp(-1), np.exp(-1) / 2, np.exp(-1) / 6]
+    assert all(abs((counts == k).mean() - p) < 0.015 for k, p in enumerate(share)) and counts.max() < 12
+    assert (forest.poisson_counts(rows[::-1], 3)[::-1] == counts).all() and (forest.poisson_counts(rows, 4) != counts).mean() > 0.4
+    # five draws of class 0 and three of class 1: each class has half of eight
+    weights = forest.balanced_weights(np.array([2, 3, 0, 1, 2]), np.array([0, 0, 1, 1, 1]))
+    assert np.allclose(weights, [2 * 8 / 10, 3 * 8 / 10, 0, 8 / 6, 2 * 8 / 6])
+    assert np.allclose(forest.balanced_weights(np.array([1, 1]), np.array([1, 1])), [1, 1])
+
+
+def plain_tree(x, y, w, depth, min_split, min_leaf):
+    """The best split of all features and thresholds, again and again; ties to the first feature and the lowest threshold."""
+    total = w.sum()
+    value = (w * y).sum() / total
+    if depth == 0 or len(y) < min_split or value in (0, 1):
+        return value
+    best = (2 * total * value * (1 - value) - 1e-12, None)
+    for f in range(x.shape[1]):
+        for at in sorted(set(x[:, f]))[:-1]:
+            low = x[:, f] <= at
+            if min(low.sum(), (~low).sum()) >= min_leaf:
+                cost = sum(2 * (w[s] * y[s]).sum() * (w[s] * (1 - y[s])).sum() / w[s].sum() for s in (low, ~low))
+                if cost < best[0] - 1e-9:
+                    best = (cost, (f, at, low))
+    if best[1] is None:
+        return value
+    f, at, low = best[1]
+    return f, at, plain_tree(x[low], y[low], w[low], depth - 1, min_split, min_leaf), plain_tree(x[~low], y[~low], w[~low], depth - 1, min_split, min_leaf)
+
+
+@pytest.mark.parametrize(("min_split", "min_leaf"), [(2, 1), (12, 4), (30, 10)])
+def test_a_tree_by_brute_force(min_split, min_leaf, monkeypatch):
+    class InOrder:  # all features at every node, in order
+        def permutation(self, n):
+            return np.arange(n)
+
+    monkeypatch.setattr(forest.np, "sqrt", lambda n: n)
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(150, 3)), 1).astype(np.float32)
+    y = ((x[:, 0] > 0) ^ (rng.random(150) < 0.2)).astype(int)
+    w = rng.integers(1, 4, 150).astype(float)
+    tree = {k: np.array(v) for k, v in forest.grow_tree(x, y, w, InOrder(), 5, min_split, min_leaf).items()}
+    plain = plain_tree(x, y, w, 5, min_split, min_leaf)
+
+    def plain_value(t, row):
+        while isinstance(t, tuple):
+            t = t[2] if row[t[0]] <= t[1] else t[3]
+        return t
+
+    assert np.allclose(forest.tree_scores(tree, x), [plain_value(plain, r) for r in x])
+
+
+def test_forests_of_all_folds_are_those_of_each(spark):
+    rows = matrix(spark, 120).withColumn("kind", F.when(F.col("event_id") % 9 != 0, F.col("kind")))
+    encoding = forest.Encoding.of(rows, ("kind",), ("x",))
+    assert encoding.values == {"kind": ["a", "b", "unknown"]}
+    both = forest.collected(forest.fit_forests(rows.repartition(7), encoding, ("event_id",), [0, 2], trees=3, depth=4))
+    again = forest.collected(forest.fit_forests(rows.coalesce(1), encoding, ("event_id",), [0, 2], trees=3, depth=4))
+    assert sorted(both) == [0, 2] and all(len(t) == 3 for t in both.values())
+    assert all((a[k] == b[k]).all() for m in both for a, b in zip(both[m], again[m], strict=True) for k in a)
+    got = forest.scored(rows.where("fold = 2"), encoding, both, "fold", "kind", ("a", "c")).collect()
+    assert all(0 <= r.p <= 1 and (r.kind != "a" or r.p == r.p_a) for r in got) and len(got) == 30
+    assert forest.collected(forest.fit_forests(rows.limit(0), encoding, ("event_id",), [None], fold=None, trees=2)) == {}
+
+
+def test_gradient_of_the_net_by_differences():
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(40, 5)), (rng.random(40) < 0.4).astype(int)
+    w = net.first_weights([5, 6, 4, 1], 1)
+    loss, grad = net.gradient(w, x, y)
+    flat, found = net._flat(w), net._flat(grad)
+    p = net.probabilities(w, x)
+    assert abs(loss + np.sum(y * np.log(p) + (1 - y) * np.log(1 - p))) < 1e-9
+    for i in range(0, len(flat), 3):
+        step = np.zeros(len(flat))
+        step[i] = 1e-6
+        ends = [net.gradient(net._shaped(flat + s, w), x, y)[0] for s in (step, -step)]
+        assert abs((ends[0] - ends[1]) / 2e-6 - found[i]) < 1e-4
+    # the first step of Adam is the rate against the sign of the gradient
+    assert np.allclose(net.Adam(0.1, 3).step(np.zeros(3), np.array([4.0, -2.0, 0.5])), [-0.1, 0.1, -0.1], atol=1e-6)
+
+
+def test_the_net_learns_and_stops_early(spark):
+    rows = matrix(spark, 400)
+    encoding = forest.Encoding.of(rows, ("kind",), ("x",))
+    fitted = net.fit(rows, encoding, ("event_id",), [0, 1], hidden=(16, 8), batch=200, epochs=80, patience=8, rate=0.02)
+    for m in (0, 1):
+        loss = fitted.losses[m]
+        assert loss[-1] < loss[0] * 0.5 and np.mean(np.diff(loss[:10]) < 0) > 0.7 and len(loss) < 80
+        assert max(fitted.accuracies[m]) > 0.95
+    # a pass over blocks is the plain gradient of all rows of other folds
+    path = net._blocks(rows, encoding, ("event_id",), "label", "fold", 2, 0.15)
+    table = spark.read.schema("fold int, x binary, y binary, step int").parquet(path).repartition(20).drop("step")
+    got = net._pass(table, {0: fitted.weights[0]}, fitted.scales, encoding.width, True)[0]
+    local = rows.where("fold <> 0").orderBy("event_id").collect()
+    x = np.array([[r.kind == "a", r.kind == "b", r.x] for r in local], float)
+    x[:, 2] = (x[:, 2] - x[:, 2].mean()) / x[:, 2].std()
+    loss, grad = net.gradient(fitted.weights[0], x, np.array([r.label for r in local]))
+    assert got[0] == len(local) and abs(got[1] - loss) < 1e-4 and np.allclose(got[3], net._flat(grad), atol=1e-3)
 
 
 def test_future_form(spark):
