@@ -7,7 +7,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,31 +47,100 @@ def daily(sessions: DataFrame) -> DataFrame:
     return d.withColumns({"high_share": safe_div(100 * F.col("high_speed"), F.col("distance")), "load": F.col("distance") * F.col("power"), "accel": F.col("accel_low") + F.col("accel_high")})
 
 
+#: name -> (metric, first row, last row, "sum", "mean" or "std"), rows counted from the current one.
+Specs = dict[str, tuple[str, int, int, str]]
+
+
+def row_windows(days: DataFrame, specs: Specs) -> DataFrame:
+    """Sums, means and population deviations over windows of a player's rows (not days), all in one pass.
+
+    Rows go by player and day through a task as a stream that keeps the last rows of the running player, as many as the
+    longest window reaches back. Nulls do not count; a window without values is null, its sum too.
+    """
+    metrics = sorted({m for m, *_ in specs.values()})
+    back = max([-first for _, first, _, _ in specs.values()] or [0])
+    names, n = days.columns, len(days.columns)
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in days.schema], *[f"`{c}` double" for c in specs]])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, held_player = np.zeros((len(metrics), 0)), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            players = batch.column(n).to_numpy()
+            if held_player != players[0]:
+                held = held[:, :0]
+            x = np.concatenate([held, [batch.column(n + 1 + k).to_numpy(zero_copy_only=False).astype(float) for k in range(len(metrics))]], axis=1)
+            kept = held.shape[1]
+            new = np.flatnonzero(players[1:] != players[:-1]) + 1 + kept
+            begins = np.concatenate(([0], new))
+            start = np.repeat(begins, np.diff(np.append(begins, x.shape[1])))
+            columns = _windowed(x, start, kept, {m: k for k, m in enumerate(metrics)}, specs)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *[pa.array(c, from_pandas=True) for c in columns]], names=[*names, *specs])
+            last = int(begins[-1])
+            held, held_player = x[:, max(last, x.shape[1] - back) :], players[-1]
+
+    read = [F.col("player_id").alias("__p"), *[F.col(m).cast("double").alias(f"__{k}") for k, m in enumerate(metrics)]]
+    return days.select(*names, *read).repartition("__p").sortWithinPartitions("__p", "day").mapInArrow(fold, schema)
+
+
+def _windowed(x: np.ndarray, start: np.ndarray, kept: int, place: dict[str, int], specs: Specs) -> list[np.ndarray]:
+    """The columns of specs for the rows behind the first `kept` ones; start: the first row of each row's player."""
+    total, done, out = x.shape[1], {}, []
+    at = np.arange(kept, total)
+    for metric, first, last, kind in specs.values():
+        key = (metric, first, last)
+        if key not in done:
+            rows = at[:, None] + np.arange(first, last + 1)[None]
+            v = x[place[metric]][np.maximum(rows, 0)]
+            there = (rows >= start[at][:, None]) & ~np.isnan(v)
+            v = np.where(there, v, 0.0)
+            # Added from the oldest row on, so that windows over the same rows have the same sum whatever their length.
+            count, sums = there.sum(1), np.cumsum(v, axis=1)[:, -1]
+            mean = np.where(count > 0, sums / np.maximum(count, 1), np.nan)
+            done[key] = {"sum": np.where(count > 0, sums, np.nan), "mean": mean, "v": v, "there": there, "count": count}
+        d = done[key]
+        if kind == "std" and "std" not in d:
+            off = np.where(d["there"], d["v"] - np.where(d["count"] > 0, d["mean"], 0.0)[:, None], 0.0)
+            d["std"] = np.where(d["count"] > 0, np.sqrt((off**2).sum(1) / np.maximum(d["count"], 1)), np.nan)
+        out.append(d[kind])
+    return out
+
+
+def _rolling_specs(windows, metrics) -> Specs:
+    return {f"{m}_{kind}_{n}": (m, 1 - n, 0, kind) for n in windows for m in metrics for kind in ("sum", "mean", "std")}
+
+
+def _with_cv(rows: DataFrame, windows, metrics) -> DataFrame:
+    return rows.withColumns({f"{m}_cv_{n}": safe_div(F.col(f"{m}_std_{n}"), F.col(f"{m}_mean_{n}")) for n in windows for m in metrics})
+
+
 def rolling(days: DataFrame, windows=WINDOWS, metrics=METRICS) -> DataFrame:
     """Sum, mean, population std and cv over the last n rows (not days) of each player."""
-    out = {}
-    for n in windows:
-        w = by_player().rowsBetween(-(n - 1), 0)
-        for m in metrics:
-            mean, std = F.avg(m).over(w), F.stddev_pop(m).over(w)
-            out |= {f"{m}_sum_{n}": F.sum(m).over(w), f"{m}_mean_{n}": mean, f"{m}_std_{n}": std, f"{m}_cv_{n}": safe_div(std, mean)}
-    return days.withColumns(out)
+    return _with_cv(row_windows(days, _rolling_specs(windows, metrics)), windows, metrics)
+
+
+_LOAD = {f"__{kind}_{n}": ("load", 1 - n, 0, kind) for n in (7, 14) for kind in ("sum", "mean", "std")} | {"__before": ("load", -13, -7, "sum")}
+_ACUTE = {f"__{m}_{n}": (m, 1 - n, 0, "mean") for m in AC_METRICS for n in sorted({n for pair in AC_WINDOWS for n in pair})}
+
+
+def _ratios(rows: DataFrame) -> DataFrame:
+    monotony = {n: F.when(F.col(f"__std_{n}") > 1e-9, F.col(f"__mean_{n}") / F.col(f"__std_{n}")).otherwise(0.0) for n in (7, 14)}
+    week, last = F.col("__sum_7"), F.coalesce("__before", F.lit(0.0))
+    out = {"monotony": monotony[7], "strain": week * monotony[7], "monotony_14": monotony[14], "strain_14": F.col("__sum_14") * monotony[14], "wow_delta": week - last, "wow_ratio": safe_div(week, last)}
+    out |= {f"ac_{m}" + ("" if (a, b) == (7, 28) else f"_{a}_{b}"): safe_div(F.col(f"__{m}_{a}"), F.col(f"__{m}_{b}")) for m in AC_METRICS for a, b in AC_WINDOWS}
+    gap = F.coalesce(F.col("day") - F.lag("day").over(by_player()), F.lit(0))
+    return rows.withColumns(out).drop(*_LOAD, *_ACUTE).withColumn("gap", gap).withColumn("recovered", F.col("gap") >= 2)
 
 
 def monotony_and_ratios(days: DataFrame) -> DataFrame:
     """Monotony and strain of 7 and 14 rows, week over week, acute to chronic ratios and days since the previous session."""
-    rows = lambda n: by_player().rowsBetween(-(n - 1), 0)
-    before = by_player().rowsBetween(-13, -7)
+    return _ratios(row_windows(days, _LOAD | _ACUTE))
 
-    def monotony(n: int) -> Column:
-        std = F.stddev_pop("load").over(rows(n))
-        return F.when(std > 1e-9, F.avg("load").over(rows(n)) / std).otherwise(0.0)
 
-    week, last = F.sum("load").over(rows(7)), F.coalesce(F.sum("load").over(before), F.lit(0.0))
-    gap = F.coalesce(F.col("day") - F.lag("day").over(by_player()), F.lit(0))
-    out = days.withColumns({"monotony": monotony(7), "strain": week * monotony(7), "monotony_14": monotony(14), "strain_14": F.sum("load").over(rows(14)) * monotony(14), "wow_delta": week - last, "wow_ratio": safe_div(week, last), "gap": gap})
-    ratios = {f"ac_{m}" + ("" if (a, b) == (7, 28) else f"_{a}_{b}"): safe_div(F.avg(m).over(rows(a)), F.avg(m).over(rows(b))) for m in AC_METRICS for a, b in AC_WINDOWS}
-    return out.withColumns(ratios).withColumn("recovered", F.col("gap") >= 2)
+def rolling_and_ratios(days: DataFrame, windows=WINDOWS, metrics=METRICS) -> DataFrame:
+    """Both of the above in one pass."""
+    return _with_cv(_ratios(row_windows(days, _rolling_specs(windows, metrics) | _LOAD | _ACUTE)), windows, metrics)
 
 
 def ewma(days: DataFrame, metrics=AC_METRICS, spans=SPANS) -> DataFrame:

@@ -40,7 +40,7 @@ FATIGUE_FEATURES = ("load", "load_mean_7", "load_cv_7", "wow_ratio", "monotony",
 
 def _fatigue(spark, sf_dir):
     """Risks from the isolation forest over all player days."""
-    f = L.rolling(L.personal_z(L.monotony_and_ratios(_form(spark, sf_dir))), (7,), ("load", "high_acc", "per_min"))
+    f = L.personal_z(L.rolling_and_ratios(_form(spark, sf_dir), (7,), ("load", "high_acc", "per_min")))
     return written(L.fatigue(L.zones(M.isolation_forest(written(f, "load-features"), FATIGUE_FEATURES, _KEYS))), "fatigue")
 
 

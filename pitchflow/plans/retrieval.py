@@ -158,7 +158,7 @@ FORM_FEATURES = (
 
 def _form_rows(s, d):
     """Player days with all features of the form model, today's form and the means before and after."""
-    days = L.targets(L.personal_z(L.monotony_and_ratios(L.rolling(load_plans._form(s, d), (7,), ("per_min", "high_share", "load")))))
+    days = L.targets(L.personal_z(L.rolling_and_ratios(load_plans._form(s, d), (7,), ("per_min", "high_share", "load"))))
     context = L.match_context(load_plans._match_rows(s, d))
     named = context.select("player_id", *[F.col(c.removeprefix("match_")).alias(c) for c in FORM_FEATURES if c.startswith("match_")])
     return written(L.with_totals(L.ewma(days), named), "form-rows")
