@@ -11,7 +11,7 @@ from ..sources import match_files as MF
 from ..sources import player_files as PF
 from ..sources import tables as T
 from ..sources.adapters import ACTIONS, PLAYER_DAYS, SIGNALS, actions, player_days, signals
-from ..sources.shared import shared_dir
+from ..sources.shared import shared_dir, written
 from . import fused as fused_plans
 
 
@@ -69,6 +69,29 @@ def _player_files(s, d):
     return PF.read_files(s, folder, ".txt")
 
 
+def _league_rows(s, d, mode="heuristic"):
+    """Player rows with sides by their match and totals of names that nobody has listed; and their teams."""
+    rows = PF.player_rows(_player_files(s, d))
+    group, day = F.expr("player_id div 30"), F.expr("match_id div 1000")
+    club = lambda n: F.concat(F.lit("club "), n.cast("string"))
+    home = F.when(F.col("match_id") % 23 != 0, club(group))
+    sides = F.struct(home.alias("home"), F.when(home.isNotNull(), club(group + 1 + day % 3)).alias("away"), F.lit(None).cast("int").alias("home_goals"), F.lit(None).cast("int").alias("away_goals"))
+    extra = F.create_map(F.concat(F.lit("extra_"), (F.col("player_id") % 9).cast("string")), F.col("player_id").cast("string"))
+    rows = written(rows.withColumns({"context": sides, "total": F.map_concat("total", extra), "file": F.col("match_id").cast("string")}), "league-rows")
+    named = s.createDataFrame([("0", "club 0"), ("1", "club 1")], "team_id string, team string").select(F.col("team_id").cast(rows.schema["team_id"].dataType).alias("team_id"), "team")
+    return rows, written(PF.assigned_teams(rows, mode, named), "assigned-rows")
+
+
+def _team_totals(s, d):
+    out = PF.team_totals(_league_rows(s, d)[1]).drop("home_goals", "away_goals")
+    return out.select(*[F.round(F.col(c) + 3.3e-10, 6).alias(c) if t == "double" else c for c, t in out.dtypes])
+
+
+def _assignment_report(s, d):
+    rows, assigned = _league_rows(s, d, "strict")
+    return PF.assignment_report(rows, assigned)
+
+
 def _csv_back(s, d):
     folder = _folder(s)
     rows = player_days(s, d).select("player_id", "day", "role", F.regexp_replace(F.round("distance", 2).cast("decimal(20,2)").cast("string"), "\\.", ",").alias("distance"), F.when(F.col("sessions") > 1, "yes").otherwise("no").alias("busy"), "session_names")
@@ -116,6 +139,8 @@ QUERIES = {
     "s2_player_file_reasons": lambda s, d: PF.report(_player_files(s, d)),
     "s4_player_file_totals": lambda s, d: PF.totals(_player_files(s, d)),
     "r3_player_minutes": lambda s, d: PF.player_rows(_player_files(s, d)).select("match_id", "player_id", F.round(F.col("minutes") + 3.3e-10, 6).alias("minutes")),
+    "b1_team_totals": _team_totals,
+    "b3_assignment_report": _assignment_report,
     "r4_long_metrics": lambda s, d: PF.long_metrics(PF.player_rows(_player_files(s, d))).select("match_id", "player_id", F.col("group").alias("kind"), "metric", F.round(F.col("value") + 3.3e-10, 6).alias("value")),
     "r4_wide_metrics": lambda s, d: PF.wide_metrics(PF.player_rows(_player_files(s, d)), {"total": ("passes", "runs"), "average": ("pace", "none")}).select("match_id", "player_id", "total_passes", F.round(F.col("total_runs") + 3.3e-10, 6).alias("total_runs"), F.round(F.col("average_pace") + 3.3e-10, 6).alias("average_pace"), "average_none"),
     "s8_csv": lambda s, d: _csv_back(s, d).select("player_id", "day", "role", "distance", "busy", "session_names"),
@@ -129,7 +154,29 @@ _KIND = "(match_id + match_id // 100000) % 4"
 _PL = """, pl AS (SELECT *, day * 1000 + player_id // 30 AS match_id FROM p), ok AS (SELECT * FROM pl WHERE match_id % 17 <> 0 AND match_id % 19 <> 0),
   mi AS (SELECT *, duration AS minutes FROM ok), rw AS (SELECT * FROM mi WHERE minutes > 0)"""
 
+_TEAMS = """WITH {p}{pl}, cx AS (SELECT *, CASE WHEN match_id % 23 <> 0 THEN 'club ' || (player_id // 30) END AS home,
+    CASE WHEN match_id % 23 <> 0 THEN 'club ' || (player_id // 30 + 1 + day % 3) END AS away FROM rw),
+ex AS (SELECT *, CASE WHEN player_id % 5 = 0 AND 'club ' || (player_id % 2) IN (home, away) THEN 'club ' || (player_id % 2) END AS named FROM cx),
+fl AS (SELECT player_id, count(DISTINCT match_id) AS files FROM cx GROUP BY player_id),
+sh AS (SELECT player_id, team, count(DISTINCT match_id) AS n FROM (SELECT player_id, match_id, unnest([home, away]) AS team FROM cx) WHERE team IS NOT NULL GROUP BY ALL),
+bf AS (SELECT player_id, min(team) AS team FROM sh JOIN fl USING (player_id) WHERE n = files GROUP BY player_id HAVING count(*) = 1),
+rs AS (SELECT ex.*, coalesce(named, CASE WHEN bf.team IN (home, away) THEN bf.team END) AS resolved FROM ex LEFT JOIN bf USING (player_id)),
+kk AS (SELECT *, count(*) FILTER (WHERE resolved = home) OVER m AS h, count(*) FILTER (WHERE resolved = away) OVER m AS a,
+    sum((resolved IS NULL)::INT) OVER (PARTITION BY match_id ORDER BY player_id) AS k FROM rs WINDOW m AS (PARTITION BY match_id)),
+tm AS (SELECT *, coalesce(resolved, CASE WHEN CASE WHEN k <= abs(a - h) THEN h <= a ELSE (k - abs(a - h)) % 2 = 1 END THEN home ELSE away END) AS team,
+    CASE WHEN named IS NOT NULL THEN 'explicit' WHEN resolved IS NOT NULL THEN 'intersection' ELSE 'fallback' END AS method FROM kk)"""
+
 SQL = {
+    "b1_team_totals": _TEAMS + """, ids AS (SELECT team, row_number() OVER (ORDER BY lower(team), team) AS team_id FROM (SELECT DISTINCT unnest([home, away]) AS team FROM tm) WHERE team IS NOT NULL)
+        SELECT match_id, team_id, team, min(home) AS home, min(away) AS away, count(*) AS players, round(sum(minutes) + 3.3e-10, 6) AS minutes,
+        count(*) FILTER (WHERE method = 'explicit') AS explicit, count(*) FILTER (WHERE method = 'intersection') AS intersection, count(*) FILTER (WHERE method = 'fallback') AS fallback,
+        round(sum(sessions)::DOUBLE + 3.3e-10, 6) AS "total_passes", round(sum(duration) + 3.3e-10, 6) AS "total_minutesPlayed", round(coalesce(sum(distance) FILTER (WHERE player_id % 7 <> 0), 0) + 3.3e-10, 6) AS "total_runs", """
+        + ", ".join(f'round(coalesce(sum(player_id) FILTER (WHERE player_id % 9 = {k}), 0)::DOUBLE + 3.3e-10, 6) AS "total_extra_{k}"' for k in range(9))
+        + " FROM tm JOIN ids USING (team) WHERE home IS NOT NULL GROUP BY match_id, team_id, team",
+    "b3_assignment_report": _TEAMS + """, w AS (SELECT count(*) AS rows, count(*) FILTER (WHERE home IS NULL) AS without_sides FROM tm), g AS (SELECT * FROM tm WHERE home IS NOT NULL AND method <> 'fallback'),
+        c AS (SELECT count(*) FILTER (WHERE method = 'explicit') AS explicit, count(*) FILTER (WHERE method = 'intersection') AS intersection, 0::BIGINT AS fallback, count(*) AS n FROM g),
+        t AS (SELECT count(*) FILTER (WHERE n = 2) AS two_teams, count(*) FILTER (WHERE n <> 2) AS other_matches FROM (SELECT match_id, count(DISTINCT team) AS n FROM g GROUP BY match_id))
+        SELECT rows, without_sides, explicit, intersection, fallback, two_teams, other_matches, rows - without_sides - n AS dropped FROM w, c, t""",
     "s5_events_in_order": f"{_A} SELECT match_id, row_number() OVER (PARTITION BY match_id ORDER BY sec, event_id) - 1 AS pos, event_id FROM a",
     "s6_envelopes": f"""{_A}, m AS (SELECT match_id, count(*) AS n FROM a GROUP BY ALL) SELECT 'loaded' AS reason, count(*) AS n, sum(n)::BIGINT AS events FROM m UNION ALL SELECT 'json_parse_error', count(*), 0 FROM m WHERE match_id % 2 = 0 AND {_KIND} = 0
         UNION ALL SELECT 'no_match_structure', count(*), 0 FROM m WHERE match_id % 2 = 0 AND {_KIND} <> 0""",

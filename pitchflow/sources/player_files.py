@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import to_number
+from .shared import written
 
 POSITION = "STRUCT<position: STRUCT<code: STRING, name: STRING>, percent: DOUBLE>"
 PLAYER = f"playerId BIGINT, matchId STRING, competitionId BIGINT, seasonId BIGINT, roundId BIGINT, teamId BIGINT, minutesOnField DOUBLE, positions ARRAY<{POSITION}>, total MAP<STRING, STRING>, average MAP<STRING, STRING>, percent MAP<STRING, STRING>"
@@ -136,3 +137,44 @@ def team_rows(assigned: DataFrame, metrics_: tuple[str, ...] = ()) -> DataFrame:
     total = lambda m: F.sum(F.coalesce(to_number(F.element_at(F.col("total"), m)), F.lit(0.0))).alias(m)
     by_method = [F.count_if(F.col("method") == m).alias(m) for m in ("explicit", "intersection", "fallback")]
     return assigned.groupBy("match_id", "team").agg(F.count(F.lit(1)).alias("players"), F.sum("minutes").alias("minutes"), *by_method, *[total(m) for m in metrics_])
+
+
+#: The most names that team_totals() makes columns of.
+MOST_METRICS = 2000
+
+
+def team_ids(rows: DataFrame) -> DataFrame:
+    """team, team_id: all names of home and away sides, numbered from 1 in their order without case. A row for each club."""
+    names = rows.select(F.explode(F.array("context.home", "context.away")).alias("team")).where("team is not null").distinct()
+    return names.withColumn("team_id", F.row_number().over(Window.orderBy(F.lower("team"), "team")).cast("bigint"))
+
+
+def team_totals(assigned: DataFrame) -> DataFrame:
+    """team_rows() with every total that any player has, as total_<name>: no name need be known before.
+
+    Numbers are summed by match, team and name before they become columns; the names, at most MOST_METRICS, are read
+    from those sums. A team without a number for a name has 0. Rows without a match go, as files without sides do.
+    """
+    known = assigned.where("match_id is not null and context.home is not null and team is not null")
+    teams = team_rows(known).withColumnRenamed("team", "__team")
+    sides = known.groupBy("match_id", F.col("team").alias("__team")).agg(F.min("context").alias("c"))
+    long = known.select("match_id", F.col("team").alias("__team"), F.explode("total").alias("metric", "text")).withColumn("value", to_number(F.col("text")))
+    sums = written(long.groupBy("match_id", "__team", "metric").agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("value")), "team-totals")
+    names = [r[0] for r in sums.select("metric").distinct().orderBy("metric").limit(MOST_METRICS + 1).collect()]
+    if len(names) > MOST_METRICS:
+        raise ValueError(f"more than {MOST_METRICS} names of totals")
+    wide = sums.groupBy("match_id", "__team").pivot("metric", names).agg(F.first("value")).select("match_id", "__team", *[F.coalesce(F.col(f"`{n}`"), F.lit(0.0)).alias(f"total_{n}") for n in names])
+    out = teams.join(sides, ["match_id", "__team"]).join(wide, ["match_id", "__team"], "left").na.fill(0.0, [f"total_{n}" for n in names])
+    ids = team_ids(known).withColumnRenamed("team", "__team")
+    return out.join(ids, "__team").select(
+        "match_id", "team_id", F.col("__team").alias("team"), F.col("c.home").alias("home"), F.col("c.away").alias("away"), F.col("c.home_goals").alias("home_goals"), F.col("c.away_goals").alias("away_goals"),
+        *[c for c in teams.columns if c not in ("match_id", "__team")], *[f"total_{n}" for n in names],
+    )
+
+
+def assignment_report(rows: DataFrame, assigned: DataFrame) -> DataFrame:
+    """One row: player rows, rows without sides in their file's name, rows by method, rows dropped, and matches by their number of teams."""
+    counted = assigned.where("context.home is not null").agg(*[F.count_if(F.col("method") == m).alias(m) for m in ("explicit", "intersection", "fallback")], F.count(F.lit(1)).alias("assigned"))
+    whole = rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("context.home").isNull()).alias("without_sides"))
+    teams = assigned.where("context.home is not null").groupBy("match_id").agg(F.countDistinct("team").alias("n")).agg(F.count_if(F.col("n") == 2).alias("two_teams"), F.count_if(F.col("n") != 2).alias("other_matches"))
+    return whole.join(F.broadcast(counted)).join(F.broadcast(teams)).withColumn("dropped", F.col("rows") - F.col("without_sides") - F.col("assigned")).drop("assigned")
