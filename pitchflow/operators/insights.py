@@ -70,18 +70,44 @@ def led_to_shot(order=("sec", "event_id")) -> Column:
     return out
 
 
-def line_breaking_runs(actions: DataFrame, min_gain: float = 10.0, keys=KEYS) -> DataFrame:
-    """Progressive carries, and accurate progressive passes, that gain min_gain; what they reach and lead to."""
-    a = actions.withColumn("led", led_to_shot()).withColumn("gain", F.col("end_x") - F.col("x"))
-    runs = a.where("tag_progressive and (event_type = 'carry' or accurate)").where(F.col("gain") >= min_gain)
-    return runs.groupBy(*keys, "player_id").agg(
+def line_breaks_by_player(actions: DataFrame, keys=KEYS) -> DataFrame:
+    """Line-breaking passes of each player: attempts, completed, completion and their rank by both; ties by player."""
+    p = actions.where("event_type = 'pass' and (tag_progressive or tag_through) and player_id is not null")
+    p = p.groupBy(*keys, "player_id").agg(F.count(F.lit(1)).alias("attempts"), count_if(F.col("accurate") == F.lit(True)).alias("completed"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("attempts"), F.desc("completed"), "player_id"))
+    return p.withColumns({"completion": safe_div(F.col("completed").cast("double"), F.col("attempts")), "rank": rank})
+
+
+def _runs(actions: DataFrame, min_gain: float) -> DataFrame:
+    """Progressive carries, and accurate progressive passes, that gain min_gain. A missing end is the start, its y 50."""
+    end = {"end_x": F.coalesce("end_x", "x"), "end_y": F.coalesce("end_y", F.lit(50.0))}
+    a = actions.withColumn("led", led_to_shot()).withColumns(end).withColumn("gain", F.col("end_x") - F.col("x"))
+    return a.where("tag_progressive and (event_type = 'carry' or (event_type = 'pass' and accurate))").where(F.col("gain") >= min_gain)
+
+
+def _run_counts() -> list[Column]:
+    return [
         count_if(F.col("event_type") == "carry").alias("carries"),
         count_if(F.col("event_type") == "pass").alias("passes"),
         F.avg("gain").alias("mean_gain"),
-        count_if((F.col("x") < 66) & (F.col("end_x") >= 66)).alias("into_final_third"),
-        count_if(~in_box(F.col("x"), F.col("y")) & in_box(F.col("end_x"), F.col("end_y"))).alias("into_box"),
+        count_if(F.col("end_x") >= 66).alias("into_final_third"),
+        count_if(in_box(F.col("end_x"), F.col("end_y"))).alias("into_box"),
         count_if(F.col("led")).alias("led_to_shot"),
-    )
+    ]
+
+
+def line_breaking_runs(actions: DataFrame, min_gain: float = 10.0, keys=KEYS) -> DataFrame:
+    """Line-breaking runs of each player; what they reach and lead to."""
+    return _runs(actions, min_gain).groupBy(*keys, "player_id").agg(*_run_counts())
+
+
+def line_breaking_run_totals(actions: DataFrame, min_gain: float = 10.0, keys=KEYS) -> DataFrame:
+    """The same of each team, with all runs and the player of most runs into the box, then of most runs; ties by player."""
+    players = line_breaking_runs(actions, min_gain, keys)
+    summed = ("carries", "passes", "into_final_third", "into_box", "led_to_shot")
+    first = F.min_by("player_id", F.struct(-F.col("into_box"), -(F.col("carries") + F.col("passes")), "player_id"))
+    t = players.groupBy(*keys).agg(*[F.sum(c).cast("bigint").alias(c) for c in summed], F.count(F.lit(1)).alias("players"), first.alias("top_runner"))
+    return t.withColumn("runs", F.col("carries") + F.col("passes"))
 
 
 def pressing(actions: DataFrame, keys=KEYS) -> DataFrame:

@@ -19,6 +19,8 @@ QUERIES = {
     "a4_losses_by_player": lambda s, d: I.losses_by_player(actions(s, d)),
     "a6_line_breaks": lambda s, d: _rounded(I.line_breaks(actions(s, d)), "completion"),
     "a7_line_breaking_runs": lambda s, d: _rounded(I.line_breaking_runs(actions(s, d)), "mean_gain"),
+    "a6_line_breaks_by_player": lambda s, d: _rounded(I.line_breaks_by_player(actions(s, d)), "completion"),
+    "a7_run_totals": lambda s, d: I.line_breaking_run_totals(actions(s, d)),
     "a8_pressing": lambda s, d: _rounded(I.pressing(actions(s, d)), "win_rate", "drop"),
     "a10_attacks_by_flank": lambda s, d: I.attacks_by_flank(actions(s, d)).withColumn("mean_xg", F.round("mean_xg", 9)),
     "a10_dominant_flank": lambda s, d: I.dominant_flank(actions(s, d)),
@@ -87,10 +89,13 @@ SQL = {
         count(*) FILTER (WHERE accurate) AS completed, count(*) FILTER (WHERE accurate AND tag_through) AS through_completed, count(*) FILTER (WHERE accurate AND NOT tag_through) AS progressive_completed, {_ZONES.format("target")}, round(count(*) FILTER (WHERE accurate) / count(*)::DOUBLE, 6) AS completion FROM p GROUP BY ALL""",
     "a7_line_breaking_runs": f"""{_A}, n AS (SELECT *, lead(team_id, 1) OVER w = team_id AS t1, lead(team_id, 2) OVER w = team_id AS t2, lead(team_id, 3) OVER w = team_id AS t3,
         lead(event_type, 1) OVER w = 'shot' AS s1, lead(event_type, 2) OVER w = 'shot' AS s2, lead(event_type, 3) OVER w = 'shot' AS s3 FROM a WINDOW w AS (PARTITION BY match_id ORDER BY sec, event_id)),
-        r AS (SELECT *, coalesce(t1 AND (s1 OR coalesce(t2 AND (s2 OR coalesce(t3 AND s3, false)), false)), false) AS led, end_x - x AS gain FROM n)
+        r AS (SELECT * REPLACE (coalesce(end_x, x) AS end_x, coalesce(end_y, 50) AS end_y), coalesce(t1 AND (s1 OR coalesce(t2 AND (s2 OR coalesce(t3 AND s3, false)), false)), false) AS led, coalesce(end_x, x) - x AS gain FROM n)
         SELECT match_id, team_id, player_id, count(*) FILTER (WHERE event_type = 'carry') AS carries, count(*) FILTER (WHERE event_type = 'pass') AS passes, round(avg(gain), 6) AS mean_gain,
-        count(*) FILTER (WHERE x < 66 AND end_x >= 66) AS into_final_third, count(*) FILTER (WHERE NOT {_BOX.format("x", "y")} AND {_BOX.format("end_x", "end_y")}) AS into_box, count(*) FILTER (WHERE led) AS led_to_shot
+        count(*) FILTER (WHERE end_x >= 66) AS into_final_third, count(*) FILTER (WHERE {_BOX.format("end_x", "end_y")}) AS into_box, count(*) FILTER (WHERE led) AS led_to_shot
         FROM r WHERE tag_progressive AND (event_type = 'carry' OR accurate) AND gain >= 10 GROUP BY ALL""",
+    "a6_line_breaks_by_player": f"""{_A}, p AS (SELECT match_id, team_id, player_id, count(*) AS attempts, count(*) FILTER (WHERE accurate) AS completed
+        FROM a WHERE event_type = 'pass' AND (tag_progressive OR tag_through) AND player_id IS NOT NULL GROUP BY ALL)
+        SELECT *, round(completed / attempts::DOUBLE, 6) AS completion, row_number() OVER (PARTITION BY match_id, team_id ORDER BY attempts DESC, completed DESC, player_id)::INTEGER AS rank FROM p""",
     "a8_pressing": f"""{_A}, d AS (SELECT match_id, team_id, count(*) AS duels, count(*) FILTER (WHERE won) AS won, count(*) FILTER (WHERE period = '1H') AS duels_1h,
         count(*) FILTER (WHERE period = '1H' AND won) AS won_1h, count(*) FILTER (WHERE x > 66) AS opponent_half FROM a WHERE event_type IN ('ground_duel', 'aerial_duel') GROUP BY ALL)
         SELECT *, duels - duels_1h AS duels_2h, d.won - won_1h AS won_2h, round(d.won / duels::DOUBLE, 6) AS win_rate,
@@ -119,3 +124,7 @@ SQL = {
     "c9_top_chains": f"{_CHAINS} SELECT match_id, team_id, rank, chain_id FROM (SELECT *, row_number() OVER (PARTITION BY match_id, team_id ORDER BY round(score, 6) DESC, start_sec, chain_id) AS rank FROM c) WHERE rank <= 10",
     "c10_compare_teams": f"{_STATS}, o AS (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY team_id) AS side FROM st) SELECT match_id, {', '.join(_AHEAD.format(c) for c in ('chains', 'mean_length', 'mean_score', 'xg', 'recoveries_high', 'conversion'))} FROM o GROUP BY match_id",
 }
+
+SQL["a7_run_totals"] = f"""SELECT match_id, team_id, sum(carries)::BIGINT AS carries, sum(passes)::BIGINT AS passes, sum(into_final_third)::BIGINT AS into_final_third,
+    sum(into_box)::BIGINT AS into_box, sum(led_to_shot)::BIGINT AS led_to_shot, count(*) AS players, sum(carries + passes)::BIGINT AS runs,
+    first(player_id ORDER BY into_box DESC, carries + passes DESC, player_id) AS top_runner FROM ({SQL["a7_line_breaking_runs"]}) GROUP BY match_id, team_id"""
