@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import advice as A
 from ..operators import fusion as X
 from ..sources.adapters import EVENTS, SIGNALS, _events, signals
 from ..sources.shared import written
@@ -48,6 +49,7 @@ QUERIES = {
     "x4_ranked_players": lambda s, d: X.ranked_players(signals(s, d)),
     "x5_configurations": lambda s, d: _pick(X.resolved(_configs(s, d)), ("event_id",), *_CONFIG),
     "x6_insights": lambda s, d: _pick(X.insights(_fused(s, d), signals(s, d)), ("sample_id", "rank", "type", "severity", "message", F.array_join("players", ",").alias("players")), "combined", "confidence"),
+    "x6_advice": lambda s, d: A.fused_advice(_fused(s, d), signals(s, d)).select("sample_id", "rank", "category", "recommendation", "drill"),
     "x6_training_focus": lambda s, d: X.training_focus(_fused(s, d)).select("sample_id", "rank", "category", "priority", "objective"),
     "x6_headlines": lambda s, d: X.headline(_fused(s, d)),
     "x7_player_priorities": lambda s, d: _pick(X.player_priorities(signals(s, d)), ("sample_id", "player_id", "n", "categories", "action", "rank"), "priority"),
@@ -91,6 +93,14 @@ SQL = {
         WHEN 'progression' THEN 'Progression quality is inconsistent and limits vertical threat.' WHEN 'final_third' THEN 'Final-third decisions reduce conversion probability.'
         WHEN 'duels' THEN 'Duel execution is below target in key contests.' ELSE 'Pressing effectiveness is below tactical target.' END AS message FROM fr LEFT JOIN p4 USING (sample_id, category) WHERE fr.rank <= 5)
         SELECT sample_id, rank, type, severity, message, players, {_R(6, 'combined', 'confidence')} FROM z""",
+    "x6_advice": f"""{_F}, tx(category, recommendation, drill) AS (VALUES
+        ('build_up', 'Train press-resistant passing triangles with one-touch escape patterns.', '6v4 build-up under press with mandatory support angles'),
+        ('ball_loss', 'Add constrained rondo and own-half exit drills under directional pressure.', 'Directional rondo with immediate transition punishment'),
+        ('progression', 'Run third-man progression patterns with carry-vs-pass decision triggers.', 'Third-man run and carry release circuit'),
+        ('final_third', 'Use shot selection circuits with pre-shot scan constraints.', 'Final-third scenario game with shot/pass quality gates'),
+        ('duels', 'Increase aerial and shoulder-contact duel repetitions by role group.', 'Aerial timing and body-position duel blocks'),
+        ('pressing', 'Drill coordinated counterpressing with first-5-second recovery targets.', 'Counterpressing wave drill with compactness scoring'))
+        SELECT sample_id, rank, category, recommendation, drill FROM fr JOIN tx USING (category) WHERE rank <= 5""",
     "x6_training_focus": f"""{_F} SELECT sample_id, rank, category, {_LEVEL} AS priority, CASE category WHEN 'build_up' THEN 'Increase pass security under pressure' WHEN 'ball_loss' THEN 'Reduce dangerous turnovers in own half'
         WHEN 'progression' THEN 'Improve vertical progression timing' WHEN 'final_third' THEN 'Improve chance conversion decisions' WHEN 'duels' THEN 'Improve duel win rate in contested zones' ELSE 'Increase high recoveries after loss' END AS objective FROM fr WHERE rank <= 3""",
     "x6_headlines": f"""{_F} SELECT sample_id, CASE category WHEN 'build_up' THEN 'Build-up instability is the main tactical risk' WHEN 'ball_loss' THEN 'Ball-loss risk is the main tactical concern'

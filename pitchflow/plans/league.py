@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import advice as A
 from ..operators import baseline as B
 from ..sources.adapters import TEAM_MATCHES, table, team_matches
 from ..sources.shared import written
@@ -28,6 +29,13 @@ def _compared(s, d):
     return written(B.compare(v, B.league_baseline(v)), "comparisons")
 
 
+def _full_insights(s, d):
+    c = _compared(s, d)
+    out = A.full_insights(B.insights(c), c)
+    flat = out.select(*B.KEYS, "title", "message", "recommendation", "evidence.*", "dangerous", *[F.col(f"supporting.{x}").alias(f"supporting_{x}") for x in ("metric", "value", "z", "percentile")])
+    return _pick(flat, (*B.KEYS, "title", "message", "recommendation", "metric", "supporting_metric"), "value", "league_average", "z", "percentile", "dangerous", "supporting_value", "supporting_z", "supporting_percentile", digits=5)
+
+
 def _live(s, d):
     """New matches scored against a stored league."""
     v = _values(s, d)
@@ -61,6 +69,7 @@ QUERIES = {
     "b9_comparisons": lambda s, d: _pick(_compared(s, d), (*B.KEYS, "metric", "status", "is_weakness"), "z", "percentile", digits=5),
     "b10_focus": lambda s, d: B.focus(_compared(s, d), _names(s, d), _ALIASES).groupBy("team_id", "status").agg(F.count(F.lit(1)).alias("n")),
     "b11_rules": lambda s, d: _pick(B.insights(_compared(s, d), len(B.RULES)), (*B.KEYS, "title", "type", "label", "rank"), "severity", "confidence", digits=5),
+    "b11_full_insights": _full_insights,
     "b12_insights": lambda s, d: B.insights(_compared(s, d)).select(*B.KEYS, "title", "rank"),
     "b14_weakness_report": lambda s, d: _pick(B.weakness_report(_compared(s, d)), (*B.KEYS, "risk"), *B.BUCKETS, "overall", digits=5),
     "b15_final_report": _final,
@@ -156,6 +165,26 @@ SQL = {
     "b9_comparisons": f"{_C} SELECT match_id, team_id, metric, status, status IN ('weak', 'very_weak') AS is_weakness, {_R(5, 'z', 'percentile')} FROM c",
     "b10_focus": f"{_C} SELECT team_id, status, count(*) AS n FROM c WHERE team_id IN (SELECT s_suppkey FROM supplier WHERE lower(s_name) IN ('supplier#000000003', 'supplier#000000007', 'supplier#00000000a')) GROUP BY ALL",
     "b11_rules": f"{_C} SELECT match_id, team_id, title, type, label, rank, {_R(5, 'severity', 'confidence')} FROM i",
+    "b11_full_insights": f"""{_C}, tx(title, message, recommendation) AS (VALUES ('Low progressive pass success', 'Progressive passing efficiency is below league baseline.', 'Improve central progression patterns and third-man passing options.'),
+        ('Low success entering final third', 'Final-third entry passing success is below league baseline.', 'Increase quality of vertical support angles and timing before final-third entry.'),
+        ('Low vertical progression share', 'The share of progressive passes is in the bottom quartile.', 'Increase vertical passing volume from midfield and first build-up line.'),
+        ('High ball losses', 'Ball-loss rate is in the risk zone versus league baseline.', 'Reduce forced actions in congested zones and improve support distances.'),
+        ('Risky losses in own half', 'Own-half loss rate is above safe league ranges.', 'Prioritize safer first-phase exits and cleaner support under pressure.'),
+        ('Dangerous own-half losses', 'Dangerous loss exposure in own half is above league norm.', 'Protect central rest-defense zones and reduce risky receptions facing own goal.'),
+        ('Low-quality shot profile', 'Chance quality per shot is below league baseline.', 'Shift final-third actions toward central cutbacks and higher-probability shooting zones.'),
+        ('Poor box efficiency', 'Final-third box actions convert into low xG output versus league baseline.', 'Improve shot selection and box occupation timing before finishing.'),
+        ('Low shot accuracy', 'Shot-on-target rate is below league baseline.', 'Create cleaner finishing scenarios and reduce low-balance attempts.'),
+        ('Low counterpressing impact', 'Counterpressing recovery rate is in the bottom quartile.', 'Compress distances around ball loss and trigger immediate pressure with nearest support.'),
+        ('Few high recoveries', 'Opponent-half recovery rate is below league baseline.', 'Improve coordinated pressure to win more second balls in advanced zones.'),
+        ('Low pressing duel success', 'Pressing duel success is in the bottom quartile.', 'Refine pressing body shape and first contact timing to improve duel outcomes.'),
+        ('Low duel success', 'Overall duel success is below league reference values.', 'Improve duel preparation distances and support structure around contested zones.'),
+        ('Defensive duel weakness', 'Defensive duel win rate is in the bottom quartile.', 'Improve first-contact timing and cover-shadow positioning in defensive duels.'),
+        ('Aerial duel weakness', 'Aerial duel win rate is below league baseline.', 'Improve second-ball positioning and timing on aerial contests.')),
+        sh AS (SELECT match_id, team_id, value AS sv, z AS sz, percentile AS sp FROM c WHERE metric = 'shotOnTargetRate'),
+        q AS (SELECT match_id, team_id, title, message, recommendation, metric, value, mean AS league_average, z, percentile, CASE WHEN kind = 'count' THEN dangerous END AS dangerous,
+          CASE WHEN kind = 'xg' THEN 'shotOnTargetRate' END AS supporting_metric, CASE WHEN kind = 'xg' THEN sv END AS supporting_value, CASE WHEN kind = 'xg' THEN sz END AS supporting_z, CASE WHEN kind = 'xg' THEN sp END AS supporting_percentile
+          FROM i6 JOIN tx USING (title) JOIN sh USING (match_id, team_id))
+        SELECT match_id, team_id, title, message, recommendation, metric, supporting_metric, {_R(5, 'value', 'league_average', 'z', 'percentile', 'dangerous', 'supporting_value', 'supporting_z', 'supporting_percentile')} FROM q""",
     "b12_insights": f"{_C} SELECT match_id, team_id, title, rank FROM i6",
     "b14_weakness_report": f"{_C} SELECT match_id, team_id, risk, {_R(5, 'build_up', 'ball_loss', 'final_third', 'pressing', 'duels', 'overall')} FROM rep",
     "b15_final_report": f"""{_C}, n AS (SELECT match_id, team_id, count(*) FILTER (WHERE status IN ('weak', 'very_weak')) AS weak_metrics, count(*) AS metrics_compared FROM c GROUP BY ALL),
