@@ -44,8 +44,8 @@ def chains(actions: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("length"),
         F.array_distinct(F.array_compact(F.transform(seen, lambda x: x["player_id"]))).alias("players"),
         F.sum(F.coalesce("xg", F.lit(0.0))).alias("xg"),
-        *[first(x) for x in ("chain_team", "event_type", "won", "x", "set_piece", "possession_duration", "possession_end_x")],
-        *[last(x) for x in ("event_type", "x", "end_x", "on_target", "is_goal", "tag_offside", "lost", "accurate")],
+        *[first(x) for x in ("chain_team", "event_type", "won", "x", "y", "period", "set_piece", "possession_duration", "possession_end_x")],
+        *[last(x) for x in ("event_type", "x", "y", "end_x", "end_y", "on_target", "is_goal", "tag_offside", "lost", "accurate")],
     )
     w = Window.partitionBy("match_id").orderBy("o")
     prev = lambda x: F.lag(x).over(w)
@@ -60,6 +60,8 @@ def chains(actions: DataFrame) -> DataFrame:
     )
     x = F.coalesce("first_x", F.lit(0.0))
     end_x = F.when(F.col("last_event_type") == "shot", F.coalesce("last_x", x)).otherwise(F.coalesce("last_end_x", "last_x", "first_possession_end_x", x))
+    y = F.coalesce("first_y", F.lit(0.0))
+    end_y = F.when(F.col("last_event_type") == "shot", F.coalesce("last_y", y)).otherwise(F.coalesce("last_end_y", "last_y", y))
     no = lambda name: F.coalesce(name, F.lit(False))
     result = result_of(F.col("last_event_type"), no("last_on_target"), no("last_is_goal"), no("last_tag_offside"), F.col("last_lost"))
     # A recovery without a place counts as one in the middle.
@@ -69,6 +71,12 @@ def chains(actions: DataFrame) -> DataFrame:
         "chain_id",
         F.col("first_chain_team").alias("team_id"),
         F.col("o.sec").alias("start_sec"),
+        F.col("first_period").alias("period"),
+        F.floor(F.col("o.sec") / 60).cast("bigint").alias("minute"),
+        (F.col("o.sec") % 60).cast("bigint").alias("second"),
+        x.alias("start_x"),
+        y.alias("start_y"),
+        end_y.alias("end_y"),
         "length",
         F.coalesce("first_possession_duration", F.lit(0.0)).alias("duration"),
         "players",

@@ -57,13 +57,13 @@ _CHAINS = f"""{_A}, b AS (SELECT *, {_LOSS} AS lost, coalesce('p' || possession_
     row_number() OVER (PARTITION BY match_id, coalesce('p' || possession_id, 'e' || event_id) ORDER BY sec DESC, event_id DESC) AS rr FROM a),
   ps AS (SELECT match_id, chain_id, string_agg(player_id, ',' ORDER BY r) AS players FROM (SELECT match_id, chain_id, player_id, min(r) AS r FROM b GROUP BY ALL) GROUP BY ALL),
   g AS (SELECT match_id, chain_id, min(sec) AS start_sec, count(*) AS length, any_value(ps.players) AS players, sum(coalesce(xg, 0)) AS xg FROM b JOIN ps USING (match_id, chain_id) GROUP BY ALL),
-  c0 AS (SELECT g.*, coalesce(f.possession_duration, 0) AS duration, f.event_id AS fe, coalesce(f.possession_team_id, f.team_id) AS team_id, z.tag_offside, f.event_type AS ft, f.won AS fw, f.x AS fx, f.set_piece AS sp, z.event_type AS lt, z.x AS lx, z.end_x AS lex, z.on_target, z.is_goal, z.lost, z.accurate
+  c0 AS (SELECT g.*, coalesce(f.possession_duration, 0) AS duration, f.event_id AS fe, coalesce(f.possession_team_id, f.team_id) AS team_id, z.tag_offside, f.event_type AS ft, f.won AS fw, f.x AS fx, f.y AS fy, f.period AS period, f.set_piece AS sp, z.event_type AS lt, z.x AS lx, z.end_x AS lex, z.y AS ly, z.end_y AS ley, z.on_target, z.is_goal, z.lost, z.accurate
     FROM g JOIN b f ON f.match_id = g.match_id AND f.chain_id = g.chain_id AND f.r = 1 JOIN b z ON z.match_id = g.match_id AND z.chain_id = g.chain_id AND z.rr = 1),
   c1 AS (SELECT *, lag(team_id) OVER w AS pt, lag(lt) OVER w = 'pass' AND NOT lag(accurate) OVER w AS pb, CASE WHEN lt = 'shot' THEN lx ELSE coalesce(lex, lx, fx) END AS end_x,
     CASE WHEN lt = 'shot' THEN CASE WHEN is_goal THEN 'goal' WHEN on_target THEN 'shot_on_target' ELSE 'shot_off_target' END WHEN tag_offside THEN 'offside' WHEN lt = 'infraction' THEN 'foul_won' WHEN lost IS NOT NULL THEN 'loss' ELSE 'out_of_play' END AS result
     FROM c0 WINDOW w AS (PARTITION BY match_id ORDER BY start_sec, fe)),
   c2 AS (SELECT *, end_x - fx AS progression, sp IS NULL AND coalesce(pt <> team_id, false) AS rec FROM c1),
-  c AS (SELECT match_id, chain_id, team_id, start_sec, length, duration, players, xg, progression, end_x, coalesce(sp, CASE WHEN rec THEN 'recovery' ELSE 'other' END) AS trigger,
+  c AS (SELECT match_id, chain_id, team_id, start_sec, period, start_sec // 60 AS minute, start_sec % 60 AS second, fx AS start_x, fy AS start_y, CASE WHEN lt = 'shot' THEN ly ELSE coalesce(ley, ly, fy) END AS end_y, length, duration, players, xg, progression, end_x, coalesce(sp, CASE WHEN rec THEN 'recovery' ELSE 'other' END) AS trigger,
     CASE WHEN rec THEN CASE WHEN fx >= 66 THEN 'high' WHEN fx >= 33 THEN 'mid' ELSE 'low' END END AS zone,
     CASE WHEN rec THEN CASE WHEN ft = 'ground_duel' AND fw THEN 'tackle_won' WHEN ft = 'aerial_duel' AND fw THEN 'aerial_won'
       WHEN ft NOT IN ('ground_duel', 'aerial_duel') AND coalesce(pb, false) THEN 'interception' ELSE 'loose_ball' END END AS method, result,
