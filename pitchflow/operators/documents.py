@@ -230,25 +230,29 @@ def context_blocks(hits: DataFrame, key: str = "query_id", clip: int = 360) -> D
 def extractive_answer(hits: DataFrame, key: str = "query_id", top: int = 5, quote: int = 120) -> DataFrame:
     """key, answer: the first words of the two best documents, up to two risks and up to two actions among the `top` best.
 
-    hits: key, rank, text, document_type; ties do not occur in ranks.
+    hits: key, rank, text, document_type; ties do not occur in ranks. With a column `question` the answer begins with it.
     """
+    asked = F.coalesce(F.first("question"), F.lit("")) if "question" in hits.columns else F.lit(None).cast("string")
     low = F.lower(F.coalesce("text", F.lit("")))
     has = lambda *words: F.greatest(*[F.contains(low, F.lit(w)) for w in words]) if len(words) > 1 else F.contains(low, F.lit(words[0]))
     flat = F.trim(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")))
     quoted = F.when(F.length(flat) > quote, F.concat(F.rtrim(F.substring(flat, 1, quote)), F.lit("..."))).otherwise(flat)
     # The words that make a document name a risk or an action.
-    rows = hits.where(F.col("rank") <= top).select(key, "rank", "document_type", quoted.alias("quote"), has("critical", "risk", "weakness").alias("risk"), has("recommend", "training", "focus").alias("action"))
+    kept = [c for c in ("question",) if c in hits.columns]
+    rows = hits.where(F.col("rank") <= top).select(key, "rank", "document_type", *kept, quoted.alias("quote"), has("critical", "risk", "weakness").alias("risk"), has("recommend", "training", "focus").alias("action"))
     each = F.array_sort(F.collect_list(F.struct("rank", "quote", "document_type", "risk", "action"))).alias("d")
     lines = lambda test, text: F.slice(F.transform(F.filter("d", test), text), 1, 2)
-    a = rows.groupBy(key).agg(each).select(
+    a = rows.groupBy(key).agg(each, asked.alias("asked")).select(
         key,
+        "asked",
         F.slice(F.transform("d", lambda x: F.concat(F.lit("- "), x["quote"])), 1, 2).alias("o"),
         lines(lambda x: x["risk"], lambda x: F.concat(F.lit("- Risk named in "), x["document_type"], F.lit("."))).alias("r"),
         lines(lambda x: x["action"], lambda x: F.concat(F.lit("- Follow the advice in "), x["document_type"], F.lit("."))).alias("t"),
     )
     or_none = lambda c, none: F.array_join(F.when(F.size(c) == 0, F.array(F.lit(none))).otherwise(F.col(c)), "\n")
     observed = F.array_join(F.when(F.size("o") < 2, F.concat("o", F.array(F.lit("- Not enough evidence for more.")))).otherwise(F.col("o")), "\n")
-    return a.select(key, F.concat(F.lit("Observations:\n"), observed, F.lit("\n\nRisks:\n"), or_none("r", "- No explicit risk."), F.lit("\n\nActions:\n"), or_none("t", "- No explicit advice.")).alias("answer"))
+    question = F.when(F.col("asked").isNull(), "").otherwise(F.concat(F.lit("- Question: "), F.col("asked"), F.lit("\n")))
+    return a.select(key, F.concat(F.lit("Observations:\n"), question, observed, F.lit("\n\nRisks:\n"), or_none("r", "- No explicit risk."), F.lit("\n\nActions:\n"), or_none("t", "- No explicit advice.")).alias("answer"))
 
 
 def capped_bullets(text: Column, most: int) -> Column:

@@ -102,7 +102,7 @@ def _context(s, d):
 
 
 def _answers(s, d):
-    a = T.extractive_answer(_sources(s, d))
+    a = T.extractive_answer(_sources(s, d).withColumn("question", F.concat(F.lit("What is near vector "), F.col("query_id").cast("string"), F.lit("?"))))
     return a.select("query_id", F.sha2("answer", 256).alias("answer_sha256"), F.length(T.capped_bullets(F.col("answer"), 3)).alias("capped_chars"))
 
 
@@ -178,7 +178,7 @@ SQL = {
         SELECT query_id, used, docs FROM w QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY r DESC) = 1""",
     "g13_answers": f"""{_SRC}, x AS (SELECT query_id, rank, document_type, '- ' || CASE WHEN length(flat) > 120 THEN rtrim(flat[1:120]) || '...' ELSE flat END AS q, regexp_matches(lower(text), 'critical|risk|weakness') AS ri, regexp_matches(lower(text), 'recommend|training|focus') AS ac FROM fl WHERE rank <= 5),
         l AS (SELECT query_id, list(q ORDER BY rank)[1:2] AS o, (list('- Risk named in ' || document_type || '.' ORDER BY rank) FILTER (WHERE ri))[1:2] AS r, (list('- Follow the advice in ' || document_type || '.' ORDER BY rank) FILTER (WHERE ac))[1:2] AS t FROM x GROUP BY ALL),
-        an AS (SELECT query_id, 'Observations:' || chr(10) || array_to_string(CASE WHEN len(o) < 2 THEN list_append(o, '- Not enough evidence for more.') ELSE o END, chr(10)) || chr(10) || chr(10) || 'Risks:' || chr(10) || coalesce(array_to_string(r, chr(10)), '- No explicit risk.')
+        an AS (SELECT query_id, 'Observations:' || chr(10) || '- Question: What is near vector ' || query_id || '?' || chr(10) || array_to_string(CASE WHEN len(o) < 2 THEN list_append(o, '- Not enough evidence for more.') ELSE o END, chr(10)) || chr(10) || chr(10) || 'Risks:' || chr(10) || coalesce(array_to_string(r, chr(10)), '- No explicit risk.')
           || chr(10) || chr(10) || 'Actions:' || chr(10) || coalesce(array_to_string(t, chr(10)), '- No explicit advice.') AS answer FROM l),
         ln AS (SELECT query_id, answer, unnest(string_split(answer, chr(10))) AS line, generate_subscripts(string_split(answer, chr(10)), 1) AS i FROM an),
         cp AS (SELECT *, sum(starts_with(ltrim(line), '-')::INT) OVER (PARTITION BY query_id ORDER BY i) AS b FROM ln)
