@@ -6,7 +6,8 @@ sort-merge anti-join and appended, and every row of the batch then looks up whic
 
 A lasting index gets its number of buckets when it is made, `buckets`; they cannot be changed later, so choose them
 for the digests that are to come (`default_buckets`: two million digests, some 200 MB, in each). The index side of
-both joins is read without a shuffle. A digest that was appended twice, as by a job that was run again, counts once.
+both joins is read without a shuffle. Without one, a passing index is made in the shared folder and taken out of the
+catalog again. A digest that was appended twice, as by a job that was run again, counts once.
 
 Nulls, ties and edges: a null text counts as empty, and empty texts equal each other. Texts are equal when
 identical after lower-casing A-Z. The largest doc_id of a batch keeps the text; a null doc_id loses against any
@@ -21,7 +22,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, join_unique, written
+from .common import ascii_lower, join_unique, scratch_path, written
 
 INDEX_SCHEMA = "digest string, keep_id bigint, group_size bigint"
 
@@ -35,25 +36,28 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 class DigestIndex:
     """A bucketed, sorted table of the digests that have been kept so far."""
 
-    def __init__(self, spark: SparkSession, table: str, buckets: int = 64):
-        self.spark, self.table, self.buckets = spark, table, buckets
+    def __init__(self, spark: SparkSession, table: str, buckets: int = 64, path: str | None = None):
+        """path: where the table's files are, by default in the warehouse."""
+        self.spark, self.table, self.buckets, self.path = spark, table, buckets, path
         if not spark.catalog.tableExists(table):
             self._append(spark.createDataFrame([], INDEX_SCHEMA), "errorifexists")
 
     def _append(self, rows: DataFrame, mode: str) -> None:
-        rows.write.mode(mode).bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table)
+        writer = rows.write.mode(mode).bucketBy(self.buckets, "digest").sortBy("digest")
+        (writer.option("path", self.path) if self.path else writer).saveAsTable(self.table)
 
     def rows(self) -> DataFrame:
         """One row for each digest; grouped where it lies, as the buckets are by digest."""
         return self.spark.table(self.table).groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"))
 
-    def add(self, batch: DataFrame) -> None:
-        """Appends those digests of `batch` (doc_id, digest) that the index has not yet."""
+    def add(self, batch: DataFrame) -> DataFrame:
+        """Appends those digests of `batch` (doc_id, digest) that the index has not yet; all digests of the batch, with their rows counted."""
         # Written first, or the anti-join would be put before the grouping and meet all rows instead of partial counts.
         groups = written(batch.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "batch-digests")
         fresh = groups.join(self.spark.table(self.table).select("digest").hint("merge"), "digest", "left_anti")
         # A table is not read while it is appended to, so the new rows are written first.
         self._append(written(fresh, "fresh-digests"), "append")
+        return groups
 
 
 def default_buckets(n_digests: int) -> int:
@@ -68,9 +72,15 @@ def decisions(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     batch = written(digests(docs), "digests")
-    index = index or DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", default_buckets(batch.count()))
-    index.add(batch)
-    return join_unique(batch, index.rows(), "digest", "group_size").select(
+    passing = index is None
+    if passing:
+        index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", default_buckets(batch.count()), scratch_path(spark, "digest-index"))
+    # How often a digest comes is counted in this batch: the index says it of the batch that brought it first.
+    here = index.add(batch).select("digest", F.col("group_size").alias("here"))
+    kept_of = written(here.join(index.rows().hint("merge"), "digest"), "kept-digests")
+    if passing:
+        spark.sql(f"DROP TABLE {index.table}")
+    return join_unique(batch, kept_of, "digest", "here").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256")
     )
 

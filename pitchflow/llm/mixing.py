@@ -24,6 +24,7 @@ position are replaced. A frame that a table does not fill is mixed by the blocks
 from __future__ import annotations
 
 import heapq
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,6 +35,8 @@ SHARES = 100
 BLOCK_ROWS = 16
 BUCKET_ROWS = 20_000
 ALONE = 64
+#: The most slots of all distinct frames together, which are worked out on the driver and broadcast.
+ENTRIES = 2_000_000
 
 
 def frame_order(counts: dict[str, int]) -> list[str]:
@@ -82,6 +85,16 @@ def _shares(weights: dict[str, float], shares: int) -> dict[str, int]:
     return {s: max(1, round(shares * w / total)) for s, w in weights.items()}
 
 
+def _whole_shares(weights: dict[str, float]) -> dict[str, int]:
+    """Whole weights by their greatest common divisor, so a frame is as long as they need; only weights whose frames would
+    have over ENTRIES slots altogether are rounded to that length."""
+    whole = {s: int(w) for s, w in weights.items()}
+    divisor = math.gcd(*whole.values())
+    whole = {s: w // divisor for s, w in whole.items()}
+    longest = ENTRIES // (2 * len(whole) + 1)
+    return whole if sum(whole.values()) <= longest else _shares(weights, longest)
+
+
 def _named(rows: DataFrame, weight: Column, alone: int) -> tuple[DataFrame, dict[str, tuple[int, float]]]:
     """rows with __source, the source or its size class, and of each such name the number of rows and the weight."""
     counts = written(rows.groupBy("__source").agg(F.count(F.lit(1)).alias("n")).withColumn("w", weight), "source-counts")
@@ -116,8 +129,7 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, other: int = 1,
         return rows.drop("__source", "__h").withColumns({c: F.lit(0).cast("bigint") for c in ("block", "slot", "position")})
     by_source = {s: n for s, (n, _) in names.items()}
     of = {s: w for s, (_, w) in names.items()}
-    # Shares given as whole numbers stay as they are, unless classes of sources have to be fitted in.
-    weights = {s: int(w) for s, w in of.items()} if weights is not None and sum(of.values()) <= shares * (alone + 64) else _shares(of, shares)
+    weights = _whole_shares(of) if weights is not None else _shares(of, shares)
     blocks = {s: -(-n // block_rows) for s, n in by_source.items()}
     kinds, entries = plan(blocks, weights)
 

@@ -12,14 +12,14 @@ text, reach the driver. Every document is scored, whole. Scores come from the te
 
 Nulls, ties and edges: null and empty texts are one passage of no words and are scored as such. A doc_id labelled
 both 0 and 1 counts as 1; labels that are null or without a document are left out. Of rows that repeat a labelled
-doc_id one is learned from, the shortest text, then that of the smallest hash. A very long text is scored whole, in
-memory of about 100 times its size. With no usable label, or only
-one class, every score is that class's share (0.5 without labels), so `keep_good` keeps all, or none if all labels are 0. Repeated rows repeat their result. Only doc_id
+doc_id one is learned from, the shortest text, then that of the smallest hash. A very long text is scored whole:
+its passages are encoded some at a time and pooled under a running maximum. With no usable label, or only one class, every score is that class's share (0.5 without labels), so `keep_good` keeps all, or none if all labels are 0. Repeated rows repeat their result. Only doc_id
 and text are read.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,6 +67,11 @@ def _classes() -> tuple[np.ndarray, np.ndarray]:
 FINE, COARSE = _classes()
 N_FINE, N_COARSE = int(FINE.max()) + 1, int(COARSE.max()) + 1
 WIDTH = N_FINE + N_COARSE**2 + 5
+MEAN_CHARS = WIDTH - 5
+#: Passages of a long text that are looked at together, and how far the last word of a stretch is followed; what lies
+#: beyond counts in its length only.
+STRETCH, LONGEST = 256, 1 << 20
+_BREAK = re.compile(rb"[\x00-\x20]")
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,6 +128,36 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return x.astype(np.float32), bags
 
 
+def stretches(text: bytes, each: int = STRETCH) -> Iterator[np.ndarray]:
+    """The rows of passages([text]), `each` at a time, in memory of about 100 times a stretch.
+
+    A stretch is looked at with the passage before it, where words that reach into it begin, and with the rest of its
+    last word; the rows of both are left out.
+    """
+    total = max(1, -(-len(text) // PASSAGE))
+    for k in range(0, total, each):
+        begin, end = k * PASSAGE, min(len(text), (k + each) * PASSAGE)
+        lead = PASSAGE if k else 0
+        more = left_out = 0
+        if end < len(text):
+            more = 1
+            last = end  # where the word that reaches over the end begins
+            while last > begin - lead and text[last - 1] > 32:
+                last -= 1
+            if last >= begin and last < end and text[end] > 32:
+                found = _BREAK.search(text, end)
+                rest = (found.start() if found else len(text)) - end
+                more = min(max(1, rest), LONGEST)
+                left_out = rest - more if rest > more else 0
+        x = passages([text[begin - lead : end + more]])[0]
+        x = x[lead // PASSAGE : lead // PASSAGE + -(-(end - begin) // PASSAGE)] if len(text) else x
+        x[:, -1] = np.log1p(total) / 5
+        if left_out:
+            row = (last - begin) // PASSAGE
+            x[row, MEAN_CHARS] += left_out / np.expm1(5 * float(x[row, MEAN_CHARS + 3])) / 10
+        yield x
+
+
 class AttentionModel:
     """Gated-attention pooling over passages; weights are plain arrays, sent along with the scoring tasks."""
 
@@ -146,6 +181,19 @@ class AttentionModel:
         z = np.add.reduceat(a[:, None] * h, at)
         return {"x": x, "h": h, "t": t, "s": s, "a": a, "z": z, "at": at, "p": 1 / (1 + np.exp(-np.clip(z @ p["c"] + p["d"], -30, 30)))}
 
+    def score_stretches(self, parts: Iterator[np.ndarray]) -> float:
+        """The score of one text from its passages some at a time: sums of the attention under a running maximum."""
+        if self.constant is not None:
+            return float(self.constant)
+        p, most, total, z = self.p, -np.inf, 0.0, 0.0
+        for x in parts:
+            h = np.tanh(np.clip((x - self.mean) / self.scale, -5, 5) @ p["W"] + p["b"])
+            e = (np.tanh(h @ p["V"]) / (1 + np.exp(-(h @ p["U"])))) @ p["w"]
+            now = max(most, float(e.max()))
+            w, before = np.exp(e - now), np.exp(most - now)
+            most, total, z = now, total * before + w.sum(), z * before + w @ h
+        return float(1 / (1 + np.exp(-np.clip(z / total @ p["c"] + p["d"], -30, 30))))
+
     def score(self, x: np.ndarray, bags: np.ndarray) -> np.ndarray:
         return np.full(len(bags), self.constant) if self.constant is not None else self._forward(x, bags)["p"]
 
@@ -188,9 +236,12 @@ def _encode(text: str | None) -> bytes:
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in small_slices(batch, 2, SLICE):
-            x, bags = passages([_encode(t) for t in part.column(2).to_pylist()])
-            ends = np.cumsum(bags)
-            rows = [x[b - k : b].tobytes() for b, k in zip(ends, bags, strict=True)]
+            texts = [_encode(t) for t in part.column(2).to_pylist()]
+            if len(texts) == 1:
+                rows = [np.concatenate(list(stretches(texts[0]))).tobytes()]
+            else:
+                x, bags = passages(texts)
+                rows = [x[b - k : b].tobytes() for b, k in zip(np.cumsum(bags), bags, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rows, pa.binary())], names=["doc_id", "quality", "x"])
 
 
@@ -233,7 +284,9 @@ def _scorer(model: AttentionModel):
         for texts in batches:
             out = [np.zeros(0)]
             for part in small_slices(pa.RecordBatch.from_arrays([texts], names=["text"]), 0, SLICE):
-                out.append(model.score(*passages([_encode(t) for t in part.column(0).to_pylist()])))
+                found = [_encode(t) for t in part.column(0).to_pylist()]
+                one = len(found) == 1 and len(found[0]) > SLICE
+                out.append(np.array([model.score_stretches(stretches(found[0]))]) if one else model.score(*passages(found)))
             yield pa.array(np.concatenate(out))
 
     return score
