@@ -140,7 +140,27 @@ _SEC = " UNION ALL ".join(
     f"SELECT club, page, text, '{kind}' AS kind, '{name}' AS section, " + " + ".join(f"contains(lower(text), '{w}')::INT" for w in words) + " AS score FROM pg" for kind, names in _SECTIONS.items() for name, words in names.items()
 )
 
+_NETWORK = f"""WITH n AS ({match_plans.SQL["a14_pass_nodes"]}), ed AS ({match_plans.SQL["a15_pass_edges"]}), fu AS ({match_plans.SQL["a17_flank_usage"]}),
+nk AS (SELECT *, row_number() OVER (PARTITION BY match_id, team_id ORDER BY touches DESC, player_id) AS most, row_number() OVER (PARTITION BY match_id, team_id ORDER BY touches, player_id) AS least FROM n),
+ek AS (SELECT *, row_number() OVER (PARTITION BY match_id, team_id ORDER BY passes DESC, passer_id, recipient_id) AS k FROM ed WHERE recipient_id IS NOT NULL),
+su AS (SELECT match_id, team_id, count(*) AS players, sum(touches) AS touches FROM n GROUP BY ALL), pa AS (SELECT match_id, team_id, sum(passes) AS passes FROM ek GROUP BY ALL),
+sz AS (SELECT su.*, coalesce(passes, 0) AS passes FROM su LEFT JOIN pa USING (match_id, team_id)),
+hu AS (SELECT match_id, team_id, string_agg('player ' || player_id || ' (' || touches || ')', '; ' ORDER BY most) AS t FROM nk WHERE most <= 3 GROUP BY ALL),
+al AS (SELECT match_id, team_id, string_agg('player ' || player_id || ' (' || touches || ')', '; ' ORDER BY least) AS t FROM nk WHERE least <= 2 GROUP BY ALL),
+cn AS (SELECT match_id, team_id, string_agg(passer_id || ' to ' || recipient_id || ' (' || passes || ')', '; ' ORDER BY k) AS t FROM ek WHERE k <= 5 GROUP BY ALL)"""
+_PROFILE = "'match_' || match_id || '_player_profile_service_{0}_' || player_id"
+
 SQL = {
+    "g1_passing_network": f"""{_NETWORK} {_doc("passing_network_service", "passing_network_summary", "passing_network", "players || ' players with ' || touches || ' touches and ' || passes || ' passes.'", "sz")}
+        UNION ALL {_doc("passing_network_service", "passing_hubs_summary", "passing_network", "'Most touches: ' || t || '.'", "hu")}
+        UNION ALL {_doc("passing_network_service", "isolated_players_summary", "passing_network", "'Fewest touches: ' || t || '.'", "al")}
+        UNION ALL {_doc("passing_network_service", "passing_connections_summary", "passing_network", "'Most passes: ' || t || '.'", "cn")}
+        UNION ALL {_doc("passing_network_service", "flank_usage_summary", "passing_network", "'Left ' || " + _N('"left"', 1) + " || ', center ' || " + _N("center", 1) + " || ', right ' || " + _N('"right"', 1) + " || ' percent of touches.'", "fu")}""",
+    "g1_player_profiles": f"""WITH pp AS ({match_plans.SQL["a16_player_profiles"]})
+        SELECT {_PROFILE.format("player_movement_profile")} AS doc_id, 'player_movement_profile' AS document_type, 'player_profile' AS category,
+          touches || ' touches, ' || receptions || ' of them received, around (' || {_N("mean_x", 1)} || ', ' || {_N("mean_y", 1)} || ').' AS text FROM pp
+        UNION ALL SELECT {_PROFILE.format("player_role_interpretation")}, 'player_role_interpretation', 'player_profile', 'player ' || player_id || ' plays mostly in the ' ||
+          CASE WHEN attacking_third >= middle_third AND attacking_third >= defensive_third THEN 'attacking' WHEN defensive_third > middle_third THEN 'defensive' ELSE 'middle' END || ' third.' FROM pp""",
     "g1_ball_losses": f"""{_L}, z AS (SELECT match_id, team_id, count(*) AS total, count(*) FILTER (WHERE zone = 'defensive_third') AS d, count(*) FILTER (WHERE zone = 'middle_third') AS m, count(*) FILTER (WHERE zone = 'attacking_third') AS t FROM l GROUP BY ALL),
         p0 AS (SELECT match_id, team_id, player_id, count(*) AS losses, count(*) FILTER (WHERE zone = 'defensive_third') AS dangerous FROM l GROUP BY ALL), p AS (SELECT * FROM p0 QUALIFY row_number() OVER (PARTITION BY match_id, team_id ORDER BY dangerous DESC, losses DESC, player_id) <= 5),
         g0 AS (SELECT match_id, team_id, least(floor(y / 100 * 8), 7)::BIGINT AS row, least(floor(x / 100 * 12), 11)::BIGINT AS col, count(*) AS n FROM l GROUP BY ALL), g AS (SELECT * FROM g0 QUALIFY row_number() OVER (PARTITION BY match_id, team_id ORDER BY g0.n DESC, g0.row, g0.col) <= 5),
