@@ -212,3 +212,8 @@ def named_player_clusters(rows: DataFrame) -> DataFrame:
     # The names of the profiles.
     name = F.when(F.col("__first"), "high-volume runner").when(F.col("__second"), "explosive short-burst").otherwise("low-volume high-intensity")
     return rows.join(F.broadcast(c.select("cluster", name.alias("profile"))), "cluster")
+
+
+def with_clusters(days: DataFrame, clustered: DataFrame) -> DataFrame:
+    """days with cluster, profile, pca_1 and pca_2 of their player; null where the player has none. A row for each player is joined."""
+    return days.join(clustered.select("player_id", "cluster", "profile", "pca_1", "pca_2"), "player_id", "left")

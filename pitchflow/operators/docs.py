@@ -13,12 +13,10 @@ from pyspark.sql import functions as F
 from ..functions import ranks
 from ..functions.scalar import clip_text
 
-#: topic -> keywords of its pages
-TOPICS = {"pressing": ("press", "the", "high"), "build_up": ("pass", "build", "and"), "set_pieces": ("corner", "free", "of"), "roles": ("keeper", "role", "la")}
 BLOCK = 2048
 
 
-def topic_pages(pages: DataFrame, topics=TOPICS, k: int = 4, first: int = 0) -> DataFrame:
+def topic_pages(pages: DataFrame, topics: dict[str, tuple[str, ...]], k: int = 4, first: int = 0) -> DataFrame:
     """Pages by how many distinct keywords of a topic they hold; the k best of each topic, ties by page. A topic without
     any gets the `first` pages, with score 0."""
     text = F.lower(F.coalesce("text", F.lit("")))

@@ -154,7 +154,10 @@ SQL = {
     "x1_payload_errors": _PAYLOADS,
     "x1_input_errors": f"WITH {ACTIONS}, x AS (SELECT event_id, concat_ws(',', " + ", ".join(f"CASE WHEN {c} IS NULL THEN '{c}' END" for c in _REQUIRED) + ") AS errors FROM a) SELECT * FROM x WHERE errors <> ''",
     "x2_baseline_signals": f"""WITH {EVENTS}, r AS (SELECT event_id, ({list(_METRICS)})[(event_id % 6)::INT + 1] AS metric, {", ".join(f"{x} AS {c}" for c, x in _RAW.items())} FROM e),
-        m(metric, of) AS (VALUES {", ".join(f"('{m}', '{c}')" for m, c in N.OF_METRIC.items())}),
+        m(metric, of) AS (VALUES ('progressivePassSuccessRate', 'build_up'), ('finalThirdPassSuccessRate', 'build_up'), ('passSuccessRate', 'build_up'), ('forwardPassSuccessRate', 'progression'),
+          ('lossRate', 'ball_loss'), ('ownHalfLossRate', 'ball_loss'), ('dangerousLossRate', 'ball_loss'), ('xgPerShot', 'final_third'), ('boxEfficiency', 'final_third'),
+          ('shotOnTargetRate', 'final_third'), ('duelSuccessRate', 'duels'), ('defensiveDuelSuccessRate', 'duels'), ('offensiveDuelSuccessRate', 'duels'),
+          ('aerialDuelSuccessRate', 'duels'), ('highRecoveryRate', 'pressing'), ('counterpressingRate', 'pressing')),
         z AS (SELECT event_id, CASE WHEN category = 'duels' THEN category ELSE of END AS category, metric,
               CASE WHEN score >= 0 THEN least(1, score) ELSE coalesce(CASE lower(label) WHEN 'low' THEN 0.25 WHEN 'medium' THEN 0.5 WHEN 'high' THEN 0.75 WHEN 'critical' THEN 0.95 END, 0.5) END::DOUBLE AS severity FROM r LEFT JOIN m USING (metric))
         SELECT event_id, category, metric, {_R(6, 'severity')} FROM z WHERE category IS NOT NULL""",

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import scalar
+from ..operators import baseline as B
 from ..operators import chains as C
 from ..operators import clusters as K
 from ..operators import decision as D
@@ -198,8 +199,38 @@ def _player_clusters(s, d):
     return K.player_clusters(written(load_plans._profiles(s, d), "player-profiles"), L.PROFILE)[0].select("player_id", "cluster", "profile", "pca_1", "pca_2")
 
 
+#: What the anomaly of a team's match is found from, the share of anomalous matches and the trees.
+ANOMALY_FEATURES = (
+    "passSuccessRate", "progressivePassSuccessRate", "finalThirdPassSuccessRate", "lossRate", "ownHalfLossRate", "dangerousLossRate",
+    "shotOnTargetRate", "xgPerShot", "boxEfficiency", "counterpressingRate", "highRecoveryRate", "duelSuccessRate",
+)
+CONTAMINATION, ANOMALY_TREES = 0.1, 300
+
+
+def _final_report_of_models(s, d):
+    """The final report with the anomalies of the isolation forest and the clusters of k-means."""
+    rows = written(league_plans._features(s, d), "team-features")
+    found = M.isolation_forest(rows, ANOMALY_FEATURES, B.KEYS, ANOMALY_TREES, contamination=CONTAMINATION)
+    anomalies = found.select(*B.KEYS, F.col("anomaly").alias("anomaly_score"), F.col("is_anomaly").alias("is_anomalous"))
+    clusters = K.named_team_clusters(K.clusters(rows, TEAM_FEATURES, 5, scale=False)).select(*B.KEYS, "cluster", "profile")
+    report = B.final_report(league_plans._compared(s, d), anomalies, clusters)
+    return report.select(*B.KEYS, "risk", "overall", "weak_metrics", "anomaly_score", "is_anomalous", "cluster", "profile", F.array_join("titles", "; ").alias("titles"))
+
+
+def _days_of_clustered_players(s, d):
+    clustered = K.player_clusters(written(load_plans._profiles(s, d), "player-profiles"), L.PROFILE)[0]
+    return K.with_clusters(load_plans._days(s, d).select("player_id", "day", "distance", "load"), clustered)
+
+
+#: Words that the given pages, of invented languages, do have beside words of the game that they may have.
+_TOPICS = {
+    "pressing": ("press", "recover", "thing", "ention"), "build_up": ("pass", "build", "stion", "keiten"),
+    "set_pieces": ("corner", "free kick", "ación", "mente"), "roles": ("keeper", "winger", "eaux", "ement"),
+}
+
+
 QUERIES = {
-    "g3_topic_pages": lambda s, d: G.topic_pages(_pages(s, d)),
+    "g3_topic_pages": lambda s, d: G.topic_pages(_pages(s, d), _TOPICS),
     "g7_cosine_top_k": _search,
     "g10_blended": _blended,
     "w16_recent_messages": lambda s, d: G.recent_messages(table(s, d, "conversations")).select("conv_id", "turn", "role", "back"),
@@ -222,13 +253,18 @@ QUERIES = {
     "m8_team_clusters": _team_clusters,
     "m8_team_cluster_rows": _team_cluster_rows,
     "m9_player_clusters": _player_clusters,
+    "b15_final_report_of_models": _final_report_of_models,
+    "j9_days_of_clustered_players": _days_of_clustered_players,
 }
 
-_SCORES = " UNION ALL ".join(f"SELECT page_id, '{t}' AS topic, " + " + ".join(f"contains(lower(coalesce(html, '')), '{w}')::INT" for w in words) + " AS score FROM pages" for t, words in G.TOPICS.items())
+_SCORES = """SELECT page_id, 'pressing' AS topic, contains(h, 'press')::INT + contains(h, 'recover')::INT + contains(h, 'thing')::INT + contains(h, 'ention')::INT AS score FROM pg
+    UNION ALL SELECT page_id, 'build_up', contains(h, 'pass')::INT + contains(h, 'build')::INT + contains(h, 'stion')::INT + contains(h, 'keiten')::INT FROM pg
+    UNION ALL SELECT page_id, 'set_pieces', contains(h, 'corner')::INT + contains(h, 'free kick')::INT + contains(h, 'ación')::INT + contains(h, 'mente')::INT FROM pg
+    UNION ALL SELECT page_id, 'roles', contains(h, 'keeper')::INT + contains(h, 'winger')::INT + contains(h, 'eaux')::INT + contains(h, 'ement')::INT FROM pg"""
 _SIM = "sim AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS score FROM embeddings q JOIN embeddings v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id)"
 
 SQL = {
-    "g3_topic_pages": f"SELECT page_id, topic, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC, page_id) AS rank FROM ({_SCORES}) WHERE score > 0) WHERE rank <= 4",
+    "g3_topic_pages": f"WITH pg AS (SELECT page_id, lower(coalesce(html, '')) AS h FROM pages) SELECT page_id, topic, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC, page_id) AS rank FROM ({_SCORES}) WHERE score > 0) WHERE rank <= 4",
     "g7_cosine_top_k": f"WITH {_SIM} SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM sim) WHERE rank <= 5",
     "g10_blended": f"""WITH {_SIM}, r AS (SELECT *, label % 2 AS scope, row_number() OVER (PARTITION BY query_id, label % 2 ORDER BY score DESC, vec_id) AS k FROM sim)
         SELECT query_id, vec_id, rank, scope FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY (k <= 3) DESC, score DESC, vec_id) AS rank FROM r WHERE k <= 8) WHERE rank <= 6""",

@@ -101,11 +101,11 @@ def test_chain_outcomes(spark):
 
 def test_club_documents(spark):
     pages = [(1, "Filozofie identitate si ADN, model de joc, style of play si principles."), (2, "Constructie build up cu superioritate, depth, width si breaking first line."), (3, "Pressing cu agresivitate, timing si trigger in tranzitie dupa ball loss."), (4, "Player profile si rol pe pozitie. Role interpretation pentru midfielder."), (5, "  \n "), (6, None)]
-    df = spark.createDataFrame([("U Cluj", p, t) for p, t in pages], "club string, page bigint, text string")
+    df = spark.createDataFrame([("Red Foxes", p, t) for p, t in pages], "club string, page bigint, text string")
     got = {r.doc_id: r for r in documents.club_documents(df).collect()}
     assert {r.document_type for r in got.values()} == {"club_philosophy", "game_phase", "tactical_principle", "player_role_profile"}
-    assert got["u_cluj_club_philosophy_overview"].pages == [1] and got["u_cluj_game_phase_build_up"].pages == [2] and got["u_cluj_game_phase_final_third"].pages == [1, 2]
-    assert got["u_cluj_player_role_profile_1"].category == "player_profile" and "u_cluj_tactical_principle_final_third" not in got
+    assert got["red_foxes_club_philosophy_overview"].pages == [1] and got["red_foxes_game_phase_build_up"].pages == [2] and got["red_foxes_game_phase_final_third"].pages == [1, 2]
+    assert got["red_foxes_player_role_profile_1"].category == "player_profile" and "red_foxes_tactical_principle_final_third" not in got
     assert documents.club_documents(df.limit(0)).count() == 0
 
 

@@ -273,3 +273,19 @@ def test_isolation_scores_by_brute_force(spark):
     low, high = min(raw.values()), max(raw.values())
     assert all(abs(out[i] - (s - low) / (high - low)) < 1e-9 for i, s in raw.items())
     assert set(sorted(out, key=out.get)[-4:]) == {1000, 1001, 1002, 1003}
+
+
+def test_final_report_and_days_take_the_models(spark):
+    report = retrieval._final_report_of_models(spark, DATA).collect()
+    scores = [r.anomaly_score for r in report]
+    assert len({(r.match_id, r.team_id) for r in report}) == len(report) and (min(scores), max(scores)) == (0.0, 1.0)
+    flagged = {r.anomaly_score for r in report if r.is_anomalous}
+    assert 0 < len(flagged) <= 0.12 * len(report) + 1 and min(flagged) > max(s for r, s in zip(report, scores, strict=True) if not r.is_anomalous)
+    assert all(r.profile != "unknown_profile" and 0 <= r.cluster < 5 for r in report)
+    days = retrieval._days_of_clustered_players(spark, DATA).collect()
+    of = {}
+    for r in days:
+        of.setdefault(r.player_id, set()).add((r.cluster, r.profile))
+    assert all(len(x) == 1 for x in of.values()) and len({(r.player_id, r.day) for r in days}) == len(days)
+    few = groups.with_clusters(spark.createDataFrame([(1, 2)], "player_id bigint, day bigint"), spark.createDataFrame([], "player_id bigint, cluster int, profile string, pca_1 double, pca_2 double"))
+    assert few.first().cluster is None
