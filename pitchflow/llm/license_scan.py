@@ -5,7 +5,8 @@ the words of whole licences and notices (license_texts), with mandatory key phra
 more of the texts are the index words; an index word's postings are (template, place in the template).
 
 A first scan of all documents counts in how many each licence word stands. A second one notes, of each file, where
-the words of phrases stand and where its `RARE` index words of the highest IDF do. Every such word in a file gives,
+the words of phrases stand and where its rare words do: of each stretch of `STRETCH` words the `RARE` index words of
+the highest IDF. A file of several licences, one after the other, so has rare words of each. Every such word in a file gives,
 by each of its postings, the place where the template would begin; where at least `AGREE` of them agree on one
 beginning, the mandatory phrases are verified: each has to stand at its own place from there, `SLACK` words off at
 most. A phrase is found likewise from its word of the highest IDF: all its words at their relative places.
@@ -86,7 +87,8 @@ TEXTS: tuple[Text, ...] = (
     Text("zlib", license_texts.ZLIB, ("without any express or implied warranty", "altered source versions must be plainly marked as such")),
 )
 
-RARE, AGREE, SLACK = 16, 5, 8
+#: RARE words are taken from each STRETCH of words, so that no licence of a file spends the words of another one.
+RARE, STRETCH, AGREE, SLACK = 16, 64, 5, 8
 
 
 def phrase_list(templates: tuple[Template, ...], texts: tuple[Text, ...] = TEXTS) -> list[str]:
@@ -125,9 +127,18 @@ def document_frequencies(words: DataFrame, known: list[str]) -> dict[str, int]:
 
 
 def word_places(words: DataFrame, in_phrases: list[str], by_idf: list[str]) -> DataFrame:
-    """doc_id, n_words, rare: the document's index words of the highest IDF, hits: the places of those words and of
+    """doc_id, n_words, rare: the index words of the highest IDF of the document's stretches, hits: the places of those words and of
     the words of phrases as (pos, word), in order."""
-    chosen = words.withColumn("rare", F.expr(f"slice(array_intersect(array({_strings(by_idf)}), words), 1, {RARE})")) if by_idf else words.withColumn("rare", F.expr("cast(array() as array<string>)"))
+    none = "cast(array() as array<string>)"
+    if not by_idf:
+        chosen = words.withColumn("rare", F.expr(none))
+    else:
+        ranked = f"named_struct('k', cast(i div {STRETCH} as int), 'r', array_position(array({_strings(by_idf)}), w), 'w', w)"
+        index = f"filter(transform(words, (w, i) -> if(w in ({_strings(by_idf)}), {ranked}, null)), x -> x is not null)"
+        # Sorted by stretch and rank; a word is one of the RARE first of its stretch if the one RARE places before it is of another stretch.
+        first = f"filter(ranked, (x, i) -> i < {RARE} or get(ranked, i - {RARE}).k <> x.k)"
+        chosen = words.withColumn("index", F.expr(index)).withColumn("ranked", F.expr("array_sort(array_distinct(index))"))
+        chosen = chosen.withColumn("rare", F.expr(f"if(size(index) < {AGREE}, {none}, array_distinct(transform({first}, x -> x.w)))"))
     index = f"w in ({_strings(by_idf)}) and array_contains(rare, w)" if by_idf else "false"
     hits = f"filter(transform(words, (w, i) -> if(w in ({_strings(in_phrases)}) or ({index}), named_struct('pos', i, 'word', w), null)), h -> h is not null)"
     return chosen.select("doc_id", F.size("words").cast("bigint").alias("n_words"), "rare", F.expr(hits).alias("hits"))

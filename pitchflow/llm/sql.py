@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries of this folder."""
 
-from .license_scan import AGREE, BASE, RARE, SLACK, TEMPLATES, TEXTS, phrase_list, postings_of
+from .license_scan import AGREE, BASE, RARE, SLACK, STRETCH, TEMPLATES, TEXTS, phrase_list, postings_of
 
 FOLD = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = "regexp_extract_all(" + FOLD.format("coalesce({0}, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -38,7 +38,8 @@ b AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS las
       FROM found JOIN base USING (p) GROUP BY doc_id),
 placed AS (SELECT f.doc_id, x.t, x.label, f.pos - x.rel AS start, count(*) AS n FROM found f JOIN parts x USING (p) GROUP BY ALL),
 df AS (SELECT word, count(DISTINCT doc_id) AS df FROM w WHERE word IN (SELECT word FROM post) GROUP BY word),
-rare AS (SELECT doc_id, word FROM (SELECT DISTINCT doc_id, word, df FROM w JOIN df USING (word)) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY df, word) <= {RARE}),
+rare AS (SELECT DISTINCT doc_id, word FROM (SELECT doc_id, word FROM (SELECT DISTINCT doc_id, pos // {STRETCH} AS k, word, df FROM w JOIN df USING (word))
+      QUALIFY row_number() OVER (PARTITION BY doc_id, k ORDER BY df, word) <= {RARE})),
 votes AS (SELECT doc_id, t, pos - post.p AS start, count(*) AS votes FROM w JOIN rare USING (doc_id, word) JOIN post USING (word) GROUP BY ALL HAVING count(*) >= {AGREE}),
 total AS (SELECT doc_id, t, count(*) AS total FROM rare JOIN post USING (word) GROUP BY ALL),
 verified AS (SELECT votes.doc_id, label, start, votes / total AS share FROM votes JOIN total USING (doc_id, t) JOIN must USING (t)

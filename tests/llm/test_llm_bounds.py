@@ -6,7 +6,7 @@ import tracemalloc
 import numpy as np
 import pytest
 
-from pitchflow.llm import exact_dedup, mixing, quality
+from pitchflow.llm import exact_dedup, license_scan, mixing, quality
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -73,3 +73,15 @@ def test_a_passing_index_leaves_no_table_and_counts_the_batch(spark):
     assert sum(r.kept for r in alone) == 41 and {r.group_size for r in alone if r.doc_id < 300} == {300}
     assert {t.name for t in spark.catalog.listTables()} - before == {"digest_bounds"}
     spark.sql("DROP TABLE digest_bounds")
+
+
+def test_a_file_of_all_licences_has_all_labels(spark):
+    every = {t.label for t in license_scan.TEXTS}
+    rng = random.Random(9)
+    orders = [rng.sample(license_scan.TEXTS, len(license_scan.TEXTS)) for _ in range(3)]
+    rows = [(k, "\n\n".join(t.text for t in order), "s") for k, order in enumerate(orders)]
+    rows += [(100 + k, " filler words between them ".join([t.text] * 2), "s") for k, t in enumerate(license_scan.TEXTS)]
+    rows += [(200 + k, "lorem ipsum dolor " * 3000 + t.text + " sit amet" * 3000, "s") for k, t in enumerate(license_scan.TEXTS)]
+    got = {r.doc_id: set(r.labels.split(",")) for r in license_scan.scan(docs_of(spark, rows)).collect()}
+    assert all(every <= got[k] for k in range(3))
+    assert all(t.label in got[100 + k] and t.label in got[200 + k] for k, t in enumerate(license_scan.TEXTS))
