@@ -24,7 +24,7 @@ words, with their counts, differs in five or fewer in 98 of 100 such pairs, whic
 too, one half has at most two). Anchors are therefore those of the word fingerprints, within an anchor the pair's
 shingle fingerprints must be within `SHINGLE_BITS`, which leaves out texts that only share their words, and of what is left
 the similarity is found from the SKETCH smallest shingle hashes of both: exact up to so many shingles, beyond with a
-standard error of 0.035. Per anchor the links of spanning forests from two centers are tried, never all pairs of a group.
+standard error of 0.035. Pairs within MARGIN of 0.8, three such errors, are decided by all shingles of their texts. Per anchor the links of spanning forests from two centers are tried, never all pairs of a group.
 
 Nulls, ties and edges: a null text is empty; texts without words all have fingerprint zero and link to each other.
 A component's id is its smallest doc_id. Rows that repeat a doc_id belong to the component of that fingerprint.
@@ -44,6 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, join_unique, written
+from .tokens import small_slices
 
 SHINGLE = 4
 SEED = 42
@@ -59,6 +60,8 @@ CROWDED = 20_000
 SIMILAR_SHINGLE, SIMILAR = 5, 0.8
 WORD_BITS, SHINGLE_BITS = 5, 16
 SKETCH = 128
+#: Three standard errors of a sketch's estimate near SIMILAR; closer estimates are decided by whole texts.
+MARGIN = 0.105
 _SPACE = bytes(c if not 65 <= c <= 90 else c + 32 for c in range(256))
 _BLANKS = b" \t\n\x0b\x0c\r"
 
@@ -308,6 +311,29 @@ def near_duplicates(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
 # ---- similar texts, for a pipeline
 
 
+def _shingle_hashes(words: list[bytes], line: bytes) -> np.ndarray:
+    """A hash of each five-word shingle, repeats included, of words that line joins."""
+    from xxhash import xxh64_intdigest
+
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    n = max(1, len(words) - SIMILAR_SHINGLE + 1)
+    starts = np.concatenate(([0], ends[:-1]))[:n]
+    last = (ends[SIMILAR_SHINGLE - 1 :] if len(words) >= SIMILAR_SHINGLE else ends[-1:]) - 1
+    return np.fromiter((xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts.tolist(), last.tolist(), strict=True)), np.uint64, n)
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """The distinct shingle hashes of a whole text, sorted."""
+    words = (text or "").encode("utf-8", "surrogatepass").translate(_SPACE).split()
+    return np.unique(_shingle_hashes(words, b" ".join(words))) if words else np.zeros(0, np.uint64)
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in small_slices(batch, 1):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t.as_py()).tobytes() for t in part.column(1)], pa.binary())], names=["node", "shingles"])
+
+
 def similar_prints(text: str | None) -> tuple[int, int, int, bytes]:
     """Of a text: a hash of its words in order, the fingerprints of its words and of its shingles, and the sketch."""
     from xxhash import xxh64_intdigest
@@ -319,11 +345,7 @@ def similar_prints(text: str | None) -> tuple[int, int, int, bytes]:
     counts: dict[bytes, int] = {}
     for w in words:
         counts[w] = counts.get(w, 0) + 1
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    n = max(1, len(words) - SIMILAR_SHINGLE + 1)
-    starts = np.concatenate(([0], ends[:-1]))[:n]
-    last = (ends[SIMILAR_SHINGLE - 1 :] if len(words) >= SIMILAR_SHINGLE else ends[-1:]) - 1
-    shingles = np.fromiter((xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts.tolist(), last.tolist(), strict=True)), np.uint64, n)
+    shingles, n = _shingle_hashes(words, line), max(1, len(words) - SIMILAR_SHINGLE + 1)
     of_words = np.fromiter((xxh64_intdigest(w, SEED) for w in counts), np.uint64, len(counts))
     sketch = np.unique((shingles >> np.uint64(32)).astype(np.uint32))[:SKETCH]
     return xxh64_intdigest(line, SEED), _majority(of_words, np.fromiter(counts.values(), np.int64, len(counts))), _majority(shingles, np.ones(n, np.int64)), sketch.tobytes()
@@ -425,8 +447,35 @@ def similarity(a: bytes, b: bytes) -> float:
     return float((np.isin(both, x) & np.isin(both, y)).mean()) if len(both) else 1.0
 
 
-def similar_pairs(prints: DataFrame, least: float = SIMILAR, crowded: int = CROWDED) -> DataFrame:
-    """a, b: links between distinct nodes whose texts have at least this similarity. prints: node, u, s, sketch."""
+def exact_similarity(a: bytes, b: bytes) -> float:
+    """Jaccard of two whole shingle sets."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(1, len(x) + len(y) - both)
+
+
+def _verified(pairs: DataFrame, prints: DataFrame, rows: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs (a, b) whose texts have this similarity by their whole shingle sets. prints: doc_id, th, node; rows: doc_id, th, text."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    # One row stands for a node, whatever the number of its copies.
+    one = prints.groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("x")).join(nodes, "node").select("node", F.col("x.doc_id").alias("__id"), F.col("x.th").alias("__th"))
+    texts = rows.join(one, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))).select("node", "text")
+    sets = written(texts.mapInArrow(_sets, "node bigint, shingles binary").dropDuplicates(["node"]), "shingle-sets")
+    with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    with_both = with_a.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+
+    @F.arrow_udf("double")
+    def of_sets(x: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array([exact_similarity(p.as_py(), q.as_py()) for p, q in zip(x, y, strict=True)], pa.float64())
+
+    return with_both.where(of_sets("x", "y") >= least).select("a", "b")
+
+
+def similar_pairs(prints: DataFrame, least: float = SIMILAR, crowded: int = CROWDED, rows: DataFrame | None = None) -> DataFrame:
+    """a, b: links between distinct nodes whose texts have at least this similarity. prints: doc_id, th, node, u, s, sketch.
+
+    rows (doc_id, th, text): pairs whose sketches leave it open, within MARGIN of `least`, are decided by their texts.
+    """
     texts = written(prints.select("node", "u", "s", "sketch").dropDuplicates(["node"]), "texts-of-nodes")
     dealt = texts.select("u", "s", "node").mapInArrow(_dealt, "anchor bigint, u bigint, s bigint, node bigint")
     full = written(dealt.groupBy("anchor").count().where(F.col("count") > crowded).select("anchor"), "crowded")
@@ -449,7 +498,13 @@ def similar_pairs(prints: DataFrame, least: float = SIMILAR, crowded: int = CROW
     def of_sketches(x: pa.Array, y: pa.Array) -> pa.Array:
         return pa.array([similarity(p, q) for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.float64())
 
-    return with_both.where(of_sketches("x", "y") >= least).select("a", "b")
+    scored = with_both.withColumn("e", of_sketches("x", "y"))
+    if rows is None:
+        return scored.where(F.col("e") >= least).select("a", "b")
+    full = (F.octet_length("x") == 4 * SKETCH) | (F.octet_length("y") == 4 * SKETCH)
+    scored = written(scored.where(F.col("e") >= least - MARGIN).select("a", "b", (full & (F.col("e") < least + MARGIN)).alias("open"), "e"), "estimates")
+    sure = scored.where(~F.col("open") & (F.col("e") >= least)).select("a", "b")
+    return sure.unionByName(_verified(scored.where("open").select("a", "b"), prints, rows, least))
 
 
 def similar_classes(docs: DataFrame, least: float = SIMILAR, crowded: int = CROWDED) -> DataFrame:
@@ -457,7 +512,7 @@ def similar_classes(docs: DataFrame, least: float = SIMILAR, crowded: int = CROW
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _text_hash().alias("th"), F.col("text").cast("string").alias("text"))
     prints = written(rows.mapInArrow(_all_prints, "doc_id bigint, th bigint, node bigint, u bigint, s bigint, sketch binary"), "prints")
-    return _named(prints.select("doc_id", "th", "node"), similar_pairs(prints, least, crowded), "node")
+    return _named(prints.select("doc_id", "th", "node"), similar_pairs(prints, least, crowded, rows), "node")
 
 
 def keep_one(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:

@@ -6,7 +6,7 @@ import tracemalloc
 import numpy as np
 import pytest
 
-from pitchflow.llm import exact_dedup, license_scan, mixing, quality
+from pitchflow.llm import exact_dedup, license_scan, mixing, quality, simhash
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -85,3 +85,23 @@ def test_a_file_of_all_licences_has_all_labels(spark):
     got = {r.doc_id: set(r.labels.split(",")) for r in license_scan.scan(docs_of(spark, rows)).collect()}
     assert all(every <= got[k] for k in range(3))
     assert all(t.label in got[100 + k] and t.label in got[200 + k] for k, t in enumerate(license_scan.TEXTS))
+
+
+def test_pairs_near_the_limit_are_decided_by_their_texts(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows, want = [], {}
+    for k in range(60):
+        base = [word() for _ in range(700)]
+        other = list(base)
+        for at in rng.sample(range(20, 680, 6), rng.choice([10, 13, 15, 16, 17, 18, 20, 25])):
+            other[at] = word()  # each changes five shingles
+        rows += [(2 * k, " ".join(base), "s"), (2 * k + 1, " ".join(other), "s")]
+        a, b = (set(simhash.shingle_set(" ".join(x)).tolist()) for x in (base, other))
+        want[k] = len(a & b) / len(a | b)
+    classes = {r.doc_id: r.component_id for r in simhash.similar_classes(docs_of(spark, rows)).collect()}
+    joined = {k for k in want if classes[2 * k] == classes[2 * k + 1]}
+    alike = {k for k, v in want.items() if v >= simhash.SIMILAR}
+    assert joined <= alike  # none is joined below the limit
+    assert len(joined) >= 0.9 * len(alike) and any(0.75 < v < 0.8 for v in want.values()) and any(0.8 <= v < 0.85 for v in want.values())
+    assert simhash.exact_similarity(b"", b"") == 0 and simhash.exact_similarity(simhash.shingle_set("a b c d e f").tobytes(), simhash.shingle_set("a b c d e f g").tobytes()) == 2 / 3
