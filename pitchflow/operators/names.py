@@ -5,8 +5,9 @@ is 1 - distance / longer length, the better of both. A name of an initial and a
 abbreviates, at the score ABBREVIATED.
 
 Index. Texts of a score of `least` are at most k = (1 - least) / least x length edits apart, and k edits touch at most
-2k of a text's pairs of letters. So of each text its 2k + 1 rarest pairs are indexed: if two texts are close
-enough, they share one of these. Only such pairs are compared, after their lengths; no text meets all others.
+q k of a text's runs of q letters. So of each text its q k + 1 rarest runs are indexed: if two texts are close
+enough, they share one of these. Runs have three letters, and two in short texts. Only texts that share one are
+compared, after their lengths; no text meets all others.
 
 Nulls, ties and edges: null and empty names have no candidates. Equal scores are ordered by player_id. Names of up to
 two letters meet equal ones only. Repeated rows of a catalog count once. Letters are compared after normal_name().
@@ -36,33 +37,46 @@ def _forms(names: DataFrame) -> DataFrame:
     return names.select("norm", F.explode(F.array_distinct(F.array(Q("norm"), _sorted_words(Q("norm"))))).alias("text"))
 
 
-def _pairs_of_letters(texts: DataFrame) -> DataFrame:
-    """text, gram: pairs of neighbouring letters, repeated ones numbered."""
-    grams = F.expr("transform(sequence(1, length(text) - 1), i -> substring(text, i, 2))")
-    each = texts.select("text").distinct().where(F.length("text") > 2).select("text", F.explode(grams).alias("g"))
+def _grams(texts: DataFrame, q: int) -> DataFrame:
+    """text, gram: runs of q letters, repeated ones numbered."""
+    grams = F.expr(f"transform(sequence(1, length(text) - {q - 1}), i -> substring(text, i, {q}))")
+    each = texts.select("text", F.explode(grams).alias("g"))
     counted = each.groupBy("text", "g").agg(F.count(F.lit(1)).alias("n"))
     return counted.select("text", F.explode(F.expr("transform(sequence(1, cast(n as int)), k -> concat(g, k))")).alias("gram"))
 
 
-def _rarest(grams: DataFrame, often: DataFrame, least: float) -> DataFrame:
-    """text, gram: of each text so many of its rarest pairs that a close text shares one."""
+def _rarest(grams: DataFrame, often: DataFrame, least: float, q: int) -> DataFrame:
+    """text, gram: of each text so many of its rarest runs that a close text shares one."""
     k = F.floor(Q("len") * ((1 - least) / least)).cast("int")
     of_text = grams.join(often, "gram").groupBy("text").agg(F.sort_array(F.collect_list(F.struct("often", "gram"))).alias("all"), F.first(F.length("text")).alias("len"))
-    return of_text.select("text", F.explode(F.slice("all", 1, 2 * k + 1)).alias("one")).select("text", Q("one.gram").alias("gram"))
+    return of_text.select("text", F.explode(F.slice("all", 1, q * k + 1)).alias("one")).select("text", Q("one.gram").alias("gram"))
 
 
-def close_texts(left: DataFrame, right: DataFrame, least: float = LEAST) -> DataFrame:
-    """a, b, score: texts of both sides (column `text`) of a score of `least` or more."""
-    a, b = left.select("text").distinct(), right.select("text").distinct()
-    ga, gb = written(_pairs_of_letters(a), "grams"), written(_pairs_of_letters(b), "grams")
+def _close(a: DataFrame, b: DataFrame, least: float, q: int) -> DataFrame:
+    """a, b, score of texts that share one of their rarest runs of q letters; compared where they meet, repeats last."""
+    ga, gb = written(_grams(a, q), "grams"), written(_grams(b, q), "grams")
     often = ga.unionByName(gb).groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
-    ra = _rarest(ga, often, least).select(Q("text").alias("a"), "gram")
-    rb = _rarest(gb, often, least).select(Q("text").alias("b"), "gram")
+    ra = _rarest(ga, often, least, q).select(Q("text").alias("a"), "gram")
+    rb = _rarest(gb, often, least, q).select(Q("text").alias("b"), "gram")
     la, lb = F.length("a"), F.length("b")
-    pairs = ra.join(rb, "gram").where(F.least(la, lb) >= F.greatest(la, lb) * least).select("a", "b").distinct()
-    scored = pairs.withColumn("score", 1 - F.levenshtein("a", "b") / F.greatest(la, lb)).where(Q("score") >= least)
+    met = ra.join(rb, "gram").where((F.least(la, lb) >= F.greatest(la, lb) * least) & (Q("a") != Q("b")))
+    return met.select("a", "b", (1 - F.levenshtein("a", "b") / F.greatest(la, lb)).alias("score")).where(Q("score") >= least).distinct()
+
+
+def close_texts(left: DataFrame, right: DataFrame, least: float = LEAST) -> DataFrame:
+    """a, b, score: texts of both sides (column `text`) of a score of `least` or more, which is 0.75 at least.
+
+    Of two texts of up to m letters k = (1 - least) m edits leave m + 1 - q - q k runs of q letters: one at least for
+    runs of two from three letters on, and for runs of three from nine on. The shorter of two close texts has 3/4 of
+    the longer one's letters, so pairs whose shorter text has under nine letters are among texts of up to ten.
+    """
+    if least < LEAST:
+        raise ValueError(f"the index finds scores of {LEAST} or more")
+    a, b = left.select("text").distinct(), right.select("text").distinct()
+    short, long = (F.length("text") > 2) & (F.length("text") <= 10), F.length("text") >= 9
     same = a.join(b, "text").select(Q("text").alias("a"), Q("text").alias("b"), F.lit(1.0).alias("score"))
-    return scored.where("a <> b").unionByName(same)
+    found = _close(a.where(short), b.where(short), least, 2).unionByName(_close(a.where(long), b.where(long), least, 3))
+    return found.distinct().unionByName(same)
 
 
 def _abbreviation(c: Column) -> Column:
