@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 from ..functions.scalar import clip_text, number_text, slug, text_or
 
@@ -28,8 +29,12 @@ def doc_id_of(match_id: Column, service: str, kind: str, part: Column | None = N
 def document(rows: DataFrame, service: str, kind: str, category: str, title: Column, text: Column, part: Column | None = None) -> DataFrame:
     team = F.col("team_id") if "team_id" in rows.columns else F.lit(None).cast("bigint")
     of_team = F.concat(F.lit("t"), team.cast("string")) if "team_id" in rows.columns else None
+    # Open metadata: every plain value of the row that the document was written from, as text.
+    plain = [f.name for f in rows.schema if not isinstance(f.dataType, ArrayType | MapType | StructType) and not f.name.startswith("__") and f.name not in ("match_id", "team_id")]
+    pairs = [x for c in plain for x in (F.lit(c), F.col(c).cast("string"))]
+    metadata = F.map_filter(F.create_map(F.lit("service"), F.lit(service), *pairs), lambda _, v: v.isNotNull())
     both = F.concat_ws(" ", *[x for x in (of_team, part.cast("string") if part is not None else None) if x is not None])
-    return rows.select(doc_id_of(F.col("match_id"), service, kind, both).alias("doc_id"), "match_id", team.alias("team_id"), F.lit(kind).alias("document_type"), title.alias("title"), F.lit(category).alias("category"), text.alias("text"))
+    return rows.select(doc_id_of(F.col("match_id"), service, kind, both).alias("doc_id"), "match_id", team.alias("team_id"), F.lit(kind).alias("document_type"), title.alias("title"), F.lit(category).alias("category"), text.alias("text"), metadata.alias("metadata"))
 
 
 def _say(template: str, *values: Column) -> Column:

@@ -10,7 +10,7 @@ from ..operators import docs as G
 from ..operators import documents as T
 from ..operators import fusion as X
 from ..operators import insights as I
-from ..sources.adapters import ACTIONS, actions, signals, table
+from ..sources.adapters import actions, signals, table
 from . import evidence as evidence_plans
 from . import league as league_plans
 from . import match as match_plans
@@ -106,7 +106,14 @@ def _answers(s, d):
     return a.select("query_id", F.sha2("answer", 256).alias("answer_sha256"), F.length(T.capped_bullets(F.col("answer"), 3)).alias("capped_chars"))
 
 
+def _metadata(s, d):
+    """What stands behind the documents of pressing players, from their metadata."""
+    docs = _pressing(s, d).where("document_type = 'pressing_player_profile'")
+    return docs.select("doc_id", *[F.element_at("metadata", k).cast("bigint").alias(k) for k in ("player_id", "duels", "won", "rank")], F.element_at("metadata", "service").alias("service"))
+
+
 QUERIES = {
+    "g1_metadata": _metadata,
     "g1_ball_losses": lambda s, d: _out(_losses(s, d)),
     "g1_pressing": lambda s, d: _out(_pressing(s, d)),
     "g1_line_breaks": lambda s, d: _out(_breaks(s, d)),
@@ -151,6 +158,8 @@ cn AS (SELECT match_id, team_id, string_agg(passer_id || ' to ' || recipient_id
 _PROFILE = "'match_' || match_id || '_player_profile_service_{0}_' || player_id"
 
 SQL = {
+    "g1_metadata": f"""WITH tb AS ({report_plans.SQL["t4_top_and_bottom"]}), x AS (SELECT {_ID.format("pressing_intensity_service", "pressing_player_profile")} {_PART.format("player_id")} AS doc_id, player_id, duels, tb.won, rank FROM tb)
+        SELECT doc_id, player_id::BIGINT AS player_id, duels::BIGINT AS duels, won::BIGINT AS won, rank::BIGINT AS rank, 'pressing-intensity-service' AS service FROM x""",
     "g1_passing_network": f"""{_NETWORK} {_doc("passing_network_service", "passing_network_summary", "passing_network", "players || ' players with ' || touches || ' touches and ' || passes || ' passes.'", "sz")}
         UNION ALL {_doc("passing_network_service", "passing_hubs_summary", "passing_network", "'Most touches: ' || t || '.'", "hu")}
         UNION ALL {_doc("passing_network_service", "isolated_players_summary", "passing_network", "'Fewest touches: ' || t || '.'", "al")}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import load as L
 from ..operators import models as M
-from ..sources.adapters import ACTIONS, EVENTS, PLAYER_DAYS, actions, player_days, sessions, table
+from ..sources.adapters import ACTIONS, PLAYER_DAYS, actions, player_days, sessions, table
 from ..sources.shared import written
 from .rounding import pick as _pick
 from .rounding import rounded as _R
