@@ -34,6 +34,9 @@ def chains(actions: DataFrame) -> DataFrame:
     chain that follows one of another team is a recovery. players: who took part, in the order of their first event.
     """
     order = F.struct("sec", "event_id")
+    # Tables without these columns have chains without them.
+    optional = {"y": "double", "end_y": "double", "period": "string"}
+    actions = actions.withColumns({c: F.lit(None).cast(t) for c, t in optional.items() if c not in actions.columns})
     a = actions.withColumn("lost", loss_type()).withColumn("chain_id", F.coalesce(F.concat(F.lit("p"), F.col("possession_id").cast("string")), F.concat(F.lit("e"), F.col("event_id").cast("string"))))
     a = a.withColumn("chain_team", F.coalesce("possession_team_id", "team_id"))
     first = lambda c: F.min_by(c, order).alias(f"first_{c}")
