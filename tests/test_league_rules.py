@@ -73,3 +73,26 @@ def test_quantiles_and_sums_over_ranges(spark):
     down = {r.v: (r.before_n, r.total_n) for r in ranks.cumulated(counted, "v", "n", descending=True).collect()}
     assert all(b == (real > v).sum() and t == 500 for v, (b, t) in down.items())
     assert ranks.quantile(df.limit(0), "v", 0.5).collect() in ([], [(None,)])
+
+
+def test_shot_xg_is_added_in_the_order_of_the_files(spark, tmp_path):
+    """One match over four files that are read in pieces: its sum is that of one thread, to the last bit."""
+    import random
+
+    from pitchflow.sources.adapters import team_matches
+
+    rng, rows, want = random.Random(3), [], [0.0, 0.0]
+    for k in range(240):
+        odd, x = rng.randrange(2), rng.randrange(1, 11) / 100
+        rows.append((7, k, 1, odd, 45.0, x, 0.01, "N", "O"))
+        want[odd] += x
+    columns = "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_discount double, l_tax double, l_returnflag string, l_linestatus string"
+    folder = f"{tmp_path}/lineitem.parquet"
+    spark.createDataFrame(spark.sparkContext.parallelize(rows, 4), columns).write.parquet(folder)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        got = {r.team_id: r.xgShot for r in team_matches(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {0: want[0], 1: want[1]}
