@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions import ranks
 from ..functions.scalar import clip_text
+from ..sources.shared import bounded_batches
 
-BLOCK = 2048
+#: Vectors in a block: a pair of blocks takes some 512 x 512 scores and its places, 10 MB, in a task.
+BLOCK = 512
 
 
 def topic_pages(pages: DataFrame, topics: dict[str, tuple[str, ...]], k: int = 4, first: int = 0) -> DataFrame:
@@ -45,21 +47,26 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for ids, v, qids, q in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            ids, qids = np.frombuffer(ids, np.int64), np.frombuffer(qids, np.int64)
-            v, q = np.frombuffer(v).reshape(len(ids), -1), np.frombuffer(q).reshape(len(qids), -1)
+        for at in range(batch.num_rows):
+            ids, v, qids, q = (np.frombuffer(batch.column(i)[at].as_buffer(), t) for i, t in enumerate((np.int64, np.float64, np.int64, np.float64)))
+            v, q = v.reshape(len(ids), -1), q.reshape(len(qids), -1)
             s = np.round(q @ v.T, 9)
             s[qids[:, None] == ids[None, :]] = -np.inf
-            best = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
-            rows = np.repeat(qids, best.shape[1])
-            score = np.take_along_axis(s, best, axis=1).ravel()
-            found = score > -np.inf
-            yield pa.RecordBatch.from_arrays([pa.array(rows[found]), pa.array(ids[best].ravel()[found]), pa.array(score[found])], names=["query_id", "vec_id", "score"])
+            # What is below a query's k-th score is left out before anything is sorted; equal scores go by id.
+            least = np.partition(s, -k, axis=1)[:, -k] if k < len(ids) else np.full(len(qids), -np.inf)
+            row, at_id = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+            order = np.lexsort((ids[at_id], -s[row, at_id], row))
+            row, at_id = row[order], at_id[order]
+            first = np.arange(len(row)) - np.searchsorted(row, row) < k
+            row, at_id = row[first], at_id[first]
+            yield pa.RecordBatch.from_arrays([pa.array(qids[row]), pa.array(ids[at_id]), pa.array(s[row, at_id])], names=["query_id", "vec_id", "score"])
 
 
 def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """Exact cosine search of (vec_id, embedding) for a stated query set: blocks against blocks, the k best of each pair
     of blocks, then the k best of all. A vector does not find itself."""
+    # Blocks are large values: counted in rows alone, a batch would hold thousands of pairs of them.
+    bounded_batches(vectors.sparkSession)
     schema = "ids binary, v binary"
     b = vectors.where("embedding is not null").select("vec_id", "embedding").mapInArrow(_blocks, schema)
     q = queries.where("embedding is not null").select("vec_id", "embedding").mapInArrow(_blocks, schema).toDF("qids", "q")

@@ -146,3 +146,30 @@ def test_embeddings_by_a_given_encoder(spark):
     assert all(abs(got[k][0] - k / (k * k + 9) ** 0.5) < 1e-6 for k in range(10))
     with pytest.raises(Exception, match="and not 5 numbers"):
         G.embedded(docs, lambda texts: np.zeros((len(texts), 2)), 5).collect()
+
+
+def test_search_holds_one_pair_of_blocks_at_a_time(spark):
+    """Memory does not grow with the pairs in a batch; equal scores go by id, also across blocks."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from pitchflow.operators import docs as G
+
+    rng = np.random.default_rng(1)
+    ids, v = np.arange(6000), rng.normal(size=(6000, 16))
+    vectors = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(v.tolist())], names=["vec_id", "embedding"])
+    b = pa.Table.from_batches(list(G._blocks([vectors]))).combine_chunks().to_batches()[0]
+    pairs = pa.RecordBatch.from_arrays([*b.columns, *b.columns], names=["ids", "v", "qids", "q"])
+    tracemalloc.start()
+    for _ in G._search([pairs], 8):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 * 2**20
+
+    same = spark.createDataFrame([(k, [1.0, 0.0]) for k in range(1500)], "vec_id bigint, embedding array<double>")
+    got = G.cosine_top_k(same, same.where("vec_id in (0, 1400)"), 3).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.vec_id) for r in got] == [(0, 1), (0, 2), (0, 3), (1400, 0), (1400, 1), (1400, 2)]
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 * 2**20
