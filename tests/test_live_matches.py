@@ -93,3 +93,31 @@ def test_running_counts_equal_the_batch(spark, tmp_path):
     want = matches.counts_by_minute(spark.createDataFrame(rows, SCHEMA), counted=counted)
     got = matches.newest_counts(spark.read.parquet(f"{feed.path}/counts"))
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_live_queries_keep_only_columns_their_results_depend_on(spark, tmp_path, monkeypatch):
+    """What goes into the state of a match is what is analysed: no column beside those."""
+    import os
+
+    import pytest
+
+    from pitchflow.plans import retrieval
+    from pitchflow.streaming import matches
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables")
+    seen = {}
+
+    class Seen(Exception):
+        pass
+
+    def states(events, **_):
+        seen["columns"] = set(events.columns)
+        raise Seen
+
+    monkeypatch.setattr(matches, "match_states", states)
+    most = {"st4_live_chains": 21, "st5_late_events": 5, "st6_live_insights": 14}
+    for name, n in most.items():
+        with pytest.raises(Seen):
+            retrieval.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert len(seen["columns"]) <= n, name
