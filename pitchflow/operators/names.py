@@ -4,10 +4,11 @@ Two names are compared as they are and with their words sorted, so that swapped
 is 1 - distance / longer length, the better of both. A name of an initial and a last word meets the names it
 abbreviates, at the score ABBREVIATED.
 
-Index. Texts of a score of `least` are at most k = (1 - least) / least x length edits apart, and k edits touch at most
-q k of a text's runs of q letters. So of each text its q k + 1 rarest runs are indexed: if two texts are close
-enough, they share one of these. Runs have three letters, and two in short texts. Only texts that share one are
-compared, after their lengths; no text meets all others.
+Index. Of two texts of a score of `least` the longer one, of n letters, is at most k = (1 - least) n edits away. It is
+cut into k + 1 segments, of which one at least stands unchanged in the shorter one, moved by few places (Li, Deng, Wang,
+Feng 2011): where segment i is the first one up to which there are no more than i edits, it has none itself, there are i
+before it and up to k - i behind it. So texts meet by a segment, its number and the length of the longer one; no text
+meets all others.
 
 Nulls, ties and edges: null and empty names have no candidates. Equal scores are ordered by player_id. Names of up to
 two letters meet equal ones only. Repeated rows of a catalog count once. Letters are compared after normal_name().
@@ -37,46 +38,54 @@ def _forms(names: DataFrame) -> DataFrame:
     return names.select("norm", F.explode(F.array_distinct(F.array(Q("norm"), _sorted_words(Q("norm"))))).alias("text"))
 
 
-def _grams(texts: DataFrame, q: int) -> DataFrame:
-    """text, gram: runs of q letters, repeated ones numbered."""
-    grams = F.expr(f"transform(sequence(1, length(text) - {q - 1}), i -> substring(text, i, {q}))")
-    each = texts.select("text", F.explode(grams).alias("g"))
-    counted = each.groupBy("text", "g").agg(F.count(F.lit(1)).alias("n"))
-    return counted.select("text", F.explode(F.expr("transform(sequence(1, cast(n as int)), k -> concat(g, k))")).alias("gram"))
+def _segments(texts: DataFrame, least: float) -> DataFrame:
+    """text, key: the segments of each text as the longer one of a pair."""
+    cut = texts.select("text", F.length("text").alias("n")).withColumn("k", _edits(Q("n"), least)).select("*", F.explode(F.sequence(F.lit(0), "k")).alias("i"))
+    return cut.select("text", F.xxhash64("n", "i", F.substring("text", _start() + 1, _start(1) - _start())).alias("key"))
 
 
-def _rarest(grams: DataFrame, often: DataFrame, least: float, q: int) -> DataFrame:
-    """text, gram: of each text so many of its rarest runs that a close text shares one."""
-    k = F.floor(Q("len") * ((1 - least) / least)).cast("int")
-    of_text = grams.join(often, "gram").groupBy("text").agg(F.sort_array(F.collect_list(F.struct("often", "gram"))).alias("all"), F.first(F.length("text")).alias("len"))
-    return of_text.select("text", F.explode(F.slice("all", 1, q * k + 1)).alias("one")).select("text", Q("one.gram").alias("gram"))
+def _runs(texts: DataFrame, least: float, more: int) -> DataFrame:
+    """text, key: the runs of each text that may be a segment of a text longer by `more` letters at least."""
+    most = F.floor(Q("m") / least + 1e-9).cast("int")
+    lengths = texts.select("text", F.length("text").alias("m")).where(Q("m") + more <= most).select("*", F.explode(F.sequence(Q("m") + more, most)).alias("n"))
+    segments = lengths.withColumn("k", _edits(Q("n"), least)).select("*", F.explode(F.sequence(F.lit(0), "k")).alias("i"))
+    left, size = Q("k") - Q("i"), _start(1) - _start()
+    lowest = F.greatest(_start() - Q("i"), _start() + Q("m") - Q("n") - left, F.lit(0))
+    highest = F.least(_start() + Q("i"), _start() + Q("m") - Q("n") + left, Q("m") - size)
+    placed = segments.select("text", "n", "i", size.alias("size"), lowest.alias("lowest"), highest.alias("highest")).where("lowest <= highest")
+    run = F.explode(F.array_distinct(F.transform(F.sequence("lowest", "highest"), lambda at: F.substring("text", at + 1, Q("size"))))).alias("run")
+    return placed.select("text", "n", "i", run).select("text", F.xxhash64("n", "i", "run").alias("key"))
 
 
-def _close(a: DataFrame, b: DataFrame, least: float, q: int) -> DataFrame:
-    """a, b, score of texts that share one of their rarest runs of q letters; compared where they meet, repeats last."""
-    ga, gb = written(_grams(a, q), "grams"), written(_grams(b, q), "grams")
-    often = ga.unionByName(gb).groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
-    ra = _rarest(ga, often, least, q).select(Q("text").alias("a"), "gram")
-    rb = _rarest(gb, often, least, q).select(Q("text").alias("b"), "gram")
-    la, lb = F.length("a"), F.length("b")
-    met = ra.join(rb, "gram").where((F.least(la, lb) >= F.greatest(la, lb) * least) & (Q("a") != Q("b")))
-    return met.select("a", "b", (1 - F.levenshtein("a", "b") / F.greatest(la, lb)).alias("score")).where(Q("score") >= least).distinct()
+def _edits(n: Column, least: float) -> Column:
+    return F.floor(n * (1 - least) + 1e-9).cast("int")
+
+
+def _start(more: int = 0) -> Column:
+    """Where segment i + more of k + 1 begins in a text of n letters."""
+    return F.floor((Q("i") + more) * Q("n") / (Q("k") + 1)).cast("int")
+
+
+def _met(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """a, b: different texts that share a key, once for each key that they share."""
+    below = _segments(left, least).withColumnRenamed("text", "a").join(_runs(right, least, 0).withColumnRenamed("text", "b"), "key")
+    above = _segments(right, least).withColumnRenamed("text", "b").join(_runs(left, least, 1).withColumnRenamed("text", "a"), "key")
+    return below.select("a", "b").unionByName(above.select("a", "b")).where("a <> b")
 
 
 def close_texts(left: DataFrame, right: DataFrame, least: float = LEAST) -> DataFrame:
     """a, b, score: texts of both sides (column `text`) of a score of `least` or more, which is 0.75 at least.
 
-    Of two texts of up to m letters k = (1 - least) m edits leave m + 1 - q - q k runs of q letters: one at least for
-    runs of two from three letters on, and for runs of three from nine on. The shorter of two close texts has 3/4 of
-    the longer one's letters, so pairs whose shorter text has under nine letters are among texts of up to ten.
+    Below that segments have one or two letters, and nearly all texts meet.
     """
     if least < LEAST:
         raise ValueError(f"the index finds scores of {LEAST} or more")
-    a, b = left.select("text").distinct(), right.select("text").distinct()
-    short, long = (F.length("text") > 2) & (F.length("text") <= 10), F.length("text") >= 9
-    same = a.join(b, "text").select(Q("text").alias("a"), Q("text").alias("b"), F.lit(1.0).alias("score"))
-    found = _close(a.where(short), b.where(short), least, 2).unionByName(_close(a.where(long), b.where(long), least, 3))
-    return found.distinct().unionByName(same)
+    a, b = written(left.select("text").distinct(), "texts"), written(right.select("text").distinct(), "texts")
+    longer = F.greatest(F.length("a"), F.length("b"))
+    scores = _met(a, b, least).withColumn("longer", longer).withColumn("most", _edits(Q("longer"), least)).withColumn("edits", F.expr("levenshtein(a, b, most)"))
+    # A key is a hash, so texts that only share it may meet as well.
+    close = scores.where("edits >= 0").select("a", "b", (1 - Q("edits") / Q("longer")).alias("score")).where(Q("score") >= least).distinct()
+    return close.unionByName(a.join(b, "text").select(Q("text").alias("a"), Q("text").alias("b"), F.lit(1.0).alias("score")))
 
 
 def _abbreviation(c: Column) -> Column:

@@ -38,6 +38,20 @@ def test_close_texts_are_those_of_all_pairs(spark):
         names.close_texts(a, b, 0.5)
 
 
+def test_texts_meet_by_segments_and_their_places_only(spark):
+    """Names of a few common runs of letters: nearly all pairs share one, few are close, and few are compared."""
+    rng = random.Random(2)
+    parts = ["the", "and", "ion", "ent", "ing", "her", "tha", "nth"]
+    texts = sorted({"".join(rng.choice(parts) for _ in range(rng.choice([5, 6, 7]))) for _ in range(300)})
+    a, b = (spark.createDataFrame([(t,) for t in some], "text string") for some in (texts[::2], texts[1::2]))
+    met = {(r.a, r.b) for r in names._met(a, b, names.LEAST).collect()}
+    close = {(x, y) for x in texts[::2] for y in texts[1::2] if 1 - distance(x, y) / max(len(x), len(y)) >= names.LEAST}
+    assert close <= met and {(r.a, r.b) for r in names.close_texts(a, b).collect()} == close
+    runs = lambda t: {t[i : i + 3] for i in range(len(t) - 2)}
+    sharing = sum(bool(runs(x) & runs(y)) for x in texts[::2] for y in texts[1::2])
+    assert len(met) < sharing / 2
+
+
 def test_review(spark):
     catalog = [(1, "J. Smith", "John Smith"), (2, "A. Jones", "Anna Jones"), (3, None, "Maria Lopez"), (4, "M. Lopes", "Mario Lopez"), (5, "P. Müller", "Peter Müller")]
     known = spark.createDataFrame([(*r, "x") for r in catalog], "player_id bigint, short_name string, full_name string, norm string")
