@@ -1,9 +1,12 @@
 """A neural net fitted by data-parallel mini-batch Adam, for all folds at once.
 
-Rows are encoded once and written by mini-batch, in blocks of many rows. A step reads one mini-batch: tasks add up the
-gradients of their blocks for every model, each leaving out the rows of its own fold, sums of many tasks are added up
-in a second stage, and the driver moves the weights. It holds weights and moments only, never rows. A model stops when
-its accuracy on rows set apart for validation has not risen for `patience` epochs, and keeps the weights of its best one.
+Rows are encoded once and dealt to shards of whole mini-batches, each of at most SHARD_ROWS rows and SHARD_BYTES. An
+epoch is one job: from common weights and moments each shard takes its mini-batches one by one, for every model without
+the rows of its own fold, and the driver goes on from the means over all shards, weighted by rows (Zinkevich, Weimer,
+Smola, Li 2010). So a table of one shard is fitted by plain mini-batch Adam, and a job grows with the rows while the
+number of jobs does not. Sums of many tasks are added up in a second stage. The driver holds weights and moments only,
+never rows. A model stops when its accuracy on rows set apart for validation has not risen for `patience` epochs, and
+keeps the weights of its best one.
 
 Hidden units are rectified, the output is logistic, the loss is log loss with `alpha` of the squared weights. Numbers
 are standardised by the rows that a model is fitted on. Which rows make up a mini-batch and the validation set follows
@@ -22,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_dir, written
+from ..sources.shared import bounded_batches, shared_dir, written
 from .forest import Encoding
 
-BLOCK, MANY_TASKS = 512, 16
+BLOCK, MANY_TASKS, SHARD_ROWS, SHARD_BYTES = 512, 16, 65_536, 2**25
 PARTS = "model int, n bigint, loss double, right bigint, grad binary"
 _PARTS = pa.schema([("model", pa.int32()), ("n", pa.int64()), ("loss", pa.float64()), ("right", pa.int64()), ("grad", pa.binary())])
-_PACKED = pa.schema([("step", pa.int32()), ("fold", pa.int32()), ("x", pa.binary()), ("y", pa.binary())])
+_PACKED = pa.schema([("shard", pa.int32()), ("fold", pa.int32()), ("s", pa.binary()), ("x", pa.binary()), ("y", pa.binary())])
 Weights = list[tuple[np.ndarray, np.ndarray]]
 
 
@@ -87,6 +90,11 @@ class Adam:
     def __init__(self, rate: float, size: int):
         self.rate, self.m, self.v, self.t = rate, np.zeros(size), np.zeros(size), 0
 
+    def copy(self) -> Adam:
+        out = Adam(self.rate, 0)
+        out.m, out.v, out.t = self.m, self.v, self.t
+        return out
+
     def step(self, at: np.ndarray, grad: np.ndarray) -> np.ndarray:
         self.t += 1
         self.m = 0.9 * self.m + 0.1 * grad
@@ -101,8 +109,8 @@ class Fitted:
         self.encoding, self.weights, self.scales, self.losses, self.accuracies = encoding, weights, scales, losses, accuracies
 
 
-def _blocks(rows: DataFrame, encoding: Encoding, key, label: str, fold: str | None, steps: int, valid: float) -> str:
-    """Writes step, fold, features and labels of many rows together, by step; validation rows are step -1."""
+def _blocks(rows: DataFrame, encoding: Encoding, key, label: str, fold: str | None, steps: int, valid: float, shards: int = 1) -> str:
+    """Writes shard, fold, and steps, features and labels of many rows together; validation rows are shard -1."""
     h = lambda word: F.xxhash64(F.lit(word), *key)
     step = F.when(F.pmod(h("valid"), F.lit(10_000)) < int(valid * 10_000), -1).otherwise(F.pmod(h("step"), F.lit(steps)).cast("int"))
     columns = [*encoding.columns(), F.col(label).cast("int").alias("__y"), (F.col(fold).cast("int") if fold else F.lit(-1)).alias("__f"), step.alias("__s")]
@@ -112,14 +120,17 @@ def _blocks(rows: DataFrame, encoding: Encoding, key, label: str, fold: str | No
         for batch in batches:
             x = encoding.matrix(batch)
             y, f, s = (batch.column(n + k).to_numpy() for k in range(3))
-            for one in {*zip(s.tolist(), f.tolist(), strict=True)}:
-                rows_of = np.flatnonzero((s == one[0]) & (f == one[1]))
+            of, out = np.where(s < 0, -1, s % shards), []
+            for one in {*zip(of.tolist(), f.tolist(), strict=True)}:
+                rows_of = np.flatnonzero((of == one[0]) & (f == one[1]))
                 for at in range(0, len(rows_of), BLOCK):
                     some = rows_of[at : at + BLOCK]
-                    yield pa.RecordBatch.from_pylist([{"step": one[0], "fold": one[1], "x": x[some].tobytes(), "y": y[some].astype(np.int8).tobytes()}], schema=_PACKED)
+                    out.append({"shard": one[0], "fold": one[1], "s": s[some].astype(np.int32).tobytes(), "x": x[some].tobytes(), "y": y[some].astype(np.int8).tobytes()})
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=_PACKED)
 
     path = f"{shared_dir(rows.sparkSession)}/pitchflow/net-{np.random.default_rng().integers(2**62):x}"
-    rows.select(*columns).mapInArrow(pack, "step int, fold int, x binary, y binary").write.partitionBy("step").parquet(path)
+    rows.select(*columns).mapInArrow(pack, "shard int, fold int, s binary, x binary, y binary").write.parquet(path)
     return path
 
 
@@ -168,11 +179,47 @@ def _pass(blocks: DataFrame, weights: dict[int, Weights], scales: dict, width: i
                         s[2] += int(((probabilities(w, at) >= 0.5) == (y == 1)).sum())
         yield _sum_rows(sums)
 
+    return _summed(blocks, work)
+
+
+def _epoch(shards: DataFrame, state: dict[int, tuple[np.ndarray, Adam]], like: Weights, turn: np.ndarray, scales: dict, width: int, alpha: float) -> dict[int, tuple]:
+    """Adam over the mini-batches of each shard, in the order of `turn`, from the same state. For each model: rows, summed loss,
+    rows times steps, and rows times weights and both moments, to be divided by the rows."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list] = {}
+        for batch in batches:
+            for blocks in batch.column(0):
+                blocks = sorted(blocks.as_py(), key=lambda r: (r["fold"], r["s"], r["x"], r["y"]))
+                for model, (flat, adam) in state.items():
+                    mine = [r for r in blocks if r["fold"] != model]
+                    if not mine:
+                        continue
+                    x, y, s = (np.concatenate([np.frombuffer(r[c], of) for r in mine]) for c, of in (("x", np.float32), ("y", np.int8), ("s", np.int32)))
+                    x, at, own, total = x.reshape(-1, width), flat, adam.copy(), 0.0
+                    order = np.argsort(turn[s], kind="stable")
+                    for rows in np.split(order, np.flatnonzero(np.diff(turn[s][order])) + 1):
+                        w = _shaped(at, like)
+                        penalty = _flat([(a, np.zeros_like(b)) for a, b in w])
+                        loss, grad = gradient(w, _scaled(x[rows], scales[model]), y[rows])
+                        total += loss + alpha / 2 * float(penalty @ penalty)
+                        at = own.step(at, (_flat(grad) + alpha * penalty) / len(rows))
+                    found = sums.setdefault(model, [0, 0.0, 0, 0.0])
+                    found[0], found[1], found[2] = found[0] + len(y), found[1] + total, found[2] + len(y) * (own.t - adam.t)
+                    found[3] = found[3] + len(y) * np.concatenate([at, own.m, own.v])
+        yield _sum_rows(sums)
+
+    return _summed(shards, work)
+
+
+def _summed(rows: DataFrame, work) -> dict[int, tuple]:
+    """What `work` yields by task, added up by model."""
+
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _sum_rows(_added(r for batch in batches for r in batch.to_pylist()))
 
-    parts = blocks.mapInArrow(work, PARTS)
-    tasks = blocks.rdd.getNumPartitions()
+    parts = rows.mapInArrow(work, PARTS)
+    tasks = rows.rdd.getNumPartitions()
     if tasks > MANY_TASKS:
         parts = parts.repartition(int(np.sqrt(tasks))).mapInArrow(add, PARTS)
     return {m: tuple(s) for m, s in _added(r.asDict() for r in parts.collect()).items()}
@@ -198,29 +245,33 @@ def fit(
     """A net for each of the models, the folds that it is fitted without (None: on all rows, as model -1)."""
     spark, named = rows.sparkSession, [-1 if m is None else int(m) for m in models]
     steps = max(1, round(rows.count() * (1 - valid) / batch))
-    path = _blocks(rows, encoding, key, label, fold, steps, valid)
-    schema = "fold int, x binary, y binary, step int"
-    table = spark.read.schema(schema).option("basePath", path).parquet(path)
-    there = sorted(r[0] for r in table.select("step").distinct().collect())
-    read = {s: spark.read.schema(schema).parquet(f"{path}/step={s}").drop("step") for s in there}
+    most = max(1, min(SHARD_ROWS, SHARD_BYTES // (4 * max(1, encoding.width))) // batch)
+    shards = -(-steps // most)
+    path = _blocks(rows, encoding, key, label, fold, steps, valid, shards)
+    table = spark.read.schema("shard int, fold int, s binary, x binary, y binary").parquet(path)
+    held = written(table.where("shard < 0").select("fold", "x", "y"), "net-validation")
+    # A shard is a row, so that it is read by one task; a batch of rows for Python is bounded by bytes.
+    bounded_batches(spark)
+    dealt = table.where("shard >= 0").repartitionByRange(shards, "shard").groupBy("shard").agg(F.collect_list(F.struct("fold", "s", "x", "y")).alias("blocks"))
+    train = written(dealt.select("blocks"), "net-shards")
+    any_train, any_held = not train.isEmpty(), not held.isEmpty()
     scales = _scales(rows, encoding, fold, named)
     weights = {m: first_weights([encoding.width, *hidden, 1], seed + m + 1) for m in named}
     adam = {m: Adam(rate, len(_flat(weights[m]))) for m in named}
     losses, accuracies, best, waited = ({m: [] for m in named}, {m: [] for m in named}, {m: (-1.0, weights[m]) for m in named}, dict.fromkeys(named, 0))
     running, order = list(named), np.random.default_rng(seed)
-    train = [s for s in there if s >= 0]
-    for _ in range(epochs if train else 0):
+    for _ in range(epochs if any_train else 0):
         seen = {m: [0.0, 0] for m in running}
-        for k in order.permutation(len(train)):
-            for m, (n, loss, _, grad) in _pass(read[train[k]], {m: weights[m] for m in running}, scales, encoding.width, True).items():
-                flat = _flat(weights[m])
-                penalty = _flat([(w, np.zeros_like(b)) for w, b in weights[m]])
-                weights[m] = _shaped(adam[m].step(flat, (grad + alpha * penalty) / n), weights[m])
-                seen[m][0] += loss + alpha / 2 * float(penalty @ penalty)
-                seen[m][1] += n
+        state = {m: (_flat(weights[m]), adam[m]) for m in running}
+        turn = np.argsort(order.permutation(steps))
+        for m, (n, loss, taken, sums) in _epoch(train, state, weights[running[0]], turn, scales, encoding.width, alpha).items():
+            flat, adam[m].m, adam[m].v = np.split(sums / n, 3)
+            weights[m], adam[m].t = _shaped(flat, weights[m]), adam[m].t + round(taken / n)
+            seen[m][0] += loss
+            seen[m][1] += n
         for m in running:
             losses[m].append(seen[m][0] / max(seen[m][1], 1))
-        judged = _pass(read[-1], {m: weights[m] for m in running}, scales, encoding.width, False) if -1 in read else {}
+        judged = _pass(held, {m: weights[m] for m in running}, scales, encoding.width, False) if any_held else {}
         for m, (n, _, right, _) in judged.items():
             accuracies[m].append(right / n)
             waited[m] = 0 if right / n > best[m][0] + 1e-4 else waited[m] + 1

@@ -150,6 +150,37 @@ def test_the_net_learns_and_stops_early(spark):
     assert got[0] == len(local) and abs(got[1] - loss) < 1e-4 and np.allclose(got[3], net._flat(grad), atol=1e-3)
 
 
+def test_an_epoch_of_the_net_is_one_job_over_shards(spark, monkeypatch):
+    rows = matrix(spark, 600)
+    encoding = forest.Encoding.of(rows, ("kind",), ("x",))
+    fit = lambda: net.fit(rows, encoding, ("event_id",), [0, 1], hidden=(8,), batch=20, epochs=15, patience=20, rate=0.02)
+    # one shard: plain Adam over all mini-batches, as worked out here from the blocks
+    path = net._blocks(rows, encoding, ("event_id",), "label", "fold", 26, 0.15)
+    blocks = [r for r in spark.read.parquet(path).collect() if r.shard == 0]
+    whole, w, order = fit(), net.first_weights([3, 8, 1], 42 + 2), np.random.default_rng(42)
+    mine = [r for r in blocks if r.fold != 1]
+    x, y, s = (np.concatenate([np.frombuffer(r[c], of) for r in mine]) for c, of in (("x", np.float32), ("y", np.int8), ("s", np.int32)))
+    adam = net.Adam(0.02, len(net._flat(w)))
+    x = net._scaled(x.reshape(-1, 3), whole.scales[1])
+    there = np.unique(s)
+    assert len(there) == 26
+    total = 0.0
+    for k in order.permutation(26):
+        loss, grad = net.gradient(w, x[s == k], y[s == k])
+        penalty = net._flat([(a, np.zeros_like(b)) for a, b in w])
+        total += loss + 5e-5 * float(penalty @ penalty)
+        w = net._shaped(adam.step(net._flat(w), (net._flat(grad) + 1e-4 * penalty) / (s == k).sum()), w)
+    assert abs(whole.losses[1][0] - total / len(y)) < 1e-9
+    # many shards: the same number of jobs, and a net that learns as well
+    jobs = []
+    summed = net._summed
+    monkeypatch.setattr(net, "_summed", lambda *a: jobs.append(1) or summed(*a))
+    monkeypatch.setattr(net, "SHARD_ROWS", 100)
+    parts = fit()
+    assert len(jobs) == 2 * 15 and all(parts.losses[m][-1] < 0.6 * parts.losses[m][0] and max(parts.accuracies[m]) > 0.9 for m in (0, 1))
+    assert any(abs(a - b) > 1e-6 for a, b in zip(parts.losses[1], whole.losses[1], strict=True))
+
+
 def test_future_form(spark):
     rng = random.Random(4)
     rows = [(p, d, float(rng.randrange(100)), 0.0) for p in range(5) for d in range(30)]
