@@ -122,7 +122,7 @@ def _paths(s, d):
 
 
 def _picked(s, d):
-    e = _elements(s, d)
+    e = written(_elements(s, d), "elements")  # three steps read them, and they are parsed once
     asked = e.where("reason is null").select("file", MF.match_id_of(F.col("element")).alias("match_id")).where("match_id % 3 <> 0").select("file", F.when(F.col("match_id") % 3 == 1, F.col("match_id")).otherwise(F.lit(-5)).alias("match_id"))
     return MF.pick_match(e, asked).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 

@@ -173,3 +173,11 @@ def test_search_holds_one_pair_of_blocks_at_a_time(spark):
     got = G.cosine_top_k(same, same.where("vec_id in (0, 1400)"), 3).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r.vec_id) for r in got] == [(0, 1), (0, 2), (0, 3), (1400, 0), (1400, 1), (1400, 2)]
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 * 2**20
+
+
+def test_match_files_are_parsed_once_for_the_pick(spark):
+    from pitchflow.plans import files
+
+    out = files._picked(spark, "/root/testdata/sf0.001")
+    assert {r.outcome for r in out.collect()} == {"found", "not_found"}
+    assert "from_json" not in out._jdf.queryExecution().toString()
