@@ -23,8 +23,14 @@ shingles differs in some ten bits at that similarity, so the covering would need
 words, with their counts, differs in five or fewer in 98 of 100 such pairs, which the same anchors cover (of five bits,
 too, one half has at most two). Anchors are therefore those of the word fingerprints, within an anchor the pair's
 shingle fingerprints must be within `SHINGLE_BITS`, which leaves out texts that only share their words, and of what is left
-the similarity is found from the SKETCH smallest shingle hashes of both: exact up to so many shingles, beyond with a
-standard error of 0.035. Pairs within MARGIN of 0.8, three such errors, are decided by all shingles of their texts. Per anchor the links of spanning forests from two centers are tried, never all pairs of a group.
+the similarity is estimated from the SKETCH smallest shingle hashes of both, with a standard error of 0.035. Pairs with
+an estimate within MARGIN of 0.8, three such errors, are decided by all shingles of their texts. Per anchor the links of spanning forests from two centers are tried, never all pairs of a group.
+
+What that leaves out is found by an exact join by prefixes. All shingles have one order, rare ones first: two sets alike to 0.8
+share a shingle among the first n - ceil(0.8 n) + 1 of each, and at the first one they share what is left of both sets must
+suffice for the overlap. Texts meet at these shingles, and those that are in different components by then are decided by all
+their shingles. Any order gives the same pairs; which shingles are frequent is counted on some ORDER_TEXTS texts, and
+those over `crowded` texts are dealt out in blocks, each pair of blocks by itself.
 
 Nulls, ties and edges: a null text is empty; texts without words all have fingerprint zero and link to each other.
 A component's id is its smallest doc_id. Rows that repeat a doc_id belong to the component of that fingerprint.
@@ -43,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, join_unique, written
+from .common import bounded_batches, join_unique, trimmed, written
 from .tokens import small_slices
 
 SHINGLE = 4
@@ -60,8 +66,15 @@ CROWDED = 20_000
 SIMILAR_SHINGLE, SIMILAR = 5, 0.8
 WORD_BITS, SHINGLE_BITS = 5, 16
 SKETCH = 128
-#: Three standard errors of a sketch's estimate near SIMILAR; closer estimates are decided by whole texts.
+#: Three standard errors of a sketch's estimate near SIMILAR; pairs below SIMILAR by more are left to the join by prefixes.
 MARGIN = 0.105
+#: Texts on which the frequent shingles are counted, in how many of them one is frequent, and how many are told to the
+#: workers. They give the order of shingles only, and no result depends on it.
+ORDER_TEXTS, FREQUENT, FREQUENT_MOST = 10_000, 3, 200_000
+#: An estimate further below SIMILAR is over eight errors off, which leaves fewer than one pair in 10^12 out.
+FAR = 0.3
+#: So many ids of texts to verify are broadcast at most.
+FEW = 100_000
 _SPACE = bytes(c if not 65 <= c <= 90 else c + 32 for c in range(256))
 _BLANKS = b" \t\n\x0b\x0c\r"
 
@@ -334,21 +347,56 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t.as_py()).tobytes() for t in part.column(1)], pa.binary())], names=["node", "shingles"])
 
 
-def similar_prints(text: str | None) -> tuple[int, int, int, bytes]:
-    """Of a text: a hash of its words in order, the fingerprints of its words and of its shingles, and the sketch."""
+def _each_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in small_slices(batch, 0):
+            sets = [shingle_set(t.as_py()) for t in part.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["shingle"])
+
+
+def _frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
+    """Frequent shingles, sorted, in how many texts of a sample each is, and how many texts stand for one of it. rows: th, text."""
+    share = max(1, rows.count() // ORDER_TEXTS)
+    some = rows.where(F.pmod("th", F.lit(share)) == 0).dropDuplicates(["th"]).select("text")
+    counts = some.mapInArrow(_each_shingle, "shingle bigint").groupBy("shingle").count().where(F.col("count") >= FREQUENT)
+    found = counts.orderBy(F.desc("count"), "shingle").limit(FREQUENT_MOST).toArrow()
+    shingle, count = found.column("shingle").to_numpy().view(np.uint64), found.column("count").to_numpy()
+    order = np.argsort(shingle)
+    return shingle[order], count[order], float(share)
+
+
+def _counts_of(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray, float]) -> np.ndarray:
+    """In how many texts of the sample each shingle is, 0 for those that are not frequent."""
+    known, count, _ = frequent
+    if not len(known):
+        return np.zeros(len(shingles), np.int64)
+    at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+    return np.where(known[at] == shingles, count[at], 0)
+
+
+def prefix_of(shingles: np.ndarray, least: float, frequent: tuple[np.ndarray, np.ndarray, float]) -> np.ndarray:
+    """The first shingles of a set, rare ones first, of which every set that is alike to `least` has one among its own first."""
+    n = len(shingles)
+    most = n - int(np.ceil(least * n - 1e-6)) + 1 if n else 0
+    return shingles[np.lexsort((shingles, _counts_of(shingles, frequent)))[:most]]
+
+
+def similar_prints(text: str | None) -> tuple[int, int, int, bytes, np.ndarray]:
+    """Of a text: a hash of its words in order, the fingerprints of its words and of its shingles, the sketch, and its distinct shingles."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode("utf-8", "surrogatepass").translate(_SPACE).split()
     line = b" ".join(words)
     if not words:
-        return xxh64_intdigest(line, SEED), 0, 0, b""
+        return xxh64_intdigest(line, SEED), 0, 0, b"", np.zeros(0, np.uint64)
     counts: dict[bytes, int] = {}
     for w in words:
         counts[w] = counts.get(w, 0) + 1
     shingles, n = _shingle_hashes(words, line), max(1, len(words) - SIMILAR_SHINGLE + 1)
     of_words = np.fromiter((xxh64_intdigest(w, SEED) for w in counts), np.uint64, len(counts))
-    sketch = np.unique((shingles >> np.uint64(32)).astype(np.uint32))[:SKETCH]
-    return xxh64_intdigest(line, SEED), _majority(of_words, np.fromiter(counts.values(), np.int64, len(counts))), _majority(shingles, np.ones(n, np.int64)), sketch.tobytes()
+    distinct = np.unique(shingles)
+    sketch = np.unique((distinct >> np.uint64(32)).astype(np.uint32))[:SKETCH]
+    return xxh64_intdigest(line, SEED), _majority(of_words, np.fromiter(counts.values(), np.int64, len(counts))), _majority(shingles, np.ones(n, np.int64)), sketch.tobytes(), distinct
 
 
 def _majority(hashes: np.ndarray, weights: np.ndarray) -> int:
@@ -359,13 +407,17 @@ def _majority(hashes: np.ndarray, weights: np.ndarray) -> int:
     return int.from_bytes(np.packbits(on * 2 > weights.sum()).tobytes(), "big")
 
 
-def _all_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _all_prints(batches: Iterator[pa.RecordBatch], least: float, frequent) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", "th", "node", "u", "s", "sketch", "n", "prefix"]
     for batch in batches:
-        for k in range(0, batch.num_rows, 500):
-            part = batch.slice(k, 500)
-            found = [similar_prints(t.as_py()) for t in part.column(2)]
+        for part in small_slices(batch, 2):
+            found = []
+            for t in part.column(2):
+                *prints, shingles = similar_prints(t.as_py())
+                found.append((*prints, len(shingles), prefix_of(shingles, least, frequent.value).tobytes()))
             numbers = [pa.array(np.array([f[i] for f in found], np.uint64).view(np.int64)) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *numbers, pa.array([f[3] for f in found], pa.binary())], names=["doc_id", "th", "node", "u", "s", "sketch"])
+            rest = [pa.array([f[3] for f in found], pa.binary()), pa.array([f[4] for f in found], pa.int64()), pa.array([f[5] for f in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *numbers, *rest], names=names)
 
 
 def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -459,8 +511,11 @@ def _verified(pairs: DataFrame, prints: DataFrame, rows: DataFrame, least: float
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     # One row stands for a node, whatever the number of its copies.
     one = prints.groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("x")).join(nodes, "node").select("node", F.col("x.doc_id").alias("__id"), F.col("x.th").alias("__th"))
+    one = written(one, "to-verify")
+    if one.count() <= FEW:
+        one = F.broadcast(one)  # the texts stay where they are
     texts = rows.join(one, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))).select("node", "text")
-    sets = written(texts.mapInArrow(_sets, "node bigint, shingles binary").dropDuplicates(["node"]), "shingle-sets")
+    sets = written(texts.mapInArrow(lambda b: trimmed(_sets(b)), "node bigint, shingles binary").dropDuplicates(["node"]), "shingle-sets")
     with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     with_both = with_a.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
 
@@ -471,16 +526,106 @@ def _verified(pairs: DataFrame, prints: DataFrame, rows: DataFrame, least: float
     return with_both.where(of_sets("x", "y") >= least).select("a", "b")
 
 
-def similar_pairs(prints: DataFrame, least: float = SIMILAR, crowded: int = CROWDED, rows: DataFrame | None = None) -> DataFrame:
-    """a, b: links between distinct nodes whose texts have at least this similarity. prints: doc_id, th, node, u, s, sketch.
+def _prefix_rows(batches: Iterator[pa.RecordBatch], crowded: int, frequent) -> Iterator[pa.RecordBatch]:
+    """From (node, class, n, prefix) a row for each shingle of a prefix: shingle, part (of a crowded one: a pair of blocks), n, at, class, node."""
+    names = ["shingle", "part", "n", "at", "class", "node"]
+    for batch in batches:
+        for part in small_slices(batch, 3):
+            prefixes = [np.frombuffer(x, np.uint64) for x in part.column(3).to_pylist()]
+            size = np.array([len(x) for x in prefixes])
+            shingle = np.concatenate(prefixes)
+            row, at = np.repeat(np.arange(len(size)), size), np.arange(len(shingle)) - np.repeat(np.cumsum(size) - size, size)
+            node, own, n = (part.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            blocks = np.ceil(_counts_of(shingle, frequent.value) * frequent.value[2] / crowded).astype(np.int64)
+            many = np.flatnonzero(blocks > 1)
+            key = np.zeros(len(shingle), np.int64)
+            found = [(np.flatnonzero(blocks <= 1), key[blocks <= 1])]
+            for k in many.tolist():
+                mine = int(node[row[k]].view(np.uint64) % np.uint64(blocks[k]))
+                others = np.arange(blocks[k])
+                found.append((np.full(len(others), k), np.minimum(mine, others) * blocks[k] + np.maximum(mine, others)))
+            pick, key = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+            r = row[pick]
+            for k in range(0, len(pick), 50_000):
+                some = slice(k, k + 50_000)
+                arrays = [shingle[pick[some]].view(np.int64), key[some], n[r[some]], at[pick[some]], own[r[some]], node[r[some]]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=names)
+
+
+def _met(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by shingle, part and n: pairs of different classes that can have the overlap, by their sizes and what is left of both sets."""
+    kept: list[np.ndarray] | None = None
+
+    def possible(i, j, n, at, own):
+        need = least / (1 + least) * (n[i] + n[j]) - 1e-6
+        return (own[i] != own[j]) & (np.minimum(n[i] - at[i], n[j] - at[j]) >= need) & (n[i] >= least * n[j] - 1e-6)
+
+    def batch_of(out):
+        pairs = np.unique(np.sort(np.concatenate(out, axis=1), axis=0), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    def pairs_of(shingle, part, n, at, own, node):
+        new = np.ones(len(node), bool)
+        new[1:] = (shingle[1:] != shingle[:-1]) | (part[1:] != part[:-1])
+        begin = np.flatnonzero(new)
+        size = np.diff(np.append(begin, len(node)))
+        group, out = np.repeat(np.arange(len(begin)), size), []
+        row = np.flatnonzero(np.repeat((size > 1) & (size <= 32), size))
+        for lag in range(1, 32):
+            row = row[row + lag < len(node)]
+            row = row[group[row] == group[row + lag]]
+            if not len(row):
+                break
+            hit = row[possible(row, row + lag, n, at, own)]
+            out.append(np.stack([node[hit], node[hit + lag]]))
+        for g in np.flatnonzero(size > 32):
+            end, waiting = begin[g] + size[g], 0
+            for i in range(begin[g], end - 1):
+                j = np.arange(i + 1, begin[g] + np.searchsorted(n[begin[g] : end], n[i] / least + 1e-6, side="right"))
+                j = j[possible(i, j, n, at, own)]
+                if len(j):
+                    out.append(np.stack([np.full(len(j), node[i]), node[j]]))
+                    waiting += len(j)
+                if waiting > 500_000:
+                    yield batch_of(out)
+                    out, waiting = [], 0
+        if out:
+            yield batch_of(out)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if kept is not None:
+            columns = [np.concatenate([k, c]) for k, c in zip(kept, columns, strict=True)]
+        differs = (columns[0] != columns[0][-1]) | (columns[1] != columns[1][-1])
+        cut = int(np.flatnonzero(differs)[-1]) + 1 if differs.any() else 0
+        if cut:
+            yield from pairs_of(*(c[:cut] for c in columns))
+        kept = [c[cut:] for c in columns]
+    if kept is not None and len(kept[-1]):
+        yield from pairs_of(*kept)
+
+
+def _left_out(prints: DataFrame, links: DataFrame, least: float, crowded: int, frequent) -> DataFrame:
+    """a, b: all pairs of texts of different components of the links that can be alike, by shared shingles of their prefixes."""
+    roots = components(links).withColumnRenamed("root", "class")
+    placed = prints.select("node", "n", "prefix").dropDuplicates(["node"]).join(roots, "node", "left").select("node", F.coalesce("class", "node").alias("class"), "n", "prefix")
+    met = placed.mapInArrow(lambda b: trimmed(_prefix_rows(b, crowded, frequent)), "shingle bigint, part bigint, n bigint, at bigint, class bigint, node bigint")
+    keys = ("shingle", "part")
+    return met.repartition(*keys).sortWithinPartitions(*keys, "n").mapInArrow(lambda b: trimmed(_met(b, least)), "a bigint, b bigint").distinct()
 
-    rows (doc_id, th, text): pairs whose sketches leave it open, within MARGIN of `least`, are decided by their texts.
+
+def similar_pairs(prints: DataFrame, rows: DataFrame, frequent, least: float = SIMILAR, crowded: int = CROWDED) -> DataFrame:
+    """a, b: links between distinct nodes whose texts have at least this similarity, which connect all such nodes.
+
+    prints: doc_id, th, node, u, s, sketch, n, prefix; rows: doc_id, th, text; frequent: a broadcast of `_frequent`.
     """
     texts = written(prints.select("node", "u", "s", "sketch").dropDuplicates(["node"]), "texts-of-nodes")
     dealt = texts.select("u", "s", "node").mapInArrow(_dealt, "anchor bigint, u bigint, s bigint, node bigint")
     full = written(dealt.groupBy("anchor").count().where(F.col("count") > crowded).select("anchor"), "crowded")
     pair = "a bigint, b bigint"
-    apart = lambda rows, *keys: rows.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "u", "s", "node").mapInArrow(_candidates, pair)
+    apart = lambda rows, *keys: rows.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "u", "s", "node").mapInArrow(lambda b: trimmed(_candidates(b)), pair)
     if full.isEmpty():
         found = apart(dealt, "anchor")
     else:
@@ -491,28 +636,33 @@ def similar_pairs(prints: DataFrame, least: float = SIMILAR, crowded: int = CROW
         pieces = pieces.select("anchor", F.col("x.k").cast("bigint").alias("k"), F.col("x.v").alias("v"), "u", "s", "node")
         found = apart(dealt.join(full, "anchor", "left_anti"), "anchor").unionByName(apart(pieces, "anchor", "k", "v"))
     found = written(found.distinct(), "candidates")
-    with_a = found.join(texts.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a")
-    with_both = with_a.join(texts.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
 
     @F.arrow_udf("double")
     def of_sketches(x: pa.Array, y: pa.Array) -> pa.Array:
         return pa.array([similarity(p, q) for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.float64())
 
-    scored = with_both.withColumn("e", of_sketches("x", "y"))
-    if rows is None:
-        return scored.where(F.col("e") >= least).select("a", "b")
-    full = (F.octet_length("x") == 4 * SKETCH) | (F.octet_length("y") == 4 * SKETCH)
-    scored = written(scored.where(F.col("e") >= least - MARGIN).select("a", "b", (full & (F.col("e") < least + MARGIN)).alias("open"), "e"), "estimates")
+    def estimated(pairs: DataFrame, lowest: float) -> DataFrame:
+        with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a")
+        with_both = with_a.join(texts.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b").withColumn("e", of_sketches("x", "y"))
+        full = (F.octet_length("x") == 4 * SKETCH) | (F.octet_length("y") == 4 * SKETCH)
+        return written(with_both.where(F.col("e") >= lowest).select("a", "b", (full & (F.col("e") < least + MARGIN)).alias("open"), "e"), "estimates")
+
+    scored = estimated(found, least - MARGIN)
     sure = scored.where(~F.col("open") & (F.col("e") >= least)).select("a", "b")
-    return sure.unionByName(_verified(scored.where("open").select("a", "b"), prints, rows, least))
+    links = written(sure.unionByName(_verified(scored.where("open").select("a", "b"), prints, rows, least)), "similar")
+    left_out = _left_out(prints, links, least, crowded, frequent).join(scored.select("a", "b"), ["a", "b"], "left_anti")
+    return links.unionByName(_verified(estimated(written(left_out, "left-out"), least - FAR).select("a", "b"), prints, rows, least))
 
 
 def similar_classes(docs: DataFrame, least: float = SIMILAR, crowded: int = CROWDED) -> DataFrame:
     """doc_id, th, node, root, component_id for every row of docs, by similarity of five-word shingles."""
-    bounded_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _text_hash().alias("th"), F.col("text").cast("string").alias("text"))
-    prints = written(rows.mapInArrow(_all_prints, "doc_id bigint, th bigint, node bigint, u bigint, s bigint, sketch binary"), "prints")
-    return _named(prints.select("doc_id", "th", "node"), similar_pairs(prints, least, crowded, rows), "node")
+    frequent = spark.sparkContext.broadcast(_frequent(rows))
+    found = rows.mapInArrow(lambda b: trimmed(_all_prints(b, least, frequent)), "doc_id bigint, th bigint, node bigint, u bigint, s bigint, sketch binary, n bigint, prefix binary")
+    prints = written(found, "prints")
+    return _named(prints.select("doc_id", "th", "node"), similar_pairs(prints, rows, frequent, least, crowded), "node")
 
 
 def keep_one(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, scratch_path, written
+from .common import bounded_batches, scratch_path, trimmed, written
 from .tokens import cut_at, small_slices
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -216,7 +216,7 @@ def write_shards(docs: DataFrame, out: str, path: str | None = None, length: int
             raise RuntimeError("two splits have one hash: write with another split_bytes")
         offsets = spark.sparkContext.broadcast((splits[order], (np.cumsum(n) - n)[order]))
         shards = -(-total // per_shard)
-        sequences = rows.select(split, "text").mapInArrow(lambda b: _sequences(b, path, offsets, total, length, per_shard, key, end, window), "shard bigint, place bigint, record binary")
+        sequences = rows.select(split, "text").mapInArrow(lambda b: trimmed(_sequences(b, path, offsets, total, length, per_shard, key, end, window)), "shard bigint, place bigint, record binary")
         ranged = sequences.repartitionById(min(shards, 20_000), (F.col("shard") % 20_000).cast("int")).sortWithinPartitions("shard", "place")
         # Spark writes the bytes of a string as they are, and here they are no text; a shard is one file, or its slots would repeat.
         ranged.select("shard", F.col("record").cast("string").alias("value")).write.option("maxRecordsPerFile", 0).partitionBy("shard").text(out)
@@ -257,7 +257,7 @@ def _opened(spark: SparkSession, out: str, length: int, first_slot: int, digest:
     firsts = {shard: at for shard, at, _ in rows}
     begin = min((shard for shard, at, n in rows if at + n > first_slot), default=0)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(out).where(F.col("shard") >= begin)
-    return files.select(F.col("shard").cast("bigint").alias("shard"), "content").mapInArrow(lambda b: _read(b, length, firsts, first_slot, digest), schema)
+    return files.select(F.col("shard").cast("bigint").alias("shard"), "content").mapInArrow(lambda b: trimmed(_read(b, length, firsts, first_slot, digest)), schema)
 
 
 def read_shards(spark: SparkSession, out: str, length: int = LENGTH, first_slot: int = 0) -> DataFrame:

@@ -105,3 +105,29 @@ def test_pairs_near_the_limit_are_decided_by_their_texts(spark):
     assert joined <= alike  # none is joined below the limit
     assert len(joined) >= 0.9 * len(alike) and any(0.75 < v < 0.8 for v in want.values()) and any(0.8 <= v < 0.85 for v in want.values())
     assert simhash.exact_similarity(b"", b"") == 0 and simhash.exact_similarity(simhash.shingle_set("a b c d e f").tobytes(), simhash.shingle_set("a b c d e f g").tobytes()) == 2 / 3
+
+
+def test_no_similar_pair_is_left_out(spark, monkeypatch):
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = []
+    template = [word() for _ in range(150)]
+    for _ in range(60):  # twins of one template, which is no link by itself: over 32 texts at one anchor
+        own = template[:110] + [word() for _ in range(40)]
+        texts += [own, [*own[:-3], word(), *own[-2:]]]
+    for size in (6, 12, 20, 30, 60):  # word fingerprints of short texts and of long runs differ in many bits
+        for _ in range(30):
+            base = [word() for _ in range(size)]
+            texts += [base, [*base, *(word() for _ in range(size // 5))]]
+    texts = {k: " ".join(t) for k, t in enumerate(texts)}
+    sets = {k: set(simhash.shingle_set(t).tolist()) for k, t in texts.items()}
+    name = {k: k for k in sets}
+    for b in sets:
+        for a in range(b):
+            if len(sets[a] & sets[b]) >= simhash.SIMILAR * len(sets[a] | sets[b]) and name[a] != name[b]:
+                low, high = sorted((name[a], name[b]))
+                name = {k: low if v == high else v for k, v in name.items()}
+    docs = docs_of(spark, [(k, t, "s") for k, t in texts.items()])
+    assert {r.doc_id: r.component_id for r in simhash.similar_classes(docs).collect()} == name
+    monkeypatch.setattr(simhash, "ORDER_TEXTS", 100)
+    assert {r.doc_id: r.component_id for r in simhash.similar_classes(docs, crowded=10).collect()} == name
