@@ -27,7 +27,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, written
+from .common import bounded_batches, trimmed, written
 
 WINDOW = 10
 _FOLD = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -191,6 +191,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, max_patterns: int = 2_000_000)
 def _is_hit(items: Slice):
     @F.arrow_udf("boolean")
     def is_hit(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return trimmed(found(texts))
+
+    def found(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         automaton = _automaton(items)
         for some in texts:
             yield pa.array([bool(_scan(t.as_py(), automaton)[1]) for t in some], pa.bool_())

@@ -26,10 +26,11 @@ from __future__ import annotations
 import heapq
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import arrow_table, written
 
 SHARES = 100
 BLOCK_ROWS = 16
@@ -149,7 +150,7 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, other: int = 1,
         .withColumn("__k", (F.col("block") % F.col("__w")).cast("int"))
         .withColumn("__kind", F.size(F.filter(firsts, lambda f: f <= F.col("__frame"))) - 1)
     )
-    order_of = spark.createDataFrame(entries, "__kind int, __source string, __k int, __at bigint")
+    order_of = arrow_table(spark, entries, pa.schema({"__kind": pa.int32(), "__source": pa.string(), "__k": pa.int32(), "__at": pa.int64()}))
     placed = numbered.join(F.broadcast(order_of), ["__kind", "__source", "__k"])
     frames = F.array(*[F.struct(F.lit(f).cast("bigint").alias("frame"), F.lit(s).cast("bigint").alias("slot"), F.lit(n).cast("bigint").alias("size")) for f, s, n in kinds])
     kind = F.get(frames, F.col("__kind"))

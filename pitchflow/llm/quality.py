@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import arrow_table, bounded_batches, trimmed
 from .tokens import small_slices
 
 PASSAGE = 1024
@@ -269,9 +269,9 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_by
     size = F.min(F.struct(F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"), "th")).alias("x")
     found = texts.join(F.broadcast(some), "doc_id").groupBy("doc_id", "quality").agg(size).select("doc_id", "quality", "x.n", "x.th").orderBy(order, "doc_id").collect()
     taken = [(r.doc_id, r.quality, r.th) for r, fits in zip(found, fitting([r.n for r in found], max_bytes), strict=True) if fits]
-    chosen = spark.createDataFrame(taken, "doc_id bigint, quality int, th bigint")
+    chosen = arrow_table(spark, taken, pa.schema({"doc_id": pa.int64(), "quality": pa.int32(), "th": pa.int64()}))
     rows = texts.join(F.broadcast(chosen), ["doc_id", "th"]).select("doc_id", "quality", "text")
-    vectors = rows.mapInArrow(_vectors, "doc_id bigint, quality int, x binary").dropDuplicates(["doc_id"])
+    vectors = rows.mapInArrow(lambda b: trimmed(_vectors(b)), "doc_id bigint, quality int, x binary").dropDuplicates(["doc_id"])
     got = sorted(map(tuple, vectors.collect()))
     vectors = [np.frombuffer(x, np.float32).reshape(-1, WIDTH) for _, _, x in got]
     x = np.concatenate(vectors) if vectors else np.zeros((0, WIDTH), np.float32)
@@ -281,6 +281,9 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_by
 def _scorer(model: AttentionModel):
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return trimmed(scored(batches))
+
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             out = [np.zeros(0)]
             for part in small_slices(pa.RecordBatch.from_arrays([texts], names=["text"]), 0, SLICE):

@@ -358,7 +358,7 @@ def _frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     """Frequent shingles, sorted, in how many texts of a sample each is, and how many texts stand for one of it. rows: th, text."""
     share = max(1, rows.count() // ORDER_TEXTS)
     some = rows.where(F.pmod("th", F.lit(share)) == 0).dropDuplicates(["th"]).select("text")
-    counts = some.mapInArrow(_each_shingle, "shingle bigint").groupBy("shingle").count().where(F.col("count") >= FREQUENT)
+    counts = some.mapInArrow(lambda b: trimmed(_each_shingle(b)), "shingle bigint").groupBy("shingle").count().where(F.col("count") >= FREQUENT)
     found = counts.orderBy(F.desc("count"), "shingle").limit(FREQUENT_MOST).toArrow()
     shingle, count = found.column("shingle").to_numpy().view(np.uint64), found.column("count").to_numpy()
     order = np.argsort(shingle)
@@ -520,8 +520,8 @@ def _verified(pairs: DataFrame, prints: DataFrame, rows: DataFrame, least: float
     with_both = with_a.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
 
     @F.arrow_udf("double")
-    def of_sets(x: pa.Array, y: pa.Array) -> pa.Array:
-        return pa.array([exact_similarity(p.as_py(), q.as_py()) for p, q in zip(x, y, strict=True)], pa.float64())
+    def of_sets(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        return trimmed(pa.array([exact_similarity(p.as_py(), q.as_py()) for p, q in zip(x, y, strict=True)], pa.float64()) for x, y in batches)
 
     return with_both.where(of_sets("x", "y") >= least).select("a", "b")
 
@@ -622,7 +622,7 @@ def similar_pairs(prints: DataFrame, rows: DataFrame, frequent, least: float = S
     prints: doc_id, th, node, u, s, sketch, n, prefix; rows: doc_id, th, text; frequent: a broadcast of `_frequent`.
     """
     texts = written(prints.select("node", "u", "s", "sketch").dropDuplicates(["node"]), "texts-of-nodes")
-    dealt = texts.select("u", "s", "node").mapInArrow(_dealt, "anchor bigint, u bigint, s bigint, node bigint")
+    dealt = texts.select("u", "s", "node").mapInArrow(lambda b: trimmed(_dealt(b)), "anchor bigint, u bigint, s bigint, node bigint")
     full = written(dealt.groupBy("anchor").count().where(F.col("count") > crowded).select("anchor"), "crowded")
     pair = "a bigint, b bigint"
     apart = lambda rows, *keys: rows.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "u", "s", "node").mapInArrow(lambda b: trimmed(_candidates(b)), pair)
@@ -638,8 +638,8 @@ def similar_pairs(prints: DataFrame, rows: DataFrame, frequent, least: float = S
     found = written(found.distinct(), "candidates")
 
     @F.arrow_udf("double")
-    def of_sketches(x: pa.Array, y: pa.Array) -> pa.Array:
-        return pa.array([similarity(p, q) for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.float64())
+    def of_sketches(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        return trimmed(pa.array([similarity(p, q) for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.float64()) for x, y in batches)
 
     def estimated(pairs: DataFrame, lowest: float) -> DataFrame:
         with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a")

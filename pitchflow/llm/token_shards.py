@@ -234,7 +234,8 @@ def manifest(spark: SparkSession, out: str, length: int = LENGTH) -> list[tuple[
 
 
 def _read(batches: Iterator[pa.RecordBatch], length: int, firsts: dict[int, int], first_slot: int, digest: bool) -> Iterator[pa.RecordBatch]:
-    """slot, shard, offset and the record, or of it n_tokens, n_ends and its SHA-256."""
+    """slot, shard, offset and the record, or of it n_tokens, n_ends and its SHA-256. Encoding is over: the worker's encoder goes."""
+    _ENCODERS.clear()
     stride = 2 * length + 1
     for batch in batches:
         for shard, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
