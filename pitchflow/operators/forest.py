@@ -159,14 +159,20 @@ def grow_tree(x: np.ndarray, y: np.ndarray, w: np.ndarray, rng, depth: int = 14,
 
 
 def tree_scores(tree: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
-    at, every = np.zeros(len(x), int), np.arange(len(x))
+    """The value of the leaf that each row comes to; rows that are at one stay there until all are."""
+    feature, threshold, value = tree["feature"], tree["threshold"], tree["value"]
+    if feature[0] < 0:
+        return np.full(len(x), value[0])
+    leaf, here = feature < 0, np.arange(len(feature))
+    child = np.stack([np.where(leaf, here, tree["above"]), np.where(leaf, here, tree["below"])], axis=1).ravel()
+    column = np.maximum(feature, 0)
+    values, row, at = np.ascontiguousarray(x).ravel(), np.arange(len(x)) * x.shape[1], np.zeros(len(x), int)
     while True:
-        f = tree["feature"][at]
-        go = f >= 0
-        if not go.any():
-            return tree["value"][at]
-        low = x[every, np.maximum(f, 0)] <= tree["threshold"][at]
-        at = np.where(go, np.where(low, tree["below"][at], tree["above"][at]), at)
+        low = values.take(row + column.take(at)) <= threshold.take(at)
+        to = child.take(2 * at + low)
+        if np.array_equal(to, at):
+            return value.take(at)
+        at = to
 
 
 class Pool:
