@@ -72,7 +72,8 @@ def _player_files(s, d):
 def _league_rows(s, d, mode="heuristic"):
     """Player rows with sides by their match and totals of names that nobody has listed; and their teams."""
     rows = PF.player_rows(_player_files(s, d))
-    group, day = F.expr("player_id div 30"), F.expr("match_id div 1000")
+    # A match's number is 1000 days and its group; from 30,000 players on groups reach beyond 1000, so the day is not its thousands.
+    group, day = F.expr("player_id div 30"), F.expr("(match_id - player_id div 30) div 1000")
     club = lambda n: F.concat(F.lit("club "), n.cast("string"))
     home = F.when(F.col("match_id") % 23 != 0, club(group))
     sides = F.struct(home.alias("home"), F.when(home.isNotNull(), club(group + 1 + day % 3)).alias("away"), F.lit(None).cast("int").alias("home_goals"), F.lit(None).cast("int").alias("away_goals"))
