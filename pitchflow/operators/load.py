@@ -365,7 +365,8 @@ def name_mapping(devices: DataFrame, catalog: DataFrame, overrides: dict[str, in
     last = lambda c: F.element_at(F.split(c, " "), -1)
     exact = known.groupBy("norm").agg(F.sort_array(F.collect_set("player_id")).alias("exact"))
     surname = catalog.select("player_id", last(full).alias("word")).where("word <> ''").groupBy("word").agg(F.sort_array(F.collect_set("player_id")).alias("by_surname"))
-    m = names.join(F.broadcast(override), "norm", "left").join(exact, "norm", "left").withColumn("word", last(F.col("norm"))).join(surname, "word", "left")
+    # Lists of players by name take little room in Parquet and much in memory, so they are not left to be broadcast.
+    m = names.join(F.broadcast(override), "norm", "left").join(exact.hint("merge"), "norm", "left").withColumn("word", last(F.col("norm"))).join(surname.hint("merge"), "word", "left")
     candidates = F.when(F.col("override").isNotNull(), F.array("override")).otherwise(F.coalesce("exact", "by_surname", F.array().cast("array<bigint>")))
     m = m.withColumn("candidates", candidates)
     one = F.size("candidates") == 1

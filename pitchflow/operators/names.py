@@ -29,6 +29,12 @@ ABBREVIATED, LEAST, ACCEPT, LEAD = 0.9, 0.75, 0.9, 0.05
 Q = F.col
 
 
+def _large(rows: DataFrame) -> DataFrame:
+    """A side of a join of names, never sent whole to the driver: equal names and segments take little room in Parquet and
+    are estimated by it, but were up to 640 MB when broadcast."""
+    return rows.hint("merge")
+
+
 def _sorted_words(c: Column) -> Column:
     return F.array_join(F.array_sort(F.split(c, " ")), " ")
 
@@ -68,8 +74,8 @@ def _start(more: int = 0) -> Column:
 
 def _met(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """a, b: different texts that share a key, once for each key that they share."""
-    below = _segments(left, least).withColumnRenamed("text", "a").join(_runs(right, least, 0).withColumnRenamed("text", "b"), "key")
-    above = _segments(right, least).withColumnRenamed("text", "b").join(_runs(left, least, 1).withColumnRenamed("text", "a"), "key")
+    below = _segments(left, least).withColumnRenamed("text", "a").join(_large(_runs(right, least, 0).withColumnRenamed("text", "b")), "key")
+    above = _segments(right, least).withColumnRenamed("text", "b").join(_large(_runs(left, least, 1).withColumnRenamed("text", "a")), "key")
     return below.select("a", "b").unionByName(above.select("a", "b")).where("a <> b")
 
 
@@ -85,7 +91,7 @@ def close_texts(left: DataFrame, right: DataFrame, least: float = LEAST) -> Data
     scores = _met(a, b, least).withColumn("longer", longer).withColumn("most", _edits(Q("longer"), least)).withColumn("edits", F.expr("levenshtein(a, b, most)"))
     # A key is a hash, so texts that only share it may meet as well.
     close = scores.where("edits >= 0").select("a", "b", (1 - Q("edits") / Q("longer")).alias("score")).where(Q("score") >= least).distinct()
-    return close.unionByName(a.join(b, "text").select(Q("text").alias("a"), Q("text").alias("b"), F.lit(1.0).alias("score")))
+    return close.unionByName(a.join(_large(b), "text").select(Q("text").alias("a"), Q("text").alias("b"), F.lit(1.0).alias("score")))
 
 
 def _abbreviation(c: Column) -> Column:
@@ -102,14 +108,14 @@ def fuzzy_candidates(names: DataFrame, catalog: DataFrame, least: float = LEAST,
     known = written(catalog.select("player_id", F.explode(both).alias("norm")).where("norm <> ''").distinct(), "known-names")
     left, right = _forms(asked), _forms(known.select("norm").distinct())
     close = close_texts(left, right, least)
-    by_form = close.join(left.select(Q("text").alias("a"), "norm"), "a").join(right.select(Q("text").alias("b"), Q("norm").alias("known")), "b")
+    by_form = close.join(_large(left.select(Q("text").alias("a"), "norm")), "a").join(_large(right.select(Q("text").alias("b"), Q("norm").alias("known"))), "b")
     # An abbreviation has a word of one letter; a dot behind it does not count.
     plain = _sorted_words(F.regexp_replace("norm", r"\.", ""))
     short = asked.where(F.exists(F.split(F.regexp_replace("norm", r"\.", ""), " "), lambda w: F.length(w) == 1)).select("norm", plain.alias("key"))
     long = known.select(Q("norm").alias("known"), _abbreviation(Q("norm")).alias("key")).where("key is not null").distinct()
-    abbreviated = short.join(long, "key").select("norm", "known", F.lit(ABBREVIATED).alias("score"))
+    abbreviated = short.join(_large(long), "key").select("norm", "known", F.lit(ABBREVIATED).alias("score"))
     found = by_form.select("norm", "known", "score").unionByName(abbreviated)
-    players = found.join(known.select("player_id", Q("norm").alias("known")), "known").groupBy("norm", "player_id").agg(F.max("score").alias("score"))
+    players = found.join(_large(known.select("player_id", Q("norm").alias("known"))), "known").groupBy("norm", "player_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("norm").orderBy(F.desc("score"), "player_id")
     return players.withColumn("rank", F.row_number().over(order)).where(Q("rank") <= top)
 
@@ -127,15 +133,15 @@ def name_review(devices: DataFrame, catalog: DataFrame, overrides: dict[str, int
     best, second = F.get("close", F.lit(0))["score"], F.coalesce(F.get("close", F.lit(1))["score"], F.lit(0.0))
     # Scores are fractions of small whole numbers; rounding keeps their differences from depending on the last bit.
     taken = (best >= ACCEPT) & (F.round(best - second, 9) >= LEAD)
-    out = mapped.join(close, "norm", "left")
+    out = mapped.join(_large(close), "norm", "left")
     ids = F.when(Q("close").isNull(), Q("candidates")).otherwise(F.transform("close", lambda x: x["player_id"]))
     status = F.when(Q("close").isNull(), Q("status")).when(taken, "fuzzy").otherwise("review")
     out = out.select("device_name", "norm", "rows", status.alias("status"), ids.alias("ids"), F.when(Q("close").isNull(), Q("player_id")).when(taken, F.get("close", F.lit(0))["player_id"]).alias("player_id"), F.transform("close", lambda x: x["score"]).alias("scores"))
     known = catalog.select("player_id", "short_name", "full_name").dropDuplicates(["player_id"])
     name = F.concat(Q("player_id").cast("string"), F.lit(":"), F.coalesce("short_name", F.lit("")), F.lit("|"), F.coalesce("full_name", F.lit("")))
-    named = out.select("device_name", F.posexplode("ids").alias("at", "player_id")).join(known.select("player_id", name.alias("name")), "player_id")
+    named = out.select("device_name", F.posexplode("ids").alias("at", "player_id")).join(_large(known.select("player_id", name.alias("name"))), "player_id")
     named = named.groupBy("device_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "name"))), lambda x: x["name"]), " || ").alias("candidate_names"))
-    joined = out.join(named, "device_name", "left").join(known, "player_id", "left")
+    joined = out.join(_large(named), "device_name", "left").join(_large(known), "player_id", "left")
     text = lambda c: F.coalesce(F.array_join(c.cast("array<string>"), ","), F.lit(""))
     return joined.select(
         "device_name", "norm", "rows", "status", text(Q("ids")).alias("candidate_ids"), F.coalesce("candidate_names", F.lit("")).alias("candidate_names"),

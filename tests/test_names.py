@@ -67,3 +67,14 @@ def test_review(spark):
     assert got["Maria  Lopes"].candidate_ids.split(",")[0] == "3" and got["Maria  Lopes"].status in ("fuzzy", "review")
     assert (got["Nobody Atall"].status, got["Nobody Atall"].candidate_ids, got["Nobody Atall"].candidate_names) == ("unmatched", "", "")
     assert names.fuzzy_candidates(devices.limit(0).withColumnRenamed("device_name", "name"), known).count() == 0
+
+
+def test_tables_of_names_are_not_broadcast(spark):
+    """Their size in Parquet says little of their size in the driver's memory."""
+    catalog = spark.createDataFrame([(1, "J. Smith", "John Smith"), (2, "A. Jones", "Anna Jones")], "player_id bigint, short_name string, full_name string")
+    devices = spark.createDataFrame([("Jon Smith",), ("J Smith",), ("Anna Jones",)], "device_name string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    close, review = names.fuzzy_candidates(devices.withColumnRenamed("device_name", "name"), catalog), names.name_review(devices, catalog)
+    for df in (close, review):
+        assert len(df.collect()) == 3 and "SortMergeJoin" in plan(df) and "Broadcast" not in plan(df)
+    assert plan(names.name_mapping(devices, catalog)).count("SortMergeJoin") == 2
