@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ranks
 from ..functions.scalar import clip_range
+from ..sources.shared import written
 from .insights import count_if
 
 ORDER = ("sec", "event_id")
@@ -96,6 +97,9 @@ def player_summary(chosen: DataFrame, min_actions: int = 3) -> DataFrame:
         return F.coalesce(*[F.when(F.col(f"__v_{a}") == at, F.lit(a)) for a in sorted(ACTIONS)])
 
     p = p.withColumns({"usual_suggestion": usual, "best_type": extreme(F.greatest), "weak_type": extreme(F.least)}).drop(*[f"__{x}_{a}" for x in "sv" for a in ACTIONS])
+    # Averages of doubles depend on the order of their rows, which differs from job to job on a cluster. Ranks and the limit
+    # are found by equal scores, so all begin from scores that are written once.
+    p = written(p, "player-summary")
     limit = ranks.quantile(p, "score", 0.25)
     p = p.join(average_rank(p, "score").withColumnRenamed("rank", "score_rank"), "score").join(F.broadcast(limit), how="left")
     return p.withColumn("needs_support", (F.col("score") <= F.col("limit")) & (F.col("actions") >= min_actions)).drop("limit")

@@ -23,3 +23,18 @@ def test_groups_of_players_beyond_a_thousand(spark, tmp_path, name):
     columns = sorted(df.columns)
     want = sorted(repr([plain(r[rel.columns.index(c)]) for c in columns]) for r in rel.fetchall())
     assert sorted(repr([plain(r[c]) for c in columns]) for r in df.collect()) == want and want
+
+
+def test_players_keep_their_rank_where_jobs_add_up_in_another_order(spark):
+    """Scores that differ in the last bits whenever they are worked out, as averages do where blocks arrive in another order."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from pitchflow.operators import decision
+
+    other = F.udf(lambda v: v + random.random() * 1e-12, "double").asNondeterministic()
+    rows = spark.range(400).select((F.col("id") % 40).alias("player_id"), F.lit("pass").alias("event_type"), other(F.rand(1)).alias("value"), F.lit(False).alias("low"), F.lit(None).cast("string").alias("suggested"), F.lit(0.0).alias("gain"))
+    got = decision.player_summary(rows).collect()
+    assert sorted(r.player_id for r in got) == list(range(40))
+    assert sorted(round(r.score_rank * 40) for r in got) == list(range(1, 41)) and sum(r.needs_support for r in got) == 10
